@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, toxicity
+from . import packing, secrets, tokenfiles, toxicity
 from .common import id_crc, table
 
 TOXIC_TRAIN_ROWS = 12_000  # labelled rows that the toxicity model is fitted on, at most
@@ -20,12 +20,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(id_crc() % 4 == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; the package that holds the files is not part of this library."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2, 1024, with_ids=False)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
+    return tokenfiles.read(manifest, with_ids=False)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_token_files": op4_token_files,
     "op7_secret_scan": op7_secret_scan,
 }
 
