@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, secrets, tokenfiles, topk, toxicity, urlfilter
+from . import decontaminate, langid, neardup, packing, secrets, tokenfiles, topk, toxicity, urlfilter
 from .common import id_crc, table
 
 TOXIC_TRAIN_ROWS = 12_000  # labelled rows that the toxicity model is fitted on, at most
@@ -40,6 +40,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), 2, 80)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination,
     "op9_url_templates": op9_url_templates,
     "op2_exact_topk": op2_exact_topk,
