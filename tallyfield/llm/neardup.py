@@ -7,9 +7,13 @@ A document's set holds its distinct word shingles as 64-bit hashes. Documents wi
    sketches estimates how many values differ, most precisely where few do.
 2. Nodes that share a band are candidates. Each node is first compared with one leader, the least node of
    its buckets; links are confirmed on full sets and give components.
+   A second round compares each node with the hub of its leader's group: the member whose sketch is closest
+   to a few sampled members, which in a group of copies is what they were copied from.
 3. Buckets that still hold several components are joined with themselves, for pairs of different components
-   only; size and sketch decide in the join which pairs are worth full sets. So a group of many near copies
-   costs a comparison or two for each member, and no pair between components goes unseen.
+   only; sizes and sketches decide in the join which pairs are worth full sets. Beside the odd sketch of
+   MinHash values, an odd sketch of the full set bounds a pair exactly: its XOR count never exceeds the
+   symmetric difference. So a group of near copies costs a few comparisons for each member, and no pair
+   between components goes unseen.
 4. Components come from alternating star contraction over the links, in the shared folder.
 
 At a similarity of exactly 0.8 a pair shares no band with probability 1e-7, and the sketch test, at 5.3
@@ -37,6 +41,9 @@ ROWS = 5  # MinHash values in a band
 BANDS = 40
 BITS = 512  # of an odd sketch
 LANES = [f"s{k}" for k in range(BITS // 64)]
+FULL_BITS = 1024  # of the odd sketch of a full set
+FULL = [f"f{k}" for k in range(FULL_BITS // 64)]
+SAMPLES = 8  # members of a group that its hub is found with
 MOST_BROADCAST = 500_000  # ids; beyond this a join is shuffled
 
 _rng = np.random.default_rng(20_240_501)
@@ -54,7 +61,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of texts; hashes of words are kept."""
 
-    def __init__(self, width: int, most_memo: int = 300_000):
+    def __init__(self, width: int, most_memo: int = 150_000):
         self.width, self.most_memo = width, most_memo
         self.memo: dict[bytes, int] = {}
 
@@ -81,7 +88,7 @@ class Shingler:
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (sets x BANDS) and odd sketches (sets x BITS/64) of sets that are not empty."""
+    """Band keys (sets x BANDS) and the lanes of both odd sketches of sets that are not empty."""
     joined = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     low = np.empty((len(sets), ROWS * BANDS), np.uint64)
@@ -95,7 +102,10 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     bit = (_mixed(low ^ np.arange(ROWS * BANDS, dtype=np.uint64) * _FOLD[11]) >> np.uint64(20)) % np.uint64(BITS)
     flat = (np.arange(len(sets), dtype=np.int64)[:, None] * BITS + bit.astype(np.int64)).ravel()
     odd = (np.bincount(flat, minlength=len(sets) * BITS) & 1).astype(np.uint8).reshape(len(sets), BITS)
-    return bands.view(np.int64), np.packbits(odd, axis=1).view(np.int64)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(x) for x in sets])
+    place = owner * FULL_BITS + ((joined * _FOLD[13]) >> np.uint64(64 - 10)).astype(np.int64)
+    whole = (np.bincount(place, minlength=len(sets) * FULL_BITS) & 1).astype(np.uint8).reshape(len(sets), FULL_BITS)
+    return bands.view(np.int64), np.concatenate([np.packbits(odd, axis=1).view(np.int64), np.packbits(whole, axis=1).view(np.int64)], axis=1)
 
 
 def sketch_limit(similarity: float, deviations: float = 5.3) -> int:
@@ -116,7 +126,7 @@ def sketched(documents: DataFrame, width: int) -> DataFrame:
         for rb in pieces(batches, "text", 8 << 20):
             sets = [s.set_of(t) for t in rb.column("text").to_pylist()]
             full = [x for x in sets if len(x)]
-            bands, lanes = signatures(full) if full else (np.zeros((0, BANDS), np.int64), np.zeros((0, len(LANES)), np.int64))
+            bands, lanes = signatures(full) if full else (np.zeros((0, BANDS), np.int64), np.zeros((0, len(LANES + FULL)), np.int64))
             at = np.cumsum([len(x) > 0 for x in sets]) - 1
             empty = np.array([len(x) == 0 for x in sets], bool)
             pick = np.where(empty, 0, at)
@@ -127,11 +137,11 @@ def sketched(documents: DataFrame, width: int) -> DataFrame:
                 pa.array([len(x) for x in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
                 pa.array(band_rows, pa.list_(pa.int64())),
-                *(pa.array(lanes[pick, k] if some else np.zeros(len(sets), np.int64), pa.int64()) for k in range(len(LANES))),
+                *(pa.array(lanes[pick, k] if some else np.zeros(len(sets), np.int64), pa.int64()) for k in range(len(LANES + FULL))),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "bands", *LANES])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "bands", *LANES, *FULL])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{c} long" for c in LANES))
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{c} long" for c in LANES + FULL))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -154,11 +164,19 @@ def _sets_of(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return found.join(_small(nodes.select("node"), n), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def _differ(a: str, b: str, lanes: list[str]) -> Column:
+    out = F.lit(0)
+    for c in lanes:
+        out = out + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return out
+
+
 def _near(a: str, b: str, percent: int, limit: int) -> Column:
-    """Size and sketch of two sides allow the similarity."""
-    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in LANES[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    """Sizes and sketches of two sides allow the similarity."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= limit)
+    # At the similarity p the symmetric difference is (1 - p) / (1 + p) of both sizes together.
+    exact = (100 + percent) * _differ(a, b, FULL) <= (100 - percent) * (na + nb)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_differ(a, b, LANES) <= limit) & exact
 
 
 def _confirmed(pairs: DataFrame, documents: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
@@ -205,7 +223,7 @@ def classes(documents: DataFrame, width: int = 2, percent: int = 80) -> DataFram
     sig = staged(sketched(documents, width), "sketches")
     live = sig.where("node is not null and doc_id is not null")
     reps = staged(live.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "sets")
-    attributes = ["node", "n_shingles", *LANES]
+    attributes = ["node", "n_shingles", *LANES, *FULL]
     # One row for each set: bands that at least two sets share, and the least of these.
     one = live.join(reps, ["node", "doc_id"]).dropDuplicates(["node"])
     bands = staged(one.select("node", F.explode("bands").alias("band")), "bands")
@@ -214,10 +232,29 @@ def classes(documents: DataFrame, width: int = 2, percent: int = 80) -> DataFram
     drop_stage(bands)
     about = staged(one.select(*attributes).join(shared.select("node").distinct(), "node", "left_semi"), "about")
     # Every node against one leader.
-    first = shared.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
-    tried = staged(first.alias("f").join(about.alias("x"), F.col("f.node") == F.col("x.node")).join(about.alias("y"), F.col("f.leader") == F.col("y.node")).where(_near("x", "y", percent, limit)).select(F.col("f.leader").alias("a"), F.col("f.node").alias("b")), "tried")
+    first = shared.groupBy("node").agg(F.min("leader").alias("leader"))
+    members = staged(first.join(about, "node"), "members")
+
+    def against(centre: DataFrame) -> DataFrame:
+        """Pairs of members with the node that `centre` has for their leader."""
+        named = staged(centre.join(about.withColumnRenamed("node", "centre"), "centre"), "centres")
+        pairs = members.alias("x").join(named.alias("y"), F.col("x.leader") == F.col("y.leader")).where((F.col("x.node") != F.col("y.centre")) & _near("x", "y", percent, limit))
+        return pairs.select(F.least("x.node", "y.centre").alias("a"), F.greatest("x.node", "y.centre").alias("b"))
+
+    tried = staged(against(members.select("leader").distinct().withColumn("centre", F.col("leader"))).distinct(), "tried")
     links = _confirmed(tried, documents, reps, width, percent)
     grouped = components(links)
+    # Every node against the hub of its leader's group, where they are still apart.
+    lanes = F.struct(*LANES)
+    samples = staged(members.groupBy("leader").agg(*(F.min_by(lanes, F.struct(F.xxhash64("node", F.lit(k)), "node")).alias(f"p{k}") for k in range(SAMPLES))), "samples")
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.p{k}.{c}"))) for k in range(SAMPLES) for c in LANES), F.lit(0))
+    hubs = members.alias("x").join(samples.alias("y"), F.col("x.leader") == F.col("y.leader")).select("x.leader", "x.node", apart.alias("apart")).groupBy("leader").agg(F.min_by("node", F.struct("apart", "node")).alias("centre"))
+    label = lambda side: grouped.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    second = against(hubs).distinct().join(tried, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    second = staged(second, "second")
+    links = links.union(_confirmed(second, documents, reps, width, percent))
+    grouped = components(links)
+    tried = tried.union(second)
     # What is left: pairs of different components that share a bucket.
     placed = shared.join(grouped, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     placed = staged(placed, "placed")
@@ -231,7 +268,7 @@ def classes(documents: DataFrame, width: int = 2, percent: int = 80) -> DataFram
     named = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = staged(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-id")
     known = staged(named.join(least, "component").select("node", "component_id"), "classes")
-    for t in (shared, buckets, about, tried, placed, rest, grouped):
+    for t in (shared, buckets, about, members, samples, placed, rest):
         drop_stage(t)
     # Documents of one set may be many: both sides are plain tables, so a hot key is split.
     out = sig.select("doc_id", "n_shingles", "node").join(known, "node", "left")
