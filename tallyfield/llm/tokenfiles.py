@@ -44,6 +44,10 @@ def bits_for(vocabulary: int) -> int:
 
 def pack_ids(ids: np.ndarray, bits: int) -> bytes:
     """ids (uint32, each under 2**bits, bits up to 24 for speed or 32) in bits each; the last byte group is padded."""
+    if bits in (8, 16, 32):  # whole bytes: eight ids are bits bytes as they are
+        out = np.zeros(-(-len(ids) // 8) * 8, f"<u{bits // 8}")
+        out[: len(ids)] = ids
+        return out.tobytes()
     n = -(-len(ids) // 8)
     lanes = np.zeros((n, 8), np.uint64)
     lanes.ravel()[: len(ids)] = ids
@@ -57,6 +61,8 @@ def pack_ids(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack_ids(raw: bytes, bits: int, count: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(raw, f"<u{bits // 8}", count).astype(np.uint32)
     groups = np.frombuffer(raw, np.uint8).reshape(-1, bits)
     wide = np.zeros((len(groups), bits + 8), np.uint64)
     wide[:, :bits] = groups
@@ -157,7 +163,7 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str | None
         where, root = _place(folder)
         name = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
         try:
-            for rb in pieces(batches, "text"):
+            for rb in pieces(batches, "text", 4 << 20):
                 if writer is None:
                     where.create_dir(root, recursive=True)
                     sink = where.open_output_stream(name)

@@ -29,7 +29,7 @@ UNSAFE = re.compile(r"[^A-Za-zÀ-ÖØ-öø-įı-ɏ!-&(-/:;=-@\[-`{-~ \n]")
 class Encoder:
     """The cache has two generations, so that a full one drops what was not read lately."""
 
-    def __init__(self, path: str, end_id: int, most_memo: int = 500_000):
+    def __init__(self, path: str, end_id: int, most_memo: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
