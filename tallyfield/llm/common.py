@@ -57,7 +57,7 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Cut the batches that Arrow brings so that no piece holds over `most` bytes of text (one row at least)."""
     for rb in batches:
         sizes = pc.fill_null(pc.binary_length(rb.column(column)), 0).to_numpy(zero_copy_only=False)

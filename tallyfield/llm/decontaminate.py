@@ -267,21 +267,21 @@ def item_chunks(benchmark: DataFrame, width: int, most_bytes: int = 8 << 20) ->
 SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 
 
-def find(documents: DataFrame, benchmark: DataFrame, width: int = 10, columns: list[str] | None = None) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, width: int = 10, columns: list[str] | None = None, cut: bool = False) -> DataFrame:
     """`row` (a struct of `columns`, all by default), text, n_words, spans (merged, in words, end exclusive) and
-    items for every document. Each chunk of items is one pass over the documents in their place: no shuffle."""
+    items for every document; with cut, the spans are cut from text. Each chunk of items is one pass over the documents in their place: no shuffle."""
     out = rows_and_text(documents, columns).select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPAN).alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
-    first = True
+    held: list[Windows] = []
     for chunk in item_chunks(benchmark, width):
-        out = out.mapInArrow(_pass(chunk, schema), schema)
-        first = False
-    if first:
-        out = out.mapInArrow(_pass([], schema), schema)
-    return out
+        if held:
+            out = out.mapInArrow(_pass(held, schema, False), schema)
+        held = chunk
+    return out.mapInArrow(_pass(held, schema, cut), schema)
 
 
-def _pass(chunk: list[Windows], schema: T.StructType):
+def _pass(chunk: list[Windows], schema: T.StructType, cut: bool):
+    """One chunk's search; spans of earlier chunks are merged in. With cut, the spans leave the text at the end."""
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,10 @@ def _pass(chunk: list[Windows], schema: T.StructType):
                 all_spans = merged(d.spans + [(x["first"], x["last"]) for x in s]) if s else d.spans
                 spans.append([{"first": a, "last": b} for a, b in all_spans])
                 items.append(sorted(d.items | set(i)))
-            cols = [rb.column("row"), rb.column("text"), pa.array([d.n_words for d in found], pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
+            text = rb.column("text")
+            if cut:
+                text = pa.array([cut_text(t, [(x["first"], x["last"]) for x in s]) for t, s in zip(text.to_pylist(), spans, strict=True)], pa.string())
+            cols = [rb.column("row"), text, pa.array([d.n_words for d in found], pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return run
@@ -323,16 +326,9 @@ def cut_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def remove(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """All columns of documents; hit spans are cut from the text, n_chars follows, documents without a word left
     by the cut go. Documents without a hit are as they were."""
-    found = find(documents, benchmark, width)
-    schema = found.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            texts = [cut_text(t, [(x["first"], x["last"]) for x in s]) for t, s in zip(rb.column("text").to_pylist(), rb.column("spans").to_pylist(), strict=True)]
-            yield rb.set_column(1, "text", pa.array(texts, pa.string()))
-
+    found = find(documents, benchmark, width, cut=True)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
-    left = found.mapInArrow(run, schema).where((F.size("spans") == 0) | (n_hit < F.col("n_words")))
+    left = found.where((F.size("spans") == 0) | (n_hit < F.col("n_words")))
     columns = [F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(documents.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns]
     return left.select(*columns)
 

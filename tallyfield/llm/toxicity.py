@@ -143,7 +143,7 @@ class TermAutomaton:
 
 
 class Matcher:
-    def __init__(self, lexicon: Lexicon, most_memo: int = 400_000):
+    def __init__(self, lexicon: Lexicon, most_memo: int = 200_000):
         self.lexicon, self.most_memo = lexicon, most_memo
         self.automaton = TermAutomaton(lexicon.terms)
         self.memo: dict[str, tuple[int, int, float] | None] = {}
