@@ -1,4 +1,90 @@
 """Named queries over the driver's tables and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import chain, enrich, stats
+from .plans.oracle import ORACLE as _ORACLE
+from .sources.adapters import load
+
+KAPPA = 30.0
+EVENT_COLUMNS = ["event_id", "kind", "restart", "phase", "bucket", "xg_after", "goal_after", "pos_start_x", "pos_first_type", "pos_xg", "pos_shot", "pos_seconds", "transition", "home_goals", "away_goals"]
+
+
+def _ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.enrich(load(spark, sf_dir))
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.with_kind(load(spark, sf_dir))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.outcome_table(_kinds(spark, sf_dir))
+
+
+def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ev(spark, sf_dir).select(*EVENT_COLUMNS).withColumn("xg_after", F.round("xg_after", 6)).withColumn("pos_xg", F.round("pos_xg", 6))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("p", F.round("p", 6))
+
+
+def result_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = stats.results(_kinds(spark, sf_dir))
+    rate = F.greatest("xg", F.lit(0.05))
+    h, a = r.where("home").select("match_id", rate.alias("home_rate")), r.where("not home").select("match_id", rate.alias("away_rate"))
+    return stats.chances(h.join(a, "match_id"))
+
+
+def lockbox_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.md5(F.col("match_id").cast("string"))
+    return load(spark, sf_dir).select("match_id").distinct().select("match_id", digest.alias("digest"), F.substring(digest, 32, 1).isin(*"02468ace").alias("lockbox"))
+
+
+def eligible_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = load(spark, sf_dir)
+    t = ev.select(F.col("home_team_id").alias("team_id"), "match_id").union(ev.select("away_team_id", "match_id")).distinct()
+    return t.groupBy("team_id").agg(F.count("*").alias("matches")).where("matches >= 5")
+
+
+def team_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _counts(spark, sf_dir)
+    v = chain.values(chain.team_chains(c, KAPPA), chain.shot_quality(c))
+    return v.select("team_id", F.posexplode("value").alias("zone", "value")).select("team_id", "zone", F.round("value", 6).alias("value"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "match_events": load,
+    "enriched_events": enriched_events,
+    "outcome_table": _counts,
+    "outcome_totals": lambda s, d: stats.outcome_totals(_kinds(s, d)),
+    "start_table": lambda s, d: stats.start_table(_kinds(s, d)),
+    "progressions": lambda s, d: stats.progressions(_ev(s, d)),
+    "route_table": lambda s, d: stats.route_table(stats.progressions(_ev(s, d))),
+    "lane_shares": lambda s, d: stats.lane_shares(stats.progressions(_ev(s, d))),
+    "ledger": lambda s, d: stats.ledger(_ev(s, d)),
+    "claims": lambda s, d: stats.claims(stats.ledger(_ev(s, d))),
+    "opponent_adjustment": lambda s, d: stats.opponent_adjustment(stats.ledger(_ev(s, d))),
+    "copress_edges": lambda s, d: stats.copress_edges(_ev(s, d), 600.0),
+    "player_nodes": lambda s, d: stats.player_nodes(_kinds(s, d)),
+    "zone_graph": lambda s, d: stats.zone_graph(_kinds(s, d)),
+    "setpieces": lambda s, d: stats.setpieces(_kinds(s, d)),
+    "results": lambda s, d: stats.results(_kinds(s, d)),
+    "asof_calls": lambda s, d: stats.asof_calls(stats.results(_kinds(s, d))),
+    "league_chain": lambda s, d: _rounded(chain.league_chain(_counts(s, d))),
+    "team_chains": lambda s, d: _rounded(chain.team_chains(_counts(s, d), KAPPA)),
+    "style_distances": lambda s, d: chain.style_distances(chain.team_chains(_counts(s, d), KAPPA)),
+    "kappa_scores": lambda s, d: chain.kappa_scores(_counts(s, d)),
+    "team_values": team_values,
+    "result_chances": result_chances,
+    "lockbox_matches": lockbox_matches,
+    "eligible_teams": eligible_teams,
+}
+
+ORACLE: dict[str, str] = dict(_ORACLE)
