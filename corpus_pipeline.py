@@ -15,7 +15,7 @@ from tallyfield.llm.common import id_crc, staged, table
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), id_crc() % 4 != 2, queries.TOXIC_TRAIN_ROWS)
-    return toxicity.score(docs, lexicon, 0.3).where("predicted = 0").select("row.*")
+    return toxicity.reject(docs, lexicon, 0.3)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

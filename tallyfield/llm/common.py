@@ -72,5 +72,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20)
 
 
 def rows_and_text(documents: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One struct `row` of the columns to carry along, whatever their names, and `text`."""
-    return documents.select(F.struct(*(F.col(f"`{c}`") for c in columns or documents.columns)).alias("row"), F.col("text").alias("text"))
+    """One struct `row` of the columns to carry along, whatever their names (all but text by default), and `text`.
+    Arrow batches are kept small, for texts may be long and both sides hold a batch outside the heap."""
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    names = columns or [c for c in documents.columns if c != "text"]
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").alias("text"))
+
+
+def unpacked(documents: DataFrame) -> list[Column]:
+    """The columns of documents out of `row` and `text`, in their order."""
+    return [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns]

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, pieces, staged
+from .common import drop_stage, pieces, rows_and_text, staged
 
 ROWS = 5  # MinHash values in a band
 BANDS = 40
@@ -123,7 +123,7 @@ def sketched(documents: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(width)
-        for rb in pieces(batches, "text", 8 << 20):
+        for rb in pieces(batches, "text", 4 << 20):
             sets = [s.set_of(t) for t in rb.column("text").to_pylist()]
             full = [x for x in sets if len(x)]
             bands, lanes = signatures(full) if full else (np.zeros((0, BANDS), np.int64), np.zeros((0, len(LANES + FULL)), np.int64))
@@ -141,7 +141,7 @@ def sketched(documents: DataFrame, width: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "bands", *LANES, *FULL])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{c} long" for c in LANES + FULL))
+    return rows_and_text(documents, ["doc_id"]).select("row.doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{c} long" for c in LANES + FULL))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:

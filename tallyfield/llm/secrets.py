@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, rows_and_text
+from .common import pieces, rows_and_text, unpacked
 
 
 @dataclass(frozen=True)
@@ -389,7 +389,7 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(rules)
-        for rb in pieces(batches, "text", 8 << 20):
+        for rb in pieces(batches, "text", 4 << 20):
             found = find_all(rb.column("text").to_pylist(), s)
             counts = [pa.array([sum(x[0] == k for x in f) for f in found], pa.int64()) for k in base]
             digest = pa.array([hashlib.sha256(joined([x for x in f if x[0] in base]).encode()).hexdigest() for f in found], pa.string())
@@ -423,13 +423,13 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(rules)
-        for rb in pieces(batches, "text", 8 << 20):
+        for rb in pieces(batches, "text", 4 << 20):
             texts = rb.column("text").to_pylist()
             clean = [redact_text(t, f) for t, f in zip(texts, find_all(texts, s), strict=True)]
             yield pa.RecordBatch.from_arrays([rb.column("row"), pa.array(clean, pa.string())], names=["row", "text"])
 
     done = source.mapInArrow(run, T.StructType([source.schema["row"], T.StructField("text", T.StringType())]))
-    out = done.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns))
+    out = done.select(*unpacked(documents))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(schema["n_chars"].dataType))
     return out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stage, pieces, rows_and_text, staged
+from .common import drop_stage, pieces, rows_and_text, staged, unpacked
 
 # Terms that need no label, words that report speech, words that address a reader.
 SEEDS = ("idiot", "moron", "imbecile", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting", "clown", "trash", "bastard", "scumbag", "dumbass", "retard", "vermin", "filth")
@@ -376,20 +376,26 @@ def score_text(matcher: Matcher, text: str | None) -> float:
 
 
 def score(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """`row` (a struct of the columns in keep, all by default), score (0 to 1) and predicted (1 if score >=
-    threshold) for every row. Rows stay where they are: there is no shuffle."""
+    """`row` (a struct of the columns in keep; all but text by default, and then text beside it), score (0 to 1)
+    and predicted (1 if score >= threshold) for every row. Rows stay where they are: there is no shuffle."""
     source = rows_and_text(documents, keep)
+    carried = ["row"] if keep else ["row", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(lexicon)
         for rb in pieces(batches, "text"):
             s = pa.array([score_text(m, x) for x in rb.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([rb.column("row"), s], names=["row", "score"])
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in carried), s], names=[*carried, "score"])
 
-    schema = T.StructType([source.schema["row"], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(source.schema[c] for c in carried), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def reject(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
+    """All columns of the documents whose score is under the threshold."""
+    return score(documents, lexicon, threshold).where("predicted = 0").select(*unpacked(documents))
+
+
 def spans(matcher: Matcher, text: str | None) -> list[dict]:
     """The hits of one text, for reports: word, term, edits, evidence."""
     return [{"token": i, "word": w, "term": matcher.lexicon.terms[t].text, "edits": e, "evidence": ev} for i, w, t, e, _, ev in matcher.hits(text)]
