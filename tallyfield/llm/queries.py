@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neardup, packing, secrets, tokenfiles, topk, toxicity, urlfilter
+from . import decontaminate, langid, neardup, packing, quality, secrets, tokenfiles, topk, toxicity, urlfilter
 from .common import id_crc, table
 
+QUALITY_TRAIN_ROWS = 4_000  # labelled rows that the quality model is fitted on, at most
 TOXIC_TRAIN_ROWS = 12_000  # labelled rows that the toxicity model is fitted on, at most
 
 
@@ -48,6 +49,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), id_crc() % 4 != 2, QUALITY_TRAIN_ROWS)
+    return quality.grade(docs, model).withColumn("held_out", F.coalesce(id_crc() % 4 == 2, F.lit(False)))
+
+
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination,
+    "op8_quality": op8_quality,
     "op9_url_templates": op9_url_templates,
     "op2_exact_topk": op2_exact_topk,
     "op10_language_id": op10_language_id,
