@@ -10,8 +10,8 @@
    A logistic model over the document's hits, fitted on labelled rows, gives the score.
 
 Defined results: null or empty text, or text without words, gets the score of a document without hits.
-A null doc_id is scored and counts as not held out. Repeated rows are scored each. Without usable labels
-the fixed terms and default weights are used. Other columns of the input are ignored.
+A null doc_id is scored and counts as not held out. Repeated rows are scored each. With too few
+labels of either kind the default weights are used, without any the fixed terms too. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ ADDRESS = frozenset("you your youre u yourself du dich dein ihr euch tu toi ton
 QUOTES = frozenset("\"“”„«»")
 
 CHANCE = math.log(20_000) + 1  # log likelihood gain that chance among thousands of trie nodes does not reach
+LEAST_OF_A_CLASS = 10  # labelled rows of either kind below which the default weights stay
 TOKEN = re.compile(r"[^\W_]+|[\"“”„«»]")
 
 
@@ -316,7 +317,7 @@ def learn(sample: DataFrame, most_terms: int = 2000, seeds: tuple[str, ...] = SE
             n, t = counted.get(w + "$", (0, 0))
             precision[w, False] = (t + 1.6) / (n + 2)
     lexicon = Lexicon([Term(w, s, min(p, 0.99)) for (w, s), p in sorted(precision.items())])
-    if not 0 < toxic < rows:
+    if min(toxic, rows - toxic) < LEAST_OF_A_CLASS:
         return lexicon
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
