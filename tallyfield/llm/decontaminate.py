@@ -39,9 +39,11 @@ def words(text: str | None) -> list[bytes]:
 
 
 class FmIndex:
-    """Backward search over an array of symbols; symbol 0 is the separator and ends the array."""
+    """Backward search over an array of symbols; a closing symbol below all others makes every rotation differ,
+    so that walking back ends even where the text repeats itself throughout."""
 
     def __init__(self, text: np.ndarray, symbols: int, sample: int = 8):
+        text, symbols = np.append(text + 1, 0), symbols + 1
         n = len(text)
         sa = _suffixes(text)
         self.n, self.sample = n, sample
@@ -93,7 +95,7 @@ class FmIndex:
             live = np.flatnonzero((lengths > k) & (lo < hi))
             if not len(live):
                 break
-            s = patterns[live, width - 1 - k]
+            s = patterns[live, width - 1 - k] + 1
             base = self.less[s]
             lo[live], hi[live] = base + self.rank(s, lo[live]), base + self.rank(s, hi[live])
         return lo, np.maximum(lo, hi)
