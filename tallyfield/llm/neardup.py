@@ -9,8 +9,10 @@ A document's set holds its distinct word shingles as 64-bit hashes. Documents wi
    its buckets; links are confirmed on full sets and give components.
    A second round compares each node with the hub of its leader's group: the member whose sketch is closest
    to a few sampled members, which in a group of copies is what they were copied from.
-3. Buckets that still hold several components are joined with themselves, for pairs of different components
-   only; sizes and sketches decide in the join which pairs are worth full sets. Beside the odd sketch of
+3. Buckets that still hold several components are joined for pairs of different components only. The largest
+   component of a bucket is one side of a join with the others, and these are joined with each other, so a
+   large group meets what is outside of it but never itself. Sizes and sketches decide in the join which pairs
+   are worth full sets. Beside the odd sketch of
    MinHash values, an odd sketch of the full set bounds a pair exactly: its XOR count never exceeds the
    symmetric difference. So a group of near copies costs a few comparisons for each member, and no pair
    between components goes unseen.
@@ -248,7 +250,9 @@ def classes(documents: DataFrame, width: int = 2, percent: int = 80) -> DataFram
     lanes = F.struct(*LANES)
     samples = staged(members.groupBy("leader").agg(*(F.min_by(lanes, F.struct(F.xxhash64("node", F.lit(k)), "node")).alias(f"p{k}") for k in range(SAMPLES))), "samples")
     apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.p{k}.{c}"))) for k in range(SAMPLES) for c in LANES), F.lit(0))
-    hubs = members.alias("x").join(samples.alias("y"), F.col("x.leader") == F.col("y.leader")).select("x.leader", "x.node", apart.alias("apart")).groupBy("leader").agg(F.min_by("node", F.struct("apart", "node")).alias("centre"))
+    # Written before it is grouped: the join may then split a large group, and the grouping combines on the map side.
+    far = staged(members.alias("x").join(samples.alias("y"), F.col("x.leader") == F.col("y.leader")).select("x.leader", "x.node", apart.alias("apart")), "apart")
+    hubs = far.groupBy("leader").agg(F.min_by("node", F.struct("apart", "node")).alias("centre"))
     label = lambda side: grouped.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     second = against(hubs).distinct().join(tried, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     second = staged(second, "second")
@@ -258,17 +262,23 @@ def classes(documents: DataFrame, width: int = 2, percent: int = 80) -> DataFram
     # What is left: pairs of different components that share a bucket.
     placed = shared.join(grouped, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     placed = staged(placed, "placed")
-    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    in_band = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    open_ = in_band.groupBy("band").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("k > 1").select("band", "largest")
     rest = staged(placed.join(staged(open_, "open"), "band").join(about, "node"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & _near("x", "y", percent, limit)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    outside = rest.where("component <> largest")
+
+    def between(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
+        pairs = x.alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & _near("x", "y", percent, limit))
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    more = between(rest.where("component = largest"), outside, F.lit(True)).union(between(outside, outside, F.col("x.component") < F.col("y.component"))).distinct()
     more = more.join(tried, ["a", "b"], "left_anti")
     late = _confirmed(more, documents, reps, width, percent)
     final = components(links.union(late))
     named = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = staged(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-id")
     known = staged(named.join(least, "component").select("node", "component_id"), "classes")
-    for t in (shared, buckets, about, members, samples, placed, rest):
+    for t in (shared, buckets, about, members, samples, far, placed, rest):
         drop_stage(t)
     # Documents of one set may be many: both sides are plain tables, so a hot key is split.
     out = sig.select("doc_id", "n_shingles", "node").join(known, "node", "left")
