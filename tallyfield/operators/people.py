@@ -1,0 +1,68 @@
+"""Players and states: who touches entries, who leads each role, what is conceded by score."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import pitch
+from .stats import count_if, ratio
+
+STATE = """case when opp_id = home_team_id and home_goals > away_goals or opp_id = away_team_id and away_goals > home_goals then 'leading'
+  when home_goals = away_goals then 'level' else 'trailing' end"""
+# Roles and the events that count for them.
+ROLES = (("passer", "type = 'Pass' and kind = 'move'"), ("carrier", "type = 'Carry' and kind = 'move'"), ("giveaway", "kind = 'turnover'"), ("shooter", "kind = 'shot'"), ("presser", "type = 'Pressure'"))
+
+
+def ppda(led: DataFrame) -> DataFrame:
+    """Opponent passes below x = 72 for each defensive action above x = 48 (one at least)."""
+    return led.where("opp_passes_low > 0").select("match_id", "team_id", ratio("opp_passes_low", F.greatest("def_actions", F.lit(1))).alias("ppda"))
+
+
+def state_rates(ev: DataFrame) -> DataFrame:
+    """Conceded xg and possessions while the conceding team leads, is level or trails."""
+    a = ev.where("kind is not null").withColumn("state", F.expr(STATE))
+    one = a.groupBy(F.col("opp_id").alias("team_id"), "state", "match_id", "possession").agg(F.coalesce(F.sum(F.when(F.col("kind") == "shot", F.col("xg"))), F.lit(0.0)).alias("v"))
+    g = one.groupBy("team_id", "state").agg(F.round(F.sum("v"), 6).alias("conceded"), F.count("*").alias("possessions"))
+    return g.withColumn("rate", ratio("conceded", "possessions"))
+
+
+def entries(ev: DataFrame) -> DataFrame:
+    """First move of each possession across x = 80, with its lane."""
+    row = F.struct("idx", "team_id", "player_id", F.expr(pitch.lane(pitch.crossing_y(80))).alias("lane"))
+    return ev.where(F.expr(pitch.crosses(80))).groupBy("match_id", "possession").agg(F.min_by(row, "idx").alias("r")).select("match_id", "possession", "r.*")
+
+
+def dependency(ev: DataFrame, prog: DataFrame) -> DataFrame:
+    """Share of a team's final-third entries that a player touched on the way."""
+    p = prog.where("idx_final is not null").select("match_id", "possession", "team_id", "idx_final")
+    n = p.groupBy("team_id").agg(F.count("*").alias("entries"))
+    touched = ev.where("kind is not null").join(p, ["match_id", "possession", "team_id"]).where("idx <= idx_final").select("team_id", "player_id", "match_id", "possession").distinct()
+    return touched.groupBy("team_id", "player_id").agg(F.count("*").alias("touched")).join(n, "team_id").select("team_id", "player_id", "touched", ratio("touched", "entries").alias("share"))
+
+
+def role_leaders(ev: DataFrame, k: int = 5) -> DataFrame:
+    """The k players of each team with most events of a role, with their share; ties to the smaller id."""
+    role = F.explode(F.array_compact(F.array(*(F.when(F.expr(c), F.lit(r)) for r, c in ROLES))))
+    g = ev.select("team_id", "player_id", role.alias("role")).groupBy("team_id", "role", "player_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("team_id", "role")
+    g = g.withColumn("share", ratio("n", F.sum("n").over(w))).withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), "player_id")))
+    return g.where(F.col("place") <= k).select("team_id", "role", "player_id", "n", "share", "place")
+
+
+def level_table(ev: DataFrame, least_minutes: float = 20.0) -> DataFrame:
+    """What each side does while the score is level, for 90 minutes; gaps between events are clipped to 120 s."""
+    gap = F.col("period_seconds") - F.lag("period_seconds").over(Window.partitionBy("match_id", "period").orderBy("idx"))
+    e = ev.withColumn("dt", F.least(F.greatest(F.coalesce(gap, F.lit(0.0)), F.lit(0.0)), F.lit(120.0))).where("home_goals = away_goals")
+    minutes = e.groupBy("match_id").agg((F.sum("dt") / 60).alias("minutes")).where(F.col("minutes") >= least_minutes)
+    g = e.groupBy("match_id", "team_id").agg(F.coalesce(F.sum(F.when(F.expr("kind = 'shot'"), F.col("xg"))), F.lit(0.0)).alias("xg"), count_if("type = 'Pass'").alias("passes"), count_if("type = 'Pressure'").alias("presses"))
+    return g.join(minutes, "match_id").select("match_id", "team_id", F.round("minutes", 6).alias("minutes"), *(F.round(F.col(c) * 90 / F.col("minutes"), 6).alias(f"{c}_90") for c in ("xg", "passes", "presses")))
+
+
+def zone_means(ev: DataFrame) -> DataFrame:
+    """Mean xg to come by zone; zones without actions take the mean of all."""
+    a = ev.where("kind is not null").select(F.expr(pitch.zone("x", "y")).alias("zone"), "xg_after")
+    zones = ev.sparkSession.range(pitch.ZONES).selectExpr("cast(id as int) as zone")
+    z = zones.join(a.groupBy("zone").agg(F.avg("xg_after").alias("v")), "zone", "left").crossJoin(F.broadcast(a.agg(F.avg("xg_after").alias("m"))))
+    return z.select("zone", F.round(F.coalesce("v", "m"), 9).alias("value"))

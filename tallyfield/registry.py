@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chain, enrich, stats
+from .operators import chain, enrich, matchup, people, scoring, stats
 from .plans.oracle import ORACLE as _ORACLE
+from .plans.oracle_calls import ORACLE as _CALLS
 from .sources.adapters import load
 
 KAPPA = 30.0
@@ -87,4 +88,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eligible_teams": eligible_teams,
 }
 
-ORACLE: dict[str, str] = dict(_ORACLE)
+QUERIES |= {
+    "claim_intervals": lambda s, d: scoring.claim_intervals(stats.ledger(_ev(s, d))),
+    "loo_predictions": lambda s, d: scoring.loo_predictions(stats.results(_kinds(s, d))),
+    "audit_scores": lambda s, d: scoring.audit_scores(scoring.loo_predictions(stats.results(_kinds(s, d)))),
+    "pooled_skill": lambda s, d: scoring.pooled_skill(stats.asof_calls(stats.results(_kinds(s, d)))),
+    "ranked_scores": lambda s, d: scoring.ranked_scores(result_chances(s, d), stats.results(_kinds(s, d))),
+    "calibration": lambda s, d: scoring.calibration(scoring.ranked_scores(result_chances(s, d), stats.results(_kinds(s, d)))),
+    "fixture_halves": lambda s, d: scoring.fixture_halves(stats.results(_kinds(s, d))),
+    "lane_baseline": lambda s, d: scoring.lane_baseline(stats.progressions(_ev(s, d))),
+    "ppda": lambda s, d: people.ppda(stats.ledger(_ev(s, d))),
+    "state_rates": lambda s, d: people.state_rates(_ev(s, d)),
+    "entries": lambda s, d: people.entries(_ev(s, d)),
+    "dependency": lambda s, d: people.dependency(_ev(s, d), stats.progressions(_ev(s, d))),
+    "role_leaders": lambda s, d: people.role_leaders(_ev(s, d)),
+    "level_table": lambda s, d: people.level_table(_ev(s, d), 0.5),
+    "zone_means": lambda s, d: people.zone_means(_ev(s, d)),
+    "matchup_chains": lambda s, d: _rounded(matchup.matchup_chains(_counts(s, d), KAPPA)),
+    "observed_lanes": lambda s, d: matchup.observed_lanes(_counts(s, d)),
+    "entropy_rates": lambda s, d: matchup.entropy_rates(stats.zone_graph(_kinds(s, d))),
+    "reciprocity": lambda s, d: matchup.reciprocity(stats.zone_graph(_kinds(s, d))),
+    "similar_teams": lambda s, d: matchup.similar_teams(chain.style_distances(chain.team_chains(_counts(s, d), KAPPA))),
+    "graph_measures": lambda s, d: matchup.graph_measures(stats.zone_graph(_kinds(s, d))),
+    "denial_plan": lambda s, d: matchup.denial_plan(chain.team_chains(_counts(s, d), KAPPA), stats.start_table(_kinds(s, d)), chain.shot_quality(_counts(s, d))),
+}
+
+ORACLE: dict[str, str] = _ORACLE | _CALLS

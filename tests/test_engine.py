@@ -7,7 +7,7 @@ import pytest
 
 from tallyfield import registry
 from tallyfield.functions import pitch
-from tallyfield.operators import chain
+from tallyfield.operators import chain, matchup
 
 DIR = "/root/testdata/sf0.001"
 
@@ -47,3 +47,23 @@ def test_values_solve_the_chain(spark):
 def test_edges_belong_to_the_upper_cell(spark):
     got = spark.sql(f"select {pitch.lane('cast(30 as double)')} as a, {pitch.lane('cast(62 as double)')} as b, {pitch.zone('cast(80 as double)', 'cast(null as double)')} as c").first()
     assert tuple(got) == (2, 4, 20)
+
+
+def test_graph_measures_of_known_flows():
+    ring = np.zeros((15, 15))
+    for a, b in ((0, 1), (1, 2), (2, 0)):
+        ring[a, b] = 4
+    assert matchup.circulation_of(ring) == pytest.approx(1)
+    down = np.zeros((15, 15))
+    down[0, 1] = down[1, 2] = 3
+    assert matchup.circulation_of(down) == pytest.approx(0)
+    assert matchup.spectral_gap_of(np.ones((15, 15))) == pytest.approx(1)
+
+
+def test_denial_loses_more_than_adapting(spark):
+    got = registry.QUERIES["denial_plan"](spark, DIR).toPandas()
+    assert len(got) and (got["drop_losing"] >= -1e-6).all() and (got["drop_losing"] <= 1 + 1e-6).all()
+    move = np.array([[0.0, 0.6, 0.2], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
+    blocked = np.array([[False, True, False]] + [[False] * 3] * 2)
+    assert matchup.denied(move, blocked, True)[0].tolist() == pytest.approx([0, 0, 0.8])
+    assert matchup.denied(move, blocked, False)[0].tolist() == pytest.approx([0, 0, 0.2])
