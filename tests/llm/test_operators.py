@@ -221,6 +221,73 @@ def test_url_rules_and_edges(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def brute_templates(urls, most, strength=5.0, prior=0.1, reject=0.8, z=1.96):
+    """Verdict, template and purity of every url, by a walk down each host's tree."""
+    import urllib.parse
+
+    def wild(s):
+        end = (re.search(r"\.[A-Za-z]{1,5}$", s) or [""])[0]
+        stem = s[: len(s) - len(end)]
+        if re.fullmatch("[0-9]+", stem):
+            return "{n}" + end
+        return "{date}" + end if re.fullmatch("[0-9]{4}-[0-9]{2}(-[0-9]{2})?", stem) else s
+
+    rows, out = [], {}
+    for i, u in urls:
+        cut = urllib.parse.urlsplit(u) if u and "://" in u else None
+        host, path = (cut.netloc.lower(), cut.path) if cut else ("", "")
+        fits = [(len(h) + len(p), v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rows.append((i, host, [wild(s) for s in path.split("/") if s], max(fits)[1] if fits else None))
+
+    def count(rs):
+        return sum(r[3] is not None for r in rs), sum(r[3] == "block" for r in rs)
+
+    def walk(rs, node, level, up):
+        for r in rs:
+            if len(r[2]) == level:
+                out[r[0]] = (r[3] or ("block" if up >= reject else "allow"), node or "/", up)
+        rs = [r for r in rs if len(r[2]) > level]
+        literals = {r[2][level] for r in rs if r[2][level][0] != "{"}
+        kids = collections.defaultdict(list)
+        for r in rs:
+            kids["{*}" if len(literals) > most and r[2][level] in literals else r[2][level]].append(r)
+        (pn, pb), counts, own = count(rs), {k: count(v) for k, v in kids.items()}, set()
+        for k, (n, b) in counts.items():
+            if 0 < n < pn:
+                share = pb / pn
+                if abs(b / n - (pb - b) / (pn - n)) > z * (share * (1 - share) * (1 / n + 1 / (pn - n))) ** 0.5:
+                    own.add(k)
+        mn, mb = (sum(c[j] for k, c in counts.items() if k not in own) for j in (0, 1))
+        for k, v in kids.items():
+            n, b = counts[k] if k in own else (mn, mb)
+            walk(v, f"{node}/{k}", level + 1, (b + strength * up) / (n + strength))
+
+    for host in {r[1] for r in rows}:
+        rs = [r for r in rows if r[1] == host]
+        n, b = count(rs)
+        walk(rs, "", 0, (b + strength * prior) / (n + strength))
+    return out
+
+
+def test_url_templates_equal_brute_force(spark):
+    urls = [(k, f"https://bad.net/{('es', 'fr')[k % 2]}/{k}") for k in range(60)]  # labelled block
+    urls += [(100 + k, f"https://bad.net/{u}") for k, u in enumerate(("en/7", "en/x/2024-01-02/8.html", "", "de/a/b/c/d"))]
+    urls += [(200 + k, f"https://few.net/{('es', 'en')[k % 2]}/{k}") for k in range(4)]  # too few labels to leave the prior
+    # One host with both labels in one level: the blocked branch differs from its siblings, and has undecided urls below.
+    urls += [(300 + k, f"https://www.example.com/en/{k}") for k in range(30)] + [(350 + k, f"https://a.example.com/{('en', 'de')[k % 2]}/{k}/p") for k in range(60)]
+    urls += [(500 + k, f"https://wide.net/{'es' if k % 3 else 'en'}/word{chr(97 + k % 26)}{chr(97 + k // 26)}/{k}") for k in range(90)]  # a wildcard above the leaf
+    urls += [(700, None), (701, "no scheme"), (702, "https://bad.net"), (703, "https://c.org/x")]
+    got = {r["page_id"]: (r["verdict"], r["template"], r["purity"]) for r in urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), most_branches=20).collect()}
+    want = brute_templates(urls, 20)
+    assert got.keys() == want.keys() and all(got[i][:2] == want[i][:2] and got[i][2] == pytest.approx(want[i][2], abs=1e-12) for i in want)
+    assert all(got[i][0] == "block" for i in (100, 101, 102, 103, 702)) and got[201][0] == got[700][0] == got[703][0] == "allow"
+    assert got[500][1] == "/en/{*}/{n}" and got[101][1] == "/en/x/{date}/{n}.html"
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    got = {r["page_id"]: (r["verdict"], r["template"], round(r["purity"], 9)) for r in urlfilter.judge(pages).collect()}
+    want = {i: (v, t, round(p, 9)) for i, (v, t, p) in brute_templates([tuple(r) for r in pages.collect()], 50).items()}
+    assert got == want
+
+
 def test_language_held_out_accuracy_and_edges(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op10_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
