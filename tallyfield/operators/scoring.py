@@ -20,13 +20,13 @@ def replicate_weight(key: str, rep: str) -> F.Column:
     return sum(((u >= t).cast("int") for t in POISSON), F.lit(0))
 
 
-def claim_intervals(led: DataFrame, reps: int = 200) -> DataFrame:
+def claim_intervals(led: DataFrame, reps: int = 200, table=CLAIMS) -> DataFrame:
     """5-95 % intervals of every claim by resampling matches: one grouping by (team, replicate) with map-side sums."""
     part = lambda i, e, side: F.sum(F.expr(f"w * cast({e} as double)")).alias(f"{side}{i}")
-    sums = [part(i, e, side) for i, (_, n, d) in enumerate(CLAIMS) for e, side in ((n, "n"), (d, "d"))]
+    sums = [part(i, e, side) for i, (_, n, d) in enumerate(table) for e, side in ((n, "n"), (d, "d"))]
     drawn = led.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", replicate_weight("match_id", "rep"))
-    rows = ", ".join(f"'{k}', n{i}, d{i}" for i, (k, _, _) in enumerate(CLAIMS))
-    v = drawn.groupBy("team_id", "rep").agg(*sums).selectExpr("team_id", f"stack({len(CLAIMS)}, {rows}) as (claim, num, den)").withColumn("v", F.try_divide("num", "den"))
+    rows = ", ".join(f"'{k}', n{i}, d{i}" for i, (k, _, _) in enumerate(table))
+    v = drawn.groupBy("team_id", "rep").agg(*sums).selectExpr("team_id", f"stack({len(table)}, {rows}) as (claim, num, den)").withColumn("v", F.try_divide("num", "den"))
     g = v.groupBy("team_id", "claim").agg(F.percentile("v", F.lit(0.05)).alias("lo"), F.percentile("v", F.lit(0.95)).alias("hi"))
     return g.select("team_id", "claim", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 

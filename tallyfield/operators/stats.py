@@ -88,10 +88,10 @@ CLAIMS = (
 )
 
 
-def claims(led: DataFrame) -> DataFrame:
+def claims(led: DataFrame, table=CLAIMS) -> DataFrame:
     """Every team and claim with its value, league rank (highest first), number of teams and median."""
-    rows = ", ".join(f"'{k}', cast({n} as double), cast({d} as double)" for k, n, d in CLAIMS)
-    long = led.selectExpr("match_id", "team_id", f"stack({len(CLAIMS)}, {rows}) as (claim, num, den)")
+    rows = ", ".join(f"'{k}', cast({n} as double), cast({d} as double)" for k, n, d in table)
+    long = led.selectExpr("match_id", "team_id", f"stack({len(table)}, {rows}) as (claim, num, den)")
     v = long.groupBy("team_id", "claim").agg(ratio(F.sum("num"), F.sum("den")).alias("value")).where("value is not null")
     w = Window.partitionBy("claim")
     return v.select("team_id", "claim", "value", F.rank().over(w.orderBy(F.desc("value"))).cast("int").alias("rank"), F.count("*").over(w).alias("of"), F.round(F.percentile("value", F.lit(0.5)).over(w), 6).alias("median"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chain, enrich, matchup, people, scoring, stats
+from .operators import chain, enrich, matchup, people, scoring, stats, value
 from .plans.oracle import ORACLE as _ORACLE
 from .plans.oracle_calls import ORACLE as _CALLS
 from .sources.adapters import load
@@ -113,4 +113,12 @@ QUERIES |= {
     "denial_plan": lambda s, d: matchup.denial_plan(chain.team_chains(_counts(s, d), KAPPA), stats.start_table(_kinds(s, d)), chain.shot_quality(_counts(s, d))),
 }
 
+QUERIES |= {
+    "action_values": lambda s, d: value.action_values(_ev(s, d)).where("action is not null").select("event_id", "action", *(F.round(c, 9).alias(c) for c in ("v_start", "v_end", "value"))),
+    "season_ledger": lambda s, d: value.season_ledger(_ev(s, d)),
+    "season_claims": lambda s, d: stats.claims(value.season_ledger(_ev(s, d)), value.SEASON_CLAIMS),
+    "season_claim_intervals": lambda s, d: scoring.claim_intervals(value.season_ledger(_ev(s, d)), table=value.SEASON_CLAIMS),
+    "level_rates": lambda s, d: people.level_rates(_ev(s, d)),
+}
+
 ORACLE: dict[str, str] = _ORACLE | _CALLS

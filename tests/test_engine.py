@@ -7,7 +7,8 @@ import pytest
 
 from tallyfield import registry
 from tallyfield.functions import pitch
-from tallyfield.operators import chain, matchup
+from tallyfield.operators import chain, enrich, matchup, people, scoring, stats, value
+from tallyfield.sources.adapters import load
 
 DIR = "/root/testdata/sf0.001"
 
@@ -67,3 +68,62 @@ def test_denial_loses_more_than_adapting(spark):
     blocked = np.array([[False, True, False]] + [[False] * 3] * 2)
     assert matchup.denied(move, blocked, True)[0].tolist() == pytest.approx([0, 0, 0.8])
     assert matchup.denied(move, blocked, False)[0].tolist() == pytest.approx([0, 0, 0.2])
+
+
+@pytest.fixture(scope="module")
+def rich(spark):
+    """Events with recoveries, restarts and failed interceptions, which the adapter does not make."""
+    ev = load(spark, DIR).selectExpr("*", "event_id % 4 as f").selectExpr("* except (type, outcome, f)", "case when type in ('Dispossessed', 'Pressure') and f = 1 then 'Ball Recovery' when type = 'Pressure' and f in (2, 3) then 'Interception' else type end as type", "case when type = 'Pressure' and f = 2 then 'Lost Out' else outcome end as outcome")
+    return enrich.enrich(ev).cache()
+
+
+def test_season_claims_equal_brute_force(rich):
+    ev = rich.toPandas()
+    n, to = 192, lambda x, y: int(min(max(x // 7.5, 0), 15)) * 12 + int(min(max(y // (80 / 12), 0), 11))
+    count, xg = np.zeros((n, n + 2)), np.zeros(n)
+    for r in ev[ev["kind"].notna()].itertuples():
+        z = to(r.x, r.y)
+        count[z, to(r.end_x, r.end_y) if r.kind == "move" else n if r.kind == "shot" else n + 1] += 1
+        xg[z] += r.xg if r.kind == "shot" else 0
+    total = count.sum(1) + 1
+    v = np.linalg.solve(np.eye(n) - count[:, :n] / total[:, None], count[:, n] / total * np.divide(xg, count[:, n], out=np.zeros(n), where=count[:, n] > 0))
+    teams = set(ev["team_id"])
+    made, won, met = {t: np.zeros(3) for t in teams}, {t: np.zeros(2) for t in teams}, {t: {} for t in teams}
+    for r in ev.itertuples():
+        met[r.team_id][r.match_id] = r.opp_id
+        fail = isinstance(r.outcome, str) and r.outcome
+        if r.type == "Ball Recovery" or r.type == "Interception" and fail not in ("Lost", "Lost In Play", "Lost Out"):
+            won[r.team_id] += (1, r.x >= 80)
+        if r.team_id != r.possession_team_id:
+            continue
+        gain = None
+        if r.type == "Shot" and r.sub_type != "Penalty":
+            gain = r.xg - v[to(r.x, r.y)]
+        elif r.type in ("Pass", "Carry") and not fail:
+            gain = v[to(r.end_x, r.end_y)] - v[to(r.x, r.y)]
+        if gain is not None and gain > 0:
+            made[r.team_id, r.match_id] = made.get((r.team_id, r.match_id), np.zeros(3)) + gain * np.array([1, r.transition, r.bucket == "60-90+"])
+    want = {}
+    for t in teams:
+        us = sum(made.get((t, m), np.zeros(3)) for m in met[t])
+        them = sum(made.get((o, m), np.zeros(3)) for m, o in met[t].items())
+        want |= {(t, "threat_per_match"): us[0] / len(met[t]), (t, "conceded_per_match"): them[0] / len(met[t]), (t, "conceded_in_transition"): them[1] / them[0], (t, "conceded_late"): them[2] / them[0], (t, "high_regains"): won[t][1] / won[t][0]}
+    got = {(r["team_id"], r["claim"]): r["value"] for r in stats.claims(value.season_ledger(rich), value.SEASON_CLAIMS).collect()}
+    assert {c for _, c in got} == {c for c, _, _ in value.SEASON_CLAIMS} and len(value.SEASON_CLAIMS) == 13
+    assert all(got[k] == pytest.approx(w, abs=2e-5) for k, w in want.items())
+    ends = scoring.claim_intervals(value.season_ledger(rich), 20, value.SEASON_CLAIMS).where("claim = 'high_regains'").collect()
+    assert ends and all(r["lo"] <= r["hi"] for r in ends)
+
+
+def test_level_rates_of_a_known_match(spark):
+    cols = "match_id long, period int, idx long, period_seconds double, team_id long, opp_id long, home_goals long, away_goals long, type string, sub_type string, outcome string, x double, y double, end_x double, end_y double, xg double"
+    rows, who = [], [("Pass", None, None, 85.0, 25.0, 90.0, 40.0, None), ("Pass", None, None, 30.0, 5.0, 75.0, 40.0, None), ("Shot", None, None, 100.0, 40.0, None, None, 0.3), ("Shot", "Penalty", None, 108.0, 40.0, None, None, 0.8), ("Carry", None, None, 90.0, 5.0, 95.0, 5.0, None)]
+    for k, a in enumerate(who + [("Pressure", None, None, 81.0, 10.0, None, None, None), ("Pass", None, "Incomplete", 20.0, 40.0, 50.0, 40.0, None)]):
+        team = 1 if k < 5 else 2
+        rows.append((9, 1, k, 200.0 * k, team, 3 - team, 0, 0, *a[:3], *a[3:]))
+    rows.append((9, 1, 7, 1400.0, 1, 2, 1, 0, "Pass", None, None, 85.0, 25.0, 90.0, 40.0, None))  # not level
+    ev = spark.createDataFrame(rows, cols)
+    got = {r["team_id"]: tuple(r)[3:] for r in people.level_rates(ev, 10.0).collect()}
+    assert got[1] == pytest.approx((12.0, 0.0, 0.5, 0.25, 0.5, 2.25))
+    assert got[2][:3] == pytest.approx((12.0, 0.5, 0.0)) and got[2][3] is None and got[2][4:] == pytest.approx((0.0, -2.25))
+    assert all(tuple(r)[4:] == (None,) * 5 for r in people.level_rates(ev).collect())
