@@ -11,6 +11,7 @@ from .stats import CLAIMS, ratio
 # Chances of at most 0..5 of a Poisson variable of mean 1, out of 2^32.
 POISSON = (1580030169, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291)
 PSEUDO = 5  # fixed value: pseudo matches of a shrunk mean
+CALL_EDGES = (0.2, 0.3, 0.4, 0.5, 0.6)  # fixed values: inner edges of bins of chance
 TIER_LEAD, TIER_USABLE = 0.20, 0.05  # fixed values
 
 
@@ -59,13 +60,13 @@ def pooled_skill(calls: DataFrame) -> DataFrame:
     return s.select("n", F.round(1 - F.try_divide("c", "l"), 6).alias("skill"), F.round(1 - F.try_divide("o", "l"), 6).alias("skill_team"), F.round("closer", 6).alias("closer"))
 
 
-def ranked_scores(chances: DataFrame, res: DataFrame) -> DataFrame:
-    """Ranked probability score of every match's home, draw and away chances, with what happened."""
+def ranked_scores(chances: DataFrame, res: DataFrame, *keys: str) -> DataFrame:
+    """Ranked probability score of every match's home, draw and away chances, with what happened. `keys` are carried along."""
     h = res.where("home").select("match_id", F.col("goals").alias("hg"))
     a = res.where("not home").select("match_id", F.col("goals").alias("ag"))
     j = chances.join(h, "match_id").join(a, "match_id").withColumn("outcome", F.expr("case when hg > ag then 'home' when hg = ag then 'draw' else 'away' end"))
     rps = "(pow(home - case when outcome = 'home' then 1 else 0 end, 2) + pow(home + draw - case when outcome = 'away' then 0 else 1 end, 2)) / 2"
-    return j.select("match_id", "outcome", "home", "draw", "away", F.round(F.expr(rps), 6).alias("rps"))
+    return j.select("match_id", *keys, "outcome", "home", "draw", "away", F.round(F.expr(rps), 6).alias("rps"))
 
 
 def calibration(scored: DataFrame, bins: int = 6) -> DataFrame:
@@ -76,6 +77,14 @@ def calibration(scored: DataFrame, bins: int = 6) -> DataFrame:
     return g.select("bin", "n", F.round("p", 6).alias("p"), F.round("hit", 6).alias("hit"))
 
 
+def call_calibration(scored: DataFrame) -> DataFrame:
+    """By model and bin of chance, over the scored matches: mean chance and share of hits."""
+    long = scored.where("scored").selectExpr("model", "outcome", "stack(3, 'home', home, 'draw', draw, 'away', away) as (side, p)")
+    b = sum(((F.col("p") >= e).cast("int") for e in CALL_EDGES), F.lit(0))
+    g = long.groupBy("model", b.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg((F.col("side") == F.col("outcome")).cast("double")).alias("hit"))
+    return g.select("model", "bin", "n", F.round("p", 6).alias("p"), F.round("hit", 6).alias("hit"))
+
+
 def fixture_halves(res: DataFrame) -> DataFrame:
     """Odd or even place of a match among its team's by id; whether it is in the later half by date."""
     n = F.count("*").over(Window.partitionBy("team_id"))

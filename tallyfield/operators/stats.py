@@ -150,8 +150,8 @@ def asof_calls(res: DataFrame, feature: str = "xg", pseudo: float = 5.0) -> Data
     return out.where("league is not null").select("match_id", "team_id", F.round("v", 6).alias("actual"), F.round("league", 9).alias("league"), F.round("own", 9).alias("own"), F.round("against", 9).alias("against"), F.round(F.expr("own + against - league"), 9).alias("call"), "n_prior")
 
 
-def chances(calls: DataFrame) -> DataFrame:
-    """Home, draw and away chances of independent Poisson goals 0..12, from both sides' calls."""
+def chances(calls: DataFrame, *keys: str) -> DataFrame:
+    """Home, draw and away chances of independent Poisson goals 0..12, from both sides' calls; by match_id and `keys`."""
     def pmf(rate: str) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.exp(-F.col(rate)) * F.pow(F.col(rate), k) / F.factorial(k.cast("int")).cast("double"))
 
@@ -162,4 +162,37 @@ def chances(calls: DataFrame) -> DataFrame:
     c = c.withColumn("d", F.aggregate(index, F.lit(0.0), lambda s, k: s + F.element_at("a", k + 1) * F.element_at("b", k + 1)))
     c = c.withColumn("w", F.aggregate(index, F.lit(0.0), lambda s, k: s + F.element_at("b", k + 1) * below("a", k)))
     t = F.col("h") + F.col("d") + F.col("w")
-    return c.select("match_id", F.round(F.col("h") / t, 6).alias("home"), F.round(F.col("d") / t, 6).alias("draw"), F.round(F.col("w") / t, 6).alias("away"))
+    return c.select("match_id", *keys, F.round(F.col("h") / t, 6).alias("home"), F.round(F.col("d") / t, 6).alias("draw"), F.round(F.col("w") / t, 6).alias("away"))
+
+
+def result_calls(res: DataFrame, floor: float = 0.05, least_prior: int = 5) -> DataFrame:
+    """Chances before each match by model (xg, goals, blend, base), from strictly earlier dates only. A side's rate is its
+    as-of call times the league's home factor, and goals/xg for xg; base is the league's shares of results.
+    scored: both sides are in the later half of their fixtures, with `least_prior` matches before."""
+    side = lambda c, at: F.when(F.col("home") == at, F.col(c))
+    h = res.where("home").select("match_id", "match_date", F.col("team_id").alias("home_id"), F.col("goals").alias("hg"))
+    a = res.where("not home").select("match_id", F.col("team_id").alias("away_id"), F.col("goals").alias("ag"))
+    # League means before the day: sums by day first, so the running window has one row a day.
+    both = h.join(a, "match_id")
+    ends = both.select("match_id", (F.col("hg") > F.col("ag")).cast("double").alias("w"), (F.col("hg") == F.col("ag")).cast("double").alias("d"))
+    day = res.join(ends, "match_id", "left").groupBy("match_date").agg(*(F.sum(v).alias(k) for k, v in (
+        ("sx", F.col("xg")), ("sg", F.col("goals")), ("sh", side("goals", True)), ("sa", side("goals", False)), ("sw", side("w", True)), ("sd", side("d", True)))),
+        F.count("*").alias("n"), F.count(side("goals", True)).alias("nh"), F.count(side("goals", False)).alias("na"), F.count(side("w", True)).alias("nw"))
+    past = Window.partitionBy(F.lit(1)).orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
+    mean = lambda s, n: F.try_divide(F.sum(s).over(past).cast("double"), F.sum(n).over(past).cast("double"))
+    day = day.select("match_date", mean("sx", "n").alias("lx"), mean("sg", "n").alias("lg"), mean("sh", "nh").alias("lh"), mean("sa", "na").alias("la"), mean("sw", "nw").alias("lw"), mean("sd", "nw").alias("ld"))
+    place = Window.partitionBy("team_id")
+    later = F.row_number().over(place.orderBy("match_date", "match_id")) - 1 >= F.floor(F.count("*").over(place) * 0.5)
+    half = res.select("match_id", "team_id", later.alias("later"))
+    call = asof_calls(res, "xg").select("match_id", "team_id", F.col("call").alias("x"), "n_prior").join(asof_calls(res, "goals").select("match_id", "team_id", F.col("call").alias("g")), ["match_id", "team_id"]).join(half, ["match_id", "team_id"])
+    call = call.select("match_id", "team_id", "x", "g", (F.col("later") & (F.col("n_prior") >= least_prior)).alias("ok"))
+    of = lambda s: call.select("match_id", F.col("team_id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in ("x", "g", "ok")))
+    m = both.join(day, "match_date").join(of("home"), ["match_id", "home_id"]).join(of("away"), ["match_id", "away_id"]).where("lx > 0 and lg > 0 and lh is not null and la is not null and lw is not null")
+    rate = lambda c, by: F.greatest(F.col(c), F.lit(floor)) * by
+    factor, ratio_ = {"home": F.col("lh") / F.col("lg"), "away": F.col("la") / F.col("lg")}, F.col("lg") / F.col("lx")
+    m = m.select("match_id", "home_ok", "away_ok", "lw", "ld", *(rate(f"{s}_x", ratio_ * factor[s]).alias(f"{s}_xg") for s in factor), *(rate(f"{s}_g", factor[s]).alias(f"{s}_goals") for s in factor))
+    models = m.selectExpr("match_id", "home_ok and away_ok as scored", "stack(3, 'xg', home_xg, away_xg, 'goals', home_goals, away_goals, 'blend', (home_xg + home_goals) / 2, (away_xg + away_goals) / 2) as (model, home_rate, away_rate)")
+    keys = ["model", "scored", "home_rate", "away_rate"]
+    base = m.selectExpr("match_id", "'base' as model", "home_ok and away_ok as scored", "cast(null as double) as home_rate", "cast(null as double) as away_rate", "round(lw, 6) as home", "round(ld, 6) as draw", "round(1 - lw - ld, 6) as away")
+    out = chances(models, *keys).unionByName(base)
+    return out.select("match_id", "model", "scored", *(F.round(c, 6).alias(c) for c in ("home_rate", "away_rate")), "home", "draw", "away")

@@ -43,6 +43,11 @@ def result_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.chances(h.join(a, "match_id"))
 
 
+def result_call_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = stats.results(_kinds(spark, sf_dir))
+    return scoring.ranked_scores(stats.result_calls(r), r, "model", "scored")
+
+
 def lockbox_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.md5(F.col("match_id").cast("string"))
     return load(spark, sf_dir).select("match_id").distinct().select("match_id", digest.alias("digest"), F.substring(digest, 32, 1).isin(*"02468ace").alias("lockbox"))
@@ -119,6 +124,9 @@ QUERIES |= {
     "season_claims": lambda s, d: stats.claims(value.season_ledger(_ev(s, d)), value.SEASON_CLAIMS),
     "season_claim_intervals": lambda s, d: scoring.claim_intervals(value.season_ledger(_ev(s, d)), table=value.SEASON_CLAIMS),
     "level_rates": lambda s, d: people.level_rates(_ev(s, d)),
+    "result_calls": lambda s, d: stats.result_calls(stats.results(_kinds(s, d))),
+    "result_call_scores": result_call_scores,
+    "result_call_calibration": lambda s, d: scoring.call_calibration(result_call_scores(s, d)),
 }
 
 ORACLE: dict[str, str] = _ORACLE | _CALLS

@@ -1,9 +1,12 @@
 """Every registered query equals its DuckDB form on sf0.001; the chain solve equals a direct one."""
 
+import math
+
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfield import registry
 from tallyfield.functions import pitch
@@ -127,3 +130,43 @@ def test_level_rates_of_a_known_match(spark):
     assert got[1] == pytest.approx((12.0, 0.0, 0.5, 0.25, 0.5, 2.25))
     assert got[2][:3] == pytest.approx((12.0, 0.5, 0.0)) and got[2][3] is None and got[2][4:] == pytest.approx((0.0, -2.25))
     assert all(tuple(r)[4:] == (None,) * 5 for r in people.level_rates(ev).collect())
+
+
+def test_result_calls_equal_brute_force(spark):
+    res = stats.results(enrich.with_kind(load(spark, DIR))).cache()
+    r = res.toPandas()
+    r["day"] = r["match_date"].astype(str)
+    side = {h: r[r["home"] == h].set_index("match_id") for h in (True, False)}
+
+    def chances(a, b):
+        p = [np.array([math.exp(-x) * x**k / math.factorial(k) for k in range(13)]) for x in (a, b)]
+        g = np.outer(*p)
+        return np.array([np.tril(g, -1).sum(), np.trace(g), np.triu(g, 1).sum()]) / g.sum()
+
+    want = {}
+    for m in set(side[True].index) & set(side[False].index):
+        h, a = side[True].loc[m], side[False].loc[m]
+        prior = r[r["day"] < h["day"]]
+        lx, lg = prior["xg"].mean(), prior["goals"].mean()
+        if not len(prior) or not lx > 0 or not lg > 0:
+            continue
+        lh, la = prior[prior["home"]]["goals"].mean(), prior[~prior["home"]]["goals"].mean()
+        ends = [np.sign(side[True].loc[k, "goals"] - side[False].loc[k, "goals"]) for k in prior["match_id"].unique() if k in side[True].index and k in side[False].index]
+
+        def call(t, o, f, mean):
+            own, against = prior[prior["team_id"] == t][f], prior[prior["opp_id"] == o][f]
+            return (own.sum() + 5 * mean) / (len(own) + 5) + (against.sum() + 5 * mean) / (len(against) + 5) - mean
+
+        x = [max(call(t, o, "xg", lx), 0.05) * lg / lx * f / lg for t, o, f in ((h["team_id"], h["opp_id"], lh), (a["team_id"], a["opp_id"], la))]
+        g = [max(call(t, o, "goals", lg), 0.05) * f / lg for t, o, f in ((h["team_id"], h["opp_id"], lh), (a["team_id"], a["opp_id"], la))]
+        want |= {(m, "xg"): chances(*x), (m, "goals"): chances(*g), (m, "blend"): chances((x[0] + g[0]) / 2, (x[1] + g[1]) / 2), (m, "base"): np.array([np.mean(np.equal(ends, k)) for k in (1, 0, -1)])}
+    got = {(q["match_id"], q["model"]): (q["home"], q["draw"], q["away"]) for q in stats.result_calls(res).collect()}
+    assert len(want) > 40 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(w, abs=2e-6) for k, w in want.items())
+    # A match's own figures say nothing of its calls.
+    last = max(want)[0]
+    other = res.withColumn("xg", F.when(F.col("match_id") == last, 9.0).otherwise(F.col("xg"))).withColumn("goals", F.when(F.col("match_id") == last, 7).otherwise(F.col("goals")))
+    again = {q["model"]: (q["home"], q["draw"], q["away"]) for q in stats.result_calls(other).where(F.col("match_id") == last).collect()}
+    assert all(again[k] == got[last, k] for k in again) and len(again) == 4
+    scores = scoring.ranked_scores(stats.result_calls(res), res, "model", "scored")
+    assert scores.count() == len(want) and {q["model"] for q in scoring.call_calibration(scores.withColumn("scored", F.lit(True))).collect()} == {"xg", "goals", "blend", "base"}
