@@ -23,24 +23,37 @@ def league_chain(counts: DataFrame) -> DataFrame:
     return full.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("z0"))).select("z0", "out", "p")
 
 
-def team_chains(counts: DataFrame, kappa: float) -> DataFrame:
-    """team_id, z0, out, p: counts shrunk to the league by kappa pseudo actions."""
+def team_chains(counts: DataFrame, kappa: float | DataFrame) -> DataFrame:
+    """team_id, z0, out, p: counts shrunk to the league by kappa pseudo actions (a number, or a row of kappa)."""
     league = league_chain(counts)
     n = counts.groupBy("team_id", "z0", "out").agg(F.sum("n").alias("n"))
     cells = counts.select("team_id").distinct().withColumn("z0", F.explode(F.array(*(F.lit(z) for z in range(pitch.ZONES))))).withColumn("out", F.explode(F.array(*(F.lit(z) for z in range(pitch.ZONES + 2)))))
     full = cells.join(F.broadcast(league), ["z0", "out"]).join(n, ["team_id", "z0", "out"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if isinstance(kappa, DataFrame):
+        full, kappa = full.crossJoin(F.broadcast(kappa.select(F.col("kappa").cast("double").alias("kappa")))), F.col("kappa")
     return full.withColumn("p", (F.col("n") + kappa * F.col("p")) / (F.sum("n").over(Window.partitionBy("team_id", "z0")) + kappa)).select("team_id", "z0", "out", "p")
 
 
 def kappa_scores(counts: DataFrame) -> DataFrame:
     """Leave-one-match-out log likelihood of each kappa, by subtraction: no fit is repeated."""
-    league = league_chain(counts)
+    return _likelihoods(counts, league_chain(counts)).select("kappa", F.round("loglik", 6).alias("loglik"))
+
+
+def select_kappa(counts: DataFrame, least_matches: int = 3) -> DataFrame:
+    """One row: the kappa that best predicts held-out matches of the teams with at least `least_matches`; ties, and
+    data without such a team, go to the smaller."""
+    played = counts.groupBy("team_id").agg(F.countDistinct("match_id").alias("m")).where(F.col("m") >= least_matches)
+    scores = _likelihoods(counts.join(played, "team_id", "left_semi"), league_chain(counts))
+    return scores.agg(F.coalesce(F.max_by("kappa", F.struct("loglik", -F.col("kappa"))), F.lit(min(KAPPAS))).cast("int").alias("kappa"))
+
+
+def _likelihoods(counts: DataFrame, league: DataFrame) -> DataFrame:
     c = counts.groupBy("team_id", "match_id", "z0", "out").agg(F.sum("n").alias("n"))
     c = c.withColumn("rest", F.sum("n").over(Window.partitionBy("team_id", "z0", "out")) - F.col("n"))
     row = F.sum("n").over(Window.partitionBy("team_id", "z0")) - F.sum("n").over(Window.partitionBy("team_id", "match_id", "z0"))
     c = c.withColumn("row", row).join(F.broadcast(league), ["z0", "out"]).withColumn("kappa", F.explode(F.array(*(F.lit(k) for k in KAPPAS))))
     p = F.greatest((F.col("rest") + F.col("kappa") * F.col("p")) / (F.col("row") + F.col("kappa")), F.lit(1e-12))
-    return c.groupBy("kappa").agg(F.round(F.sum(F.col("n") * F.log(p)) / F.sum("n"), 6).alias("loglik"))
+    return c.groupBy("kappa").agg((F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("loglik"))
 
 
 def style_distances(chains: DataFrame) -> DataFrame:

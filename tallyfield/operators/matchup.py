@@ -35,7 +35,7 @@ def conceded_counts(counts: DataFrame) -> DataFrame:
     return counts.select("match_id", F.col("opp_id").alias("team_id"), F.col("team_id").alias("opp_id"), "z0", "out", "n", "xg")
 
 
-def matchup_chains(counts: DataFrame, kappa: float) -> DataFrame:
+def matchup_chains(counts: DataFrame, kappa: float | DataFrame) -> DataFrame:
     """team_id, opp_id, z0, out, p of every pair that meets: own chain times what the opponent allows, normalised."""
     pairs = counts.select("team_id", "opp_id").distinct()
     own = team_chains(counts, kappa)

@@ -59,9 +59,27 @@ def eligible_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("team_id").agg(F.count("*").alias("matches")).where("matches >= 5")
 
 
+def _season_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _counts(spark, sf_dir)
+    return chain.team_chains(c, chain.select_kappa(c))
+
+
+def season_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _counts(spark, sf_dir)
+    return _rounded(matchup.matchup_chains(c, chain.select_kappa(c)))
+
+
 def team_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _values(_counts(spark, sf_dir), KAPPA)
+
+
+def season_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _counts(spark, sf_dir)
-    v = chain.values(chain.team_chains(c, KAPPA), chain.shot_quality(c))
+    return _values(c, chain.select_kappa(c))
+
+
+def _values(c: DataFrame, kappa: float | DataFrame) -> DataFrame:
+    v = chain.values(chain.team_chains(c, kappa), chain.shot_quality(c))
     return v.select("team_id", F.posexplode("value").alias("zone", "value")).select("team_id", "zone", F.round("value", 6).alias("value"))
 
 
@@ -124,6 +142,13 @@ QUERIES |= {
     "season_claims": lambda s, d: stats.claims(value.season_ledger(_ev(s, d)), value.SEASON_CLAIMS),
     "season_claim_intervals": lambda s, d: scoring.claim_intervals(value.season_ledger(_ev(s, d)), table=value.SEASON_CLAIMS),
     "level_rates": lambda s, d: people.level_rates(_ev(s, d)),
+    "selected_kappa": lambda s, d: chain.select_kappa(_counts(s, d)),
+    "season_chains": lambda s, d: _rounded(_season_chains(s, d)),
+    "season_distances": lambda s, d: chain.style_distances(_season_chains(s, d)),
+    "season_similar_teams": lambda s, d: matchup.similar_teams(chain.style_distances(_season_chains(s, d))),
+    "season_values": season_values,
+    "season_matchups": season_matchups,
+    "season_denial_plan": lambda s, d: matchup.denial_plan(_season_chains(s, d), stats.start_table(_kinds(s, d)), chain.shot_quality(_counts(s, d))),
     "result_calls": lambda s, d: stats.result_calls(stats.results(_kinds(s, d))),
     "result_call_scores": result_call_scores,
     "result_call_calibration": lambda s, d: scoring.call_calibration(result_call_scores(s, d)),

@@ -170,3 +170,40 @@ def test_result_calls_equal_brute_force(spark):
     assert all(again[k] == got[last, k] for k in again) and len(again) == 4
     scores = scoring.ranked_scores(stats.result_calls(res), res, "model", "scored")
     assert scores.count() == len(want) and {q["model"] for q in scoring.call_calibration(scores.withColumn("scored", F.lit(True))).collect()} == {"xg", "goals", "blend", "base"}
+
+
+def test_kappa_is_the_best_of_the_grid(spark):
+    counts = registry.QUERIES["outcome_table"](spark, DIR).cache()
+
+    def brute(c):
+        n, league = {}, np.zeros((30, 32))
+        for q in c.collect():
+            n.setdefault(q["team_id"], {}).setdefault(q["match_id"], np.zeros((30, 32)))[q["z0"], q["out"]] += q["n"]
+        league = sum(m for t in n.values() for m in t.values())
+        league[:, pitch.LOSS] += 1
+        league = league / league.sum(1, keepdims=True)
+        score = {}
+        for k in chain.KAPPAS:
+            ll = seen = 0.0
+            for t in n.values():
+                for m in t.values() if len(t) >= 3 else ():
+                    rest = sum(t.values()) - m
+                    p = (rest + k * league) / (rest.sum(1, keepdims=True) + k)
+                    ll, seen = ll + (m[m > 0] * np.log(np.clip(p[m > 0], 1e-12, None))).sum(), seen + m.sum()
+            score[k] = ll / max(seen, 1.0)
+        return max(score, key=score.get)
+
+    assert chain.select_kappa(counts).first()["kappa"] == brute(counts) != registry.KAPPA
+    # Matches of like flow but one style each: own counts tell more than the league, so a smaller kappa is best.
+    styles = spark.range(60).selectExpr("id as match_id", "id % 6 as team_id", "(id + 1) % 6 as opp_id", "cast(id % 6 as int) as z0", "cast((id % 6) * 5 as int) as out", "40L as n", "0d as xg")
+    styles = styles.union(styles.selectExpr("match_id", "team_id", "opp_id", "0", "out", "n", "xg"))
+    assert chain.select_kappa(styles).first()["kappa"] == brute(styles) == 1
+    few = styles.where("match_id < 12")  # two matches each
+    assert chain.select_kappa(few).first()["kappa"] == brute(few) == 1
+    one = counts.unionByName(styles.where("match_id < 2").selectExpr("match_id", "100 + team_id as team_id", "opp_id", "z0", "out", "1000 * n as n", "xg"))
+    assert chain.select_kappa(one).first()["kappa"] == brute(one)
+    got = {(q["team_id"], q["z0"], q["out"]): q["p"] for q in registry.QUERIES["season_chains"](spark, DIR).collect()}
+    want = chain.team_chains(counts, float(brute(counts))).collect()
+    assert len(got) == len(want) and all(got[q["team_id"], q["z0"], q["out"]] == pytest.approx(q["p"], abs=1e-6) for q in want)
+    for name in ("season_distances", "season_similar_teams", "season_values", "season_matchups", "season_denial_plan"):
+        assert registry.QUERIES[name](spark, DIR).count() > 0
