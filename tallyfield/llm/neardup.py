@@ -23,7 +23,7 @@ standard deviations, turns it away with about the same.
 
 Defined results: null or empty text, or text without words, has the empty set, is linked with nothing and
 stays. Fewer words than a shingle make one shingle of all of them. A null doc_id takes no part: component is
-null, kept is true. Rows that repeat a doc_id share its component. An empty table gives no rows.
+null, kept is true. Rows that repeat a doc_id are judged each by its own text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import drop_stage, pieces, rows_and_text, staged
+from .common import drop_stage, pieces, rows_and_text, staged, unpacked
 
 ROWS = 5  # MinHash values in a band
 BANDS = 40
@@ -221,6 +222,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(documents: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to, itself included), kept."""
+    return _judged(documents, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """The columns of classes, with node and the component that tells apart what shares a doc_id only."""
     limit = sketch_limit(percent / 100)
     sig = staged(sketched(documents, width), "sketches")
     live = sig.where("node is not null and doc_id is not null")
@@ -277,24 +283,45 @@ def classes(documents: DataFrame, width: int = 2, percent: int = 80) -> DataFram
     final = components(links.union(late))
     named = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = staged(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-id")
-    known = staged(named.join(least, "component").select("node", "component_id"), "classes")
+    known = staged(named.join(least, "component").select("node", "component", "component_id"), "classes")
     for t in (shared, buckets, about, members, samples, far, placed, rest):
         drop_stage(t)
     # Documents of one set may be many: both sides are plain tables, so a hot key is split.
     out = sig.select("doc_id", "n_shingles", "node").join(known, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    least_id = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "node", "component", least_id.alias("component_id"), F.coalesce(F.col("doc_id") == least_id, F.lit(True)).alias("kept"))
+
+
+def _with_node(documents: DataFrame, width: int) -> DataFrame:
+    """row and text of documents, and the digest of the set."""
+    rows = rows_and_text(documents)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler(width)
+        for rb in pieces(batches, "text", 4 << 20):
+            sets = (s.set_of(t) for t in rb.column("text").to_pylist())
+            nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([rb.column("row"), rb.column("text"), nodes], names=["row", "text", "node"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("node", BinaryType())]))
 
 
 def deduplicate(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """All columns of documents without those that are near copies of one with a smaller doc_id; of rows that
-    repeat a doc_id one stays. Rows without doc_id stay."""
-    found = staged(classes(documents, width, percent).where("doc_id is not null").select("doc_id", "kept"), "verdicts")
+    """All columns of documents without those that are near copies of one with a smaller doc_id. Of rows that repeat
+    a doc_id with equal or linked texts one stays, that of the least set and then the least text; rows that share
+    a doc_id only are judged each. Rows without doc_id stay."""
+    found = staged(_judged(documents, width, percent).where("doc_id is not null").select("doc_id", "node", "component", "kept"), "verdicts")
     gone = found.where("not kept").select("doc_id").distinct()
     left = documents.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*documents.columns)
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     n = again.count()
     if n == 0:
         return left
     again = _small(staged(again, "repeated"), n)
-    return left.join(again, "doc_id", "left_anti").select(*documents.columns).union(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns))
+    # An id says too little here: the verdict goes by id and set.
+    stays = found.join(again, "doc_id", "left_semi").where("kept").groupBy("doc_id", "component").agg(F.min("node").alias("node"))
+    stays = stays.select(F.col("doc_id").alias("id"), F.col("node").alias("set"))
+    many = _with_node(documents.join(again, "doc_id", "left_semi").select(*documents.columns), width)
+    many = many.join(stays, (F.col("row.doc_id") == F.col("id")) & F.col("node").eqNullSafe(F.col("set")))
+    many = many.groupBy("id", "set").agg(F.min_by(F.struct("row", "text"), F.coalesce("text", F.lit(""))).alias("first")).select("first.row", "first.text")
+    return left.join(again, "doc_id", "left_anti").select(*documents.columns).union(many.select(*unpacked(documents)))

@@ -156,6 +156,17 @@ def test_near_duplicate_edges(spark, odd, none):
     assert neardup.classes(none, 2).count() == 0
 
 
+def test_deduplicate_judges_rows_that_share_an_id_each(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(1, text["a"], "x"), (2, text["a"] + " more", "near copy of 1"), (2, text["b"], "clean"), (3, text["c"], "one"), (3, text["d"], "two"), (3, text["d"], "two"), (3, text["d"] + " end", "linked with two"), (4, None, "empty"), (4, text["a"], "copy of 1"), (None, text["a"], "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted((str(r["doc_id"]), r["node"]) for r in neardup.deduplicate(docs, 5).collect())
+    assert [g for g in got if g[1] not in ("two", "linked with two")] == [("1", "x"), ("2", "clean"), ("3", "one"), ("4", "empty"), ("None", "no id")]
+    assert len(got) == 6 and neardup.deduplicate(docs, 5).columns == docs.columns
+    kept = [sorted(map(str, neardup.deduplicate(docs.orderBy(F.rand(k)).repartition(3), 5).collect())) for k in range(2)]
+    assert kept[0] == kept[1]
+
+
 def test_decontamination_brute_force_and_edges(spark, odd, none):
     docs, bench = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/benchmark.parquet")
     items = [(r["item_id"], decontaminate.words(r["text"])) for r in bench.collect()]
