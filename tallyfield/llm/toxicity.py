@@ -4,7 +4,8 @@
    nodes whose documents are nearly all toxic, beyond chance, become terms: a whole word, or a stem where
    many endings follow it. A few widely known insults are always in the lexicon.
 2. Match. The Levenshtein automaton (one edit, a swap of neighbours counts as one) is intersected with the
-   trie and determinised as words are read, so a word costs a few table steps and dies early.
+   trie and determinised as words are read, so a word costs a few table steps and dies early. Whole-word terms
+   under 5 letters and stems under 8 are matched exactly only: their misspellings are not found.
 3. Score in context. Each hit has the precision of its term, or of its misspelling where labelled rows
    hold it; words around it tell quotation (quote marks, reporting verbs) from abuse (address, other hits).
    A logistic model over the document's hits, fitted on labelled rows, gives the score.
