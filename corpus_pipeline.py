@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", reject_toxic), ("near_duplicates", drop_near_copies), ("decontamination", cut_benchmark), ("secrets", redact_secrets), ("packing", pack)]
 
-# Scores, similarity components and token ids have no SQL form; tests compare the stages with brute force.
+# Scores, similarity components and token ids have no SQL form; tests cover the operators, none compares run() with brute force yet.
 ORACLE_SQL = None
 
 
