@@ -153,8 +153,10 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str | None
     """Write all documents as shards; the manifest: shard (order), path, n_docs, n_tokens, before (ids in earlier shards)."""
     spark = documents.sparkSession
     folder = folder or fresh_path(spark, "token-shards")
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    parts = documents.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    # Text and place of a row take part, so that ids that repeat, or are null, fill as many shards as they need.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("place")]
+    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("place"))
+    parts = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, end_id)
