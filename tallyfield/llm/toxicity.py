@@ -1,18 +1,24 @@
-"""Toxicity: a lexicon learned from labels, matched through Levenshtein automata, scored in context.
+"""Toxicity: a lexicon trie learned from labels, matched through Levenshtein automata, scored in context.
 
-1. Learn a lexicon trie. Trie nodes (word prefixes and whole words) are counted over labelled documents;
-   nodes whose documents are nearly all toxic, beyond chance, become terms: a whole word, or a stem where
-   many endings follow it. A few widely known insults are always in the lexicon.
+1. Learn a lexicon trie. Prefixes (up to DEEPEST letters) and whole words are counted over labelled texts. The
+   evidence of a node is its share of toxic texts, pulled towards the node above it by PULL pseudo texts, so
+   rare endings lean on their stem and stems on the base rate. A word has the evidence of the deepest node on
+   its path: its own, or that of a stem. A prefix is a stem if FAMILY words that labelled texts repeat begin
+   with it. Where evidence reaches one half the node is a term. A few widely known insults are always terms.
 2. Match. The Levenshtein automaton (one edit, a swap of neighbours counts as one) is intersected with the
-   trie and determinised as words are read, so a word costs a few table steps and dies early. Whole-word terms
-   under 5 letters and stems under 8 are matched exactly only: their misspellings are not found.
-3. Score in context. Each hit has the precision of its term, or of its misspelling where labelled rows
-   hold it; words around it tell quotation (quote marks, reporting verbs) from abuse (address, other hits).
-   A logistic model over the document's hits, fitted on labelled rows, gives the score.
+   trie of terms and determinised as words are read, so a word costs a few table steps and dies early. One
+   edit is matched for whole words of LEAST_WORD letters and stems of LEAST_STEM or more; closer to shorter
+   ones (from SHORT_WORD, SHORT_STEM) only where labelled texts hold the variant and it proved toxic.
+3. Score in context. Words around a hit tell quotation (quote marks, reporting verbs) from abuse (address,
+   other hits) and scale its evidence. A logistic model over the strongest hit and the sums of evidence and of
+   log odds gives the score. It is fitted on labelled texts, each judged without its own counts, and pulled
+   towards default weights, which stand where labels are few.
+
+Learning takes at most `most_rows` labelled rows (lowest hash of the id first); a text that repeats counts once.
 
 Defined results: null or empty text, or text without words, gets the score of a document without hits.
-A null doc_id is scored and counts as not held out. Repeated rows are scored each. With too few
-labels of either kind the default weights are used, without any the fixed terms too. Other columns of the input are ignored.
+A null doc_id is scored and counts as not held out. Repeated rows are scored each. Without labels only the
+fixed terms are known. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,8 +43,14 @@ REPORTING = frozenset("said says say called calls calling wrote writes quote quo
 ADDRESS = frozenset("you your youre u yourself du dich dein ihr euch tu toi ton vous votre tú ti usted eres".split())
 QUOTES = frozenset("\"“”„«»")
 
-CHANCE = math.log(20_000) + 1  # log likelihood gain that chance among thousands of trie nodes does not reach
-LEAST_OF_A_CLASS = 10  # labelled rows of either kind below which the default weights stay
+DEEPEST = 24  # letters of a word that the trie branches on; longer words are nodes below that
+PULL = 8.0  # pseudo texts with which a node is pulled towards the one above
+HOT = 0.5  # evidence from which a node is a term
+FAMILY = 3  # words that make their common prefix a stem
+LEAST_WORD, LEAST_STEM = 5, 8
+SHORT_WORD, SHORT_STEM = 4, 5
+DEFAULT = (-4.0, 4.0, 1.0, 1.0)  # bias, strongest hit, sum of evidence, sum of log odds
+END = "$"  # closes the key of a whole word
 TOKEN = re.compile(r"[^\W_]+|[\"“”„«»]")
 
 
@@ -49,12 +61,53 @@ class Term:
     precision: float
 
 
+def evidence(chain: Iterable[tuple[int, int]], rows: int, toxic: int, own: int | None = None) -> float:
+    """Share of toxic texts at the end of a path of (texts, toxic texts); a node that all texts of the node above
+    hold adds nothing. With `own` (0 or 1) a text with that label is left out of all counts."""
+    less, bad = (0, 0) if own is None else (1, own)
+    above = rows - less
+    p = (toxic - bad) / above if above > 0 else 0.0
+    for n, t in chain:
+        n, t = n - less, t - bad
+        if n <= 0:
+            break
+        if n != above:
+            p, above = (t + PULL * p) / (n + PULL), n
+    return p
+
+
 @dataclass
 class Lexicon:
-    terms: list[Term]
-    fuzzy: float = 0.8
-    seen: dict[str, float] = field(default_factory=dict)  # precision of misspellings found in labelled rows
-    weights: tuple[float, float, float, float] = (-4.0, 6.0, 1.0, 0.5)  # bias, strongest hit, sum of hits, distinct hits
+    """rows, toxic: labelled texts; chains: counts from the root to each stem, and to each whole word with END;
+    seeds: counts of the fixed terms; seen, spelt: counts of misspellings, by word and by the term they are near."""
+
+    rows: int = 0
+    toxic: int = 0
+    chains: dict[str, tuple[tuple[int, int], ...]] = field(default_factory=dict)
+    seeds: dict[str, tuple[int, int]] = field(default_factory=dict)
+    seen: dict[str, tuple[int, int]] = field(default_factory=dict)
+    spelt: dict[str, tuple[int, int]] = field(default_factory=dict)
+    weights: tuple[float, ...] = DEFAULT
+
+    def key(self, word: str) -> str | None:
+        """Deepest node on the path of a word."""
+        chains = self.chains
+        if word + END in chains:
+            return word + END
+        return next((word[:k] for k in range(min(len(word), DEEPEST), 0, -1) if word[:k] in chains), None)
+
+    def exact(self, word: str, own: int | None = None) -> float:
+        if (c := self.seeds.get(word)) is not None:
+            n, t = c
+            return (t - (own or 0) + 1.6) / (n - (own is not None) + 2) if n else 0.8
+        k = self.key(word)
+        return 0.0 if k is None else evidence(self.chains[k], self.rows, self.toxic, own)
+
+    def terms(self) -> list[Term]:
+        hot = [(k, evidence(c, self.rows, self.toxic)) for k, c in self.chains.items()]
+        out = {(k.removesuffix(END), not k.endswith(END)): p for k, p in hot if p >= HOT}
+        out |= {(w, False): self.exact(w) for w in self.seeds}
+        return [Term(w, stem, p) for (w, stem), p in sorted(out.items())]
 
 
 class TermAutomaton:
@@ -62,7 +115,7 @@ class TermAutomaton:
 
     DEAD = 0
 
-    def __init__(self, terms: list[Term], least_word: int = 5, least_stem: int = 8, most_states: int = 200_000):
+    def __init__(self, terms: list[Term], least_word: int = LEAST_WORD, least_stem: int = LEAST_STEM, most_states: int = 200_000):
         self.children: list[dict[str, int]] = [{}]
         self.word: dict[int, int] = {}
         self.stem: dict[int, int] = {}
@@ -147,11 +200,12 @@ class TermAutomaton:
 class Matcher:
     def __init__(self, lexicon: Lexicon, most_memo: int = 200_000):
         self.lexicon, self.most_memo = lexicon, most_memo
-        self.automaton = TermAutomaton(lexicon.terms)
-        self.memo: dict[str, tuple[int, int, float] | None] = {}
+        self.terms = lexicon.terms()
+        self.automaton = TermAutomaton(self.terms, SHORT_WORD, SHORT_STEM)
+        self.memo: dict[str, tuple[str, int, float] | None] = {}
 
-    def hit(self, word: str) -> tuple[int, int, float] | None:
-        """(term, edits, precision) of a word."""
+    def hit(self, word: str) -> tuple[str, int, float] | None:
+        """(term, edits, precision) of a word that is a term, begins with one or is a misspelling of one."""
         try:
             return self.memo[word]
         except KeyError:
@@ -161,15 +215,26 @@ class Matcher:
         found = self.automaton.match(word)
         if found is None:
             out = None
+        elif found[0] == 0:
+            p = self.lexicon.exact(word)
+            out = (self.terms[found[1]].text, 0, p) if p >= HOT else None
         else:
-            e, t = found
-            p = self.lexicon.terms[t].precision
-            out = (t, e, p if e == 0 else self.lexicon.seen.get(word, p * self.lexicon.fuzzy))
+            p = self.misspelt(word, self.terms[found[1]])
+            out = (self.terms[found[1]].text, 1, p) if p >= HOT else None
         self.memo[word] = out
         return out
 
-    def hits(self, text: str | None, reach: int = 6) -> list[tuple[int, str, int, int, float, float]]:
-        """(token number, word, term, edits, precision, evidence in context) of each hit."""
+    def misspelt(self, word: str, term: Term, own: int | None = None) -> float:
+        """Precision of a word one edit from a term: what labelled texts say of it, over what the term lets expect."""
+        long = len(term.text) >= (LEAST_STEM if term.stem else LEAST_WORD)
+        n, t = self.lexicon.seen.get(word, (0, 0))
+        if own is not None and n:
+            n, t = n - 1, t - own
+        near, toxic = self.lexicon.spelt.get(term.text, (0, 0))
+        return (t + 2 * (term.precision * (toxic + 4 * 0.85) / (near + 4) if long else 0.0)) / (n + 2)
+
+    def hits(self, text: str | None, reach: int = 6) -> list[tuple[int, str, str, int, float, float]]:
+        """(token number, word, term, edits, precision, factor of the context) of each hit."""
         if not text:
             return []
         tokens = TOKEN.findall(text.lower())
@@ -178,112 +243,61 @@ class Matcher:
         if not bad:
             return []
         at = [i for i, w in enumerate(tokens) if w in bad]
-        marks = [i for i, w in enumerate(tokens) if w in QUOTES]
         out = []
         for n, i in enumerate(at):
-            t, e, p = hit(tokens[i])
+            term, e, p = hit(tokens[i])
             before, after = tokens[max(0, i - reach) : i], tokens[i + 1 : i + 1 + reach]
-            left = next((k for k in reversed(before) if k in QUOTES), None)
-            right = next((k for k in after if k in QUOTES), None)
-            quoted = left is not None and right is not None and bool(marks)
+            quoted = not QUOTES.isdisjoint(before) and not QUOTES.isdisjoint(after)
             report = not REPORTING.isdisjoint(before) or not REPORTING.isdisjoint(after)
             near = (n > 0 and i - at[n - 1] <= reach) + (n + 1 < len(at) and at[n + 1] - i <= reach)
             address = not ADDRESS.isdisjoint(before) or not ADDRESS.isdisjoint(after)
             factor = (0.25 if report else 0.6) if quoted else (0.85 if report else 1.0)
-            factor *= 1 + 0.1 * near + 0.1 * address
-            out.append((i, tokens[i], t, e, p, min(1.0, p * factor)))
+            out.append((i, tokens[i], term, e, p, factor * (1 + 0.1 * near + 0.1 * address)))
         return out
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Strongest hit, log of the sum of hits, log of the number of distinct terms."""
-        found = self.hits(text)
-        if not found:
+    def features(self, text: str | None, own: int | None = None) -> tuple[float, float, float]:
+        """Strongest hit, log of the sum of evidence, log of the sum of log odds, over distinct words. With `own`,
+        the label of this text, the text itself is left out of what is known of its words."""
+        best: dict[str, tuple[float, float]] = {}
+        for _, w, term, e, p, factor in self.hits(text):
+            if own is not None:
+                p = self.lexicon.exact(w, own) if e == 0 else self.misspelt(w, next(x for x in self.terms if x.text == term), own)
+            p = min(p, 0.995)
+            if p >= HOT and factor > best.get(w, (0, 0))[1]:
+                best[w] = p, factor
+        if not best:
             return 0.0, 0.0, 0.0
-        strong = [h[5] for h in found]
-        return max(strong), math.log1p(sum(strong)), math.log1p(len({h[2] for h in found if h[5] >= 0.3}))
+        strong = [min(1.0, p * f) for p, f in best.values()]
+        odds = sum(math.log(p / (1 - p)) * f for p, f in best.values())
+        return max(strong), math.log1p(sum(strong)), math.log1p(odds)
 
 
-def _count_nodes(batches: Iterator[pa.RecordBatch], shortest: int, longest: int, flush: int = 300_000) -> Iterator[pa.RecordBatch]:
-    """Documents by trie node, summed in each task: a prefix as it is, a whole word with a closing mark."""
+def _counted_in(batches: Iterator[pa.RecordBatch], keys_of, flush: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """Texts and toxic texts by key, summed in each task; keys_of(text) is a set."""
     n, t = Counter(), Counter()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[k] for k in n], pa.int64())], names=["node", "n", "t"])
+
     for rb in pieces(batches, "text"):
         for text, toxic in zip(rb.column("text").to_pylist(), rb.column("toxic").to_pylist(), strict=True):
-            nodes = set()
-            for w in set(TOKEN.findall((text or "").lower())):
-                if len(w) >= shortest:
-                    nodes.update(w[:k] for k in range(shortest, min(longest, len(w)) + 1))
-                    if len(w) <= longest:
-                        nodes.add(w + "$")
-            n.update(nodes)
+            keys = keys_of(text)
+            n.update(keys)
             if toxic:
-                t.update(nodes)
+                t.update(keys)
             if len(n) > flush:
-                yield _counted(n, t, "node")
+                yield out()
                 n.clear()
                 t.clear()
-    yield _counted(n, t, "node")
-
-
-def _counted(n: Counter, t: Counter, key: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[k] for k in n], pa.int64())], names=[key, "n", "t"])
-
-
-def _grow(nodes: dict[str, tuple[int, int]], pure: float = 0.6) -> list[tuple[str, bool, int, int]]:
-    """Terms (text, stem, documents, toxic documents) out of counted trie nodes."""
-    kids: dict[str, list[str]] = {}
-    for k in nodes:
-        kids.setdefault(k[:-1], []).append(k)
-    ok = {k for k, (n, t) in nodes.items() if t >= pure * n}
-    out: list[tuple[str, bool, int, int]] = []
-
-    def walk(k: str) -> None:
-        n, t = nodes[k]
-        if k.endswith("$"):
-            out.append((k[:-1], False, n, t))
-            return
-        strong = [c for c in kids.get(k, []) if nodes[c][1] >= max(2, 0.1 * t)]
-        if 0 < len(strong) <= 3:
-            for c in strong:
-                if c in ok:
-                    walk(c)
-        elif len(k) >= 3:
-            out.append((k, True, n, t))
-
-    for k in sorted(ok, key=len):
-        if k[:-1] not in ok:
-            walk(k)
-    return out
+    yield out()
 
 
-def _gain(n: int, t: int, base: float) -> float:
-    c = n - t
-    return (t * math.log(t / (n * base)) if t else 0.0) + (c * math.log(c / (n * (1 - base))) if c else 0.0)
-
-
-def _needed(sample: DataFrame, stats: list[tuple[str, bool, int, int]], base: float, longest: int) -> list[tuple[str, bool, int, int]]:
-    """Terms that still tell toxic documents apart once each document counts for its best supported term only:
-    words that merely stand in copies of the same toxic documents go."""
-    rank = {w: k for k, (w, _, _, _) in enumerate(stats)}
-    terms = [Term(w, s, 1.0) for w, s, _, _ in stats]
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, n, t = Matcher(Lexicon(terms)), Counter(), Counter()
-        for rb in pieces(batches, "text"):
-            for text, toxic in zip(rb.column("text").to_pylist(), rb.column("toxic").to_pylist(), strict=True):
-                held = [terms[h[0]].text for w in set(TOKEN.findall((text or "").lower())) if (h := m.hit(w)) and h[1] == 0]
-                if held:
-                    best = min(held, key=rank.__getitem__)
-                    n[best] += 1
-                    t[best] += toxic
-        yield _counted(n, t, "term")
-
-    got = {r["term"]: (r["n"], r["t"]) for r in sample.select("text", "toxic").mapInArrow(first, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
-    out = []
-    for w, s, n, t in stats:
-        a, b = got.get(w, (0, 0))
-        branches = s and len(w) < longest  # a stem that many endings follow is no accident of copies
-        if branches or b >= 3 and b >= 0.6 * a and _gain(a, b, base) >= CHANCE:
-            out.append((w, s, n, t))
+def trie_nodes(text: str | None) -> set[str]:
+    """Prefixes of all words of a text, and the words closed by END."""
+    out = set()
+    for w in set(TOKEN.findall((text or "").lower())) - QUOTES:
+        out.update(w[:k] for k in range(1, min(DEEPEST, len(w)) + 1))
+        out.add(w + END)
     return out
 
 
@@ -295,70 +309,94 @@ def sample_labelled(documents: DataFrame, labels: DataFrame, usable, most_rows:
     return documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic")
 
 
-def learn(sample: DataFrame, most_terms: int = 2000, seeds: tuple[str, ...] = SEEDS, shortest: int = 3, longest: int = 14) -> Lexicon:
+def chains_of(nodes: dict[str, tuple[int, int]]) -> dict[str, tuple[tuple[int, int], ...]]:
+    """Counts on the path from the root to each node."""
+    out: dict[str, tuple[tuple[int, int], ...]] = {}
+    for k in sorted(nodes, key=len):
+        stem = k.removesuffix(END)
+        upto = min(len(stem), DEEPEST) if k.endswith(END) else len(stem) - 1
+        up = next((out[stem[:j]] for j in range(upto, 0, -1) if stem[:j] in out), ())
+        out[k] = (*up, nodes[k])
+    return out
+
+
+def _collected(counts: DataFrame) -> dict[str, tuple[int, int]]:
+    return {r["node"]: (r["n"], r["t"]) for r in counts.collect()}
+
+
+def learn(sample: DataFrame, seeds: tuple[str, ...] = SEEDS) -> Lexicon:
     """A lexicon from rows of text and toxic (0 or 1)."""
-    totals = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    rows, toxic = totals["n"] or 0, totals["t"] or 0
-    stats: list[tuple[str, bool, int, int]] = []
-    counted: dict[str, tuple[int, int]] = {}
-    if 0 < toxic < rows:
-        base = toxic / rows
-        nodes = sample.select("text", "toxic").mapInArrow(lambda it: _count_nodes(it, shortest, longest), "node string, n long, t long").groupBy("node").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-        n, t = F.col("n"), F.col("t")
-        c = n - t
-        gain = t * F.log(t / (n * base)) + F.when(c > 0, c * F.log(c / (n * (1 - base)))).otherwise(0.0)
-        found = nodes.where((t >= 3) & (t >= 0.6 * n) & (gain >= CHANCE)).orderBy(gain.desc(), "node").limit(most_terms * 20).collect()
-        counted = {r["node"]: (r["n"], r["t"]) for r in found}
-        stats = sorted(_grow(counted), key=lambda x: (-x[3], x[0]))[:most_terms]
-        stats = _needed(sample, stats, base, longest)
-    precision = {(w, s): (t + 1.6) / (n + 2) for w, s, n, t in stats}
-    for w in seeds:
-        stem = any(s and w.startswith(k) for k, s in precision)
-        if (w, False) not in precision and not stem:
-            n, t = counted.get(w + "$", (0, 0))
-            precision[w, False] = (t + 1.6) / (n + 2)
-    lexicon = Lexicon([Term(w, s, min(p, 0.99)) for (w, s), p in sorted(precision.items())])
-    if min(toxic, rows - toxic) < LEAST_OF_A_CLASS:
-        return lexicon
-
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, n, t = Matcher(lexicon), Counter(), Counter()
-        for rb in pieces(batches, "text"):
-            for text, bad in zip(rb.column("text").to_pylist(), rb.column("toxic").to_pylist(), strict=True):
-                found = m.hits(text)
-                if not any(h[3] == 0 for h in found):
-                    for w in {h[1] for h in found}:
-                        n[w] += 1
-                        t[w] += bad
-        yield _counted(n, t, "word")
-
-    near = sample.select("text", "toxic").mapInArrow(variants, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).orderBy(F.desc("n"), "word").limit(50_000).collect()
-    # By kinds of misspelling, not by documents: one common word near a term says little of the others.
-    lexicon.fuzzy = (sum(r["t"] / r["n"] for r in near) + 4 * 0.85) / (len(near) + 4)
-    lexicon.seen = {r["word"]: (r["t"] + 2 * lexicon.fuzzy) / (r["n"] + 2) for r in near}
+    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    sums = [F.sum("n").alias("n"), F.sum("t").alias("t")]
+
+    def counted(keys_of) -> DataFrame:
+        return sample.select("text", "toxic").mapInArrow(lambda it: _counted_in(it, keys_of), "node string, n long, t long").groupBy("node").agg(*sums)
+
+    nodes = staged(counted(trie_nodes).where("n >= 2"), "trie-nodes")
+    try:
+        # Nodes that can hold terms: texts at least three, and a fifth of them, toxic; the rest stays at the base rate.
+        kept = _collected(nodes.where("t >= 3 and 5 * t >= n"))
+        hot = {k for k, c in chains_of(kept).items() if evidence(c, totals["n"], totals["t"]) >= HOT}
+
+        def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                yield rb.filter(pa.array([any(k[:j] in hot for j in range(1, min(len(k), DEEPEST + 1))) for k in rb.column("node").to_pylist()], pa.bool_()))
+
+        # And all nodes below a term, so that a clean ending of a toxic stem is known as such.
+        kept |= _collected(nodes.mapInArrow(below, nodes.schema)) if hot else {}
+        found = _collected(nodes.where(F.col("node").isin([w + END for w in seeds])))
+    finally:
+        drop_stage(nodes)
+    chains = chains_of(kept)
+    family = Counter(k[:j] for k in chains if k.endswith(END) for j in range(1, min(len(k), DEEPEST + 1)))
+    chains = {k: c for k, c in chains.items() if (k.endswith(END) or family[k] >= FAMILY) and (k in hot or any(k[:j] in hot for j in range(1, len(k))))}
+    lexicon = Lexicon(totals["n"], totals["t"], chains, {w: found.get(w + END, (0, 0)) for w in seeds})
+
+    def variants(text: str | None) -> set[str]:
+        """Words one edit from a term, and with END the terms, of texts that hold no term as it is written."""
+        m = matcher()
+        words = {w: x for w in set(TOKEN.findall((text or "").lower())) if (x := m.automaton.match(w)) is not None}
+        if any(e == 0 and lexicon.exact(w) >= HOT for w, (e, _) in words.items()):
+            return set()
+        return {k for w, (e, term) in words.items() if e for k in (w, m.terms[term].text + END)}
+
+    held: list[Matcher] = []
+
+    def matcher() -> Matcher:
+        if not held:
+            held.append(Matcher(lexicon))
+        return held[0]
+
+    near = staged(counted(variants), "misspellings")
+    lexicon.seen = _collected(near.where((F.col("n") >= 2) & ~F.col("node").endswith(END)))
+    lexicon.spelt = {k.removesuffix(END): c for k, c in _collected(near.where(F.col("node").endswith(END))).items()}
+    drop_stage(near)
+    held.clear()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(lexicon)
         for rb in pieces(batches, "text"):
-            f = np.array([m.features(x) for x in rb.column("text").to_pylist()], float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(pa.array(f[:, k]) for k in range(3)), rb.column("toxic").cast(pa.int64())], names=["a", "b", "c", "y"])
+            y = rb.column("toxic").to_pylist()
+            f = np.array([m.features(x, k) for x, k in zip(rb.column("text").to_pylist(), y, strict=True)], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(pa.array(f[:, k]) for k in range(3)), pa.array(y, pa.int64())], names=["a", "b", "c", "y"])
 
     # Rounded features repeat, so what reaches the driver is a histogram of a bounded sample.
-    grid = sample.select("text", "toxic").mapInArrow(featured, "a double, b double, c double, y long").groupBy(F.round("a", 2).alias("a"), F.round("b", 1).alias("b"), F.round("c", 1).alias("c"), "y").count().collect()
-    lexicon.weights = _logistic(np.array([[r["a"], r["b"], r["c"]] for r in grid]), np.array([r["y"] for r in grid], float), np.array([r["count"] for r in grid], float))
+    rounded = [F.round(c, d).alias(c) for c, d in (("a", 2), ("b", 1), ("c", 1))]
+    grid = sample.select("text", "toxic").mapInArrow(featured, "a double, b double, c double, y long").groupBy(*rounded, "y").count().collect()
+    if grid:
+        lexicon.weights = _logistic(np.array([[r["a"], r["b"], r["c"]] for r in grid]), np.array([r["y"] for r in grid], float), np.array([r["count"] for r in grid], float))
     return lexicon
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.5, rounds: int = 50) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps; weights of features are kept at 0 or above."""
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, pull: float = 0.5, rounds: int = 60) -> tuple[float, ...]:
+    """Logistic regression by Newton steps, pulled towards the default weights; no weight of a feature falls below 0."""
     x = np.column_stack([np.ones(len(x)), x])
-    keep = np.ones(x.shape[1], bool)
+    keep, start, penalty = np.ones(x.shape[1], bool), np.array(DEFAULT), np.array([0.05] + [pull] * (x.shape[1] - 1))
     while True:
-        b = np.zeros(x.shape[1])
-        penalty = np.array([0.01, ridge, ridge, ridge])
+        b = np.where(keep, start, 0.0)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            g = x.T @ (w * (y - p)) - penalty * b
+            g = x.T @ (w * (y - p)) - penalty * (b - start)
             h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
             step = np.zeros_like(b)
             step[keep] = np.linalg.solve(h[np.ix_(keep, keep)], g[keep])
@@ -400,12 +438,13 @@ def reject(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> Da
 
 def spans(matcher: Matcher, text: str | None) -> list[dict]:
     """The hits of one text, for reports: word, term, edits, evidence."""
-    return [{"token": i, "word": w, "term": matcher.lexicon.terms[t].text, "edits": e, "evidence": ev} for i, w, t, e, _, ev in matcher.hits(text)]
+    return [{"token": i, "word": w, "term": term, "edits": e, "evidence": min(1.0, p * f)} for i, w, term, e, p, f in matcher.hits(text)]
 
 
 def train(documents: DataFrame, labels: DataFrame, usable, most_rows: int) -> Lexicon:
     """A lexicon from the labelled documents for which `usable`, a condition on doc_id, holds."""
-    sample = staged(sample_labelled(documents, labels, usable, most_rows).select("text", "toxic"), "toxic-sample")
+    once = sample_labelled(documents, labels, usable, most_rows).groupBy("text").agg(F.max("toxic").alias("toxic"))
+    sample = staged(once.select("text", "toxic"), "toxic-sample")
     try:
         return learn(sample)
     finally:

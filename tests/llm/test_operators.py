@@ -62,8 +62,40 @@ def test_levenshtein_automaton_equals_distance():
         assert (got[0] if got else 9) == (want if want <= 1 else 9), w
 
 
+def test_toxic_evidence_equals_brute_force(spark):
+    """Whole texts of a fixture against counts by plain loops: chains of prefixes, stems by family, left-out texts."""
+    rng = np.random.default_rng(5)
+    ends, plain = ["ab", "ec", "id", "of", "ug"], ["tree", "stone", "river", "cloud", "vilage"]
+    rows = [(" ".join([*rng.choice(plain, 6), "vilain" + rng.choice(ends)]), 1) for _ in range(60)] + [(" ".join(rng.choice(plain, 7)), 0) for _ in range(240)]
+    rows += [(f"a vilainto {k} " + " ".join(rng.choice(plain, 3)), 0) for k in range(12)] + [(f"you idiot {k}", 1) for k in range(4)]
+    rows = sorted(set(rows))
+    lex = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    words = [set(t.split()) for t, _ in rows]
+
+    def count(test):
+        return sum(any(map(test, w)) for w in words), sum(y for (_, y), w in zip(rows, words, strict=True) if any(map(test, w)))
+
+    def brute(word, own=None):
+        less, bad = (0, 0) if own is None else (1, own)
+        n, p = len(rows) - less, (sum(y for _, y in rows) - bad) / (len(rows) - less)
+        paths = [(count(lambda w, k=k: w.startswith(word[:k])), False) for k in range(1, len(word) + 1)] + [(count(lambda w: w == word), True)]
+        for (a, b), _ in paths:
+            if a >= 2 and a - less > 0 and a - less != n and (b >= 3 and 5 * b >= a or p >= 0.5):
+                p, n = (b - bad + 8 * p) / (a - less + 8), a - less
+        return p
+
+    for w in ("vilainab", "vilainug", "vilainto"):
+        assert lex.exact(w) == pytest.approx(brute(w)) and lex.exact(w, 1) == pytest.approx(brute(w, 1))
+    assert lex.exact("vilainzz") >= 0.5 > lex.exact("vilainto") and lex.exact("stone") == lex.exact("other") == 0  # a stem, a clean ending
+    m = toxicity.Matcher(lex)
+    assert m.hit("idiott")[1] == 1 and m.hit("scam") is None
+    got = {r["row"]["text"]: (r["score"], r["predicted"]) for r in toxicity.score(spark.createDataFrame(rows, "text string, toxic int").withColumn("doc_id", F.lit(1)).selectExpr("text", "struct(text, doc_id) as row"), lex, 0.3, ["row"]).selectExpr("row.row as row", "score", "predicted").collect()}
+    want = {t: toxicity.score_text(m, t) for t, _ in rows}
+    assert all(got[t][0] == pytest.approx(want[t]) and got[t][1] == (want[t] >= 0.3) == y for t, y in rows)
+
+
 def test_quotation_scores_less_than_abuse():
-    m = toxicity.Matcher(toxicity.Lexicon([toxicity.Term("idiot", False, 0.95)]))
+    m = toxicity.Matcher(toxicity.Lexicon(seeds={"idiot": (20, 20)}))
     assert toxicity.score_text(m, 'he said the word "idiot" is a slur') < toxicity.score_text(m, "you idiot")
 
 
