@@ -10,7 +10,8 @@ the shortest window are left out. Over the symbols of a shard:
 * matches are located by walking to the nearest sampled suffix position;
 * matched windows are merged into spans of words of each document.
 
-Benchmark items are searched in chunks of bounded size, so what is sent to tasks does not grow with them.
+Windows of the benchmark are made by Spark tasks in chunks of bounded size, as files in the shared folder. A task
+reads one chunk after the other for the shard it holds, so neither the driver nor a task ever has them all.
 
 Defined results: null or empty text has no words; an item without words has no window; an empty benchmark
 hits nothing. Repeated items and documents count each. Null item ids are left out of the list of items.
@@ -19,8 +20,12 @@ hits nothing. Repeated items and documents count each. Null item ids are left ou
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, rows_and_text
+from .common import fresh_path, pieces, rows_and_text, shared_file, staged
 
 # ASCII letters and digits and all bytes of other characters make words; A-Z are lower-cased.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -223,47 +228,64 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def search(texts: list[str | None], chunks: list[Windows], shard_symbols: int = 1_000_000) -> list[_Doc]:
-    """For each text its number of words, merged hit spans and items; texts are indexed shard by shard."""
-    docs = []
-    shards = [Shard(w) for w in chunks]
-
-    def flush() -> None:
-        for k, s in enumerate(shards):
-            for d, a, b, items in s.hits():
-                docs[d].spans.append((a, b))
-                docs[d].items.update(items)
-            shards[k] = Shard(s.w)
-
-    for d, text in enumerate(texts):
-        ws = words(text)
-        docs.append(_Doc(len(ws), [], set()))
-        for s in shards:
-            get = s.w.vocab.get
-            ids = np.array([get(x, 0) for x in ws], np.int64)
-            if len(ids):
-                s.add(d, ids)
-        if sum(s.n for s in shards) >= shard_symbols:
-            flush()
-    flush()
+def search(texts: list[str | None], chunks: list[Windows | str], shard_symbols: int = 1_000_000) -> list[_Doc]:
+    """For each text its number of words, merged hit spans and items; texts are indexed shard by shard. Chunks are
+    windows, or paths of files that hold them and are read one at a time."""
+    split = [words(t) for t in texts]
+    docs = [_Doc(len(ws), [], set()) for ws in split]
+    for chunk in chunks:
+        w = _read_chunk(chunk) if isinstance(chunk, str) else chunk
+        get, shard = w.vocab.get, Shard(w)
+        for d, ws in enumerate(split):
+            if ws:
+                shard.add(d, np.array([get(x, 0) for x in ws], np.int64))
+            if shard.n >= shard_symbols or d == len(split) - 1:
+                for doc, first, last, items in shard.hits():
+                    docs[doc].spans.append((first, last))
+                    docs[doc].items.update(items)
+                shard = Shard(w)
     for d in docs:
         d.spans = merged(d.spans)
     return docs
 
 
-def item_chunks(benchmark: DataFrame, width: int, most_bytes: int = 8 << 20) -> Iterator[list[Windows]]:
-    """Windows of the items, in chunks whose texts hold at most `most_bytes` (one item at least)."""
-    held, n = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        size = len(r["text"] or "")
-        if held and n + size > most_bytes:
+@lru_cache(maxsize=1)
+def _read_chunk(path: str) -> Windows:
+    where, name = shared_file(path)
+    with where.open_input_file(name) as f:
+        return pickle.loads(f.read())  # written by `item_chunks`
+
+
+def item_chunks(benchmark: DataFrame, width: int, most_bytes: int = 8 << 20) -> list[str]:
+    """Paths of files with the windows of the items, each of items of at most `most_bytes` of text (one item at least)."""
+    spark = benchmark.sparkSession
+    folder = fresh_path(spark, "benchmark-windows")
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
             if w := windows(held, width):
-                yield [w]
-            held, n = [], 0
-        held.append((r["item_id"], r["text"]))
-        n += size
-    if w := windows(held, width):
-        yield [w]
+                path = f"{folder}/{uuid.uuid4().hex}.windows"
+                where, name = shared_file(path)
+                where.create_dir(name.rpartition("/")[0], recursive=True)
+                with where.open_output_stream(name) as f:
+                    f.write(pickle.dumps(w))
+                yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+        for rb in batches:
+            for i, text in zip(rb.column("item_id").to_pylist(), rb.column("text").to_pylist(), strict=True):
+                if held and n + len(text or "") > most_bytes:
+                    yield from out()
+                    held, n = [], 0
+                held.append((i, text))
+                n += len(text or "")
+        yield from out()
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").repartition(max(1, math.ceil(total / most_bytes)))
+    # One short row for each chunk of several megabytes.
+    return [r["path"] for r in staged(items.mapInArrow(run, "path string"), "benchmark-chunks").orderBy("path").collect()]
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
@@ -271,36 +293,22 @@ SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructF
 
 def find(documents: DataFrame, benchmark: DataFrame, width: int = 10, columns: list[str] | None = None, cut: bool = False) -> DataFrame:
     """`row` (a struct of `columns`, all by default), text, n_words, spans (merged, in words, end exclusive) and
-    items for every document; with cut, the spans are cut from text. Each chunk of items is one pass over the documents in their place: no shuffle."""
-    out = rows_and_text(documents, columns).select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPAN).alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = out.schema
-    held: list[Windows] = []
-    for chunk in item_chunks(benchmark, width):
-        if held:
-            out = out.mapInArrow(_pass(held, schema, False), schema)
-        held = chunk
-    return out.mapInArrow(_pass(held, schema, cut), schema)
-
-
-def _pass(chunk: list[Windows], schema: T.StructType, cut: bool):
-    """One chunk's search; spans of earlier chunks are merged in. With cut, the spans leave the text at the end."""
+    items for every document; with cut, the spans are cut from text. Documents stay in their place: no shuffle."""
+    source = rows_and_text(documents, columns)
+    chunks = item_chunks(benchmark, width)
+    schema = T.StructType([source.schema["row"], source.schema["text"], T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))])
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in pieces(batches, "text"):
-            found = search(rb.column("text").to_pylist(), chunk)
-            spans, items = [], []
-            for d, s, i in zip(found, rb.column("spans").to_pylist(), rb.column("items").to_pylist(), strict=True):
-                all_spans = merged(d.spans + [(x["first"], x["last"]) for x in s]) if s else d.spans
-                spans.append([{"first": a, "last": b} for a, b in all_spans])
-                items.append(sorted(d.items | set(i)))
-            text = rb.column("text")
-            if cut:
-                text = pa.array([cut_text(t, [(x["first"], x["last"]) for x in s]) for t, s in zip(text.to_pylist(), spans, strict=True)], pa.string())
-            cols = [rb.column("row"), text, pa.array([d.n_words for d in found], pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
+            texts = rb.column("text").to_pylist()
+            found = search(texts, chunks)
+            text = pa.array([cut_text(t, d.spans) for t, d in zip(texts, found, strict=True)], pa.string()) if cut else rb.column("text")
+            spans = [[{"first": a, "last": b} for a, b in d.spans] for d in found]
+            cols = [rb.column("row"), text, pa.array([d.n_words for d in found], pa.int64()), pa.array(spans, kind), pa.array([sorted(d.items) for d in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return run
+    return source.mapInArrow(run, schema)
 
 
 def report(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:

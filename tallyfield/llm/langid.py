@@ -5,8 +5,8 @@ used. A window's bytes are embedded, filters of several widths slide over them,
 maximum, and a softmax layer gives the languages. A text's prediction is the mean of its windows' log
 probabilities, weighted by their letters.
 
-Training takes at most `most_rows` labelled texts (lowest hash of the id first) and at most
-`windows_per_text` evenly spread windows of each: both bound what reaches the driver.
+Training takes at most `most_rows` distinct labelled texts (lowest hash of the id first) with all of their windows,
+and `steps` batches of these in random order, whatever their number. most_rows bounds what reaches the driver.
 
 Defined results: null text, and text without a letter, is `und` with score 0. Null labels teach nothing. If
 no labelled text holds a letter, every text is `und`. Repeated rows are predicted each.
@@ -70,7 +70,7 @@ class Network:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], rounds: int = 4, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Network:
+def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 800, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Network:
     """Adam on cross-entropy; gradients run through the place of each filter's maximum."""
     rng = np.random.default_rng(seed)
     k = len(languages)
@@ -79,9 +79,9 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], rounds: i
     p[0][0] = 0
     m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     nw = len(WIDTHS)
-    for _ in range(rounds):
+    while t < steps:
         order = rng.permutation(len(windows))
-        for a in range(0, len(order), batch):
+        for a in range(0, min(len(order), (steps - t) * batch), batch):
             pick = order[a : a + batch]
             b, y = windows[pick], labels[pick]
             n = len(b)
@@ -123,35 +123,32 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], rounds: i
     return Network(languages, p[0], p[1 : 1 + nw], p[1 + nw : 1 + 2 * nw], p[-2], p[-1])
 
 
-def train(documents: DataFrame, usable, most_rows: int = 4000, windows_per_text: int = 4) -> Network | None:
+def train(documents: DataFrame, usable, most_rows: int = 4000, steps: int = 800) -> Network | None:
     """A network from the labelled documents for which `usable` holds."""
-    few = documents.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    # Choose ids first, so that texts are not sorted.
-    chosen = few.select("h", "doc_id").orderBy("h", "doc_id").limit(most_rows)
-    picked = few.join(F.broadcast(chosen), ["h", "doc_id"], "left_semi").select("text", "lang")  # most_rows bounds the broadcast
+    few = documents.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text", "lang").alias("content"))
+    # Choose rows first, so that texts are not sorted; a text that repeats under one id counts once.
+    chosen = few.select("h", "doc_id", "content").distinct().orderBy("h", "doc_id", "content").limit(most_rows)
+    picked = few.join(F.broadcast(chosen), ["h", "doc_id", "content"], "left_semi")  # most_rows bounds the broadcast
+    picked = picked.dropDuplicates(["h", "doc_id", "content"]).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in pieces(batches, "text"):
             rows, langs = [], []
             for text, lang in zip(rb.column("text").to_pylist(), rb.column("lang").to_pylist(), strict=True):
-                if not has_letter(text):
-                    continue
-                w = window_bytes(text)
-                at = np.unique(np.linspace(0, len(w) - 1, min(windows_per_text, len(w))).astype(int))
-                rows += [w[i].tobytes() for i in at]
-                langs += [lang] * len(at)
+                if has_letter(text):
+                    w = window_bytes(text)
+                    rows += [x.tobytes() for x in w]
+                    langs += [lang] * len(w)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(langs, pa.string())], names=["window", "lang"])
 
-    # At most most_rows * windows_per_text rows of WINDOW bytes; repeated ids are bounded by the limit below.
-    got = picked.mapInArrow(run, "window binary, lang string").limit(most_rows * windows_per_text).toArrow()
+    got = picked.mapInArrow(run, "window binary, lang string").toArrow()
     if got.num_rows == 0:
         return None
     languages = sorted(set(got.column("lang").to_pylist()))
-    x = np.frombuffer(b"".join(got.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
-    y = np.array([languages.index(v) for v in got.column("lang").to_pylist()])
-    order = np.lexsort((*x.T[:8], y))  # rows come in any order; training must not depend on it
-    rounds = max(3, min(40, round(30_000 / len(x))))
-    return fit(x[order], y[order], languages, rounds)
+    # Rows come in any order; training must not depend on it.
+    pairs = sorted(zip(got.column("window").to_pylist(), got.column("lang").to_pylist(), strict=True))
+    x = np.frombuffer(b"".join(w for w, _ in pairs), np.uint8).reshape(-1, WINDOW)
+    return fit(x, np.array([languages.index(lang) for _, lang in pairs]), languages, steps)
 
 
 def predict(texts: list[str | None], net: Network, batch: int = 256) -> list[tuple[str, float]]:

@@ -2,12 +2,15 @@
 
 Rules are regular expressions over bytes. They are parsed into one NFA, made deterministic by subset
 construction, minimised by partition refinement, and kept as a transition array (states x 256) with a bit
-mask of accepted rules for each state.
+mask of rules for each state. It is built twice from the same NFA:
 
-* `scan` automaton (any start): one pass over the bytes of a batch of texts finds which texts hold which
-  rule. The batch is one buffer cut at bytes that lead every state back to the start, and the pieces step
-  forward together, one numpy gather for each byte column.
-* `anchored` automaton of each rule: in texts that hold the rule, leftmost-longest matches give the spans.
+* `starts`, with all arrows turned round: one pass over the bytes of a batch of texts, from the end to the
+  beginning, in which the mask of a state tells at which bytes a match of which rule begins. The batch is one
+  buffer cut at bytes that lead every state back to the first one, and the pieces step together, one numpy
+  gather for each byte column.
+* `ends`, as it stands: from a beginning that was found it reads the bytes of the match, all rules at once, to
+  its longest end. Bytes outside of matches are read once, those of matches twice, so time is linear in the
+  text whatever it repeats.
 
 Defined results: null or empty text has no spans. Spans are in code points, the end is exclusive. Rules
 never cross a NUL or newline. Rows that repeat are scanned each; other columns are passed through.
@@ -181,6 +184,19 @@ class _Nfa:
         self.step.append(defaultdict(list))
         return len(self.empty) - 1
 
+    def turned(self) -> _Nfa:
+        """The same states with all arrows turned round."""
+        out = _Nfa()
+        for _ in self.empty:
+            out.state()
+        for s, (free, steps) in enumerate(zip(self.empty, self.step, strict=True)):
+            for t in free:
+                out.empty[t].append(s)
+            for b, ts in steps.items():
+                for t in ts:
+                    out.step[t][b].append(s)
+        return out
+
     def closed(self, states) -> frozenset[int]:
         seen, stack = set(states), list(states)
         while stack:
@@ -201,16 +217,19 @@ class Dfa:
     dead: int
 
 
-def compile_rules(patterns: list[str], anywhere: bool) -> Dfa:
-    """Subset construction over all patterns, then minimisation."""
+def compile_rules(patterns: list[str], backward: bool) -> Dfa:
+    """Subset construction over all patterns, then minimisation. Backward, matches are read from their end to their
+    beginning and may end anywhere; forward, they begin where reading begins."""
     nfa = _Nfa()
-    root, accept = nfa.state(), {}
-    for k, p in enumerate(patterns):
-        a, b = _Parser(p, nfa).alternation()
-        nfa.empty[root].append(a)
-        accept[b] = k
+    ends = [_Parser(p, nfa).alternation() for p in patterns]
+    if backward:
+        nfa, ends = nfa.turned(), [(b, a) for a, b in ends]
+    root = nfa.state()
+    nfa.empty[root] += [a for a, _ in ends]
+    accept = {b: k for k, (_, b) in enumerate(ends)}
     first = nfa.closed([root])
     ids, rows, masks, todo = {first: 0}, [], [], [first]
+    base = first if backward else frozenset()
     while len(rows) < len(todo):
         now = todo[len(rows)]
         moves: dict[int, set[int]] = defaultdict(set)
@@ -218,19 +237,18 @@ def compile_rules(patterns: list[str], anywhere: bool) -> Dfa:
             for b, ts in nfa.step[s].items():
                 moves[b].update(ts)
         row = np.empty(256, np.int32)
-        base = first if anywhere else frozenset()
         memo: dict[frozenset, int] = {}
         for b in range(256):
             raw = frozenset(moves.get(b, ()))
             if raw not in memo:
-                target = nfa.closed(raw) | base if anywhere else nfa.closed(raw)
+                target = nfa.closed(raw) | base
                 if target not in ids:
                     ids[target] = len(todo)
                     todo.append(target)
                 memo[raw] = ids[target]
             row[b] = memo[raw]
         rows.append(row)
-        masks.append(sum(1 << accept[s] for s in now if s in accept))
+        masks.append(sum({1 << accept[s] for s in now if s in accept}))
     return _minimised(np.array(rows), np.array(masks, np.int64))
 
 
@@ -253,96 +271,99 @@ def _minimised(table: np.ndarray, mask: np.ndarray) -> Dfa:
     return Dfa(np.ascontiguousarray(small), m, int(cls[0]), stuck[0] if stuck else -1)
 
 
-@dataclass
-class Anchored:
-    """One rule's automaton as plain lists, for texts that hold the rule."""
-
-    rows: list[list[int]]
-    accepts: list[bool]
-    start: int
-    dead: int
-    opens: list[bool]
+FEW = 24  # pieces that are read one by one
 
 
 @dataclass
 class Scanner:
     rules: tuple[Rule, ...]
-    any_start: Dfa
-    anchored: list[Anchored]
-    sync: np.ndarray  # bytes that lead every state to the start
+    starts: Dfa
+    sync: np.ndarray  # bytes that lead every state of `starts` to the first one
+    back: list[list[int]]  # `starts` as plain lists: next states and masks
+    back_masks: list[int]
+    rows: list[list[int]]  # `ends` as plain lists: next states, masks, first and dead state
+    masks: list[int]
+    start: int
+    dead: int
 
 
 @lru_cache(maxsize=4)
 def scanner(rules: tuple[Rule, ...] = BASE + ADDED) -> Scanner:
     def witness(r: Rule) -> str:
-        """A text holds r+ where it holds r, so a closing + need not be tracked; a single class keeps its length."""
+        """A match of r+ begins where one of r does, so a closing + need not be tracked; a single class keeps its length."""
         if not r.pattern.endswith("+"):
             return r.pattern
         return r.pattern[:-1] + ("{%d}" % r.least if r.pattern[0] == "[" and r.pattern.count("[") == 1 else "")
 
-    scan = compile_rules([witness(r) for r in rules], True)
-    anchored = []
-    for r in rules:
-        d = compile_rules([r.pattern], False)
-        anchored.append(Anchored(d.table.tolist(), (d.mask != 0).tolist(), d.start, d.dead, (d.table[d.start] != d.dead).tolist()))
-    return Scanner(rules, scan, anchored, (scan.table == scan.start).all(axis=0))
+    starts = compile_rules([witness(r) for r in rules], True)
+    ends = compile_rules([r.pattern for r in rules], False)
+    return Scanner(rules, starts, (starts.table == starts.start).all(axis=0), starts.table.tolist(), starts.mask.tolist(), ends.table.tolist(), ends.mask.tolist(), ends.start, ends.dead)
 
 
-def rules_in(texts: list[bytes], s: Scanner, lanes: int = 4096) -> np.ndarray:
-    """Bit mask of the rules that each text holds: one pass over all bytes, many pieces at a time."""
-    out = np.zeros(len(texts), np.int64)
-    buffer = np.frombuffer(b"\n".join([*texts, b""]), np.uint8) if texts else np.zeros(0, np.uint8)
-    if not len(buffer):
-        return out
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
-    cuts = np.flatnonzero(s.sync[buffer]) + 1  # after a synchronising byte
+def beginnings(texts: list[bytes], s: Scanner, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, byte, mask of rules) of every place where matches begin, by text and byte: one pass over all bytes,
+    from the end, many pieces at a time."""
+    none = np.zeros(0, np.int64)
+    if not any(texts):
+        return none, none, none
+    buffer = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+    cuts = np.flatnonzero(s.sync[buffer])  # a piece ends before a synchronising byte, or at the end
     want = np.linspace(0, len(buffer), min(lanes, max(1, len(buffer) // 256)) + 1)[1:-1]
-    picked = np.unique(cuts[np.minimum(np.searchsorted(cuts, want), len(cuts) - 1)]) if len(want) else np.zeros(0, int)
-    picked = picked[(picked > 0) & (picked < len(buffer))]
-    begin = np.concatenate([[0], picked])
-    length = np.diff(np.concatenate([begin, [len(buffer)]]))
+    picked = np.unique(cuts[np.minimum(np.searchsorted(cuts, want), len(cuts) - 1)]) if len(want) else none
+    edge = np.concatenate([[0], picked[picked > 0], [len(buffer)]])
+    length = np.diff(edge)
     order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
-    flat, width = s.any_start.table.astype(np.int32).ravel() << 8, int(length[0])
-    hot = s.any_start.mask != 0
-    state = np.full(len(begin), s.any_start.start << 8, np.int32)
+    end, length = edge[1:][order], length[order]
+    flat, width, mask = s.starts.table.astype(np.int32).ravel() << 8, int(length[0]), s.starts.mask
+    hot = mask != 0
+    state = np.full(len(end), s.starts.start << 8, np.int32)
     alive = np.searchsorted(-length, -np.arange(width), side="left")  # pieces longer than the column number
+    places, kinds = [none], [none]
     for k in range(width):
         n = alive[k]
-        pos = begin[:n] + k
+        if n <= FEW:  # a few long pieces are left: one by one is faster
+            for p, st in zip(range(n), state[:n].tolist(), strict=True):
+                at, bits = _walked(buffer[end[p] - length[p] : end[p] - k].tobytes(), st >> 8, s)
+                places.append(at + end[p] - length[p])
+                kinds.append(bits)
+            break
+        pos = end[:n] - 1 - k
         state[:n] = flat[state[:n] | buffer[pos]]
         found = hot[state[:n] >> 8]
         if found.any():
             at = np.flatnonzero(found)
-            doc = np.searchsorted(starts, pos[at], side="right") - 1
-            np.bitwise_or.at(out, doc, s.any_start.mask[state[at] >> 8])
-    return out
-
-
-def matches(raw: bytes, s: Scanner, k: int) -> list[tuple[int, int]]:
-    """Leftmost-longest, non-overlapping byte spans of rule k; values that are too short are dropped after matching."""
-    a, rule = s.anchored[k], s.rules[k]
-    rows, accepts, dead, opens = a.rows, a.accepts, a.dead, a.opens
-    out, i, n = [], 0, len(raw)
-    while i < n:
-        if not opens[raw[i]]:
-            i += 1
-            continue
-        st, j, end = a.start, i, -1
-        while j < n:
-            st = rows[st][raw[j]]
-            if st == dead:
-                break
-            j += 1
-            if accepts[st]:
-                end = j
-        if end < 0:
-            i += 1
-            continue
-        if end - (_value_start(raw, i, end) if rule.assigns else i) >= rule.least:
-            out.append((i, end))
-        i = end
-    return out
+            places.append(pos[at])
+            kinds.append(mask[state[at] >> 8])
+    place, kind = np.concatenate(places), np.concatenate(kinds)
+    order = np.argsort(place, kind="stable")
+    place, kind = place[order], kind[order]
+    text = np.searchsorted(first, place, side="right") - 1
+    return text, place - first[text], kind
+
+
+def _walked(raw: bytes, state: int, s: Scanner) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, mask) of the beginnings in one piece, read from its end in the given state."""
+    rows, masks = s.back, s.back_masks
+    at, bits = [], []
+    for i in range(len(raw) - 1, -1, -1):
+        state = rows[state][raw[i]]
+        if masks[state]:
+            at.append(i)
+            bits.append(masks[state])
+    return np.array(at, np.int64), np.array(bits, np.int64)
+
+
+def longest(raw: bytes, begin: int, rule: int, s: Scanner) -> int:
+    """End of the longest match of a rule that begins at a byte, or -1."""
+    rows, masks, dead, st, end, bit = s.rows, s.masks, s.dead, s.start, -1, 1 << rule
+    for j in range(begin, len(raw)):
+        st = rows[st][raw[j]]
+        if st == dead:
+            break
+        if masks[st] & bit:
+            end = j + 1
+    return end
 
 
 def _value_start(raw: bytes, i: int, end: int) -> int:
@@ -359,21 +380,25 @@ def _value_start(raw: bytes, i: int, end: int) -> int:
 
 
 def find_all(texts: list[str | None], s: Scanner) -> list[list[tuple[str, int, int]]]:
-    """(kind, start, end) in code points for each text, by start and then by order of the rules."""
+    """(kind, start, end) in code points for each text, by start and then by order of the rules: leftmost-longest,
+    non-overlapping for each rule; matches that are too short are dropped after matching."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    held = rules_in(raw, s)
-    out: list[list[tuple[str, int, int]]] = []
-    for text, b, m in zip(texts, raw, held.tolist(), strict=True):
-        found = []
-        if m:
-            ascii_only = len(b) == len(text)
-            for k, rule in enumerate(s.rules):
-                if m >> k & 1:
-                    for i, j in matches(b, s, k):
-                        if not ascii_only:
-                            i, j = (len(b[:x].decode("utf-8", "surrogatepass")) for x in (i, j))
-                        found.append((i, k, rule.kind, j))
-        out.append([(kind, i, j) for i, _, kind, j in sorted(found)])
+    found: dict[int, list[tuple[int, int, str, int]]] = defaultdict(list)
+    past: dict[tuple[int, int], int] = {}  # where the last match of a rule ended in a text
+    for d, i, mask in zip(*(x.tolist() for x in beginnings(raw, s)), strict=True):
+        while mask:
+            k = (mask & -mask).bit_length() - 1
+            mask &= mask - 1
+            if i >= past.get((d, k), 0):
+                rule, j = s.rules[k], longest(raw[d], i, k, s)
+                past[d, k] = j
+                if j - (_value_start(raw[d], i, j) if rule.assigns else i) >= rule.least:
+                    found[d].append((i, k, rule.kind, j))
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for d, spans in found.items():
+        ascii_only = len(raw[d]) == len(texts[d])
+        place = (lambda x: x) if ascii_only else (lambda x, b=raw[d]: len(b[:x].decode("utf-8", "surrogatepass")))
+        out[d] = [(kind, place(i), place(j)) for i, _, kind, j in sorted(spans)]
     return out
 
 

@@ -25,13 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, pieces, staged
+from .common import fresh_path, pieces, shared_file, staged
 from .tokens import encoder
 
 BLOCK = 8192
@@ -145,10 +144,6 @@ class ShardReader:
         return self.read(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Write all documents as shards; the manifest: shard (order), path, n_docs, n_tokens, before (ids in earlier shards)."""
     spark = documents.sparkSession
@@ -162,7 +157,7 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str | None
         e = encoder(tokenizer, end_id)
         writer, sink = None, None
         shard = TaskContext.get().partitionId()
-        where, root = _place(folder)
+        where, root = shared_file(folder)
         name = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
         try:
             for rb in pieces(batches, "text", 4 << 20):
@@ -193,7 +188,7 @@ def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for row in rb.to_pylist():
-                where, name = _place(row["path"])
+                where, name = shared_file(row["path"])
                 with where.open_input_file(name) as f:
                     r = ShardReader(f)
                     n = len(r.ids)
