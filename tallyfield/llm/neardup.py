@@ -175,20 +175,31 @@ def _differ(a: str, b: str, lanes: list[str]) -> Column:
 
 
 def _near(a: str, b: str, percent: int, limit: int) -> Column:
-    """Sizes and sketches of two sides allow the similarity."""
+    """Sizes and MinHash sketches of two sides allow the similarity."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    # At the similarity p the symmetric difference is (1 - p) / (1 + p) of both sizes together.
-    exact = (100 + percent) * _differ(a, b, FULL) <= (100 - percent) * (na + nb)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_differ(a, b, LANES) <= limit) & exact
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_differ(a, b, LANES) <= limit)
+
+
+def _full_near(a: str, b: str, percent: int) -> Column:
+    """Sketches of full sets allow it: at the similarity p the symmetric difference is (1 - p) / (1 + p) of both sizes."""
+    return (100 + percent) * _differ(a, b, FULL) <= (100 - percent) * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
+
+
+def _pairs(joined: DataFrame, member: str, other: str) -> DataFrame:
+    """Pairs (a, b), a < b, each once, and the side of it that is not the centre of a group."""
+    x, y = F.col(member), F.col(other)
+    return joined.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), x.alias("member")).groupBy("a", "b").agg(F.min("member").alias("member"))
 
 
 def _confirmed(pairs: DataFrame, documents: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose full sets are similar enough."""
-    pairs = staged(pairs, "pairs")
+    """Pairs of nodes whose full sets are similar enough. The member's set meets the pair first and travels on with it;
+    the set of the other side, which may be the centre of many pairs, comes last and is not copied into a shuffle."""
+    pairs = staged(pairs.withColumn("centre", F.when(F.col("member") == F.col("a"), F.col("b")).otherwise(F.col("a"))), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
     nodes = staged(nodes, "pair-nodes")
     sets = staged(_sets_of(documents, nodes, width), "pair-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    side = lambda name, column: sets.select(F.col("node").alias(name), F.col("shingles").alias(column))
+    both = pairs.join(side("member", "sa"), "member").join(side("centre", "sb"), "centre")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     links = staged(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
     for t in (nodes, sets, pairs):
@@ -246,10 +257,11 @@ def _judged(documents: DataFrame, width: int, percent: int) -> DataFrame:
     def against(centre: DataFrame) -> DataFrame:
         """Pairs of members with the node that `centre` has for their leader."""
         named = staged(centre.join(about.withColumnRenamed("node", "centre"), "centre"), "centres")
-        pairs = members.alias("x").join(named.alias("y"), F.col("x.leader") == F.col("y.leader")).where((F.col("x.node") != F.col("y.centre")) & _near("x", "y", percent, limit))
-        return pairs.select(F.least("x.node", "y.centre").alias("a"), F.greatest("x.node", "y.centre").alias("b"))
+        pairs = members.alias("x").join(named.alias("y"), F.col("x.leader") == F.col("y.leader"))
+        pairs = pairs.where((F.col("x.node") != F.col("y.centre")) & _near("x", "y", percent, limit) & _full_near("x", "y", percent))
+        return _pairs(pairs, "x.node", "y.centre")
 
-    tried = staged(against(members.select("leader").distinct().withColumn("centre", F.col("leader"))).distinct(), "tried")
+    tried = staged(against(members.select("leader").distinct().withColumn("centre", F.col("leader"))), "tried")
     links = _confirmed(tried, documents, reps, width, percent)
     grouped = components(links)
     # Every node against the hub of its leader's group, where they are still apart.
@@ -260,25 +272,29 @@ def _judged(documents: DataFrame, width: int, percent: int) -> DataFrame:
     far = staged(members.alias("x").join(samples.alias("y"), F.col("x.leader") == F.col("y.leader")).select("x.leader", "x.node", apart.alias("apart")), "apart")
     hubs = far.groupBy("leader").agg(F.min_by("node", F.struct("apart", "node")).alias("centre"))
     label = lambda side: grouped.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    second = against(hubs).distinct().join(tried, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    second = against(hubs).join(tried, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    second = second.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "member")
     second = staged(second, "second")
     links = links.union(_confirmed(second, documents, reps, width, percent))
     grouped = components(links)
-    tried = tried.union(second)
+    tried = tried.select("a", "b").union(second.select("a", "b"))
     # What is left: pairs of different components that share a bucket.
     placed = shared.join(grouped, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     placed = staged(placed, "placed")
     in_band = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     open_ = in_band.groupBy("band").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("k > 1").select("band", "largest")
-    rest = staged(placed.join(staged(open_, "open"), "band").join(about, "node"), "rest")
+    # Rows of many bands carry the small sketch only; the full one is looked up for the pairs that it leaves.
+    rest = staged(placed.join(staged(open_, "open"), "band").join(about.select("node", "n_shingles", *LANES), "node"), "rest")
     outside = rest.where("component <> largest")
 
     def between(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
         pairs = x.alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & _near("x", "y", percent, limit))
-        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        return _pairs(pairs, "x.node", "y.node")
 
-    more = between(rest.where("component = largest"), outside, F.lit(True)).union(between(outside, outside, F.col("x.component") < F.col("y.component"))).distinct()
-    more = more.join(tried, ["a", "b"], "left_anti")
+    more = between(outside, rest.where("component = largest"), F.lit(True)).union(between(outside, outside, F.col("x.component") < F.col("y.component")))
+    more = staged(more.join(tried, ["a", "b"], "left_anti"), "more")
+    full = about.select("node", "n_shingles", *FULL)
+    more = more.alias("p").join(full.alias("x"), F.col("p.a") == F.col("x.node")).join(full.alias("y"), F.col("p.b") == F.col("y.node")).where(_full_near("x", "y", percent)).select("a", "b", "member")
     late = _confirmed(more, documents, reps, width, percent)
     final = components(links.union(late))
     named = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))

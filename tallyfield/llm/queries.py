@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, langid, neardup, packing, quality, secrets, tokenfiles, topk, toxicity, urlfilter
 from .common import id_crc, table
+from .oracle import ORACLE as ORACLE
 
 QUALITY_TRAIN_ROWS = 4_000  # labelled rows that the quality model is fitted on, at most
 TOXIC_TRAIN_ROWS = 12_000  # labelled rows that the toxicity model is fitted on, at most
@@ -81,13 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op7_secret_scan": op7_secret_scan,
 }
-
-ORACLE: dict[str, str] = {
-    "op2_exact_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.c, v.c) AS BIGINT) AS score
-              FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.c) = len(v.c) WHERE q.vec_id % 50 = 0),
-        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
-}
