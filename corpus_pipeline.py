@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm import decontaminate, neardup, packing, queries, secrets, toxicity
-from tallyfield.llm.common import id_crc, staged, table
+from tallyfield.llm.common import drop_stage, id_crc, staged, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,20 +34,21 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, queries.tokenizer_path("byte_bpe_50k.json"), 2, 1024, with_ids=False)
+    """Pieces of documents, with their token ids, in sequences of at most 1024 tokens."""
+    return packing.pack(docs, queries.tokenizer_path("byte_bpe_50k.json"), 2, 1024)
 
 
 STAGES = [("toxicity", reject_toxic), ("near_duplicates", drop_near_copies), ("decontamination", cut_benchmark), ("secrets", redact_secrets), ("packing", pack)]
 
-# Scores, similarity components and token ids have no SQL form; tests cover the operators, none compares run() with brute force yet.
+# Scores and token ids have no SQL form; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"pipeline-{name}")
+            drop_stage(before)  # nothing reads it any more
     return docs
