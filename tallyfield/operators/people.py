@@ -21,16 +21,16 @@ def ppda(led: DataFrame) -> DataFrame:
 
 
 def state_rates(ev: DataFrame) -> DataFrame:
-    """Conceded xg and possessions while the conceding team leads, is level or trails."""
-    a = ev.where("kind is not null").withColumn("state", F.expr(STATE))
-    one = a.groupBy(F.col("opp_id").alias("team_id"), "state", "match_id", "possession").agg(F.coalesce(F.sum(F.when(F.col("kind") == "shot", F.col("xg"))), F.lit(0.0)).alias("v"))
+    """Value that opponents add, and their possessions, while the conceding team leads, is level or trails. `ev` has action values."""
+    a = ev.where("action is not null").withColumn("state", F.expr(STATE))
+    one = a.groupBy(F.col("opp_id").alias("team_id"), "state", "match_id", "possession").agg(F.sum(F.greatest("value", F.lit(0.0))).alias("v"))
     g = one.groupBy("team_id", "state").agg(F.round(F.sum("v"), 6).alias("conceded"), F.count("*").alias("possessions"))
     return g.withColumn("rate", ratio("conceded", "possessions"))
 
 
 def entries(ev: DataFrame) -> DataFrame:
     """First move of each possession across x = 80, with its lane."""
-    row = F.struct("idx", "team_id", "player_id", F.expr(pitch.lane(pitch.crossing_y(80))).alias("lane"))
+    row = F.struct("idx", "team_id", "player_id", F.expr(pitch.crossing_lane(80)).alias("lane"))
     return ev.where(F.expr(pitch.crosses(80))).groupBy("match_id", "possession").agg(F.min_by(row, "idx").alias("r")).select("match_id", "possession", "r.*")
 
 
@@ -38,7 +38,7 @@ def dependency(ev: DataFrame, prog: DataFrame) -> DataFrame:
     """Share of a team's final-third entries that a player touched on the way."""
     p = prog.where("idx_final is not null").select("match_id", "possession", "team_id", "idx_final")
     n = p.groupBy("team_id").agg(F.count("*").alias("entries"))
-    touched = ev.where("kind is not null").join(p, ["match_id", "possession", "team_id"]).where("idx <= idx_final").select("team_id", "player_id", "match_id", "possession").distinct()
+    touched = ev.where("action is not null and player_id is not null").join(p, ["match_id", "possession", "team_id"]).where("idx <= idx_final").select("team_id", "player_id", "match_id", "possession").distinct()
     return touched.groupBy("team_id", "player_id").agg(F.count("*").alias("touched")).join(n, "team_id").select("team_id", "player_id", "touched", ratio("touched", "entries").alias("share"))
 
 

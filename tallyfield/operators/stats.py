@@ -37,8 +37,8 @@ def start_table(ev: DataFrame) -> DataFrame:
 
 def progressions(ev: DataFrame) -> DataFrame:
     """First crossing of x = 40 and x = 80 in each possession: idx, lane, player; what came of it."""
-    at = lambda line: F.min_by(F.when(F.expr(pitch.crosses(line)), F.struct("idx", F.expr(pitch.lane(pitch.crossing_y(line))).alias("lane"), "player_id")), F.when(F.expr(pitch.crosses(line)), F.col("idx")))
-    g = ev.where("kind is not null").groupBy("match_id", "possession", "team_id").agg(at(40).alias("mid"), at(80).alias("fin"), F.round(F.max("xg_after"), 6).alias("xg"), F.max(F.col("kind") == "shot").alias("shot"), (F.min_by("x", "idx") < 40).alias("deep"))
+    at = lambda line: F.min_by(F.when(F.expr(pitch.crosses(line)), F.struct("idx", F.expr(pitch.crossing_lane(line)).alias("lane"), "player_id")), F.when(F.expr(pitch.crosses(line)), F.col("idx")))
+    g = ev.where("action is not null").groupBy("match_id", "possession", "team_id").agg(at(40).alias("mid"), at(80).alias("fin"), F.round(F.max("xg_after"), 6).alias("xg"), F.max(F.col("action") == "shot").alias("shot"), (F.min_by("x", "idx") < 40).alias("deep"))
     return g.where("mid is not null or fin is not null").select("match_id", "possession", "team_id", F.col("mid.idx").alias("idx_mid"), F.col("mid.lane").alias("lane_mid"), F.col("fin.idx").alias("idx_final"), F.col("fin.lane").alias("lane_final"), F.col("fin.player_id").alias("player_final"), "xg", "shot", "deep")
 
 
@@ -59,21 +59,21 @@ def ledger(ev: DataFrame) -> DataFrame:
     entry = pitch.crosses(80)
     one = ev.groupBy("match_id", "team_id", "opp_id").agg(
         count_if("type = 'Pass'").alias("passes"),
-        count_if("type = 'Pass' and kind is not null").alias("open_passes"),
-        count_if("type = 'Pass' and kind is not null and sqrt((end_x - x) * (end_x - x) + (end_y - y) * (end_y - y)) > 35").alias("long_passes"),
+        count_if("type = 'Pass' and action is not null and restart is null").alias("open_passes"),
+        count_if("type = 'Pass' and action is not null and restart is null and sqrt((end_x - x) * (end_x - x) + (end_y - y) * (end_y - y)) > 35").alias("long_passes"),
         count_if("type = 'Pass' and x < 72").alias("passes_low"),
-        count_if("type in ('Interception', 'Foul Committed', 'Dispossessed') and x > 48").alias("def_actions"),
+        count_if(f"{pitch.DEFENSIVE} and x > 48").alias("def_actions"),
         F.round(F.coalesce(F.sum(F.when(F.expr("kind = 'shot'"), F.col("xg"))), F.lit(0.0)), 6).alias("xg"),
         count_if("kind = 'shot'").alias("shots"),
     )
-    pos = ev.where("kind is not null").groupBy("match_id", "team_id", "possession").agg(
-        F.min_by("x", "idx").alias("x0"), F.max(F.when(F.expr("kind = 'move'"), F.col("end_x"))).alias("reach"),
-        F.min_by(F.struct("pos_seconds", F.expr(pitch.lane(pitch.crossing_y(80))).alias("lane")), F.when(F.expr(entry), F.col("idx"))).alias("e"), F.max(F.expr(entry)).alias("entered"),
+    pos = ev.where("action is not null").groupBy("match_id", "team_id", "possession").agg(
+        F.min_by("x", "idx").alias("x0"), F.max(F.when(F.expr("action = 'move'"), F.col("end_x"))).alias("reach"),
+        F.min_by(F.struct("pos_seconds", F.expr(pitch.crossing_lane(80)).alias("lane")), F.when(F.expr(entry), F.col("idx"))).alias("e"), F.max(F.expr(entry)).alias("entered"),
     )
     two = pos.groupBy("match_id", "team_id").agg(
         count_if("x0 < 40").alias("deep"), count_if("x0 < 40 and reach >= 80").alias("deep_reached"), count_if("entered").alias("entries"), count_if("entered and e.pos_seconds <= 10").alias("entries_fast"), count_if("entered and e.lane in (0, 4)").alias("entries_wide"),
     )
-    press = ev.where("type = 'Pressure' and not in_possession").groupBy("match_id", "team_id", "possession").agg(F.min_by("x", "idx").alias("px")).groupBy("match_id", "team_id").agg(F.count("*").alias("press_starts"), F.round(F.sum("px"), 6).alias("press_x"))
+    press = ev.where("type = 'Pressure' and not in_possession").groupBy("match_id", "team_id", "possession").agg(F.min_by("x", F.struct("clock", "idx")).alias("px")).groupBy("match_id", "team_id").agg(F.count("*").alias("press_starts"), F.round(F.sum("px"), 6).alias("press_x"))
     cols = ["deep", "deep_reached", "entries", "entries_fast", "entries_wide", "press_starts"]
     led = one.join(two, ["match_id", "team_id"], "left").join(press, ["match_id", "team_id"], "left").fillna(0, cols).fillna(0.0, ["press_x"])
     other = led.select("match_id", F.col("team_id").alias("opp_id"), F.col("passes").alias("opp_passes"), F.col("passes_low").alias("opp_passes_low"), F.col("xg").alias("opp_xg"), F.col("entries").alias("opp_entries"), F.col("entries_wide").alias("opp_entries_wide"))
@@ -113,7 +113,7 @@ def copress_edges(ev: DataFrame, seconds: float = 2.0, least: int = 1) -> DataFr
 
 
 def player_nodes(ev: DataFrame) -> DataFrame:
-    a = ev.where("kind is not null")
+    a = ev.where("action is not null")
     return a.groupBy("team_id", "player_id").agg(F.count("*").alias("n"), F.round(F.percentile("x", F.lit(0.5)), 6).alias("x"), F.round(F.percentile("y", F.lit(0.5)), 6).alias("y"))
 
 
@@ -133,8 +133,8 @@ def setpieces(ev: DataFrame) -> DataFrame:
 
 def results(ev: DataFrame) -> DataFrame:
     """Goals and non-penalty xg of both sides of every match."""
-    goal, shot = "type = 'Shot' and outcome = 'Goal'", "type = 'Shot' and coalesce(sub_type, '') <> 'Penalty'"
-    return ev.groupBy("match_id", "match_date", "team_id", "opp_id", (F.col("team_id") == F.col("home_team_id")).alias("home")).agg(count_if(goal).alias("goals"), F.round(F.coalesce(F.sum(F.when(F.expr(shot), F.col("xg"))), F.lit(0.0)), 6).alias("xg"))
+    shot = "type = 'Shot' and coalesce(sub_type, '') <> 'Penalty'"
+    return ev.where("period <= 4").groupBy("match_id", "match_date", "team_id", "opp_id", (F.col("team_id") == F.col("home_team_id")).alias("home")).agg(count_if(pitch.GOAL).alias("goals"), F.round(F.coalesce(F.sum(F.when(F.expr(shot), F.col("xg"))), F.lit(0.0)), 6).alias("xg"))
 
 
 def asof_calls(res: DataFrame, feature: str = "xg", pseudo: float = 5.0) -> DataFrame:

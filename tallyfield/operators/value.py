@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pitch
 from .stats import count_if, ledger
 
 NX, NY = 16, 12  # fixed values
@@ -14,13 +15,6 @@ GRID = NX * NY
 SHOT, LOSS = GRID, GRID + 1
 PRIOR_LOSSES = 1.0  # fixed value: pseudo losses of each zone
 
-#: As pitch.KIND, with restarts and free kicks at goal; only penalties stay out.
-ACTION = """case when x is null or not coalesce(team_id = possession_team_id, false) then null
-  when type = 'Shot' and coalesce(sub_type, '') <> 'Penalty' then 'shot'
-  when type in ('Pass', 'Carry') and (type = 'Carry' or outcome is null) and end_x is not null then 'move'
-  when type = 'Pass' and outcome is not null then 'turnover'
-  when type in ('Dispossessed', 'Miscontrol') then 'turnover'
-  when type = 'Dribble' and outcome = 'Incomplete' then 'turnover' end"""
 WON = "x is not null and (type = 'Ball Recovery' or type = 'Interception' and coalesce(outcome, '') not in ('Lost', 'Lost In Play', 'Lost Out'))"
 
 # The claims as sum(num) / sum(den) over a team's matches. Threat is what actions add, where they add.
@@ -61,7 +55,7 @@ def action_values(ev: DataFrame) -> DataFrame:
     """Events with action, v_start, v_end and value: what the action added. Null where nothing is valued."""
     table = grid_values(ev).agg(F.sort_array(F.collect_list(F.struct("zone", "value"))).alias("v")).select(F.col("v.value").alias("grid"))
     at = lambda x, y: F.try_element_at("grid", grid_zone(x, y) + 1)
-    e = ev.withColumn("action", F.expr(ACTION)).crossJoin(F.broadcast(table))
+    e = ev.withColumn("action", F.expr(pitch.ACTION)).crossJoin(F.broadcast(table))
     e = e.withColumn("v_start", F.when(F.col("action").isNotNull(), at("x", "y"))).withColumn("v_end", F.when(F.col("action").isNotNull(), at("end_x", "end_y"))).drop("grid")
     gain = F.when(F.col("action") == "move", F.col("v_end") - F.col("v_start")).when(F.col("action") == "shot", F.coalesce("xg", F.lit(0.0)) - F.col("v_start")).when(F.col("action") == "turnover", -F.col("v_start"))
     return e.withColumn("value", gain)

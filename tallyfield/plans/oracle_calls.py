@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import pitch
 from ..operators import matchup, people, scoring
 from ..operators.stats import CLAIMS
-from .oracle import BASE
+from .oracle import BASE, VALUED
 from .oracle import ORACLE as FIRST
 
 U = "CAST('0x' || substr(md5(CAST(match_id AS VARCHAR) || ':' || CAST(rep AS VARCHAR)), 1, 8) AS BIGINT)"
@@ -37,16 +37,16 @@ ORACLE: dict[str, str] = {
         row_number() OVER (PARTITION BY team_id ORDER BY match_date, match_id) - 1 >= floor(count(*) OVER (PARTITION BY team_id) * 0.5) AS later FROM res""",
     "lane_baseline": BASE + "SELECT lane_final AS lane, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM prog WHERE lane_final IS NOT NULL GROUP BY lane_final",
     "ppda": BASE + "SELECT match_id, team_id, round(opp_passes_low / greatest(def_actions, 1), 6) AS ppda FROM led WHERE opp_passes_low > 0",
-    "state_rates": BASE + f""", a AS (SELECT *, {people.STATE} AS state FROM e WHERE kind IS NOT NULL), g AS (SELECT opp_id AS team_id, state, round(coalesce(sum(xg) FILTER (kind = 'shot'), 0), 6) AS conceded, count(DISTINCT (match_id, possession)) AS possessions FROM a GROUP BY ALL)
+    "state_rates": BASE + VALUED + f""", a AS (SELECT *, {people.STATE} AS state FROM av WHERE action IS NOT NULL), g AS (SELECT opp_id AS team_id, state, round(sum(greatest(value, 0)), 6) AS conceded, count(DISTINCT (match_id, possession)) AS possessions FROM a GROUP BY ALL)
         SELECT *, round(conceded / possessions, 6) AS rate FROM g""",
-    "entries": BASE + f"SELECT match_id, possession, min(idx) AS idx, arg_min(team_id, idx) AS team_id, arg_min(player_id, idx) AS player_id, arg_min({pitch.lane(pitch.crossing_y(80))}, idx) AS lane FROM e WHERE {pitch.crosses(80)} GROUP BY ALL",
+    "entries": BASE + f"SELECT match_id, possession, min(idx) AS idx, arg_min(team_id, idx) AS team_id, arg_min(player_id, idx) AS player_id, arg_min({pitch.crossing_lane(80)}, idx) AS lane FROM e WHERE {pitch.crosses(80)} GROUP BY ALL",
     "dependency": BASE + """, p AS (SELECT match_id, possession, team_id, idx_final FROM prog WHERE idx_final IS NOT NULL), n AS (SELECT team_id, count(*) AS entries FROM p GROUP BY team_id),
-        t AS (SELECT team_id, player_id, count(DISTINCT (match_id, possession)) AS touched FROM e JOIN p USING (match_id, possession, team_id) WHERE kind IS NOT NULL AND idx <= idx_final GROUP BY ALL)
+        t AS (SELECT team_id, player_id, count(DISTINCT (match_id, possession)) AS touched FROM e JOIN p USING (match_id, possession, team_id) WHERE action IS NOT NULL AND player_id IS NOT NULL AND idx <= idx_final GROUP BY ALL)
         SELECT team_id, player_id, touched, round(touched / entries, 6) AS share FROM t JOIN n USING (team_id)""",
     "role_leaders": BASE + f""", r AS (SELECT team_id, player_id, unnest(list_filter([{ROLE_LIST}], lambda x: x IS NOT NULL)) AS role FROM e), c AS (SELECT team_id, role, player_id, count(*) AS n FROM r GROUP BY ALL),
         d AS (SELECT *, round(n / sum(n) OVER (PARTITION BY team_id, role), 6) AS share, CAST(row_number() OVER (PARTITION BY team_id, role ORDER BY n DESC, player_id) AS INT) AS place FROM c) SELECT * FROM d WHERE place <= 5""",
     "level_table": BASE + """, d AS (SELECT *, least(greatest(coalesce(period_seconds - lag(period_seconds) OVER (PARTITION BY match_id, period ORDER BY idx), 0), 0), 120) AS dt FROM e), l AS (SELECT * FROM d WHERE home_goals = away_goals),
-        mi AS (SELECT match_id, sum(dt) / 60 AS minutes FROM l GROUP BY match_id HAVING sum(dt) / 60 >= 0.5),
+        mi AS (SELECT match_id, sum(dt) / 60 AS minutes FROM l GROUP BY match_id HAVING sum(dt) / 60 >= 20),
         g AS (SELECT match_id, team_id, coalesce(sum(xg) FILTER (kind = 'shot'), 0) AS xg, count(*) FILTER (type = 'Pass') AS passes, count(*) FILTER (type = 'Pressure') AS presses FROM l GROUP BY ALL)
         SELECT match_id, team_id, round(minutes, 6) AS minutes, round(xg * 90 / minutes, 6) AS xg_90, round(passes * 90 / minutes, 6) AS passes_90, round(presses * 90 / minutes, 6) AS presses_90 FROM g JOIN mi USING (match_id)""",
     "zone_means": BASE + f""", a AS (SELECT {pitch.zone('x', 'y')} AS zone, xg_after FROM e WHERE kind IS NOT NULL), z AS (SELECT zone, avg(xg_after) AS v FROM a GROUP BY zone)

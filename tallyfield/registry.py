@@ -95,7 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger": lambda s, d: stats.ledger(_ev(s, d)),
     "claims": lambda s, d: stats.claims(stats.ledger(_ev(s, d))),
     "opponent_adjustment": lambda s, d: stats.opponent_adjustment(stats.ledger(_ev(s, d))),
-    "copress_edges": lambda s, d: stats.copress_edges(_ev(s, d), 600.0),
+    "copress_edges": lambda s, d: stats.copress_edges(_ev(s, d)),
     "player_nodes": lambda s, d: stats.player_nodes(_kinds(s, d)),
     "zone_graph": lambda s, d: stats.zone_graph(_kinds(s, d)),
     "setpieces": lambda s, d: stats.setpieces(_kinds(s, d)),
@@ -121,11 +121,11 @@ QUERIES |= {
     "fixture_halves": lambda s, d: scoring.fixture_halves(stats.results(_kinds(s, d))),
     "lane_baseline": lambda s, d: scoring.lane_baseline(stats.progressions(_ev(s, d))),
     "ppda": lambda s, d: people.ppda(stats.ledger(_ev(s, d))),
-    "state_rates": lambda s, d: people.state_rates(_ev(s, d)),
+    "state_rates": lambda s, d: people.state_rates(value.action_values(_ev(s, d))),
     "entries": lambda s, d: people.entries(_ev(s, d)),
     "dependency": lambda s, d: people.dependency(_ev(s, d), stats.progressions(_ev(s, d))),
     "role_leaders": lambda s, d: people.role_leaders(_ev(s, d)),
-    "level_table": lambda s, d: people.level_table(_ev(s, d), 0.5),
+    "level_table": lambda s, d: people.level_table(_ev(s, d)),
     "zone_means": lambda s, d: people.zone_means(_ev(s, d)),
     "matchup_chains": lambda s, d: _rounded(matchup.matchup_chains(_counts(s, d), KAPPA)),
     "observed_lanes": lambda s, d: matchup.observed_lanes(_counts(s, d)),
