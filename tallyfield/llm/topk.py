@@ -122,35 +122,37 @@ class CandidateBlock:
         return out
 
     def _descend(self, data: np.ndarray, lists: np.ndarray, q: np.ndarray, top: np.ndarray, own: int, k: int, best: Best) -> Best:
-        n = len(data)
+        n, kind_is_plain = len(data), data.dtype != object
         use = np.flatnonzero(q != 0)
         if not len(use):
             return self._taken(data, q, np.arange(n), own, k, best)
         down, q_use, edge = q[use] > 0, q[use], top[use].copy()
         last = q_use * np.where(down, lists[0, use], lists[-1, use])  # what a list contributes at its end
-        depth, seen, step = np.zeros(len(use), int), np.zeros(n, bool), 8
-        take = max(1, len(use) // 4)
+        depth, seen, step = np.zeros(len(use), int), np.zeros(n, bool), 32
+        take = max(1, len(use) // 2)
         # A tie may still bring a smaller id, so reading goes on at equality.
         while len(best) < k or int(edge.sum()) >= -best[-1][0]:
-            pick = np.argsort(last - edge, kind="stable")[:take]
+            pick = np.argpartition(last - edge, take - 1)[:take] if kind_is_plain else np.argsort(last - edge, kind="stable")[:take]
             at = np.minimum(depth[pick, None] + np.arange(step), n - 1)
             rows = self.order[np.where(down[pick, None], n - 1 - at, at), use[pick, None]]
-            fresh = np.unique(rows[~seen[rows]])
+            met = seen.copy()
+            met[rows.ravel()] = True
+            fresh = np.flatnonzero(met != seen)
             if len(fresh):
-                seen[fresh] = True
                 best = self._taken(data, q, fresh, own, k, best)
+            seen = met
             depth[pick] += step
             if depth.max() >= n:  # one list is read to its end: every row is met
                 rest = np.flatnonzero(~seen)
                 return self._taken(data, q, rest, own, k, best) if len(rest) else best
             edge[pick] = q_use[pick] * lists[np.where(down[pick], n - 1 - depth[pick], depth[pick]), use[pick]]
-            step = min(512, step + step // 2)
+            step *= 2
         return best
 
     def _taken(self, data: np.ndarray, q: np.ndarray, rows: np.ndarray, own: int, k: int, best: Best) -> Best:
         """Rows scored in full; the k best of these and the results so far."""
         self.scored += len(rows)
-        score, ids = data[rows] @ q, self.ids[rows]
+        score, ids = (data @ q)[rows] if 2 * len(rows) > len(data) and data.dtype != object else data[rows] @ q, self.ids[rows]
         keep = ids != own
         if len(best) == k:
             keep &= (score >= -best[-1][0]).astype(bool)
@@ -197,7 +199,7 @@ def scaled(vector: Column, by: int = 256) -> Column:
     return F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * by, F.lit(-9.2e18)), F.lit(9.2e18))).cast("long"))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int = 1024, lane_rows: int = 65_536, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int = 2048, lane_rows: int = 65_536, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query with every other row."""
     spark = vectors.sparkSession
     v = F.col(f"`{vector_column}`")
