@@ -12,6 +12,9 @@ SHOT, LOSS = ZONES, ZONES + 1
 RESTARTS = ("Corner", "Free Kick", "Throw-in", "Goal Kick", "Kick Off")
 
 
+NUDGE = 1e-10  # lifts quotients off decimal ties, so that the last digit does not hang on the order of a sum
+
+
 def steps(value: str, edges: tuple[int, ...]) -> str:
     """How many edges a value has reached; null counts as none."""
     return "(" + " + ".join(f"coalesce(cast({value} >= {e} as int), 0)" for e in edges) + ")"

@@ -56,15 +56,6 @@ def _likelihoods(counts: DataFrame, league: DataFrame) -> DataFrame:
     return c.groupBy("kappa").agg((F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("loglik"))
 
 
-def style_distances(chains: DataFrame) -> DataFrame:
-    """Mean Jensen-Shannon divergence (base 2) of two teams' zone rows."""
-    a, b = chains.alias("a"), chains.alias("b")
-    j = a.join(b, (F.col("a.z0") == F.col("b.z0")) & (F.col("a.out") == F.col("b.out")) & (F.col("a.team_id") < F.col("b.team_id")))
-    m = (F.col("a.p") + F.col("b.p")) / 2
-    part = lambda p: F.when(F.col(p) > 0, F.col(p) * F.log2(F.col(p) / m)).otherwise(0.0)
-    return j.groupBy(F.col("a.team_id").alias("team_a"), F.col("b.team_id").alias("team_b")).agg(F.round(F.sum((part("a.p") + part("b.p")) / 2) / pitch.ZONES, 6).alias("distance"))
-
-
 def values(chains: DataFrame, shots: DataFrame, rounds: int = 400) -> DataFrame:
     """team_id, value of each zone (array): fixed point of V = s g + M V inside the JVM.
     `shots`: z0, g (mean xg of a shot)."""

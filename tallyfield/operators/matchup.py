@@ -119,37 +119,6 @@ def denied(move: np.ndarray, blocked: np.ndarray, adapt: bool) -> np.ndarray:
     return kept
 
 
-def denial_plan(chains: DataFrame, starts: DataFrame, shots: DataFrame, least_usage: float = 0.005) -> DataFrame:
-    """Drop of a team's threat if a region link or all entries to a region are denied, if it adapts and if not.
-    chains: team_id, z0, out, p; starts: team_id, z0, n; shots: z0, g. All scenarios of a team are solved in its group."""
-    n = pitch.ZONES
-    s = starts.groupBy("team_id", "z0").agg(F.sum("n").alias("n"))
-    s = s.withColumn("start", F.col("n") / F.sum("n").over(Window.partitionBy("team_id"))).drop("n")
-    c = chains.join(s, ["team_id", "z0"], "left").join(F.broadcast(shots), "z0", "left").fillna(0.0, ["start", "g"])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        p = np.zeros((n, n + 2))
-        z, o = g["z0"].to_numpy(int), g["out"].to_numpy(int)
-        p[z, o] = g["p"].to_numpy(float)
-        start, shot = np.zeros(n), np.zeros(n)
-        start[z], shot[z] = g["start"].to_numpy(float), g["g"].to_numpy(float)
-        move, gain = p[:, :n], p[:, pitch.SHOT] * shot
-        base = solve(move, gain, start)
-        visits = np.linalg.solve((np.eye(n) - move).T, start)
-        flow, region = visits[:, None] * move, _region(np.arange(n))
-        a, b = np.broadcast_to(region[:, None], (n, n)), np.broadcast_to(region[None, :], (n, n))
-        masks = [(i, j, (a == i) & (b == j)) for i in range(REGIONS) for j in range(REGIONS)] + [(-1, j, (a != j) & (b == j)) for j in range(REGIONS)]
-        rows = []
-        for i, j, blocked in masks:
-            use = float(flow[blocked].sum() / flow.sum())
-            if base > 0 and use >= least_usage:
-                drop = [(base - solve(denied(move, blocked, adapt), gain, start)) / base for adapt in (True, False)]
-                rows.append((g["team_id"].iloc[0], i, j, round(use, 6), round(drop[0], 6), round(drop[1], 6)))
-        return pd.DataFrame(rows, columns=["team_id", "region_from", "region_to", "usage", "drop_adapting", "drop_losing"])
-
-    return c.groupBy("team_id").applyInPandas(run, "team_id long, region_from int, region_to int, usage double, drop_adapting double, drop_losing double")
-
-
 def similar_teams(distances: DataFrame, k: int = 3) -> DataFrame:
     """The k nearest teams of each; ties to the smaller id."""
     both = distances.select("team_a", "team_b", "distance").union(distances.select("team_b", "team_a", "distance"))

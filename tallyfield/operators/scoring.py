@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import pitch
 from .stats import CLAIMS, ratio
 
 # Chances of at most 0..5 of a Poisson variable of mean 1, out of 2^32.
@@ -74,7 +75,7 @@ def calibration(scored: DataFrame, bins: int = 6) -> DataFrame:
     long = scored.selectExpr("outcome", "stack(3, 'home', home, 'draw', draw, 'away', away) as (side, p)")
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
     g = long.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg((F.col("side") == F.col("outcome")).cast("double")).alias("hit"))
-    return g.select("bin", "n", F.round("p", 6).alias("p"), F.round("hit", 6).alias("hit"))
+    return g.select("bin", "n", F.round(F.col("p") + pitch.NUDGE, 6).alias("p"), F.round("hit", 6).alias("hit"))
 
 
 def call_calibration(scored: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def call_calibration(scored: DataFrame) -> DataFrame:
     long = scored.where("scored").selectExpr("model", "outcome", "stack(3, 'home', home, 'draw', draw, 'away', away) as (side, p)")
     b = sum(((F.col("p") >= e).cast("int") for e in CALL_EDGES), F.lit(0))
     g = long.groupBy("model", b.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg((F.col("side") == F.col("outcome")).cast("double")).alias("hit"))
-    return g.select("model", "bin", "n", F.round("p", 6).alias("p"), F.round("hit", 6).alias("hit"))
+    return g.select("model", "bin", "n", F.round(F.col("p") + pitch.NUDGE, 6).alias("p"), F.round("hit", 6).alias("hit"))
 
 
 def fixture_halves(res: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ ORACLE: dict[str, str] = {
     "pooled_skill": BASE + """SELECT count(*) AS n, round(1 - sum(pow(actual - call, 2)) / nullif(sum(pow(actual - league, 2)), 0), 6) AS skill, round(1 - sum(pow(actual - own, 2)) / nullif(sum(pow(actual - league, 2)), 0), 6) AS skill_team,
         round(avg(CAST(abs(actual - call) < abs(actual - league) AS DOUBLE)), 6) AS closer FROM calls""",
     "ranked_scores": SCORED + "SELECT *, round((pow(home - CASE WHEN outcome = 'home' THEN 1 ELSE 0 END, 2) + pow(home + draw - CASE WHEN outcome = 'away' THEN 0 ELSE 1 END, 2)) / 2, 6) AS rps FROM sc",
-    "calibration": SCORED + ", l AS (SELECT outcome, 'home' AS side, home AS p FROM sc UNION ALL SELECT outcome, 'draw', draw FROM sc UNION ALL SELECT outcome, 'away', away FROM sc) SELECT CAST(least(floor(p * 6), 5) AS INT) AS bin, count(*) AS n, round(avg(p), 6) AS p, round(avg(CAST(side = outcome AS DOUBLE)), 6) AS hit FROM l GROUP BY 1",
+    "calibration": SCORED + ", l AS (SELECT outcome, 'home' AS side, home AS p FROM sc UNION ALL SELECT outcome, 'draw', draw FROM sc UNION ALL SELECT outcome, 'away', away FROM sc) SELECT CAST(least(floor(p * 6), 5) AS INT) AS bin, count(*) AS n, round(avg(p) + 1e-10, 6) AS p, round(avg(CAST(side = outcome AS DOUBLE)), 6) AS hit FROM l GROUP BY 1",
     "fixture_halves": BASE + """SELECT match_id, team_id, CAST((row_number() OVER (PARTITION BY team_id ORDER BY match_id) - 1) % 2 AS INT) AS half,
         row_number() OVER (PARTITION BY team_id ORDER BY match_date, match_id) - 1 >= floor(count(*) OVER (PARTITION BY team_id) * 0.5) AS later FROM res""",
     "lane_baseline": BASE + "SELECT lane_final AS lane, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM prog WHERE lane_final IS NOT NULL GROUP BY lane_final",
@@ -55,11 +55,9 @@ ORACLE: dict[str, str] = {
         tb AS (SELECT opp_id, z0, "out", (coalesce(n, 0) + 30 * p) / (sum(coalesce(n, 0)) OVER (PARTITION BY opp_id, z0) + 30) AS pb FROM (SELECT DISTINCT opp_id FROM ot) CROSS JOIN lg LEFT JOIN cc USING (opp_id, z0, "out")),
         j AS (SELECT team_id, opp_id, z0, "out", tc.p * CASE WHEN lg.p > 0 THEN least(greatest(pb / lg.p, {matchup.CLIP[0]}), {matchup.CLIP[1]}) ELSE 1 END AS p
             FROM (SELECT DISTINCT team_id, opp_id FROM ot) JOIN tc USING (team_id) JOIN tb USING (opp_id, z0, "out") JOIN lg USING (z0, "out"))
-        SELECT team_id, opp_id, z0, "out", round(p / sum(p) OVER (PARTITION BY team_id, opp_id, z0), 6) AS p FROM j""",
+        SELECT team_id, opp_id, z0, "out", round(p / sum(p) OVER (PARTITION BY team_id, opp_id, z0) + 1e-10, 6) AS p FROM j""",
     "observed_lanes": BASE + f"""SELECT team_id, {pitch.lane(matchup.middle_crossing('z0', '"out"'))} AS lane, CAST(sum(n) AS BIGINT) AS n FROM ot WHERE "out" < {pitch.ZONES} AND floor(z0 / 5) < 4 AND floor("out" / 5) >= 4 GROUP BY ALL""",
     "entropy_rates": f"WITH g AS ({FIRST['zone_graph']}), w AS (SELECT *, sum(n) OVER (PARTITION BY team_id, r0) AS rw, sum(n) OVER (PARTITION BY team_id) AS t FROM g) SELECT team_id, round(-sum(n / t * log2(n / rw)), 6) AS entropy FROM w GROUP BY team_id",
     "reciprocity": f"""WITH g AS ({FIRST['zone_graph']}), u AS (SELECT team_id, least(r0, r1) AS a, greatest(r0, r1) AS b, sum(n) AS gross, abs(sum(CASE WHEN r0 < r1 THEN n ELSE -n END)) AS net FROM g WHERE r0 <> r1 GROUP BY ALL)
         SELECT team_id, round(1 - sum(net) / sum(gross), 6) AS reciprocity FROM u GROUP BY team_id""",
-    "similar_teams": f"""WITH d AS ({FIRST['style_distances']}), b AS (SELECT team_a, team_b, distance FROM d UNION ALL SELECT team_b, team_a, distance FROM d),
-        r AS (SELECT team_a AS team_id, team_b AS other, CAST(row_number() OVER (PARTITION BY team_a ORDER BY distance, team_b) AS INT) AS place, distance FROM b) SELECT * FROM r WHERE place <= 3""",
 }

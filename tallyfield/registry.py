@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chain, enrich, matchup, people, scoring, stats, value
+from .functions import pitch
+from .operators import chain, enrich, matchup, people, scoring, season, stats, value
 from .plans.oracle import ORACLE as _ORACLE
 from .plans.oracle_calls import ORACLE as _CALLS
+from .plans.oracle_season import ORACLE as _SEASON
 from .sources.adapters import load
 
 KAPPA = 30.0
@@ -33,7 +35,7 @@ def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("p", F.round("p", 6))
+    return df.withColumn("p", F.round(F.col("p") + pitch.NUDGE, 6))
 
 
 def result_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,57 @@ def season_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matchup.matchup_chains(c, chain.select_kappa(c)))
 
 
+def _season(spark: SparkSession, sf_dir: str, kappa: float | None = KAPPA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Counts and starts, built once, and the cells and zones of all chains. Without kappa, the best of the grid."""
+    ev = _kinds(spark, sf_dir)
+    counts, starts = season.once(stats.outcome_table(ev)), season.once(stats.start_table(ev))
+    cells, zones = season.season_chains(counts, starts, chain.select_kappa(counts) if kappa is None else kappa)
+    return counts, starts, cells, zones
+
+
+def team_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, cells, zones = _season(spark, sf_dir)
+    s = season.solved(cells, zones, "side", "team_id").join(zones.select("side", "team_id", "z0", "g"), ["side", "team_id", "z0"])
+    return s.select("side", "team_id", "z0", *(F.round(F.col(c) + pitch.NUDGE, 6).alias(c) for c in ("g", "start", "value", "visits")))
+
+
+def team_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, cells, zones = _season(spark, sf_dir)
+    t = season.threats(season.solved(cells, zones, "side", "team_id"), "side", "team_id")
+    return t.select("side", "team_id", F.round("threat", 6).alias("threat"))
+
+
+def style_distances(spark: SparkSession, sf_dir: str, kappa: float | None = KAPPA) -> DataFrame:
+    _, _, cells, zones = _season(spark, sf_dir, kappa)
+    c, z = (df.where("side = 'attack'").drop("side") for df in (cells, zones))
+    return season.distances(c, season.solved(c, z, "team_id"))
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, cells, zones = _season(spark, sf_dir)
+    return season.region_flows(cells, season.solved(cells, zones, "side", "team_id"), "side", "team_id")
+
+
+def entry_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, cells, zones = _season(spark, sf_dir)
+    return season.entry_lanes(cells, season.solved(cells, zones, "side", "team_id"), "side", "team_id").withColumn("share", F.round("share", 6))
+
+
+def matchup_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts, _, cells, zones = _season(spark, sf_dir)
+    return season.matchups(cells, zones, counts.select("team_id", "opp_id").distinct())
+
+
+def reidentification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts, starts, _, _ = _season(spark, sf_dir)
+    return season.reidentified(season.half_distances(counts, starts, KAPPA))
+
+
+def denial_plan(spark: SparkSession, sf_dir: str, kappa: float | None = KAPPA) -> DataFrame:
+    counts, _, cells, zones = _season(spark, sf_dir, kappa)
+    return season.denial_plan(cells, zones, counts)
+
+
 def team_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(_counts(spark, sf_dir), KAPPA)
 
@@ -103,7 +156,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "asof_calls": lambda s, d: stats.asof_calls(stats.results(_kinds(s, d))),
     "league_chain": lambda s, d: _rounded(chain.league_chain(_counts(s, d))),
     "team_chains": lambda s, d: _rounded(chain.team_chains(_counts(s, d), KAPPA)),
-    "style_distances": lambda s, d: chain.style_distances(chain.team_chains(_counts(s, d), KAPPA)),
+    "style_distances": style_distances,
+    "team_zones": team_zones,
+    "team_threats": team_threats,
+    "region_flows": lambda s, d: _flows(s, d).withColumn("flow", F.round("flow", 6)),
+    "strongest_links": lambda s, d: season.strongest_links(_flows(s, d)),
+    "leaks": lambda s, d: season.leaks(_flows(s, d)),
+    "entry_lanes": entry_lanes,
+    "matchup_outlook": matchup_outlook,
+    "reidentification": reidentification,
+    "style_map": lambda s, d: season.scaled(style_distances(s, d)),
     "kappa_scores": lambda s, d: chain.kappa_scores(_counts(s, d)),
     "team_values": team_values,
     "result_chances": result_chances,
@@ -131,9 +193,9 @@ QUERIES |= {
     "observed_lanes": lambda s, d: matchup.observed_lanes(_counts(s, d)),
     "entropy_rates": lambda s, d: matchup.entropy_rates(stats.zone_graph(_kinds(s, d))),
     "reciprocity": lambda s, d: matchup.reciprocity(stats.zone_graph(_kinds(s, d))),
-    "similar_teams": lambda s, d: matchup.similar_teams(chain.style_distances(chain.team_chains(_counts(s, d), KAPPA))),
+    "similar_teams": lambda s, d: matchup.similar_teams(style_distances(s, d)),
     "graph_measures": lambda s, d: matchup.graph_measures(stats.zone_graph(_kinds(s, d))),
-    "denial_plan": lambda s, d: matchup.denial_plan(chain.team_chains(_counts(s, d), KAPPA), stats.start_table(_kinds(s, d)), chain.shot_quality(_counts(s, d))),
+    "denial_plan": denial_plan,
 }
 
 QUERIES |= {
@@ -144,14 +206,14 @@ QUERIES |= {
     "level_rates": lambda s, d: people.level_rates(_ev(s, d)),
     "selected_kappa": lambda s, d: chain.select_kappa(_counts(s, d)),
     "season_chains": lambda s, d: _rounded(_season_chains(s, d)),
-    "season_distances": lambda s, d: chain.style_distances(_season_chains(s, d)),
-    "season_similar_teams": lambda s, d: matchup.similar_teams(chain.style_distances(_season_chains(s, d))),
+    "season_distances": lambda s, d: style_distances(s, d, None),
+    "season_similar_teams": lambda s, d: matchup.similar_teams(style_distances(s, d, None)),
     "season_values": season_values,
     "season_matchups": season_matchups,
-    "season_denial_plan": lambda s, d: matchup.denial_plan(_season_chains(s, d), stats.start_table(_kinds(s, d)), chain.shot_quality(_counts(s, d))),
+    "season_denial_plan": lambda s, d: denial_plan(s, d, None),
     "result_calls": lambda s, d: stats.result_calls(stats.results(_kinds(s, d))),
     "result_call_scores": result_call_scores,
     "result_call_calibration": lambda s, d: scoring.call_calibration(result_call_scores(s, d)),
 }
 
-ORACLE: dict[str, str] = _ORACLE | _CALLS
+ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON
