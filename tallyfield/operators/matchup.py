@@ -84,7 +84,7 @@ def circulation_of(m: np.ndarray) -> float:
     net = np.triu(m - m.T, 1)
     i, j = np.nonzero(np.triu(m + m.T, 1))
     if not len(i) or not (net[i, j] ** 2).sum():
-        return 0.0
+        return float("nan")
     d = np.zeros((len(i), len(m)))
     d[np.arange(len(i)), i], d[np.arange(len(i)), j] = 1, -1
     y = net[i, j]
@@ -92,14 +92,15 @@ def circulation_of(m: np.ndarray) -> float:
     return float((rest**2).sum() / (y**2).sum())
 
 
-def graph_measures(graph: DataFrame) -> DataFrame:
+def graph_measures(graph: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Spectral gap and circulation of each team's region moves: at most 225 rows a group."""
+    keys = keys or ["team_id"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         m = _matrix(g)
-        return pd.DataFrame({"team_id": [g["team_id"].iloc[0]], "spectral_gap": [round(spectral_gap_of(m), 6)], "circulation": [round(circulation_of(m), 6)]})
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "spectral_gap": [round(spectral_gap_of(m), 6)], "circulation": [round(circulation_of(m), 6)]})
 
-    return graph.select("team_id", "r0", "r1", "n").groupBy("team_id").applyInPandas(run, "team_id long, spectral_gap double, circulation double")
+    return graph.select(*keys, "r0", "r1", "n").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} long" for k in keys) + ", spectral_gap double, circulation double")
 
 
 def _region(z: np.ndarray) -> np.ndarray:

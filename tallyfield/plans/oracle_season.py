@@ -62,7 +62,7 @@ dj AS (SELECT a.team_id AS team_a, b.team_id AS team_b, (a.w + b.w) / 2 AS w, a.
 di AS (SELECT team_a, team_b, round(sum(w * (CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2), 6) AS distance FROM dj GROUP BY ALL)"""
 
 ORACLE: dict[str, str] = {
-    "team_zones": SOLVED + " SELECT side, team_id, z0, , ".join(f"round({c} + {pitch.NUDGE}, 6) AS {c}" for c in ("g", "start", "value", "visits")) + " FROM sv",
+    "team_zones": SOLVED + " SELECT side, team_id, z0, " + ", ".join(f"round({c} + {pitch.NUDGE}, 6) AS {c}" for c in ("g", "start", "value", "visits")) + " FROM sv",
     "team_threats": SOLVED + " SELECT side, team_id, round(sum(start * value), 6) AS threat FROM sv GROUP BY ALL",
     "region_flows": FLOW + " SELECT side, team_id, r0, r1, round(flow, 6) AS flow FROM fl",
     "strongest_links": FLOW + " SELECT side, team_id, r0, r1, place, round(flow, 6) AS flow, round(flow / nullif(usual, 0), 6) AS vs_league FROM (SELECT *, CAST(row_number() OVER (PARTITION BY side, team_id ORDER BY round(flow, 9) DESC, r0, r1) AS INT) AS place FROM fu) WHERE place <= 10",

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pitch
-from .operators import chain, enrich, matchup, people, scoring, season, stats, value
+from .operators import audit, chain, enrich, matchup, people, scoring, season, stats, value
 from .plans.oracle import ORACLE as _ORACLE
+from .plans.oracle_audit import ORACLE as _AUDIT
 from .plans.oracle_calls import ORACLE as _CALLS
 from .plans.oracle_season import ORACLE as _SEASON
 from .sources.adapters import load
@@ -216,4 +217,40 @@ QUERIES |= {
     "result_call_calibration": lambda s, d: scoring.call_calibration(result_call_scores(s, d)),
 }
 
-ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON
+LEAST_POSSESSIONS = 5  # the test events have some fifteen possessions for each team-match; the reference's twenty is the operator's default
+
+
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = _kinds(spark, sf_dir)
+    return audit.season_table(season.once(stats.outcome_table(ev)), season.once(stats.start_table(ev)), least_possessions=LEAST_POSSESSIONS)
+
+
+def _long(spark: SparkSession, sf_dir: str, features: tuple[str, ...] = audit.SQL_FEATURES) -> DataFrame:
+    return season.once(audit.long_form(_table(spark, sf_dir), load(spark, sf_dir), features))
+
+
+def _rounded_all(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(F.col(c) + pitch.NUDGE, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return season.once(audit.asof(_long(spark, sf_dir)))
+
+
+QUERIES |= {
+    "season_table": lambda s, d: _rounded_all(_table(s, d)),
+    "season_features": lambda s, d: _rounded_all(_table(s, d).drop(*audit.SOLVED_FEATURES)),
+    "graph_feature_audit": lambda s, d: audit.audit(season.once(audit.loo(_long(s, d, audit.SOLVED_FEATURES)))),
+    "graph_feature_skills": lambda s, d: audit.skills(season.once(audit.asof(_long(s, d, audit.SOLVED_FEATURES)))),
+    "feature_calls": lambda s, d: _rounded_all(audit.asof(_long(s, d))),
+    "feature_audit": lambda s, d: audit.audit(season.once(audit.loo(_long(s, d)))),
+    "feature_skills": lambda s, d: audit.skills(_calls(s, d)),
+    "team_call_shares": lambda s, d: audit.team_shares(_calls(s, d)),
+    "pseudo_matches": lambda s, d: _rounded_all(audit.pseudo_matches(_long(s, d))),
+    "rule_rows": lambda s, d: _rounded_all(audit.rule_rows(_calls(s, d))),
+    "rule_premises": lambda s, d: audit.premises(season.once(audit.rule_rows(_calls(s, d)))),
+    "game_rule_premises": lambda s, d: audit.premises(season.once(audit.rule_rows(_calls(s, d), audit.GAME_RULES, "usual"))),
+    "instructions": lambda s, d: audit.instructions(audit.rule_rows(_calls(s, d), audit.GAME_RULES, "usual")),
+}
+
+ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON | _AUDIT
