@@ -283,18 +283,16 @@ def _judged(documents: DataFrame, width: int, percent: int) -> DataFrame:
     placed = staged(placed, "placed")
     in_band = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     open_ = in_band.groupBy("band").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("k > 1").select("band", "largest")
-    # Rows of many bands carry the small sketch only; the full one is looked up for the pairs that it leaves.
-    rest = staged(placed.join(staged(open_, "open"), "band").join(about.select("node", "n_shingles", *LANES), "node"), "rest")
+    # Both sketches travel with the rows of a band: without the full one the join would let through too many pairs.
+    rest = staged(placed.join(staged(open_, "open"), "band").join(about, "node"), "rest")
     outside = rest.where("component <> largest")
 
     def between(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
-        pairs = x.alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & _near("x", "y", percent, limit))
+        pairs = x.alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & _near("x", "y", percent, limit) & _full_near("x", "y", percent))
         return _pairs(pairs, "x.node", "y.node")
 
     more = between(outside, rest.where("component = largest"), F.lit(True)).union(between(outside, outside, F.col("x.component") < F.col("y.component")))
-    more = staged(more.join(tried, ["a", "b"], "left_anti"), "more")
-    full = about.select("node", "n_shingles", *FULL)
-    more = more.alias("p").join(full.alias("x"), F.col("p.a") == F.col("x.node")).join(full.alias("y"), F.col("p.b") == F.col("y.node")).where(_full_near("x", "y", percent)).select("a", "b", "member")
+    more = more.join(tried, ["a", "b"], "left_anti")
     late = _confirmed(more, documents, reps, width, percent)
     final = components(links.union(late))
     named = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
