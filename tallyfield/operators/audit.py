@@ -83,7 +83,8 @@ def graph_features(moves: DataFrame) -> DataFrame:
     g = r.where("r0 <> r1").groupBy(*unit, F.least("r0", "r1").alias("a"), F.greatest("r0", "r1").alias("b"))
     g = g.agg(F.sum("n").alias("gross"), F.abs(F.sum(F.when(F.col("r0") < F.col("r1"), F.col("n")).otherwise(-F.col("n")))).alias("net"))
     back = g.groupBy(*unit).agg((1 - _over(F.sum("net"), F.sum("gross"))).alias("reciprocity"))
-    solved = graph_measures(r, unit).withColumnRenamed("circulation", "hodge_circulation")
+    known = F.when(~F.isnan("circulation"), F.col("circulation"))  # undefined without net flow
+    solved = graph_measures(r, unit).withColumn("hodge_circulation", known).drop("circulation")
     return entropy.join(back, unit, "left").join(solved, unit, "left")
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pitch
-from .operators import audit, chain, enrich, matchup, people, scoring, season, stats, value
+from .operators import audit, chain, enrich, matchup, people, players, scoring, season, stats, value
 from .plans.oracle import ORACLE as _ORACLE
 from .plans.oracle_audit import ORACLE as _AUDIT
 from .plans.oracle_calls import ORACLE as _CALLS
+from .plans.oracle_players import ORACLE as _PLAYERS
 from .plans.oracle_season import ORACLE as _SEASON
-from .sources.adapters import load
+from .sources.adapters import line_ups, load
 
 KAPPA = 30.0
 EVENT_COLUMNS = ["event_id", "kind", "restart", "phase", "bucket", "xg_after", "goal_after", "pos_start_x", "pos_first_type", "pos_xg", "pos_shot", "pos_seconds", "transition", "home_goals", "away_goals"]
@@ -253,4 +254,47 @@ QUERIES |= {
     "instructions": lambda s, d: audit.instructions(audit.rule_rows(_calls(s, d), audit.GAME_RULES, "usual")),
 }
 
-ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON | _AUDIT
+LEAST_ACTIONS = 20  # players of the test events have some forty actions; the reference's 150 is the operators' default
+
+
+def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return players.player_actions(_kinds(spark, sf_dir))
+
+
+def _cells_of_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return season.once(players.player_cells(_acts(spark, sf_dir)))
+
+
+def _missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = players.opponent_adjusted_rates(_acts(spark, sf_dir))
+    return players.missed_matches(_cells_of_players(spark, sf_dir), rates, line_ups(load(spark, sf_dir)), LEAST_ACTIONS)
+
+
+def _lineup_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _long(spark, sf_dir)
+    return players.lineup_calls(audit.asof(long), long, season.once(line_ups(load(spark, sf_dir))))
+
+
+def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value.action_values(_ev(spark, sf_dir))
+
+
+QUERIES |= {
+    "player_cells": lambda s, d: players.player_cells(_acts(s, d)),
+    "removal_effects": lambda s, d: players.removal_effects(_cells_of_players(s, d), LEAST_ACTIONS),
+    "opponent_adjusted_rates": lambda s, d: _rounded_all(players.opponent_adjusted_rates(_acts(s, d))),
+    "missed_matches": _missed,
+    "absence_summary": lambda s, d: players.absence_summary(season.once(_missed(s, d))),
+    "line_ups": lambda s, d: line_ups(load(s, d)),
+    "missing_regulars": lambda s, d: players.missing_regulars(line_ups(load(s, d)), load(s, d).select("match_id", "match_date").distinct()),
+    "lineup_calls": lambda s, d: _rounded_all(_lineup_calls(s, d)),
+    "lineup_skill_differences": lambda s, d: players.skill_differences(season.once(_lineup_calls(s, d))),
+    "involvement": lambda s, d: players.involvement(_valued(s, d)),
+    "passing_edges": lambda s, d: players.passing_edges(_valued(s, d)),
+    "pressing_nodes": lambda s, d: players.pressing_nodes(_ev(s, d)),
+    "press_starts": lambda s, d: players.press_starts(_ev(s, d)),
+    "pressed_shares": lambda s, d: players.pressed_shares(players.press_starts(_ev(s, d))),
+    "head_to_head": lambda s, d: players.head_to_head(load(s, d).withColumn("opp_id", F.expr("case when team_id = home_team_id then away_team_id else home_team_id end"))),
+}
+
+ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON | _AUDIT | _PLAYERS

@@ -46,3 +46,15 @@ def match_events(events: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+STARTED, CAME_ON, UNUSED = '[{"start_reason": "Starting XI"}]', '[{"start_reason": "Substitution - On"}]', "[]"
+
+
+def line_ups(ev: DataFrame) -> DataFrame:
+    """A line-up for each team-match: the first eleven players to act start, others who act come on, the rest of the squad is unused."""
+    seen = ev.where("player_id % 10 = team_id").groupBy("match_id", "team_id", "player_id").agg(F.min("idx").alias("idx"))
+    squad = seen.select("team_id", "player_id").distinct().join(seen.select("team_id", "match_id").distinct(), "team_id")
+    full = squad.join(seen, ["match_id", "team_id", "player_id"], "left")
+    place = F.row_number().over(Window.partitionBy("match_id", "team_id").orderBy(F.col("idx").asc_nulls_last(), "player_id"))
+    return full.withColumn("place", place).select("match_id", "team_id", "player_id", F.when(F.col("idx").isNull(), UNUSED).when(F.col("place") <= 11, STARTED).otherwise(CAME_ON).alias("positions"))
