@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pitch
-from .operators import audit, chain, enrich, matchup, people, players, scoring, season, stats, value
+from .operators import audit, chain, enrich, experiments, matchup, people, players, reliability, scoring, season, stats, value
 from .plans.oracle import ORACLE as _ORACLE
 from .plans.oracle_audit import ORACLE as _AUDIT
 from .plans.oracle_calls import ORACLE as _CALLS
@@ -297,4 +297,28 @@ QUERIES |= {
     "head_to_head": lambda s, d: players.head_to_head(load(s, d).withColumn("opp_id", F.expr("case when team_id = home_team_id then away_team_id else home_team_id end"))),
 }
 
+def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reliability.claim_estimates(season.once(value.season_ledger(_ev(spark, sf_dir))), value.SEASON_CLAIMS)
+
+
+def _matchup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts, starts, _, _ = _season(spark, sf_dir)
+    return experiments.matchup_rows(counts, starts, KAPPA, least_possessions=LEAST_POSSESSIONS)
+
+
+def _link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts, starts, _, _ = _season(spark, sf_dir)
+    return experiments.link_rows(counts, LEAST_POSSESSIONS, starts)
+
+
+QUERIES |= {
+    "claim_estimates": _estimates,
+    "half_agreement": lambda s, d: reliability.half_agreement(_estimates(s, d)),
+    "matchup_rows": lambda s, d: _rounded_all(_matchup_rows(s, d)),
+    "matchup_summary": lambda s, d: experiments.matchup_summary(season.once(_matchup_rows(s, d))),
+    "link_rows": _link_rows,
+    "link_slopes": lambda s, d: experiments.link_slopes(_link_rows(s, d)),
+    "denial_agreement": lambda s, d: experiments.denial_agreement(_link_rows(s, d), denial_plan(s, d)),
+}
+
 ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON | _AUDIT | _PLAYERS
