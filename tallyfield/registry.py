@@ -14,6 +14,7 @@ from .plans.oracle_audit import ORACLE as _AUDIT
 from .plans.oracle_calls import ORACLE as _CALLS
 from .plans.oracle_players import ORACLE as _PLAYERS
 from .plans.oracle_season import ORACLE as _SEASON
+from .plans.oracle_trust import ORACLE as _TRUST
 from .sources.adapters import line_ups, load
 
 KAPPA = 30.0
@@ -321,4 +322,4 @@ QUERIES |= {
     "denial_agreement": lambda s, d: experiments.denial_agreement(_link_rows(s, d), denial_plan(s, d)),
 }
 
-ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON | _AUDIT | _PLAYERS
+ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON | _AUDIT | _PLAYERS | _TRUST
