@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pitch
-from .operators import audit, chain, enrich, experiments, matchup, people, players, reliability, scoring, season, stats, value
+from .operators import audit, chain, delivery, enrich, experiments, matchup, people, players, reliability, scoring, season, stats, value
 from .plans.oracle import ORACLE as _ORACLE
 from .plans.oracle_audit import ORACLE as _AUDIT
 from .plans.oracle_calls import ORACLE as _CALLS
@@ -312,7 +312,16 @@ def _link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.link_rows(counts, LEAST_POSSESSIONS, starts)
 
 
+def team_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts, _, cells, zones = _season(spark, sf_dir, None)
+    solved = season.once(season.solved(cells, zones, "side", "team_id"))
+    flows = season.region_flows(cells, solved, "side", "team_id")
+    c, z = (df.where("side = 'attack'").drop("side") for df in (cells, solved))
+    return delivery.team_pages(_estimates(spark, sf_dir), season.strongest_links(flows), season.denial_plan(cells, zones, counts), season.leaks(flows), matchup.similar_teams(season.distances(c, z)))
+
+
 QUERIES |= {
+    "team_pages": team_pages,
     "claim_estimates": _estimates,
     "half_agreement": lambda s, d: reliability.half_agreement(_estimates(s, d)),
     "matchup_rows": lambda s, d: _rounded_all(_matchup_rows(s, d)),
