@@ -82,7 +82,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20)
 
 def rows_and_text(documents: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One struct `row` of the columns to carry along, whatever their names (all but text by default), and `text`.
-    Arrow batches are kept small, for texts may be long and both sides hold a batch outside the heap."""
+    Arrow batches of the session are kept small from here on, for texts may be long and both sides hold a batch outside
+    the heap; the setting is read when a job starts, so it cannot be put back here."""
     documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     names = columns or [c for c in documents.columns if c != "text"]
     return documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").alias("text"))

@@ -102,7 +102,7 @@ def _urls(most_branches: int = 50, strength: str = "5e0", prior: str = "1e-1", r
         FROM i{k} i JOIN b{k} g ON i.host = g.host AND i.node = g.node AND i.seg = g.seg JOIN f{k} f ON g.host = f.host AND g.node = f.node AND g.branch = f.branch)"""
     ends = " UNION ALL ".join(f"SELECT host, s, node, purity FROM t{k} WHERE len(s) = {k}" for k in range(URL_LEVELS + 1))
     return sql + rf"""
-    SELECT page_id, base.host, path, rule, coalesce(said, CASE WHEN purity >= {reject} THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN node = '' THEN '/' ELSE node END AS template, purity
+    SELECT page_id, base.host, path, rule, coalesce(said, CASE WHEN purity >= {reject} THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN node = '' THEN '/' ELSE node END AS template, round(purity, 9) AS purity
     FROM base JOIN ({ends}) k ON base.host = k.host AND base.s = k.s"""
 
 

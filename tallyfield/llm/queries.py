@@ -57,7 +57,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(table(spark, sf_dir, "pages")).withColumn("purity", F.round("purity", 9))
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
