@@ -70,6 +70,43 @@ def ranked_scores(chances: DataFrame, res: DataFrame, *keys: str) -> DataFrame:
     return j.select("match_id", *keys, "outcome", "home", "draw", "away", F.round(F.expr(rps), 6).alias("rps"))
 
 
+def team_calls(chances: DataFrame, res: DataFrame, calls: DataFrame) -> DataFrame:
+    """Result calls of the xg model and the base rates as each side of a match sees them, with expected and won points.
+    `calls` are the as-of calls of every (match_id, team_id); the opponent's own row is what it is called to make.
+    Matches without calls of both sides have no row."""
+    one = lambda model: chances.where(F.col("model") == model)
+    x = one("xg").select("match_id", "scored", "home_rate", "away_rate", *(F.col(c).alias(f"x_{c}") for c in ("home", "draw", "away")))
+    b = one("base").select("match_id", *(F.col(c).alias(f"b_{c}") for c in ("home", "draw", "away")))
+    them = res.select("match_id", F.col("team_id").alias("opp_id"), F.col("goals").alias("goals_against"))
+    they = calls.select("match_id", F.col("team_id").alias("opp_id"), F.col("call").alias("call_against"), F.col("actual").alias("actual_against"))
+    we = calls.select("match_id", "team_id", "league", F.col("call").alias("call_for"), F.col("actual").alias("actual_for"))
+    j = res.select("match_id", "team_id", "opp_id", F.col("home").alias("at_home"), "goals").join(them, ["match_id", "opp_id"])
+    j = j.join(x, "match_id").join(b, "match_id").join(we, ["match_id", "team_id"]).join(they, ["match_id", "opp_id"])
+    side = lambda h, a: F.when(F.col("at_home"), F.col(h)).otherwise(F.col(a))
+    j = j.withColumn("result", F.expr("case when goals > goals_against then 'win' when goals = goals_against then 'draw' else 'loss' end"))
+    for k, v in (("rate_for", side("home_rate", "away_rate")), ("rate_against", side("away_rate", "home_rate")), ("win", side("x_home", "x_away")), ("loss", side("x_away", "x_home")),
+                 ("base_win", side("b_home", "b_away")), ("base_loss", side("b_away", "b_home"))):
+        j = j.withColumn(k, v)
+    j = j.withColumn("draw", F.col("x_draw")).withColumn("base_draw", F.col("b_draw"))
+    rps = lambda p: F.round(F.expr(f"(pow({p}win - if(result = 'win', 1, 0), 2) + pow({p}win + {p}draw - if(result = 'loss', 0, 1), 2)) / 2"), 6)
+    points = F.expr("case result when 'win' then 3 when 'draw' then 1 else 0 end")
+    return j.select("match_id", "team_id", "opp_id", "scored", "rate_for", "rate_against", "league", "call_for", "call_against", "actual_for", "actual_against", "win", "draw", "loss",
+                    "base_win", "base_draw", "base_loss", "result", rps("").alias("rps"), rps("base_").alias("rps_base"), F.round(F.expr("3 * win + draw"), 6).alias("expected_points"), points.alias("points"))
+
+
+def team_call_summary(calls: DataFrame) -> DataFrame:
+    """Each team's rows of `team_calls` together: scores, top picks that came true (ties to the better result), points, and
+    for both sides how often the call was closer than the league mean, its skill over that mean, and the sums."""
+    pick = F.expr("case when win >= draw and win >= loss then 'win' when draw >= loss then 'draw' else 'loss' end")
+    sums = [F.count("*").alias("n"), F.round(F.avg("rps"), 6).alias("rps"), F.round(F.avg("rps_base"), 6).alias("rps_base"), F.sum((pick == F.col("result")).cast("long")).alias("top_pick_right"),
+            F.round(F.sum("expected_points"), 6).alias("expected_points"), F.sum("points").alias("points")]
+    for s in ("for", "against"):
+        call, actual, league = F.col(f"call_{s}"), F.col(f"actual_{s}"), F.col("league")
+        sums += [F.sum((F.abs(call - actual) < F.abs(league - actual)).cast("long")).alias(f"closer_{s}"), F.round(1 - F.try_divide(F.sum(F.pow(call - actual, 2)), F.sum(F.pow(league - actual, 2))), 6).alias(f"skill_{s}"),
+                 F.round(F.sum(call), 6).alias(f"called_{s}"), F.round(F.sum(actual), 6).alias(f"made_{s}")]
+    return calls.groupBy("team_id").agg(*sums)
+
+
 def calibration(scored: DataFrame, bins: int = 6) -> DataFrame:
     """Mean chance and share of hits by bin of chance, over all three outcomes of each match."""
     long = scored.selectExpr("outcome", "stack(3, 'home', home, 'draw', draw, 'away', away) as (side, p)")

@@ -53,6 +53,11 @@ def result_call_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ranked_scores(stats.result_calls(r), r, "model", "scored")
 
 
+def team_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = stats.results(_kinds(spark, sf_dir))
+    return scoring.team_calls(stats.result_calls(r), r, stats.asof_calls(r))
+
+
 def lockbox_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.md5(F.col("match_id").cast("string"))
     return load(spark, sf_dir).select("match_id").distinct().select("match_id", digest.alias("digest"), F.substring(digest, 32, 1).isin(*"02468ace").alias("lockbox"))
@@ -216,6 +221,8 @@ QUERIES |= {
     "season_denial_plan": lambda s, d: denial_plan(s, d, None),
     "result_calls": lambda s, d: stats.result_calls(stats.results(_kinds(s, d))),
     "result_call_scores": result_call_scores,
+    "team_calls": team_calls,
+    "team_call_summary": lambda s, d: scoring.team_call_summary(team_calls(s, d).where("scored")),
     "result_call_calibration": lambda s, d: scoring.call_calibration(result_call_scores(s, d)),
 }
 

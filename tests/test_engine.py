@@ -172,6 +172,42 @@ def test_result_calls_equal_brute_force(spark):
     assert scores.count() == len(want) and {q["model"] for q in scoring.call_calibration(scores.withColumn("scored", F.lit(True))).collect()} == {"xg", "goals", "blend", "base"}
 
 
+def test_team_calls_equal_brute_force(spark):
+    res = stats.results(enrich.with_kind(load(spark, DIR))).cache()
+    chances, calls = stats.result_calls(res).cache(), stats.asof_calls(res).cache()
+    p = {(q["match_id"], q["model"]): q for q in chances.collect()}
+    c = {(q["match_id"], q["team_id"]): q for q in calls.collect()}
+    goals = {(q["match_id"], q["team_id"]): q["goals"] for q in res.collect()}
+    got = {(q["match_id"], q["team_id"]): q for q in scoring.team_calls(chances, res, calls).collect()}
+    teams = {}
+    for q in res.collect():
+        m, t, o = q["match_id"], q["team_id"], q["opp_id"]
+        if (m, "xg") not in p or (m, t) not in c or (m, o) not in c:
+            assert (m, t) not in got
+            continue
+        flip = lambda model: [p[m, model][k] for k in (("home", "draw", "away") if q["home"] else ("away", "draw", "home"))]  # noqa: B023, E731
+        x, base, end = flip("xg"), flip("base"), int(np.sign(goals[m, o] - goals[m, t])) + 1
+        score = lambda v: ((v[0] - (end == 0)) ** 2 + (v[0] + v[1] - (end < 2)) ** 2) / 2  # noqa: B023, E731
+        g = got.pop((m, t))
+        assert (g["win"], g["draw"], g["loss"], g["base_win"], g["base_draw"], g["base_loss"]) == (*x, *base)
+        assert (g["rate_for"], g["rate_against"]) == tuple(p[m, "xg"][k] for k in (("home_rate", "away_rate") if q["home"] else ("away_rate", "home_rate")))
+        assert g["result"] == ("win", "draw", "loss")[end] and g["points"] == (3, 1, 0)[end]
+        assert (g["rps"], g["rps_base"], g["expected_points"]) == pytest.approx((score(x), score(base), 3 * x[0] + x[1]), abs=2e-6)
+        assert (g["call_for"], g["call_against"], g["actual_for"], g["actual_against"]) == (c[m, t]["call"], c[m, o]["call"], c[m, t]["actual"], c[m, o]["actual"])
+        teams.setdefault(t, []).append((score(x), int(np.argmax(x)) == end, 3 * x[0] + x[1], (3, 1, 0)[end], c[m, t], c[m, o]))
+    assert not got and len(teams) > 3
+    for s in scoring.team_call_summary(scoring.team_calls(chances, res, calls)).collect():
+        rows = teams.pop(s["team_id"])
+        assert s["n"] == len(rows) and (s["top_pick_right"], s["points"]) == (sum(r[1] for r in rows), sum(r[3] for r in rows))
+        assert (s["rps"], s["expected_points"]) == pytest.approx((np.mean([r[0] for r in rows]), sum(r[2] for r in rows)), abs=1e-5)
+        for k, at in (("for", 4), ("against", 5)):
+            call, actual, league = (np.array(v) for v in zip(*((r[at]["call"], r[at]["actual"], r[4]["league"]) for r in rows), strict=True))
+            assert s[f"closer_{k}"] == (abs(call - actual) < abs(league - actual)).sum()
+            assert s[f"skill_{k}"] == pytest.approx(1 - ((call - actual) ** 2).sum() / ((league - actual) ** 2).sum(), abs=2e-6)
+            assert (s[f"called_{k}"], s[f"made_{k}"]) == pytest.approx((call.sum(), actual.sum()), abs=2e-6)
+    assert not teams
+
+
 def test_kappa_is_the_best_of_the_grid(spark):
     counts = registry.QUERIES["outcome_table"](spark, DIR).cache()
 
