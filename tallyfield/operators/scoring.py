@@ -135,3 +135,15 @@ def lane_baseline(prog: DataFrame) -> DataFrame:
     """Pooled shares of final-line lanes: one grouped pass over all teams."""
     n = prog.where("lane_final is not null").groupBy(F.col("lane_final").alias("lane")).agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("t")))).select("lane", "n", ratio("n", "t").alias("share"))
+
+
+def noise_floor(counts: DataFrame, shares: DataFrame) -> DataFrame:
+    """Total variation that the right shares still show, on average, after n draws: half the sum of the mean absolute
+    deviations of binomial counts, by De Moivre's formula, in place of simulation. `counts` has n, `shares` a few rows of share.
+    A share of 0 or 1 adds nothing; no draws give null."""
+    # Both in sums of logarithms: the number of ways to choose m of n, m the first count above the mean.
+    ways = F.expr("aggregate(sequence(1L, m), 0d, (s, i) -> s + ln((n - m + i) / cast(i as double)))")
+    deviation = 2 * F.col("m") / F.col("n") * F.exp(ways + F.col("m") * F.log("share") + (F.col("n") - F.col("m") + 1) * F.log(1 - F.col("share")))
+    j = counts.crossJoin(F.broadcast(shares.select("share"))).withColumn("m", F.expr("cast(floor(n * share) as bigint) + 1"))
+    d = F.when(F.col("n") > 0, F.when((F.col("share") > 0) & (F.col("share") < 1) & (F.col("m") <= F.col("n")), deviation).otherwise(0.0))
+    return j.withColumn("d", d).groupBy(*counts.columns).agg(F.round(F.sum("d") / 2 + pitch.NUDGE, 6).alias("floor"))

@@ -36,6 +36,10 @@ ORACLE: dict[str, str] = {
     "fixture_halves": BASE + """SELECT match_id, team_id, CAST((row_number() OVER (PARTITION BY team_id ORDER BY match_id) - 1) % 2 AS INT) AS half,
         row_number() OVER (PARTITION BY team_id ORDER BY match_date, match_id) - 1 >= floor(count(*) OVER (PARTITION BY team_id) * 0.5) AS later FROM res""",
     "lane_baseline": BASE + "SELECT lane_final AS lane, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM prog WHERE lane_final IS NOT NULL GROUP BY lane_final",
+    "lane_noise": BASE + """, p AS (SELECT round(count(*) / sum(count(*)) OVER (), 6) AS p FROM prog WHERE lane_final IS NOT NULL GROUP BY lane_final),
+        c AS (SELECT match_id, team_id, count(*) AS n FROM prog WHERE lane_final IS NOT NULL GROUP BY ALL), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM c, p WHERE p > 0 AND p < 1),
+        d AS (SELECT match_id, team_id, n, abs(k / n - p) * exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) AS d FROM k)
+        SELECT match_id, team_id, n, round(sum(d) / 2 + 1e-10, 6) AS floor FROM d GROUP BY ALL""",
     "ppda": BASE + "SELECT match_id, team_id, round(opp_passes_low / greatest(def_actions, 1), 6) AS ppda FROM led WHERE opp_passes_low > 0",
     "state_rates": BASE + VALUED + f""", a AS (SELECT *, {people.STATE} AS state FROM av WHERE action IS NOT NULL), g AS (SELECT opp_id AS team_id, state, round(sum(greatest(value, 0)), 6) AS conceded, count(DISTINCT (match_id, possession)) AS possessions FROM a GROUP BY ALL)
         SELECT *, round(conceded / possessions, 6) AS rate FROM g""",

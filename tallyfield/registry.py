@@ -58,6 +58,12 @@ def team_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.team_calls(stats.result_calls(r), r, stats.asof_calls(r))
 
 
+def lane_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prog = stats.progressions(_ev(spark, sf_dir))
+    n = prog.where("lane_final is not null").groupBy("match_id", "team_id").agg(F.count("*").alias("n"))
+    return scoring.noise_floor(n, scoring.lane_baseline(prog))
+
+
 def lockbox_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.md5(F.col("match_id").cast("string"))
     return load(spark, sf_dir).select("match_id").distinct().select("match_id", digest.alias("digest"), F.substring(digest, 32, 1).isin(*"02468ace").alias("lockbox"))
@@ -222,6 +228,7 @@ QUERIES |= {
     "result_calls": lambda s, d: stats.result_calls(stats.results(_kinds(s, d))),
     "result_call_scores": result_call_scores,
     "team_calls": team_calls,
+    "lane_noise": lane_noise,
     "team_call_summary": lambda s, d: scoring.team_call_summary(team_calls(s, d).where("scored")),
     "result_call_calibration": lambda s, d: scoring.call_calibration(result_call_scores(s, d)),
 }

@@ -208,6 +208,18 @@ def test_team_calls_equal_brute_force(spark):
     assert not teams
 
 
+def test_noise_floor_equals_simulation(spark):
+    share = [0.1, 0.2, 0.25, 0.45]
+    shares = spark.createDataFrame([(p,) for p in share], "share double")
+    got = {q["n"]: q["floor"] for q in scoring.noise_floor(spark.createDataFrame([(n,) for n in (0, 1, 7, 20, 3000)], "n long"), shares).collect()}
+    for n in (1, 7, 20, 3000):
+        drawn = np.random.default_rng(n).multinomial(n, share, size=200_000) / n
+        assert got[n] == pytest.approx(0.5 * abs(drawn - share).sum(1).mean(), rel=5e-3)
+    assert got[0] is None
+    sure = spark.createDataFrame([(1.0,), (0.0,)], "share double")
+    assert scoring.noise_floor(spark.createDataFrame([(9,)], "n long"), sure).first()["floor"] == pytest.approx(0.0, abs=1e-9)
+
+
 def test_kappa_is_the_best_of_the_grid(spark):
     counts = registry.QUERIES["outcome_table"](spark, DIR).cache()
 
