@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neardup, packing, quality, secrets, tokenfiles, topk, toxicity, urlfilter
+from . import decontaminate, fim, langid, mix, neardup, packing, phrases, quality, secrets, tokenfiles, topk, toxicity, urlfilter
 from .common import id_crc, table
 from .oracle import ORACLE as ORACLE
 
@@ -70,6 +70,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net).select("doc_id", F.coalesce(id_crc() % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mix.plan(table(spark, sf_dir, "documents"), (5, 2, 1), 3)
+    return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), 30, 4, 80, 2000)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.rearrange(table(spark, sf_dir, "documents"), "1", with_output=False, columns=["doc_id"])
+    return done.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -81,4 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op10_language_id": op10_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op11_source_mix": op11_source_mix,
+    "op12_collocations": op12_collocations,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
