@@ -86,13 +86,12 @@ def _folded(entries: str, key: str) -> Column:
 
 
 def _turn(entries: DataFrame, turn: int, blocks_of: int) -> tuple[DataFrame, DataFrame]:
-    """Round entries (place, id, size, rows, copies as a fraction): blocks (place, block, items, done, rest) and the decisions on
-    what blocks left (place, block, up)."""
-    counted = entries.groupBy("place").agg(F.count("*").alias("entries")).select("place", F.ceil(F.col("entries") / blocks_of).cast("long").alias("blocks"))
+    """Round entries (place, id, size, rows, copies as a fraction, entries of the place): blocks (place, block, done, rest,
+    taken) and the decisions on what blocks left (place, block, up)."""
     whole = F.floor(F.col("rows") * F.col("copies"))
     key = F.struct("id", "size", "rows", whole.cast("long").alias("whole"))
-    e = entries.join(counted, "place").withColumn("u", _draw(F.lit(f"turn {turn}"), F.col("place"), F.col("id"), F.col("size")))
-    e = e.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id", "size"), F.col("blocks")))
+    e = entries.withColumn("u", _draw(F.lit(f"turn {turn}"), F.col("place"), F.col("id"), F.col("size")))
+    e = e.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id", "size"), F.ceil(F.col("entries") / blocks_of).cast("long")))
     e = e.select("place", "block", F.struct("u", key.alias("key"), F.col("size").alias("a"), (F.col("rows") * F.col("copies") - whole).alias("q")).alias("e"))
     kind = e.schema["e"].dataType["key"].dataType.simpleString()
     blocks = e.groupBy("place", "block").agg(F.sort_array(F.collect_list("e")).alias("es")).select("place", "block", _folded("es", kind).alias("f"))
@@ -130,12 +129,13 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     turn = F.when(F.col("size") > 2 * mean, 0).when(F.col("size") > mean / 2, 1).otherwise(2)
     known = sources.select(F.col("source").alias("named"), "place", F.col("size").alias("source_size"), "documents", "target")
     e = staged(entries.join(known, F.col("source").eqNullSafe(F.col("named"))).withColumn("turn", turn).select("place", "id", "size", "rows", "turn"), "mix-turns")
-    parts = e.groupBy("place").agg(*(F.sum(F.when(F.col("turn") >= k, F.col("size") * F.col("rows")).otherwise(0)).alias(f"left_{k}") for k in range(TURNS)))
+    sums_of = lambda k: (F.sum(F.when(F.col("turn") >= k, F.col("size") * F.col("rows")).otherwise(0)).alias(f"left_{k}"), F.sum((F.col("turn") == k).cast("long")).alias(f"entries_{k}"))
+    parts = e.groupBy("place").agg(*(c for k in range(TURNS) for c in sums_of(k)))
     aims = staged(sources.select("place", "target").join(parts, "place"), "mix-aims")
     out = None
     for k in range(TURNS):
         copies = F.coalesce(F.least(F.greatest(F.try_divide(F.col("target"), F.col(f"left_{k}")), F.lit(0.0)), F.lit(float(most))), F.lit(0.0))
-        mine = e.where(F.col("turn") == k).drop("turn").join(aims.select("place", copies.alias("copies")), "place")
+        mine = e.where(F.col("turn") == k).drop("turn").join(aims.select("place", copies.alias("copies"), F.col(f"entries_{k}").alias("entries")), "place")
         blocks, decisions = _turn(mine, k, block)
         settled = blocks.join(decisions, ["place", "block"], "left")
         if k + 1 < TURNS:

@@ -106,4 +106,28 @@ def _urls(most_branches: int = 50, strength: str = "5e0", prior: str = "1e-1", r
     FROM base JOIN ({ends}) k ON base.host = k.host AND base.s = k.s"""
 
 
-ORACLE: dict[str, str] = {"op2_exact_topk": TOPK, "op5_near_duplicates": NEAR, "op6_decontamination": WINDOWS, "op7_secret_scan": SECRETS, "op9_url_templates": _urls()}
+PHRASES = r"""WITH parts AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part FROM documents),
+pieces AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^\x20\x09]+') AS w FROM parts),
+spoken AS (SELECT lang, cast(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+words AS (SELECT piece, lang, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM pieces),
+runs AS (SELECT lang, a, lead(a) OVER x AS b, lead(a, 2) OVER x AS c, lead(a, 3) OVER x AS d FROM words WINDOW x AS (PARTITION BY piece ORDER BY i)),
+grams AS (SELECT lang, a AS g FROM runs UNION ALL SELECT lang, a || ' ' || b FROM runs WHERE b IS NOT NULL UNION ALL SELECT lang, a || ' ' || b || ' ' || c FROM runs WHERE c IS NOT NULL
+  UNION ALL SELECT lang, a || ' ' || b || ' ' || c || ' ' || d FROM runs WHERE d IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, g, string_split(g, ' ') AS w, len(string_split(g, ' ')) AS k, count(*) AS a FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+halves AS (SELECT lang, g, a, j, array_to_string(w[1 : j], ' ') AS first, array_to_string(w[j + 1 : k], ' ') AS rest FROM f, (VALUES (1), (2), (3)) AS t(j) WHERE j < k),
+cuts AS (SELECT c.lang, c.g, c.a, c.j, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score FROM halves c JOIN f l ON l.lang = c.lang AND l.g = c.first JOIN f r ON r.lang = c.lang AND r.g = c.rest),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS place FROM cuts) WHERE place = 1),
+longer AS (SELECT lang, array_to_string(w[b : b + s - 1], ' ') AS g, max(a) AS a FROM f, (VALUES (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)) AS t(s, b) WHERE k > s AND b + s - 1 <= k GROUP BY ALL),
+kept AS (SELECT w.lang, w.g AS phrase, w.a, w.l, w.r, w.score FROM weakest w LEFT JOIN longer o ON o.lang = w.lang AND o.g = w.g WHERE o.a IS NULL OR 100::HUGEINT * o.a < 80::HUGEINT * w.a)
+SELECT lang, rank, phrase, a, l, r, n, cast(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN spoken USING (lang) WHERE rank <= 2000"""
+
+MIDDLES = r"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(cast(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT doc_id, t, w, len(w) AS n, list_transform([1, 9, 17, 25], lambda b: list_sum(list_transform(range(0, 8), lambda i: (strpos('0123456789abcdef', substr(h, b + cast(i AS INTEGER), 1)) - 1) * cast(pow(16, 7 - i) AS BIGINT)))) AS h FROM u),
+c AS (SELECT *, cast(least(h[1] % (n + 1), h[2] % (n + 1)) AS BIGINT) AS x, cast(greatest(h[1] % (n + 1), h[2] % (n + 1)) AS BIGINT) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(w[1 : x], ''), '') AS a, coalesce(array_to_string(w[x + 1 : y], ''), '') AS b, coalesce(array_to_string(w[y + 1 : n], ''), '') AS z FROM c)
+SELECT doc_id, cast(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN cast(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN cast(length(b) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+ORACLE: dict[str, str] = {"op2_exact_topk": TOPK, "op5_near_duplicates": NEAR, "op6_decontamination": WINDOWS, "op7_secret_scan": SECRETS, "op9_url_templates": _urls(), "op12_collocations": PHRASES, "op13_fill_in_middle": MIDDLES}
