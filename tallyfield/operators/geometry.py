@@ -1,7 +1,7 @@
 """Freeze frames: who stands where, what lies between the ball and the goal, shape of the defence. Arrays of points stay in
 their row; all is expressions on them, without Python.
 
-A snapshot: event_id, ball struct<x,y>, defenders array<struct<x,y,keeper>>, attackers array<struct<x,y>>, area
+A snapshot: event_id, ball struct<x,y>, defenders array<struct<x,y,keeper>>, attackers array<struct<x,y,actor>>, area
 array<struct<x,y>>, all in the frame of the side that attacks x = 120.
 """
 
@@ -38,7 +38,7 @@ def snapshots(events: DataFrame, frames: DataFrame, areas: DataFrame) -> DataFra
     area = F.when(F.size(flat) >= 6, F.transform(F.sequence(F.lit(0), (F.size(flat) / 2).cast("int") - 1), corner))
     bx, by = turn(F.col("x"), F.col("y"))
     s = e.select("match_id", "event_id", "type", "possession", F.struct(bx.alias("x"), by.alias("y")).alias("ball"), F.transform(F.filter("players", theirs), lambda q: point(q, "keeper")).alias("defenders"),
-        F.transform(F.filter("players", lambda q: ~theirs(q)), lambda q: point(q)).alias("attackers"), area.alias("area"))
+        F.transform(F.filter("players", lambda q: ~theirs(q)), lambda q: point(q, "actor")).alias("attackers"), area.alias("area"))
     return s.where(F.size("defenders") > 0)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -137,13 +137,18 @@ def lane_baseline(prog: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("t")))).select("lane", "n", ratio("n", "t").alias("share"))
 
 
+def expected_deviation(n: Column, share: Column) -> Column:
+    """Mean absolute deviation of the share of n draws from `share`, by De Moivre's formula; 0 for a share of 0 or 1."""
+    m = F.floor(n * share).cast("long") + 1  # the first count above the mean
+    # In sums of logarithms: the number of ways to choose m of n.
+    ways = F.aggregate(F.sequence(F.lit(1).cast("long"), m), F.lit(0.0), lambda s, i: s + F.log((n - m + i) / i.cast("double")))
+    d = 2 * m / n * F.exp(ways + m * F.log(share) + (n - m + 1) * F.log(1 - share))
+    return F.when((share > 0) & (share < 1) & (m <= n), d).otherwise(0.0)
+
+
 def noise_floor(counts: DataFrame, shares: DataFrame) -> DataFrame:
     """Total variation that the right shares still show, on average, after n draws: half the sum of the mean absolute
-    deviations of binomial counts, by De Moivre's formula, in place of simulation. `counts` has n, `shares` a few rows of share.
-    A share of 0 or 1 adds nothing; no draws give null."""
-    # Both in sums of logarithms: the number of ways to choose m of n, m the first count above the mean.
-    ways = F.expr("aggregate(sequence(1L, m), 0d, (s, i) -> s + ln((n - m + i) / cast(i as double)))")
-    deviation = 2 * F.col("m") / F.col("n") * F.exp(ways + F.col("m") * F.log("share") + (F.col("n") - F.col("m") + 1) * F.log(1 - F.col("share")))
-    j = counts.crossJoin(F.broadcast(shares.select("share"))).withColumn("m", F.expr("cast(floor(n * share) as bigint) + 1"))
-    d = F.when(F.col("n") > 0, F.when((F.col("share") > 0) & (F.col("share") < 1) & (F.col("m") <= F.col("n")), deviation).otherwise(0.0))
+    deviations of binomial counts, in place of simulation. `counts` has n, `shares` a few rows of share. No draws give null."""
+    j = counts.crossJoin(F.broadcast(shares.select("share")))
+    d = F.when(F.col("n") > 0, expected_deviation(F.col("n"), F.col("share")))
     return j.withColumn("d", d).groupBy(*counts.columns).agg(F.round(F.sum("d") / 2 + pitch.NUDGE, 6).alias("floor"))

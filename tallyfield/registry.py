@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pitch
-from .operators import audit, chain, delivery, enrich, experiments, matchup, people, players, reliability, scoring, season, stats, value
+from .operators import audit, chain, delivery, enrich, experiments, geometry, matchup, people, players, reliability, replay, routing, scoring, season, stats, value
 from .plans.oracle import ORACLE as _ORACLE
 from .plans.oracle_audit import ORACLE as _AUDIT
 from .plans.oracle_calls import ORACLE as _CALLS
 from .plans.oracle_players import ORACLE as _PLAYERS
 from .plans.oracle_season import ORACLE as _SEASON
 from .plans.oracle_trust import ORACLE as _TRUST
-from .sources.adapters import line_ups, load
+from .plans.oracle_replay import ORACLE as _REPLAY
+from .sources.adapters import freeze_frames, line_ups, load
 
 KAPPA = 30.0
 EVENT_COLUMNS = ["event_id", "kind", "restart", "phase", "bucket", "xg_after", "goal_after", "pos_start_x", "pos_first_type", "pos_xg", "pos_shot", "pos_seconds", "transition", "home_goals", "away_goals"]
@@ -345,4 +346,47 @@ QUERIES |= {
     "denial_agreement": lambda s, d: experiments.denial_agreement(_link_rows(s, d), denial_plan(s, d)),
 }
 
-ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON | _AUDIT | _PLAYERS | _TRUST
+def _asof(spark: SparkSession, sf_dir: str) -> tuple[replay.AsOf, DataFrame]:
+    """Running sums before each date, and all fixtures."""
+    ev = season.once(_kinds(spark, sf_dir))
+    dates = ev.select("match_id", "match_date").distinct()
+    counts, starts = (season.once(df.join(dates, "match_id")) for df in (stats.outcome_table(ev), stats.start_table(ev)))
+    return replay.AsOf(counts, starts), replay.fixtures(ev)
+
+
+def _plans(spark: SparkSession, sf_dir: str) -> tuple[replay.AsOf, DataFrame]:
+    asof, games = _asof(spark, sf_dir)
+    return asof, season.once(replay.match_plans(asof, games))
+
+
+def _rounded_plan(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.transform(c, lambda x: F.round(x, 6)).alias(c) if t == "array<double>" else F.col(c) for c, t in df.dtypes))
+
+
+QUERIES |= {
+    "asof_chains": lambda s, d: _rounded_all(_asof(s, d)[0].chains()),
+    "match_plans": lambda s, d: _rounded_plan(_plans(s, d)[1]),
+    "plan_outcomes": lambda s, d: _rounded_plan(replay.plan_outcomes(*_plans(s, d))),
+    "plan_summary": lambda s, d: _rounded_plan(replay.plan_summary(season.once(replay.plan_outcomes(*_plans(s, d))))),
+}
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = load(spark, sf_dir)
+    return geometry.snapshots(ev, *freeze_frames(ev))
+
+
+def pass_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = routing.available(_snapshots(spark, sf_dir))
+    best = F.get("options", F.lit(0))
+    return o.select("match_id", "event_id", F.col("mates").cast("long").alias("mates"), F.size("options").cast("long").alias("options"), F.round(best["threat"], 6).alias("threat"), F.round(F.get("options", F.lit(1))["threat"], 6).alias("second"))
+
+
+QUERIES |= {
+    "shape_features": lambda s, d: _rounded_all(geometry.features(_snapshots(s, d))),
+    "pass_options": pass_options,
+    "frame_routes": lambda s, d: _rounded_all(routing.frame_routes(_snapshots(s, d))),
+    "short_routes": lambda s, d: _rounded_all(routing.frame_routes(_snapshots(s, d), 2)),
+    "load_bearing": lambda s, d: _rounded_plan(routing.load_bearing(_snapshots(s, d))),
+}
+
+ORACLE: dict[str, str] = _ORACLE | _CALLS | _SEASON | _AUDIT | _PLAYERS | _TRUST | _REPLAY

@@ -58,3 +58,19 @@ def line_ups(ev: DataFrame) -> DataFrame:
     full = squad.join(seen, ["match_id", "team_id", "player_id"], "left")
     place = F.row_number().over(Window.partitionBy("match_id", "team_id").orderBy(F.col("idx").asc_nulls_last(), "player_id"))
     return full.withColumn("place", place).select("match_id", "team_id", "player_id", F.when(F.col("idx").isNull(), UNUSED).when(F.col("place") <= 11, STARTED).otherwise(CAME_ON).alias("positions"))
+
+
+def freeze_frames(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames and camera areas for every fifth event of the side in possession with a place: the player on the ball, and where the
+    next nine events of the match happen, opponents' places turned round; one player in eleven keeps goal. One area in ten is not known."""
+    w = Window.partitionBy("match_id").orderBy("idx")
+    near = ev.where("x is not null").withColumn("near", F.collect_list(F.struct("team_id", "event_id", "x", "y")).over(w.rowsBetween(1, 9)))
+    e = near.where("event_id % 5 = 0 and team_id = possession_team_id")
+    mate = F.col("p.team_id") == F.col("team_id")
+    others = e.select("match_id", "event_id", "team_id", F.posexplode("near").alias("n", "p"))
+    others = others.select("match_id", "event_id", (F.col("n") + 1).alias("n"), mate.alias("teammate"), F.lit(False).alias("actor"), (F.col("p.event_id") % 11 == 0).alias("keeper"),
+        F.when(mate, F.col("p.x")).otherwise(120 - F.col("p.x")).alias("x"), F.when(mate, F.col("p.y")).otherwise(80 - F.col("p.y")).alias("y"))
+    frames = others.union(e.select("match_id", "event_id", F.lit(0), F.lit(True), F.lit(True), F.lit(False), "x", "y"))
+    lo, hi = F.greatest(F.col("x") - 40, F.lit(-1.0)), F.least(F.col("x") + 70, F.lit(121.0))
+    area = F.to_json(F.array(lo, F.lit(-1.0), hi, F.lit(-1.0), hi, F.lit(81.0), lo, F.lit(81.0)))
+    return frames, e.where("event_id % 10 <> 0 or event_id % 4 <> 2").select("match_id", "event_id", area.alias("visible_area"))
