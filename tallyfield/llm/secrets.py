@@ -396,9 +396,11 @@ def find_all(texts: list[str | None], s: Scanner) -> list[list[tuple[str, int, i
                     found[d].append((i, k, rule.kind, j))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for d, spans in found.items():
-        ascii_only = len(raw[d]) == len(texts[d])
-        place = (lambda x: x) if ascii_only else (lambda x, b=raw[d]: len(b[:x].decode("utf-8", "surrogatepass")))
-        out[d] = [(kind, place(i), place(j)) for i, _, kind, j in sorted(spans)]
+        if len(raw[d]) == len(texts[d]):
+            out[d] = [(kind, i, j) for i, _, kind, j in sorted(spans)]
+        else:  # code points before each byte, counted once
+            begun = np.concatenate([[0], np.cumsum((np.frombuffer(raw[d], np.uint8) & 0xC0) != 0x80)])
+            out[d] = [(kind, int(begun[i]), int(begun[j])) for i, _, kind, j in sorted(spans)]
     return out
 
 
