@@ -5,8 +5,9 @@ used. A window's bytes are embedded, filters of several widths slide over them,
 maximum, and a softmax layer gives the languages. A text's prediction is the mean of its windows' log
 probabilities, weighted by their letters.
 
-Training takes at most `most_rows` distinct labelled texts (lowest hash of the id first) with all of their windows,
-and `steps` batches of these in random order, whatever their number. most_rows bounds what reaches the driver.
+Training takes distinct labelled texts, lowest hash of the id first, up to `most_rows` of them and `most_bytes` of text
+(one text at least), with all of their windows, and goes over all of these in whole epochs, in random order, until there
+were `steps` batches. The two bounds hold what reaches the driver.
 
 Defined results: null text, and text without a letter, is `und` with score 0. Null labels teach nothing. If
 no labelled text holds a letter, every text is `und`. Repeated rows are predicted each.
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import pieces, rows_and_text
 
@@ -70,8 +72,43 @@ class Network:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def gradients(net: Network, b: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy of windows b with labels y: embedding, filters, shifts, output and its bias."""
+    n, nw = len(b), len(WIDTHS)
+    x = net.embed[b]
+    feats, tops, cols = [], [], []
+    for w, f, s in zip(WIDTHS, net.filters, net.shift, strict=True):
+        size = WINDOW - w + 1
+        view = np.ascontiguousarray(np.lib.stride_tricks.as_strided(x, (n, size, w * EMBED), x.strides))
+        z = (view.reshape(n * size, -1) @ f).reshape(n, size, FILTERS)
+        top = z.argmax(axis=1)
+        feats.append(np.take_along_axis(z, top[:, None], 1)[:, 0] + s)
+        tops.append(top)
+        cols.append(view)
+    raw = np.concatenate(feats, axis=1)
+    h = np.maximum(raw, 0)
+    z = h @ net.out + net.bias
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    d = e / e.sum(axis=1, keepdims=True)
+    d[np.arange(n), y] -= 1
+    d /= n
+    grads = [np.zeros_like(q) for q in (net.embed, *net.filters, *net.shift, net.out, net.bias)]
+    grads[-2], grads[-1] = h.T @ d, d.sum(axis=0)
+    dh = (d @ net.out.T) * (raw > 0)
+    for j, w in enumerate(WIDTHS):
+        g = dh[:, j * FILTERS : (j + 1) * FILTERS]
+        grads[1 + nw + j] = g.sum(axis=0)
+        at = np.take_along_axis(cols[j], tops[j][:, :, None].reshape(n, -1, 1), 1)  # n, FILTERS, w*EMBED
+        grads[1 + j] = np.einsum("nf,nfc->cf", g, at)
+        back = g[:, :, None] * net.filters[j].T[None]  # n, FILTERS, w*EMBED
+        for i in range(w):
+            np.add.at(grads[0], b[np.arange(n)[:, None], tops[j] + i], back[:, :, i * EMBED : (i + 1) * EMBED])
+    grads[0][0] = 0
+    return grads
+
+
 def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 800, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Network:
-    """Adam on cross-entropy; gradients run through the place of each filter's maximum."""
+    """Adam on cross-entropy; gradients run through the place of each filter's maximum. Whole epochs, `steps` batches at least."""
     rng = np.random.default_rng(seed)
     k = len(languages)
     f32 = np.float32
@@ -81,40 +118,9 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: in
     nw = len(WIDTHS)
     while t < steps:
         order = rng.permutation(len(windows))
-        for a in range(0, min(len(order), (steps - t) * batch), batch):
+        for a in range(0, len(order), batch):
             pick = order[a : a + batch]
-            b, y = windows[pick], labels[pick]
-            n = len(b)
-            net = Network(languages, p[0], p[1 : 1 + nw], p[1 + nw : 1 + 2 * nw], p[-2], p[-1])
-            x = p[0][b]
-            feats, tops, cols = [], [], []
-            for w, f, s in zip(WIDTHS, net.filters, net.shift, strict=True):
-                size = WINDOW - w + 1
-                view = np.ascontiguousarray(np.lib.stride_tricks.as_strided(x, (n, size, w * EMBED), x.strides))
-                z = (view.reshape(n * size, -1) @ f).reshape(n, size, FILTERS)
-                top = z.argmax(axis=1)
-                feats.append(np.take_along_axis(z, top[:, None], 1)[:, 0] + s)
-                tops.append(top)
-                cols.append(view)
-            raw = np.concatenate(feats, axis=1)
-            h = np.maximum(raw, 0)
-            z = h @ p[-2] + p[-1]
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            d = e / e.sum(axis=1, keepdims=True)
-            d[np.arange(n), y] -= 1
-            d /= n
-            grads = [np.zeros_like(q) for q in p]
-            grads[-2], grads[-1] = h.T @ d, d.sum(axis=0)
-            dh = (d @ p[-2].T) * (raw > 0)
-            for j, w in enumerate(WIDTHS):
-                g = dh[:, j * FILTERS : (j + 1) * FILTERS]
-                grads[1 + nw + j] = g.sum(axis=0)
-                at = np.take_along_axis(cols[j], tops[j][:, :, None].reshape(n, -1, 1), 1)  # n, FILTERS, w*EMBED
-                grads[1 + j] = np.einsum("nf,nfc->cf", g, at)
-                back = g[:, :, None] * net.filters[j].T[None]  # n, FILTERS, w*EMBED
-                for i in range(w):
-                    np.add.at(grads[0], b[np.arange(n)[:, None], tops[j] + i], back[:, :, i * EMBED : (i + 1) * EMBED])
-            grads[0][0] = 0
+            grads = gradients(Network(languages, p[0], p[1 : 1 + nw], p[1 + nw : 1 + 2 * nw], p[-2], p[-1]), windows[pick], labels[pick])
             t += 1
             for q, g, mm, vv in zip(p, grads, m, v, strict=True):
                 mm += 0.1 * (g - mm)
@@ -123,32 +129,32 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: in
     return Network(languages, p[0], p[1 : 1 + nw], p[1 + nw : 1 + 2 * nw], p[-2], p[-1])
 
 
-def train(documents: DataFrame, usable, most_rows: int = 4000, steps: int = 800) -> Network | None:
+def train(documents: DataFrame, usable, most_rows: int = 4000, steps: int = 800, most_bytes: int = 64 << 20) -> Network | None:
     """A network from the labelled documents for which `usable` holds."""
     few = documents.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text", "lang").alias("content"))
     # Choose rows first, so that texts are not sorted; a text that repeats under one id counts once.
-    chosen = few.select("h", "doc_id", "content").distinct().orderBy("h", "doc_id", "content").limit(most_rows)
-    picked = few.join(F.broadcast(chosen), ["h", "doc_id", "content"], "left_semi")  # most_rows bounds the broadcast
-    picked = picked.dropDuplicates(["h", "doc_id", "content"]).select("text", "lang")
+    keys = ["h", "doc_id", "content"]
+    chosen = few.select(*keys, F.octet_length("text").cast("long").alias("size")).distinct().orderBy(*keys).limit(most_rows)
+    before = F.sum("size").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))  # over most_rows rows
+    chosen = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= most_bytes)).select(*keys)
+    picked = few.join(F.broadcast(chosen), keys, "left_semi")  # most_rows bounds the broadcast
+    picked = picked.dropDuplicates(keys).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in pieces(batches, "text"):
-            rows, langs = [], []
-            for text, lang in zip(rb.column("text").to_pylist(), rb.column("lang").to_pylist(), strict=True):
-                if has_letter(text):
-                    w = window_bytes(text)
-                    rows += [x.tobytes() for x in w]
-                    langs += [lang] * len(w)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(langs, pa.string())], names=["window", "lang"])
-
-    got = picked.mapInArrow(run, "window binary, lang string").toArrow()
+            held = [(window_bytes(text).tobytes(), lang) for text, lang in zip(rb.column("text").to_pylist(), rb.column("lang").to_pylist(), strict=True) if has_letter(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.binary()), pa.array([lang for _, lang in held], pa.string())], names=["windows", "lang"])
+
+    got = picked.mapInArrow(run, "windows binary, lang string").toArrow()
     if got.num_rows == 0:
         return None
-    languages = sorted(set(got.column("lang").to_pylist()))
+    langs = got.column("lang").to_pylist()
+    languages = sorted(set(langs))
+    x = np.frombuffer(b"".join(got.column("windows").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    y = np.repeat([languages.index(lang) for lang in langs], [len(w) // WINDOW for w in got.column("windows").to_pylist()])
     # Rows come in any order; training must not depend on it.
-    pairs = sorted(zip(got.column("window").to_pylist(), got.column("lang").to_pylist(), strict=True))
-    x = np.frombuffer(b"".join(w for w, _ in pairs), np.uint8).reshape(-1, WINDOW)
-    return fit(x, np.array([languages.index(lang) for _, lang in pairs]), languages, steps)
+    order = np.lexsort((y, np.ascontiguousarray(x).view(f"S{WINDOW}").ravel()))
+    return fit(x[order], y[order], languages, steps)
 
 
 def predict(texts: list[str | None], net: Network, batch: int = 256) -> list[tuple[str, float]]:
