@@ -11,8 +11,8 @@
    back off to their parents, the host, and a prior that allows. A url without segments is judged by its host.
 
 All counts are sums by (host, node): partial sums are made before the shuffle, so a host that holds a
-third of all urls is a few rows for each task. Levels go on to the deepest path; each is one staged table of
-the distinct shapes that are at least as deep.
+third of all urls is a few rows for each task. Each level is one staged table of the distinct shapes that are
+at least as deep; there are `LEVELS` of them, and the last segment of the last level is all that is left of a path.
 
 Defined results: null url or one without :// has empty host and path, no rule, and is allowed by the prior.
 Repeated rows are judged each. Other columns are ignored.
@@ -27,6 +27,7 @@ from .common import staged
 
 # Fixed values: (verdict, host, path) of the production rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+LEVELS = 12  # of the template tree
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -60,9 +61,9 @@ def shape(segment: Column) -> Column:
     return F.when(wild.isNull(), segment).otherwise(F.concat(wild, end))
 
 
-def descend(tree: DataFrame, level: int, most_branches: int, strength: float, z: float) -> DataFrame:
+def descend(tree: DataFrame, level: int, levels: int, most_branches: int, strength: float, z: float) -> DataFrame:
     """The shapes that are at least `level` segments deep, each taken from its node to the one below."""
-    tree = tree.where(F.col("depth") >= level).withColumn("seg", F.element_at(F.split("shapes", "/"), level))
+    tree = tree.where(F.col("depth") >= level).withColumn("seg", F.element_at(F.split("shapes", "/", levels), level))
     seen = tree.groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("purity").alias("up"))
     # Literal segments that are too many become one wildcard: counted by sums, never listed.
     literal = ~F.col("seg").startswith("{")
@@ -83,8 +84,9 @@ def descend(tree: DataFrame, level: int, most_branches: int, strength: float, z:
     return tree.drop("purity").join(known, ["host", "node", "seg"]).select("host", "shapes", "depth", "n", "b", F.concat("node", F.lit("/"), "branch").alias("node"), "purity")
 
 
-def judge(pages: DataFrame, rules=RULES, most_branches: int = 50, strength: float = 5.0, prior: float = 0.1, reject: float = 0.8, z: float = 1.96) -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity (smoothed block rate) for every url."""
+def judge(pages: DataFrame, rules=RULES, most_branches: int = 50, strength: float = 5.0, prior: float = 0.1, reject: float = 0.8, z: float = 1.96, levels: int = LEVELS) -> DataFrame:
+    """page_id, host, path, rule, verdict, template and purity (smoothed block rate) for every url. The tree has `levels` levels:
+    from there on what is left of a path is one segment, so that a trap of endless paths makes no more jobs than others."""
     host, path = host_and_path(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
@@ -92,13 +94,13 @@ def judge(pages: DataFrame, rules=RULES, most_branches: int = 50, strength: floa
     base = base.withColumn("shapes", F.array_join(F.transform(segments, shape), "/"))
     blocked, labelled = F.col("r.verdict").eqNullSafe("block").cast("long"), F.col("r").isNotNull().cast("long")
     tree = base.groupBy("host", "shapes").agg(F.sum(labelled).alias("n"), F.sum(blocked).alias("b"))
-    depth = F.when(F.col("shapes") == "", 0).otherwise(F.size(F.split("shapes", "/")))
+    depth = F.when(F.col("shapes") == "", 0).otherwise(F.size(F.split("shapes", "/", levels)))
     hosts = tree.groupBy("host").agg(((F.sum("b") + strength * prior) / (F.sum("n") + strength)).alias("purity"))
     tree = staged(tree.join(hosts, "host").select("host", "shapes", depth.alias("depth"), "n", "b", F.lit("").alias("node"), "purity"), "urls-0")
     deepest = tree.agg(F.max("depth")).first()[0] or 0
     ends = [tree.where("depth = 0")]
     for level in range(1, deepest + 1):
-        tree = staged(descend(tree, level, most_branches, strength, z), f"urls-{level}")
+        tree = staged(descend(tree, level, levels, most_branches, strength, z), f"urls-{level}")
         ends.append(tree.where(F.col("depth") == level))
     known = ends[0]
     for end in ends[1:]:
