@@ -6,12 +6,15 @@ Everything after the table is windows by feature over a few rows for each team-m
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pitch
 from .matchup import _middle, graph_measures, middle_crossing
+from .replay import earlier
 from .scoring import PSEUDO, TIER_LEAD, TIER_USABLE, replicate_weight
 
 N = pitch.ZONES
@@ -32,13 +35,26 @@ SOLVED_FEATURES = ("spectral_gap", "hodge_circulation")  # these need an eigenva
 SQL_FEATURES = tuple(f for f in FEATURES if f not in SOLVED_FEATURES)
 REGION = "(case when floor({z} / 5) < 2 then 0 when floor({z} / 5) < 4 then 1 else 2 end * 5 + {z} % 5)"
 KEYS = ["match_id", "team_id", "opp_id"]
-# Rules (name, who, feature, direction); for the league as reference, and for a normal week of the team.
+# Rules (name, who, feature, direction) with the league as reference, for set pieces, and against a normal week
+# of the team. Their order breaks ties.
 RULES = (
-    ("less_ball", "we", "possession", -1), ("more_ball", "we", "possession", 1), ("press_them", "they", "own_third_turnover_share", 1), ("leave_them", "they", "own_third_turnover_share", -1),
-    ("pressed_deep", "we", "own_third_turnover_share", 1), ("they_come_central", "they", "central_entries_per_possession", 1), ("they_go_long", "they", "long_forward_share", 1),
-    ("centre_looser", "we", "central_entries_per_possession", 1), ("centre_tighter", "we", "central_entries_per_possession", -1), ("they_regain_high", "they", "start_height", 1), ("they_are_readable", "they", "entropy_rate", -1),
+    ("without_ball", "we", "possession", -1), ("with_ball", "we", "possession", 1), ("press_high", "they", "own_third_turnover_share", 1), ("hold_block", "they", "own_third_turnover_share", -1),
+    ("beat_press", "we", "own_third_turnover_share", 1), ("protect_centre", "they", "central_entries_per_possession", 1), ("long_balls", "they", "long_forward_share", 1),
+    ("centre_open", "we", "central_entries_per_possession", 1), ("centre_shut", "we", "central_entries_per_possession", -1), ("high_regain", "they", "start_height", 1), ("patterned", "they", "entropy_rate", -1),
+)
+SETPIECE_RULES = (("defend_corners", "they", "corners", 1), ("win_corners", "we", "corners", 1), ("defend_set_pieces", "they", "sp_shots", 1), ("attack_set_pieces", "we", "sp_shots", 1))
+GAME_RULES = (
+    ("less_ball", "we", "possession", -1), ("more_ball", "we", "possession", 1), ("pressed_deep", "we", "own_third_turnover_share", 1), ("sloppier", "we", "turnover_rate", 1),
+    ("centre_tighter", "we", "central_entries_per_possession", -1), ("centre_looser", "we", "central_entries_per_possession", 1), ("fewer_shots", "we", "shots_per_possession", -1), ("more_shots", "we", "shots_per_possession", 1),
+    ("forced_long", "we", "long_forward_share", 1), ("pinned_back", "we", "start_height", -1), ("win_more_corners", "we", "corners", 1), ("press_them", "they", "own_third_turnover_share", 1),
+    ("leave_them", "they", "own_third_turnover_share", -1), ("they_go_long", "they", "long_forward_share", 1), ("they_come_central", "they", "central_entries_per_possession", 1), ("they_regain_high", "they", "start_height", 1),
+    ("they_are_readable", "they", "entropy_rate", -1), ("more_corners_against", "they", "corners", 1),
 )
-GAME_RULES = RULES + (("sloppier", "we", "turnover_rate", 1), ("fewer_shots", "we", "shots_per_possession", -1), ("more_shots", "we", "shots_per_possession", 1), ("forced_long", "we", "long_forward_share", 1), ("pinned_back", "we", "start_height", -1))
+SETPIECE_FEATURES = ("corners", "att_free_kicks", "sp_shots", "sp_xg", "sp_xg_share", "shots_per_corner")
+#: Rules of a game that say what to do: the feature that shows whether it was done, by whom, and which way. The outcome is xg less xg
+#: conceded for 90 minutes. All are measured while the score is level.
+ACTIONS = (("press_them", "press", "we", 1), ("leave_them", "press", "we", -1), ("pressed_deep", "long", "we", 1), ("centre_tighter", "width", "we", 1), ("they_come_central", "lever", "they", -1))
+LEVEL_FEATURES, OUTCOME = ("press", "long", "width", "lever", "xg_difference_90"), "xg_difference_90"
 THRESHOLD = {"league": 0.5, "usual": 0.4}
 
 
@@ -94,25 +110,55 @@ def long_form(table: DataFrame, dates: DataFrame, features: tuple[str, ...] = FE
     return table.join(dates.select("match_id", "match_date").distinct(), "match_id").selectExpr("match_id", "match_date", "team_id", "opp_id", f"stack({len(features)}, {rows}) as (feature, v)")
 
 
-def asof(long: DataFrame, pseudo: float = PSEUDO, least_prior: int = 5, start_fraction: float = 0.5) -> DataFrame:
+def setpiece_form(pieces: DataFrame, dates: DataFrame) -> DataFrame:
+    """Set-piece figures (stats.setpieces) in the long form, for matches in which both sides have some."""
+    other = pieces.select("match_id", F.col("team_id").alias("opp_id"))
+    both = pieces.join(other, "match_id").where("team_id <> opp_id")
+    return long_form(both, dates, SETPIECE_FEATURES)
+
+
+def asof(long: DataFrame, pseudo: float | DataFrame = PSEUDO, least_prior: int = 5, start_fraction: float = 0.5) -> DataFrame:
     """What was known before each match, by strictly earlier dates: league mean and deviation, the team's own mean and what
     its opponents' opponents did, both shrunk by `pseudo` matches, the call of both, and whether the row is scored:
-    later part of the team's fixtures with enough matches before."""
+    later part of the team's fixtures with enough matches before. pseudo is a number, or the table of `pseudo_asof`."""
     d = long.withColumn("day", F.datediff("match_date", F.lit("2000-01-01").cast("date")))
     past = lambda *by: Window.partitionBy(*by).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    # Sums by day first: the league's running window then has one row for each feature and day.
-    day = d.groupBy("feature", "day").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    # Sums by day first: the league's running window then has one row for each feature and day. Squares are of departures from
+    # a middle value of the feature, so that no digits are lost where it is far from 0.
+    middle = long.groupBy("feature").agg(F.avg("v").alias("middle"))
+    off = F.col("v") - F.col("middle")
+    day = d.join(middle, "feature").groupBy("feature", "day", "middle").agg(F.count("v").alias("n"), F.sum(off).alias("s"), F.sum(off * off).alias("q"))
     n, s, q = (F.sum(c).over(past("feature")) for c in "nsq")
-    day = day.select("feature", "day", _over(s, n).alias("league"), F.sqrt(F.greatest(_over(q, n) - F.pow(_over(s, n), 2), F.lit(0.0))).alias("league_sd"))
-    d = d.join(F.broadcast(day), ["feature", "day"])
-    mean = lambda side: (F.coalesce(F.sum("v").over(past("feature", side)), F.lit(0.0)) + pseudo * F.col("league")) / (F.count("v").over(past("feature", side)) + pseudo)
+    day = day.select("feature", "day", (F.col("middle") + _over(s, n)).alias("league"), F.sqrt(F.greatest(_over(q, n) - F.pow(_over(s, n), 2), F.lit(0.0))).alias("league_sd"))
+    d = d.join(day, ["feature", "day"])
+    k_own = k_opp = F.lit(pseudo) if not isinstance(pseudo, DataFrame) else None
+    if k_own is None:
+        d = d.join(pseudo, ["feature", "match_date"], "left")
+        k_own, k_opp = F.col("k_own"), F.col("k_opp")
+    mean = lambda side, k: (F.coalesce(F.sum("v").over(past("feature", side)), F.lit(0.0)) + k * F.col("league")) / (F.count("v").over(past("feature", side)) + k)
     place = Window.partitionBy("feature", "team_id")
-    d = d.withColumn("own", mean("team_id")).withColumn("against", mean("opp_id")).withColumn("n_prior", F.count("*").over(past("feature", "team_id")))
+    d = d.withColumn("own", mean("team_id", k_own)).withColumn("against", mean("opp_id", k_opp)).withColumn("n_prior", F.count("*").over(past("feature", "team_id")))
     later = F.row_number().over(place.orderBy("match_date", "match_id")) - 1 >= F.floor(F.count("*").over(place) * start_fraction)
     d = d.withColumn("scored", later & (F.col("n_prior") >= least_prior))
     return d.select("match_id", "team_id", "opp_id", "feature", F.col("v").alias("actual"), "league", "league_sd", "own", (F.col("own") + F.col("against") - F.col("league")).alias("call"), "n_prior", "scored")
 
 
+def pseudo_asof(long: DataFrame, lo: float = 1.0, hi: float = 30.0) -> DataFrame:
+    """feature, match_date, k_own, k_opp: pseudo matches that the data before each date ask for, by team and by opponent, as
+    `pseudo_matches` has them over all. Numbers, sums and squares of each group run over the dates; no match meets another."""
+    off = F.col("v") - F.col("middle")
+    v = long.where("v is not null").join(long.groupBy("feature").agg(F.avg("v").alias("middle")), "feature")
+    out = dates = long.select("feature", "match_date").distinct()
+    for side, name in (("team_id", "k_own"), ("opp_id", "k_opp")):
+        rows = v.select("feature", "match_date", F.col(side).alias("side"), F.lit(1).cast("long").alias("n"), off.alias("s"), (off * off).alias("q"))
+        g = earlier(rows, dates, ["feature"], ["side"], ["n", "s", "q"]).where("n >= 2")
+        f = g.groupBy("feature", "match_date").agg(F.count("*").alias("groups"), _over(F.sum(F.expr("q - s * s / n")), F.sum(F.col("n") - 1)).alias("within"), F.var_samp(F.col("s") / F.col("n")).alias("between"), F.avg(1 / F.col("n")).alias("noise"))
+        tau = F.col("between") - F.col("within") * F.col("noise")
+        k = F.when((F.col("groups") >= 3) & (tau > 0) & (F.col("within") > 0), F.least(F.greatest(F.col("within") / tau, F.lit(lo)), F.lit(hi))).otherwise(hi)
+        out = out.join(f.select("feature", "match_date", k.alias(name)), ["feature", "match_date"], "left")
+    return out.fillna(hi, ["k_own", "k_opp"])
+
+
 def pseudo_matches(long: DataFrame, lo: float = 1.0, hi: float = 30.0) -> DataFrame:
     """feature, k: pseudo matches that the data ask for, variance within teams over variance between their true levels,
     the latter being that of team means less what noise gives. `hi` where there is no real spread or under three teams."""
@@ -183,18 +229,18 @@ def team_shares(calls: DataFrame, least_games: int = 8) -> DataFrame:
     return g.select("team_id", "games", F.round("closer", 6).alias("closer"))
 
 
-def rule_rows(calls: DataFrame, rules=RULES, reference: str = "league") -> DataFrame:
+def rule_rows(calls: DataFrame, rules=RULES, reference: str = "league", known: str = "actual is not null") -> DataFrame:
     """For every scored unit and rule: departure of the call in deviations of the league, whether the rule fires, and
     whether its situation then occurred. "they" reads the opponent's row of the same match."""
     table = calls.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(rules)], "rule string, who string, feature string, direction int, position int")  # a few dozen rows
     us = calls.select("match_id", "team_id", "opp_id", "feature", "scored")
     src = calls.select("match_id", F.col("team_id").alias("src"), "feature", "actual", "league", "league_sd", "own", "call")
     u = us.where("scored").join(F.broadcast(table), "feature").withColumn("src", F.when(F.col("who") == "we", F.col("team_id")).otherwise(F.col("opp_id")))
-    u = u.join(src, ["match_id", "src", "feature"]).where("call is not null and actual is not null and league_sd > 0")
+    u = u.join(src, ["match_id", "src", "feature"]).where(f"call is not null and league_sd > 0 and {known}")
     usual = F.when(F.col("who") == "we", F.col("own")).otherwise(F.col("call") - F.col("own") + F.col("league"))
     u = u.withColumn("ref", usual if reference == "usual" else F.col("league"))
     u = u.withColumn("departure", F.col("direction") * (F.col("call") - F.col("ref")) / F.col("league_sd")).withColumn("fired", F.col("departure") >= THRESHOLD[reference])
-    return u.select("match_id", "team_id", "opp_id", "rule", "position", "departure", "fired", (F.col("direction") * (F.col("actual") - F.col("ref")) > 0).alias("held"))
+    return u.select("match_id", "team_id", "opp_id", "rule", "position", "departure", "fired", (F.col("direction") * (F.col("actual") - F.col("ref")) > 0).alias("held"), "feature", "call", "ref")
 
 
 def premises(rows: DataFrame, reps: int = 100, least_fires: int = 100, share: float = 0.60) -> DataFrame:
@@ -211,4 +257,59 @@ def premises(rows: DataFrame, reps: int = 100, least_fires: int = 100, share: fl
 def instructions(rows: DataFrame, k: int = 4) -> DataFrame:
     """The k fired rules of each unit that depart most."""
     place = F.row_number().over(Window.partitionBy("match_id", "team_id").orderBy(F.desc(F.round("departure", 9)), "position"))
-    return rows.where("fired").withColumn("place", place).where(F.col("place") <= k).select("match_id", "team_id", "rule", "place", F.round("departure", 6).alias("departure"), "held")
+    return rows.where("fired").withColumn("place", place).where(F.col("place") <= k).select("match_id", "team_id", "opp_id", "rule", "place", F.round("departure", 6).alias("departure"), "held", "feature", "call", "ref")
+
+
+#: What each rule of a game says, by call, normal week and the players whom `plan_players` names for the roles.
+TEXTS = {
+    "less_ball": "Less of the ball than usual is likely: {call} against {ref}. Be patient without it and quick once it is won.", "more_ball": "More of the ball than usual is likely: {call} against {ref}. Expect a set defence.",
+    "pressed_deep": "{call} of our losses are likely in our own third, {ref} as a rule. Take no risks in front of our goal.", "sloppier": "More losses than usual are likely: {call} of actions against {ref}. Cover behind the ball.",
+    "centre_tighter": "Fewer ways through the middle than usual: {call} entries a possession against {ref}. Use the sides.", "centre_looser": "More room in the middle than usual: {call} entries a possession against {ref}. Carriers: {our_carriers}.",
+    "fewer_shots": "Fewer shots than usual: {call} a possession against {ref}. Make each one good.", "more_shots": "More shots than usual: {call} a possession against {ref}.",
+    "forced_long": "More long moves than usual: {call} against {ref}. Settle who takes the first ball and who the second.", "pinned_back": "Possessions are likely to begin deeper than usual: at {call} against {ref}.",
+    "win_more_corners": "More corners than usual: {call} against {ref}. Takers: {our_takers}. Targets: {our_shooters}.", "press_them": "They lose it in their own third more than most we meet: {call} against {ref}. Press {their_giveaways}; {our_pressers} lead.",
+    "leave_them": "They lose it in their own third less than most we meet: {call} against {ref}. High pressing pays less.", "they_go_long": "They play longer than most we meet: {call} of moves against {ref}. Under the ball: {our_defenders}.",
+    "they_come_central": "They enter the middle more than most we meet: {call} a possession against {ref}. From {their_passers} to {their_receivers}; {our_defenders} stand there.",
+    "they_regain_high": "Their possessions begin higher than those of most we meet: at {call} against {ref}. Play the first pass past them.", "they_are_readable": "Their next move is easier to tell than most: {call} bits against {ref}.",
+    "more_corners_against": "More corners to defend than usual: {call} against {ref}. Takers: {their_takers}. Shooters: {their_shooters}.",
+}
+SHARES = ("possession", "own_third_turnover_share", "turnover_rate", "long_forward_share")  # shown in percent
+
+
+def instruction_texts(found: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The instructions of each unit (match_id, team_id, opp_id, rule, feature, place, departure, held, call, ref) as sentences. leaders: match_id, team_id, who, role,
+    place, player_id."""
+    listed = leaders.groupBy("match_id", "team_id", F.concat_ws("_", "who", "role").alias("role")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "player_id"))), lambda r: r["player_id"].cast("string")), ", ").alias("names"))
+    names = listed.groupBy("match_id", "team_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "names"))).alias("named"))  # ten roles at most
+    shown = lambda c: F.when(F.col("feature").isin(*SHARES), F.concat(F.format_number(F.col(c) * 100, 0), F.lit("%"))).otherwise(F.format_number(c, 2))
+    text = F.create_map(*(F.lit(x) for kv in TEXTS.items() for x in kv))[F.col("rule")]
+    j = found.join(names, ["match_id", "team_id"], "left").withColumn("text", text)
+    for key, value in (("call", shown("call")), ("ref", shown("ref"))):
+        j = j.withColumn("text", F.replace("text", F.lit(f"{{{key}}}"), value))
+    for role in sorted({r for t in TEXTS.values() for r in re.findall(r"\{((?:our|their)_[a-z]+)\}", t)}):
+        j = j.withColumn("text", F.replace("text", F.lit(f"{{{role}}}"), F.coalesce(F.col("named")[role], F.lit("no one yet"))))
+    return j.select("match_id", "team_id", "opp_id", "rule", "place", "departure", "held", "text")
+
+
+def followed(calls: DataFrame, levels: DataFrame, weights: DataFrame, reps: int = 200, actions=ACTIONS) -> DataFrame:
+    """By rule that says what to do: do teams that did it come out better than their call where the rule fired, where it did not,
+    and what is the difference? calls: as-of calls of all features, levels: those of LEVEL_FEATURES, weights: match_id, weight (minutes of
+    level play). Gaps are weighted; intervals draw whole matches, so that both sides of one keep the same weight."""
+    table = calls.sparkSession.createDataFrame([(r, f, w, d) for r, f, w, d in actions], "rule string, act string, actor string, way int")  # five rows
+    fired = rule_rows(calls, tuple(r for r in GAME_RULES if r[0] in {a[0] for a in actions}), "usual", "true").select("match_id", "team_id", "opp_id", "rule", "fired")
+    own = levels.select("match_id", F.col("team_id").alias("src"), F.col("feature").alias("act"), F.col("actual").alias("done"), F.col("own").alias("usual"))
+    out = levels.where(F.col("feature") == OUTCOME).select("match_id", "team_id", (F.col("actual") - F.col("call")).alias("over"))
+    u = fired.join(F.broadcast(table), "rule").withColumn("src", F.when(F.col("actor") == "we", F.col("team_id")).otherwise(F.col("opp_id")))
+    u = u.join(own, ["match_id", "src", "act"]).join(out, ["match_id", "team_id"]).join(weights, "match_id").where("done is not null and usual is not null and over is not null and weight is not null")
+    u = u.withColumn("did", F.col("way") * (F.col("done") - F.col("usual")) > 0)
+    cells = {"ft": "fired and did", "fn": "fired and not did", "nt": "not fired and did", "nn": "not fired and not did"}
+    m = u.groupBy("rule", "match_id").agg(*(F.sum(F.expr(f"case when {c} then {v} else 0 end")).alias(f"{k}_{n}") for k, c in cells.items() for n, v in (("s", "weight * over"), ("w", "weight"), ("u", "1"))))
+    s = _drawn(m, reps).groupBy("rule", "rep").agg(*(F.sum(F.col("w") * F.col(f"{k}_{n}")).alias(f"{k}_{n}") for k in cells for n in "swu"))
+    s = s.withColumns({k: _over(F.col(f"{k}_s"), F.col(f"{k}_w")) for k in cells})
+    s = s.withColumn("gap_fired", F.col("ft") - F.col("fn")).withColumn("gap_not", F.col("nt") - F.col("nn")).withColumn("extra", F.col("gap_fired") - F.col("gap_not"))
+    first = lambda e: F.max(F.expr(f"case when rep = 0 then {e} end"))
+    g = s.groupBy("rule").agg(*(first(f"{k}_u").alias(k) for k in cells), *(c for k in ("gap_fired", "gap_not", "extra") for c in _interval(k)))
+    verdict = F.when(F.col("extra_lo") > 0, "supported").when(F.col("extra_hi") < 0, "contradicted").otherwise("no evidence either way")
+    names = [f"{k}{e}" for k in ("gap_fired", "gap_not", "extra") for e in ("", "_lo", "_hi")]
+    return g.select("rule", (F.col("ft") + F.col("fn")).cast("long").alias("fired"), F.round(_over(F.col("ft"), F.col("ft") + F.col("fn")), 6).alias("did_when_fired"), F.round(_over(F.col("nt"), F.col("nt") + F.col("nn")), 6).alias("did_when_not"),
+        *(F.round(c, 6).alias(c) for c in names), verdict.alias("verdict"))

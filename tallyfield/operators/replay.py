@@ -284,3 +284,54 @@ def plan_summary(outcomes: DataFrame, by: tuple[str, ...] = (), least_pairs: int
     g = o.groupBy(*key).agg(*aggs)
     told = (F.col("pairs") >= least_pairs) & F.col("r").isNotNull() & F.col("lo").isNotNull() & F.col("hi").isNotNull()
     return g.select(*[c for c in g.columns if c not in ("pairs", "r", "lo", "hi")], *(F.when(told, F.col(a)).alias(b) for a, b in (("r", "lever_vs_threat"), ("lo", "threat_when_lever_low"), ("hi", "threat_when_lever_high"))))
+
+
+_done = "type = 'Pass' and outcome is null and end_x is not null"
+_defends = "type in ('Pressure', 'Duel', 'Interception', 'Block', 'Ball Recovery', 'Clearance', 'Foul Committed') and x is not null"
+_mirror = lambda r: (2 - r // 5) * 5 + 4 - r % 5
+#: Who did what: (role, condition, column of the player, how many are named). Those of a lever end with its side: its passes, their
+#: receivers, and the defensive actions where it runs, seen from the other side. Texts run on Spark and DuckDB alike.
+ROLES = (
+    ("giveaways", "(type = 'Pass' and outcome is not null or type in ('Dispossessed', 'Miscontrol')) and x < 40", "player_id", 3), ("pressers", "type = 'Pressure' and x >= 80", "player_id", 3),
+    ("carriers", f"({_done} or type = 'Carry') and end_x is not null and x < 80 and end_x >= 80", "player_id", 3), ("takers", "type = 'Pass' and coalesce(sub_type, '') = 'Corner'", "player_id", 2),
+    ("shooters", "type = 'Shot' and play_pattern in ('From Corner', 'From Free Kick') and coalesce(sub_type, '') <> 'Penalty'", "player_id", 3),
+    *((f"{name}_{side}", f"{_done} and {pitch.region('x', 'y')} = {a} and {pitch.region('end_x', 'end_y')} = {b}", column, 2) for side, (a, b) in LEVERS.items() for name, column in (("passers", "player_id"), ("receivers", "recipient_id"))),
+    *((f"defenders_{side}", f"{_defends} and {pitch.region('x', 'y')} in ({_mirror(a)}, {_mirror(b)})", "player_id", 3) for side, (a, b) in LEVERS.items()),
+)
+OURS, THEIRS = ("pressers", "carriers", "takers", "shooters", "defenders"), ("giveaways", "takers", "shooters", "passers", "receivers")
+
+
+def lever_sides(asof: AsOf) -> DataFrame:
+    """by, match_date, team_id, lever_side: the lever that a team had used most before each of its dates, left if alike."""
+    link = lambda side: F.sum(F.when(F.expr(f"out < {N} and {REGION.format(z='z0')} = {LEVERS[side][0]} and {REGION.format(z='out')} = {LEVERS[side][1]}"), F.col("n")).otherwise(0))
+    g = asof.cells.where("side = 'attack'").groupBy(*asof.by, "match_date", "team_id").agg(*(link(s).alias(s) for s in LEVERS))
+    return g.select(*asof.by, "match_date", "team_id", F.when(F.col("right") > F.col("left"), "right").otherwise("left").alias("lever_side"))
+
+
+def plan_players(asof: AsOf, ev: DataFrame, games: DataFrame, eleven: DataFrame | None = None, least_prior: int = LEAST_PRIOR) -> DataFrame:
+    """match_id, team_id, opp_id, who (our, their), role, place, player_id, n, share: who did most of what a plan is about, in earlier
+    matches, for matches in which there is a plan. With `eleven` (match_id, team_id, eleven) only starters are named where they are
+    known; shares are of all who did it."""
+    by = list(asof.by)
+    acts = ", ".join(f"named_struct('role', '{r}', 'player_id', case when {c} then cast({p} as bigint) end)" for r, c, p, _ in ROLES)
+    rows = ev.select(*by, "match_date", F.col("team_id").cast("long").alias("team_id"), F.explode(F.expr(f"filter(array({acts}), r -> r.player_id is not null)")).alias("r")).select(*by, "match_date", "team_id", "r.*", F.lit(1).cast("long").alias("n"))
+    day = [*by, "match_date"]
+    seen = earlier(rows, games.select(*day, "team_id").distinct(), [*by, "team_id"], ["role", "player_id"], ["n"]).where("n > 0")
+    seen = seen.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*day, "team_id", "role")))
+    ready = games.select(*by, "match_id", "match_date", "team_id", "opp_id")
+    for key in ("team_id", "opp_id"):
+        enough = asof.prior.where(F.col("n_prior") >= least_prior).groupBy(*day, F.col("team_id").alias(key)).agg(F.count("*").alias("sides")).where("sides = 2").drop("sides")
+        ready = ready.join(enough, [*day, key], "left_semi")
+    ready = ready.join(lever_sides(asof).withColumnRenamed("team_id", "opp_id"), [*day, "opp_id"])
+    limit = F.create_map(*(F.lit(x) for pair in {r.split("_")[0]: k for r, _, _, k in ROLES}.items() for x in pair))
+    out = None
+    for who, key, roles in (("our", "team_id", OURS), ("their", "opp_id", THEIRS)):
+        j = ready.join(seen.withColumnRenamed("team_id", key), [*day, key])
+        kind = F.split("role", "_")
+        j = j.where((F.size(kind) == 1) | (F.get(kind, F.lit(1)) == F.col("lever_side"))).withColumn("role", F.get(kind, F.lit(0))).where(F.col("role").isin(*roles))
+        if eleven is not None:
+            j = j.join(eleven.select("match_id", F.col("team_id").cast("long").alias(key), "eleven"), ["match_id", key], "left").where(F.col("eleven").isNull() | F.array_contains("eleven", F.col("player_id")))
+        place = F.row_number().over(Window.partitionBy(*by, "match_id", "team_id", "role").orderBy(F.desc("n"), "player_id"))
+        j = j.withColumn("place", place).where(F.col("place") <= limit[F.col("role")]).select(*by, "match_id", "team_id", "opp_id", F.lit(who).alias("who"), "role", "place", "player_id", "n", "share")
+        out = j if out is None else out.union(j)
+    return out

@@ -95,6 +95,7 @@ SEASON_ROWS = " UNION ALL ".join(f"SELECT team_id, '{k}' AS claim, CAST({n} AS D
 SHOT = "type = 'Shot' AND coalesce(sub_type, '') <> 'Penalty'"
 SP = f"{SHOT} AND play_pattern IN ('From Corner', 'From Free Kick')"
 
+PIECES = f"SELECT match_id, team_id, count(*) FILTER (type = 'Pass' AND sub_type = 'Corner') AS corners, count(*) FILTER (sub_type = 'Free Kick' AND type IN ('Pass', 'Shot') AND x >= 80) AS att_free_kicks, count(*) FILTER ({SP}) AS sp_shots, round(coalesce(sum(xg) FILTER ({SP}), 0), 6) AS sp_xg, round(round(coalesce(sum(xg) FILTER ({SP}), 0), 6) / nullif(sum(xg) FILTER ({SHOT}), 0), 6) AS sp_xg_share, round(count(*) FILTER ({SHOT} AND play_pattern = 'From Corner') / nullif(count(*) FILTER (type = 'Pass' AND sub_type = 'Corner'), 0), 6) AS shots_per_corner FROM e WHERE period <= 4 GROUP BY match_id, team_id"
 ORACLE: dict[str, str] = {
     "match_events": BASE + f"SELECT {EVENTS} FROM ev",
     "enriched_events": BASE + "SELECT event_id, kind, restart, phase, bucket, round(xg_after, 6) AS xg_after, goal_after, pos_start_x, pos_first_type, round(pos_xg, 6) AS pos_xg, pos_shot, pos_seconds, transition, home_goals, away_goals FROM e",
@@ -113,7 +114,7 @@ ORACLE: dict[str, str] = {
     "copress_edges": BASE + ", p AS (SELECT match_id, possession, team_id, clock, player_id FROM e WHERE type = 'Pressure') SELECT a.team_id, least(a.player_id, b.player_id) AS p, greatest(a.player_id, b.player_id) AS q, count(*) AS n FROM p a JOIN p b ON a.match_id = b.match_id AND a.possession = b.possession AND a.team_id = b.team_id AND b.clock > a.clock AND b.clock - a.clock <= 2 AND a.player_id <> b.player_id GROUP BY ALL",
     "player_nodes": BASE + "SELECT team_id, player_id, count(*) AS n, round(quantile_cont(x, 0.5), 6) AS x, round(quantile_cont(y, 0.5), 6) AS y FROM e WHERE action IS NOT NULL GROUP BY ALL",
     "zone_graph": BASE + f"SELECT team_id, {pitch.region('x', 'y')} AS r0, {pitch.region('end_x', 'end_y')} AS r1, count(*) AS n FROM e WHERE kind = 'move' GROUP BY ALL",
-    "setpieces": BASE + f"SELECT match_id, team_id, count(*) FILTER (type = 'Pass' AND sub_type = 'Corner') AS corners, count(*) FILTER (sub_type = 'Free Kick' AND type IN ('Pass', 'Shot') AND x >= 80) AS att_free_kicks, count(*) FILTER ({SP}) AS sp_shots, round(coalesce(sum(xg) FILTER ({SP}), 0), 6) AS sp_xg, round(round(coalesce(sum(xg) FILTER ({SP}), 0), 6) / nullif(sum(xg) FILTER ({SHOT}), 0), 6) AS sp_xg_share, round(count(*) FILTER ({SHOT} AND play_pattern = 'From Corner') / nullif(count(*) FILTER (type = 'Pass' AND sub_type = 'Corner'), 0), 6) AS shots_per_corner FROM e WHERE period <= 4 GROUP BY match_id, team_id",
+    "setpieces": BASE + PIECES,
     "results": BASE + "SELECT * FROM res",
     "asof_calls": BASE + "SELECT * FROM calls",
     "league_chain": BASE + 'SELECT z0, "out", round(p + 1e-10, 6) AS p FROM lg',

@@ -15,6 +15,23 @@ ac AS (SELECT t.side, t.team_id, t.match_date, z0, "out", CAST(sum(n) AS BIGINT)
 np AS (SELECT t.side, t.team_id, t.match_date, count(DISTINCT match_id) AS n_prior FROM td t JOIN sd s ON s.side = t.side AND s.team_id = t.team_id AND s.match_date < t.match_date GROUP BY ALL),
 la AS (SELECT d.match_date, z0, "out", CAST(sum(n) AS BIGINT) AS n FROM (SELECT DISTINCT match_date FROM od) d JOIN od s ON s.match_date < d.match_date GROUP BY ALL)"""
 
+_limits = {r.split("_")[0]: k for r, _, _, k in replay.ROLES}
+_region = lambda z: replay.REGION.format(z=z)
+PLAYERS = DATED + f""",
+ra AS ({" UNION ALL ".join(f"SELECT '{r}' AS role, team_id, match_date, CAST({p} AS BIGINT) AS player_id FROM ev WHERE {c} AND {p} IS NOT NULL" for r, c, p, _ in replay.ROLES)}),
+fx AS (SELECT DISTINCT match_id, match_date, home_team_id AS team_id, away_team_id AS opp_id FROM ev UNION SELECT DISTINCT match_id, match_date, away_team_id, home_team_id FROM ev),
+rd AS (SELECT team_id, match_date FROM np WHERE n_prior >= {replay.LEAST_PRIOR} GROUP BY ALL HAVING count(*) = 2),
+sl AS (SELECT team_id AS opp_id, match_date, CASE WHEN coalesce(sum(n) FILTER ({_region('z0')} = 13 AND {_region('"out"')} = 12 AND "out" < {pitch.ZONES}), 0) > coalesce(sum(n) FILTER ({_region('z0')} = 11 AND {_region('"out"')} = 12 AND "out" < {pitch.ZONES}), 0) THEN 'right' ELSE 'left' END AS lever_side FROM ac WHERE side = 'attack' GROUP BY ALL),
+rf AS (SELECT fx.*, lever_side FROM fx JOIN sl USING (opp_id, match_date) WHERE (team_id, match_date) IN (SELECT (team_id, match_date) FROM rd) AND (opp_id, match_date) IN (SELECT (team_id, match_date) FROM rd)),
+pz1 AS (SELECT f.match_id, f.team_id, f.opp_id, f.lever_side, w.who, r.role, r.player_id, CASE WHEN w.who = 'our' THEN f.team_id ELSE f.opp_id END AS side_id, count(*) AS n
+    FROM rf f CROSS JOIN (VALUES ('our'), ('their')) w(who) JOIN ra r ON r.team_id = CASE WHEN w.who = 'our' THEN f.team_id ELSE f.opp_id END AND r.match_date < f.match_date GROUP BY ALL),
+pz2 AS (SELECT *, n / sum(n) OVER (PARTITION BY match_id, team_id, who, role) AS share FROM pz1),
+pk AS (SELECT match_id, team_id, opp_id, who, split_part(role, '_', 1) AS role, player_id, n, share, side_id FROM pz2 WHERE (NOT contains(role, '_') OR split_part(role, '_', 2) = lever_side)
+    AND split_part(role, '_', 1) IN (SELECT unnest(CASE WHEN who = 'our' THEN {list(replay.OURS)} ELSE {list(replay.THEIRS)} END))),
+xi AS (SELECT match_id, team_id, list(player_id) AS eleven FROM (SELECT match_id, team_id, player_id, row_number() OVER (PARTITION BY match_id, team_id ORDER BY min(idx), player_id) AS place FROM ev WHERE player_id % 10 = team_id GROUP BY match_id, team_id, player_id) WHERE place <= 11 GROUP BY ALL),
+pn AS (SELECT pk.*, row_number() OVER (PARTITION BY pk.match_id, pk.team_id, who, role ORDER BY n DESC, player_id) AS place FROM pk LEFT JOIN xi ON xi.match_id = pk.match_id AND xi.team_id = side_id WHERE eleven IS NULL OR list_contains(eleven, player_id))
+SELECT match_id, team_id, opp_id, who, role, CAST(place AS INT) AS place, player_id, n, round(share + {pitch.NUDGE}, 6) AS share FROM pn WHERE place <= CASE role {" ".join(f"WHEN '{r}' THEN {k}" for r, k in _limits.items())} END"""
+
 PLAYER = geometry.PASS
 #: Chance of a pass from (ax, ay) to (bx, ty) of event e, by rows of pressure of each defender.
 _chance = lambda lane, near, length: f"1 / (1 + exp(-({PLAYER[0]} + {PLAYER[1]} * {lane} + {PLAYER[2]} * {near} + {PLAYER[3]} * {length} + {PLAYER[4]} * {length} * {length} / 100)))"
@@ -64,6 +81,7 @@ op AS (SELECT event_id, hops, threat FROM (SELECT *, row_number() OVER (PARTITIO
 oo AS (SELECT event_id, count(*) AS options, max(threat) FILTER (place = 1) AS threat, max(threat) FILTER (place = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY threat DESC) AS place FROM op) GROUP BY event_id)"""
 
 ORACLE: dict[str, str] = {
+    "plan_players": PLAYERS,
     "asof_chains": DATED + f""", lp AS (SELECT match_date, z0, "out", (n + CASE WHEN "out" = {pitch.LOSS} THEN 1 ELSE 0 END) / (sum(n) OVER (PARTITION BY match_date, z0) + 1) AS pl FROM la)
         SELECT side, team_id, match_date, z0, "out", n, round((n + {replay.KAPPA} * pl) / (rows_n + {replay.KAPPA}) + {pitch.NUDGE}, 6) AS p, n_prior FROM (SELECT *, sum(n) OVER (PARTITION BY side, team_id, match_date, z0) AS rows_n FROM ac) JOIN lp USING (match_date, z0, "out") JOIN np USING (side, team_id, match_date) WHERE n_prior >= {replay.LEAST_PRIOR}""",
     "shape_features": SHAPE + " SELECT match_id, event_id, " + ", ".join(f"CASE WHEN held THEN round(CAST({c} AS DOUBLE) + {pitch.NUDGE}, 6) END AS {c}" for c in _shape) + " FROM sf",

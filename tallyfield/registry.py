@@ -264,12 +264,35 @@ QUERIES |= {
     "feature_skills": lambda s, d: audit.skills(_calls(s, d)),
     "team_call_shares": lambda s, d: audit.team_shares(_calls(s, d)),
     "pseudo_matches": lambda s, d: _rounded_all(audit.pseudo_matches(_long(s, d))),
-    "rule_rows": lambda s, d: _rounded_all(audit.rule_rows(_calls(s, d))),
+    "rule_rows": lambda s, d: _rounded_all(audit.rule_rows(_calls(s, d)).drop("feature", "call", "ref")),
     "rule_premises": lambda s, d: audit.premises(season.once(audit.rule_rows(_calls(s, d)))),
-    "game_rule_premises": lambda s, d: audit.premises(season.once(audit.rule_rows(_calls(s, d), audit.GAME_RULES, "usual"))),
-    "instructions": lambda s, d: audit.instructions(audit.rule_rows(_calls(s, d), audit.GAME_RULES, "usual")),
+    "pseudo_matches_asof": lambda s, d: _rounded_all(audit.pseudo_asof(_long(s, d))),
+    "pooled_calls": lambda s, d: _rounded_all(_pooled(s, d)),
+    "pooled_skills": lambda s, d: audit.skills(season.once(_pooled(s, d))),
+    "setpiece_calls": lambda s, d: _rounded_all(audit.asof(_setpiece_long(s, d))),
+    "setpiece_premises": lambda s, d: audit.premises(season.once(audit.rule_rows(season.once(audit.asof(_setpiece_long(s, d))), audit.SETPIECE_RULES))),
+    "game_rule_premises": lambda s, d: audit.premises(season.once(_game_rules(s, d))),
+    "instructions": lambda s, d: audit.instructions(_game_rules(s, d)).select("match_id", "team_id", "rule", "place", "departure", "held"),
 }
 
+
+def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _long(spark, sf_dir)
+    return audit.asof(long, audit.pseudo_asof(long))
+
+
+def _setpiece_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return season.once(audit.setpiece_form(stats.setpieces(_kinds(spark, sf_dir)), load(spark, sf_dir)))
+
+
+def _all_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return season.once(audit.asof(_long(spark, sf_dir)).union(audit.asof(_setpiece_long(spark, sf_dir))))
+
+
+def _game_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.rule_rows(_all_calls(spark, sf_dir), audit.GAME_RULES, "usual")
+
+
 LEAST_ACTIONS = 20  # players of the test events have some forty actions; the reference's 150 is the operators' default
 
 
@@ -368,8 +391,25 @@ QUERIES |= {
     "match_plans": lambda s, d: _rounded_plan(_plans(s, d)[1]),
     "plan_outcomes": lambda s, d: _rounded_plan(replay.plan_outcomes(*_plans(s, d))),
     "plan_summary": lambda s, d: _rounded_plan(replay.plan_summary(season.once(replay.plan_outcomes(*_plans(s, d))))),
+    "plan_players": lambda s, d: _rounded_all(_plan_players(s, d)),
+    "instruction_texts": lambda s, d: audit.instruction_texts(audit.instructions(_game_rules(s, d)), season.once(_plan_players(s, d))),
+    "followed_instructions": lambda s, d: _followed(s, d),
 }
 
+
+def _plan_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asof, games = _asof(spark, sf_dir)
+    return replay.plan_players(asof, load(spark, sf_dir), games, players.starters(line_ups(load(spark, sf_dir))))
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level play of the season table's team-matches."""
+    levels = season.once(people.level_rates(_ev(spark, sf_dir)).join(_table(spark, sf_dir).select("match_id", "team_id"), ["match_id", "team_id"], "left_semi"))
+    long = audit.long_form(levels, load(spark, sf_dir), audit.LEVEL_FEATURES)
+    weights = levels.groupBy("match_id").agg(F.max("level_minutes").alias("weight"))
+    return audit.followed(_calls(spark, sf_dir), season.once(audit.asof(long)), weights)
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir)
     return geometry.snapshots(ev, *freeze_frames(ev))
