@@ -112,9 +112,9 @@ def matchup_summary(rows: DataFrame, reps: int = 200) -> DataFrame:
     return out.crossJoin(F.broadcast(corr))
 
 
-def link_rows(counts: DataFrame, least_possessions: int = 20, starts: DataFrame | None = None) -> DataFrame:
-    """For each match, attacker and link between regions: y, xg over what both sides' other matches let expect, less 1, and u,
-    how much more than usual the link was used."""
+def link_use(counts: DataFrame) -> DataFrame:
+    """For each match and attacker, and each link between different regions that the attacker ever used: n, all moves of the match, and
+    usual, the link's share in the attacker's other matches."""
     region = lambda z: f"(case when floor({z} / 5) < 2 then 0 when floor({z} / 5) < 4 then 1 else 2 end * 5 + {z} % 5)"
     key = ["match_id", "team_id", "opp_id"]
     m = counts.where(F.col("out") < season.N).groupBy(*key, F.expr(region("z0")).cast("int").alias("r0"), F.expr(region("out")).cast("int").alias("r1")).agg(F.sum("n").alias("n"))
@@ -124,13 +124,27 @@ def link_rows(counts: DataFrame, least_possessions: int = 20, starts: DataFrame
     links = m.where("r0 <> r1").withColumn("of_link", F.sum("n").over(Window.partitionBy("team_id", "r0", "r1")))
     every = links.select("team_id", "r0", "r1", "of_link").distinct()
     j = total.join(every, "team_id").join(links.select(*key, "r0", "r1", "n"), [*key, "r0", "r1"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    j = j.withColumn("usual", F.try_divide((F.col("of_link") - F.col("n")).cast("double"), F.col("rest").cast("double"))).where(F.col("usual") >= USUAL_LEAST)
+    return j.withColumn("usual", F.try_divide((F.col("of_link") - F.col("n")).cast("double"), F.col("rest").cast("double")))
+
+
+def link_rows(counts: DataFrame, least_possessions: int = 20, starts: DataFrame | None = None) -> DataFrame:
+    """For each match, attacker and link between regions: y, xg over what both sides' other matches let expect, less 1, and u,
+    how much more than usual the link was used."""
+    key = ["match_id", "team_id", "opp_id"]
+    j = link_use(counts).where(F.col("usual") >= USUAL_LEAST)
     u = F.least(F.greatest(F.col("n") / F.col("all") / F.col("usual") - 1, F.lit(CLIP_USE[0])), F.lit(CLIP_USE[1]))
+    return j.join(outcome_rows(counts, starts, least_possessions), key).select(*key, "r0", "r1", F.round("y", 6).alias("y"), F.round(u, 6).alias("u"))
+
+
+def outcome_rows(counts: DataFrame, starts: DataFrame, least_possessions: int = 20) -> DataFrame:
+    """match_id, team_id, opp_id, y: xg of a possession over what both sides' other matches let expect, less 1."""
+    key = ["match_id", "team_id", "opp_id"]
     xg = counts.groupBy(*key).agg(F.sum("xg").alias("xg")).join(starts.groupBy(*key).agg(F.sum("n").alias("p")), key).where(F.col("p") >= least_possessions)
     loo = lambda by: F.try_divide(F.sum("xg").over(Window.partitionBy(*by)) - F.col("xg"), (F.sum("p").over(Window.partitionBy(*by)) - F.col("p")).cast("double"))
-    xg = xg.withColumn("made", loo(["team_id"])).withColumn("allowed", loo(["opp_id"])).withColumn("league", F.try_divide(F.sum("xg").over(Window.partitionBy(F.lit(1))) - F.sum("xg").over(Window.partitionBy("match_id")), (F.sum("p").over(Window.partitionBy(F.lit(1))) - F.sum("p").over(Window.partitionBy("match_id"))).cast("double")))
-    xg = xg.withColumn("y", F.try_divide(F.col("xg") / F.col("p"), F.col("made") * F.try_divide("allowed", "league")) - 1).where("y is not null")
-    return j.join(xg.select(*key, "y"), key).select(*key, "r0", "r1", F.round("y", 6).alias("y"), F.round(u, 6).alias("u"))
+    every = F.broadcast(xg.agg(F.sum("xg").alias("all_xg"), F.sum("p").alias("all_p")))  # one row
+    of = lambda c: F.sum(c).over(Window.partitionBy("match_id"))
+    xg = xg.crossJoin(every).withColumn("made", loo(["team_id"])).withColumn("allowed", loo(["opp_id"])).withColumn("league", F.try_divide(F.col("all_xg") - of("xg"), (F.col("all_p") - of("p")).cast("double")))
+    return xg.withColumn("y", F.try_divide(F.col("xg") / F.col("p"), F.col("made") * F.try_divide("allowed", "league")) - 1).where("y is not null").select(*key, "y")
 
 
 def link_slopes(rows: DataFrame) -> DataFrame:

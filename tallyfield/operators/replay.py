@@ -145,11 +145,17 @@ def lanes(chain: Chain) -> np.ndarray:
     return n / n.sum() if n.sum() > 0 else np.full(5, 0.2)
 
 
-def cost(chain: Chain, link: tuple[int, int]) -> float:
-    """Mean share of threat that goes with a link, whether its moves find another way or are lost."""
+def drops(chain: Chain, link: tuple[int, int]) -> tuple[float, float]:
+    """Shares of threat that go with a link if its moves find another way, and if they are lost."""
     blocked, base = (_R[:, None] == link[0]) & (_R[None, :] == link[1]), threat(chain)
     gain = chain[0][:, pitch.SHOT] * chain[1]
-    return float(np.mean([(base - solve(denied(chain[0][:, :N], blocked, adapt), gain, chain[2])) / base for adapt in (True, False)])) if base > 0 else 0.0
+    found, lost = ((base - solve(denied(chain[0][:, :N], blocked, adapt), gain, chain[2])) / base if base > 0 else 0.0 for adapt in (True, False))
+    return found, lost
+
+
+def cost(chain: Chain, link: tuple[int, int]) -> float:
+    """The mean of both."""
+    return float(np.mean(drops(chain, link)))
 
 
 def usage(c: np.ndarray, link: tuple[int, int]) -> float:

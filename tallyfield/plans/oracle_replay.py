@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import pitch
-from ..operators import geometry, replay, routing
+from ..operators import fits, geometry, replay, routing
 from .oracle import BASE
 
 DATED = BASE + """,
@@ -50,7 +50,7 @@ def passes(segments: str, name: str) -> str:
 
 FRAMES = BASE + """,
 nx AS (SELECT match_id, event_id, team_id, possession_team_id, x, y, list({'team_id': team_id, 'event_id': event_id, 'x': x, 'y': y}) OVER (PARTITION BY match_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS near FROM ev WHERE x IS NOT NULL),
-sn AS (SELECT * FROM nx WHERE event_id % 5 = 0 AND team_id = possession_team_id),
+sn AS (SELECT * FROM nx WHERE event_id % 6 = 0 AND team_id = possession_team_id),
 pl AS (SELECT match_id, event_id, i, p.team_id = team_id AS mate, p.event_id % 11 = 0 AS keeper, CASE WHEN p.team_id = team_id THEN p.x ELSE 120 - p.x END AS x, CASE WHEN p.team_id = team_id THEN p.y ELSE 80 - p.y END AS y
     FROM (SELECT match_id, event_id, team_id, unnest(range(1, len(near) + 1)) AS i, unnest(near) AS p FROM sn)),
 de AS (SELECT * FROM pl WHERE NOT mate),
@@ -80,7 +80,25 @@ op AS (SELECT event_id, hops, threat FROM (SELECT *, row_number() OVER (PARTITIO
     UNION ALL SELECT event_id, 1, p * g FROM p1 UNION ALL SELECT event_id, 0, {_goal("x", "y")} FROM vs WHERE event_id IN (SELECT event_id FROM mt)),
 oo AS (SELECT event_id, count(*) AS options, max(threat) FILTER (place = 1) AS threat, max(threat) FILTER (place = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY threat DESC) AS place FROM op) GROUP BY event_id)"""
 
+SHOTS = BASE + """,
+sq AS (SELECT ln(least(greatest(xg, 1e-4), 1)) AS y, sqrt(pow(x - 120, 2) + pow(y - 40, 2)) AS a, abs(y - 40) AS b FROM ev WHERE type = 'Shot' AND coalesce(sub_type, '') <> 'Penalty' AND xg IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL),
+sm AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM sq),
+sb AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS p, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM sm)"""
+# Links, their use and the units that have an outcome; the test data's least number of possessions is 5.
+LINKS = BASE + f""",
+st AS (SELECT match_id, team_id, count(*) AS n FROM (SELECT DISTINCT match_id, team_id, possession FROM e WHERE kind IS NOT NULL) GROUP BY ALL),
+ux AS (SELECT o.match_id, o.team_id, o.opp_id, o.xg, n AS p FROM (SELECT match_id, team_id, opp_id, sum(xg) AS xg FROM ot GROUP BY ALL) o JOIN st USING (match_id, team_id) WHERE n >= 5),
+uy AS (SELECT *, (sum(xg) OVER a - xg) / nullif(sum(p) OVER a - p, 0) AS made, (sum(xg) OVER b - xg) / nullif(sum(p) OVER b - p, 0) AS allowed, (sum(xg) OVER () - sum(xg) OVER m) / nullif(sum(p) OVER () - sum(p) OVER m, 0) AS league FROM ux WINDOW a AS (PARTITION BY team_id), b AS (PARTITION BY opp_id), m AS (PARTITION BY match_id)),
+un AS (SELECT match_id, team_id FROM uy WHERE xg / p / nullif(made * (allowed / nullif(league, 0)), 0) IS NOT NULL),
+lm AS (SELECT match_id, team_id, {_region('z0')} AS r0, {_region('"out"')} AS r1, sum(n) AS n FROM ot WHERE "out" < {pitch.ZONES} GROUP BY ALL),
+lt AS (SELECT *, sum(total) OVER (PARTITION BY team_id) - total AS rest FROM (SELECT match_id, team_id, sum(n) AS total FROM lm GROUP BY ALL)),
+lk AS (SELECT team_id, r0, r1, sum(n) AS every FROM lm WHERE r0 <> r1 GROUP BY ALL),
+lu AS (SELECT k.r0, k.r1, (every - coalesce(m.n, 0)) / nullif(rest, 0) AS usual FROM un JOIN lt USING (match_id, team_id) JOIN lk k ON k.team_id = un.team_id LEFT JOIN lm m ON m.match_id = un.match_id AND m.team_id = un.team_id AND m.r0 = k.r0 AND m.r1 = k.r1)
+SELECT CAST(row_number() OVER (ORDER BY r0, r1) - 1 AS INT) AS k, CAST(r0 AS INT) AS r0, CAST(r1 AS INT) AS r1, round(s + {pitch.NUDGE}, 6) AS usage FROM (SELECT r0, r1, sum(usual) / (SELECT count(*) FROM un) AS s FROM lu GROUP BY ALL) WHERE s >= {fits.LINK_LEAST}"""
+
 ORACLE: dict[str, str] = {
+    "shot_fit": SHOTS + f" SELECT name, round(value + {pitch.NUDGE}, 6) AS value FROM (SELECT 'intercept' AS name, my - p * ma - q * mb AS value FROM sb UNION ALL SELECT 'distance', p FROM sb UNION ALL SELECT 'lateral', q FROM sb)",
+    "tested_links": LINKS,
     "plan_players": PLAYERS,
     "asof_chains": DATED + f""", lp AS (SELECT match_date, z0, "out", (n + CASE WHEN "out" = {pitch.LOSS} THEN 1 ELSE 0 END) / (sum(n) OVER (PARTITION BY match_date, z0) + 1) AS pl FROM la)
         SELECT side, team_id, match_date, z0, "out", n, round((n + {replay.KAPPA} * pl) / (rows_n + {replay.KAPPA}) + {pitch.NUDGE}, 6) AS p, n_prior FROM (SELECT *, sum(n) OVER (PARTITION BY side, team_id, match_date, z0) AS rows_n FROM ac) JOIN lp USING (match_date, z0, "out") JOIN np USING (side, team_id, match_date) WHERE n_prior >= {replay.LEAST_PRIOR}""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pitch
-from .operators import audit, chain, delivery, enrich, experiments, geometry, matchup, people, players, reliability, replay, routing, scoring, season, stats, value
+from .operators import audit, chain, delivery, enrich, experiments, fits, geometry, matchup, people, players, reliability, replay, routing, scoring, season, stats, value
 from .plans.oracle import ORACLE as _ORACLE
 from .plans.oracle_audit import ORACLE as _AUDIT
 from .plans.oracle_calls import ORACLE as _CALLS
@@ -410,6 +410,36 @@ def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.followed(_calls(spark, sf_dir), season.once(audit.asof(long)), weights)
 
 
+def _link_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Counts, starts, use of links, units with an outcome, and the links that are tested."""
+    ev = _kinds(spark, sf_dir)
+    counts, starts = season.once(stats.outcome_table(ev)), season.once(stats.start_table(ev))
+    use, units = season.once(experiments.link_use(counts)), season.once(experiments.outcome_rows(counts, starts, LEAST_POSSESSIONS))
+    return counts, starts, use, units, season.once(fits.tested_links(use, units))
+
+
+def _joint(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counts, starts, use, units, links = _link_units(spark, sf_dir)
+    return season.once(fits.joint_slopes(use, units, links)), season.once(fits.league_drops(counts, starts, links))
+
+
+def _gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts, starts, use, units, links = _link_units(spark, sf_dir)
+    excess = season.once(fits.excess_terms(counts, starts, units, KAPPA))
+    one = lambda name, tested: fits.gamma_test(use, units, links, excess, tested).select(F.lit(name).alias("term"), "*")
+    return one("primary", fits.PRIMARY).union(one("secondary", fits.SECONDARY))
+
+
+QUERIES |= {
+    "tested_links": lambda s, d: _rounded_all(_link_units(s, d)[4]),
+    "link_effects": lambda s, d: fits.link_effects(*_joint(s, d)),
+    "rank_agreement": lambda s, d: fits.rank_agreement(*_joint(s, d)),
+    "gamma_test": _gamma,
+    "shot_fit": lambda s, d: fits.shot_fit(load(s, d)),
+    "pass_fit": lambda s, d: fits.pass_fit(season.once(fits.pass_rows(_snapshots(s, d), load(s, d)))),
+}
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir)
     return geometry.snapshots(ev, *freeze_frames(ev))

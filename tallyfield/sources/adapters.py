@@ -61,11 +61,11 @@ def line_ups(ev: DataFrame) -> DataFrame:
 
 
 def freeze_frames(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frames and camera areas for every fifth event of the side in possession with a place: the player on the ball, and where the
+    """Frames and camera areas for every sixth event of the side in possession with a place: the player on the ball, and where the
     next nine events of the match happen, opponents' places turned round; one player in eleven keeps goal. One area in ten is not known."""
     w = Window.partitionBy("match_id").orderBy("idx")
     near = ev.where("x is not null").withColumn("near", F.collect_list(F.struct("team_id", "event_id", "x", "y")).over(w.rowsBetween(1, 9)))
-    e = near.where("event_id % 5 = 0 and team_id = possession_team_id")
+    e = near.where("event_id % 6 = 0 and team_id = possession_team_id")
     mate = F.col("p.team_id") == F.col("team_id")
     others = e.select("match_id", "event_id", "team_id", F.posexplode("near").alias("n", "p"))
     others = others.select("match_id", "event_id", (F.col("n") + 1).alias("n"), mate.alias("teammate"), F.lit(False).alias("actor"), (F.col("p.event_id") % 11 == 0).alias("keeper"),
