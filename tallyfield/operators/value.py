@@ -31,6 +31,14 @@ def grid_zone(x: str, y: str) -> Column:
     return F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), cell(x, 120.0, NX) * NY + cell(y, 80.0, NY)).cast("int")
 
 
+def solved_grid(c: np.ndarray, xg: np.ndarray) -> np.ndarray:
+    """Values of the zones from counts by zone and outcome, and the xg of each zone's shots."""
+    p = c / (c.sum(1, keepdims=True) + PRIOR_LOSSES)
+    shots = c[:, SHOT]
+    quality = np.divide(xg, shots, out=np.zeros(GRID), where=shots > 0)
+    return np.linalg.solve(np.eye(GRID) - p[:, :GRID], p[:, SHOT] * quality)
+
+
 def grid_values(ev: DataFrame) -> DataFrame:
     """zone, value of all 192 zones from open-play actions: V = s g + M V, solved once over counts by zone pair."""
     out = F.when(F.col("kind") == "move", grid_zone("end_x", "end_y")).when(F.col("kind") == "shot", SHOT).otherwise(LOSS)
@@ -43,10 +51,7 @@ def grid_values(ev: DataFrame) -> DataFrame:
         c[z, o] = g["n"].to_numpy(float)
         xg = np.zeros(GRID)
         np.add.at(xg, z, g["xg"].to_numpy(float))
-        p = c / (c.sum(1, keepdims=True) + PRIOR_LOSSES)
-        shots = c[:, SHOT]
-        quality = np.divide(xg, shots, out=np.zeros(GRID), where=shots > 0)
-        return pd.DataFrame({"zone": np.arange(GRID), "value": np.linalg.solve(np.eye(GRID) - p[:, :GRID], p[:, SHOT] * quality)})
+        return pd.DataFrame({"zone": np.arange(GRID), "value": solved_grid(c, xg)})
 
     return counts.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "zone int, value double")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pitch
-from .operators import audit, chain, delivery, enrich, experiments, fits, geometry, matchup, people, players, reliability, replay, routing, scoring, season, stats, value
+from .operators import audit, chain, delivery, enrich, experiments, fits, geometry, holdout, matchup, people, players, reliability, replay, routing, scoring, season, stats, value
 from .plans.oracle import ORACLE as _ORACLE
 from .plans.oracle_audit import ORACLE as _AUDIT
 from .plans.oracle_calls import ORACLE as _CALLS
@@ -16,7 +16,7 @@ from .plans.oracle_players import ORACLE as _PLAYERS
 from .plans.oracle_season import ORACLE as _SEASON
 from .plans.oracle_trust import ORACLE as _TRUST
 from .plans.oracle_replay import ORACLE as _REPLAY
-from .sources.adapters import freeze_frames, line_ups, load
+from .sources.adapters import freeze_frames, line_ups, load, with_season
 
 KAPPA = 30.0
 EVENT_COLUMNS = ["event_id", "kind", "restart", "phase", "bucket", "xg_after", "goal_after", "pos_start_x", "pos_first_type", "pos_xg", "pos_shot", "pos_seconds", "transition", "home_goals", "away_goals"]
@@ -435,6 +435,8 @@ QUERIES |= {
     "link_effects": lambda s, d: fits.link_effects(*_joint(s, d)),
     "rank_agreement": lambda s, d: fits.rank_agreement(*_joint(s, d)),
     "gamma_test": _gamma,
+    "value_holdout": lambda s, d: _rounded_all(holdout.holdout(with_season(_ev(s, d)))),
+    "monotone_share": lambda s, d: _rounded_all(holdout.monotone_share(value.grid_values(_kinds(s, d)))),
     "shot_fit": lambda s, d: fits.shot_fit(load(s, d)),
     "pass_fit": lambda s, d: fits.pass_fit(season.once(fits.pass_rows(_snapshots(s, d), load(s, d)))),
 }

