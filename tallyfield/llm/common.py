@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,8 +68,28 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut the batches that Arrow brings so that no piece holds over `most` bytes of text (one row at least)."""
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def kept_between_tasks(name: str, clear: Callable[[], None]) -> None:
+    """What an operator keeps in a Python worker from task to task; another operator's task in the same worker drops it."""
+    _caches[name] = clear
+
+
+def _free(keep: str | None) -> None:
+    """Drop what other operators keep, and give unused memory back to the machine: workers live on beside the next stage's."""
+    for name, clear in _caches.items():
+        if name != keep:
+            clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut the batches that Arrow brings so that no piece holds over `most` bytes of text (one row at least). `keep` names what the
+    operator keeps between tasks."""
+    _free(keep)
     for rb in batches:
         sizes = pc.fill_null(pc.binary_length(rb.column(column)), 0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
@@ -78,6 +100,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20)
             held += n
         if begin < rb.num_rows:
             yield rb.slice(begin)
+    _free(keep)
 
 
 def rows_and_text(documents: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, pieces, rows_and_text, shared_file, staged
+from .common import fresh_path, kept_between_tasks, pieces, rows_and_text, shared_file, staged
 
 # ASCII letters and digits and all bytes of other characters make words; A-Z are lower-cased.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -256,6 +256,9 @@ def _read_chunk(path: str) -> Windows:
         return pickle.loads(f.read())  # written by `item_chunks`
 
 
+kept_between_tasks("chunks", _read_chunk.cache_clear)
+
+
 def item_chunks(benchmark: DataFrame, width: int, most_bytes: int = 8 << 20) -> list[str]:
     """Paths of files with the windows of the items, each of items of at most `most_bytes` of text (one item at least)."""
     spark = benchmark.sparkSession
@@ -300,7 +303,7 @@ def find(documents: DataFrame, benchmark: DataFrame, width: int = 10, columns: l
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in pieces(batches, "text"):
+        for rb in pieces(batches, "text", keep="chunks"):
             texts = rb.column("text").to_pylist()
             found = search(texts, chunks)
             text = pa.array([cut_text(t, d.spans) for t, d in zip(texts, found, strict=True)], pa.string()) if cut else rb.column("text")

@@ -97,7 +97,7 @@ def tokenised(documents: DataFrame, tokenizer: str, end_id: int, size: int, with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, end_id)
-        for rb in pieces(batches, "text"):
+        for rb in pieces(batches, "text", 2 << 20, "tokens"):
             out = []
             for text in rb.column("text").to_pylist():
                 ids = e.ids(text)

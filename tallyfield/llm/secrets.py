@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, rows_and_text, unpacked
+from .common import kept_between_tasks, pieces, rows_and_text, unpacked
 
 
 @dataclass(frozen=True)
@@ -300,6 +300,9 @@ def scanner(rules: tuple[Rule, ...] = BASE + ADDED) -> Scanner:
     return Scanner(rules, starts, (starts.table == starts.start).all(axis=0), starts.table.tolist(), starts.mask.tolist(), ends.table.tolist(), ends.mask.tolist(), ends.start, ends.dead)
 
 
+kept_between_tasks("scanner", scanner.cache_clear)
+
+
 def beginnings(texts: list[bytes], s: Scanner, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, byte, mask of rules) of every place where matches begin, by text and byte: one pass over all bytes,
     from the end, many pieces at a time."""
@@ -416,7 +419,7 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(rules)
-        for rb in pieces(batches, "text", 4 << 20):
+        for rb in pieces(batches, "text", 4 << 20, "scanner"):
             found = find_all(rb.column("text").to_pylist(), s)
             counts = [pa.array([sum(x[0] == k for x in f) for f in found], pa.int64()) for k in base]
             digest = pa.array([hashlib.sha256(joined([x for x in f if x[0] in base]).encode()).hexdigest() for f in found], pa.string())
@@ -450,7 +453,7 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(rules)
-        for rb in pieces(batches, "text", 4 << 20):
+        for rb in pieces(batches, "text", 4 << 20, "scanner"):
             texts = rb.column("text").to_pylist()
             clean = [redact_text(t, f) for t, f in zip(texts, find_all(texts, s), strict=True)]
             yield pa.RecordBatch.from_arrays([rb.column("row"), pa.array(clean, pa.string())], names=["row", "text"])

@@ -160,7 +160,7 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str | None
         where, root = shared_file(folder)
         name = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
         try:
-            for rb in pieces(batches, "text", 4 << 20):
+            for rb in pieces(batches, "text", 4 << 20, "tokens"):
                 if writer is None:
                     where.create_dir(root, recursive=True)
                     sink = where.open_output_stream(name)

@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import kept_between_tasks
+
 RUNS = re.compile(r"\s\s")
 CUT = re.compile(r" (?=\S)")
 # Words of letters that keep their form in every normal form and case, ASCII signs but ' and <, and line ends:
@@ -138,3 +140,6 @@ class Encoder:
 def encoder(path: str, end_id: int) -> Encoder:
     """One encoder for each worker process."""
     return Encoder(path, end_id)
+
+
+kept_between_tasks("tokens", encoder.cache_clear)
