@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pitch
+from ..functions.seasons import season_of
 from .matchup import _middle, graph_measures, middle_crossing
 from .replay import earlier
 from .scoring import PSEUDO, TIER_LEAD, TIER_USABLE, replicate_weight
@@ -125,15 +126,16 @@ def asof(long: DataFrame, pseudo: float | DataFrame = PSEUDO, least_prior: int =
     past = lambda *by: Window.partitionBy(*by).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
     # Sums by day first: the league's running window then has one row for each feature and day. Squares are of departures from
     # a middle value of the feature, so that no digits are lost where it is far from 0.
-    middle = long.groupBy("feature").agg(F.avg("v").alias("middle"))
+    d = d.withColumn("season", season_of())
+    middle = d.groupBy("season", "feature").agg(F.avg("v").alias("middle"))
     off = F.col("v") - F.col("middle")
-    day = d.join(middle, "feature").groupBy("feature", "day", "middle").agg(F.count("v").alias("n"), F.sum(off).alias("s"), F.sum(off * off).alias("q"))
-    n, s, q = (F.sum(c).over(past("feature")) for c in "nsq")
-    day = day.select("feature", "day", (F.col("middle") + _over(s, n)).alias("league"), F.sqrt(F.greatest(_over(q, n) - F.pow(_over(s, n), 2), F.lit(0.0))).alias("league_sd"))
-    d = d.join(day, ["feature", "day"])
+    day = d.join(middle, ["season", "feature"]).groupBy("season", "feature", "day", "middle").agg(F.count("v").alias("n"), F.sum(off).alias("s"), F.sum(off * off).alias("q"))
+    n, s, q = (F.sum(c).over(past("season", "feature")) for c in "nsq")
+    day = day.select("season", "feature", "day", (F.col("middle") + _over(s, n)).alias("league"), F.sqrt(F.greatest(_over(q, n) - F.pow(_over(s, n), 2), F.lit(0.0))).alias("league_sd"))
+    d = d.join(day, ["season", "feature", "day"])
     k_own = k_opp = F.lit(pseudo) if not isinstance(pseudo, DataFrame) else None
     if k_own is None:
-        d = d.join(pseudo, ["feature", "match_date"], "left")
+        d = d.join(pseudo, ["season", "feature", "match_date"], "left")
         k_own, k_opp = F.col("k_own"), F.col("k_opp")
     mean = lambda side, k: (F.coalesce(F.sum("v").over(past("feature", side)), F.lit(0.0)) + k * F.col("league")) / (F.count("v").over(past("feature", side)) + k)
     place = Window.partitionBy("feature", "team_id")
@@ -144,18 +146,19 @@ def asof(long: DataFrame, pseudo: float | DataFrame = PSEUDO, least_prior: int =
 
 
 def pseudo_asof(long: DataFrame, lo: float = 1.0, hi: float = 30.0) -> DataFrame:
-    """feature, match_date, k_own, k_opp: pseudo matches that the data before each date ask for, by team and by opponent, as
+    """season, feature, match_date, k_own, k_opp: pseudo matches that the data before each date ask for, by team and by opponent, as
     `pseudo_matches` has them over all. Numbers, sums and squares of each group run over the dates; no match meets another."""
-    off = F.col("v") - F.col("middle")
-    v = long.where("v is not null").join(long.groupBy("feature").agg(F.avg("v").alias("middle")), "feature")
-    out = dates = long.select("feature", "match_date").distinct()
+    keys = ["season", "feature"]
+    long, off = long.withColumn("season", season_of()), F.col("v") - F.col("middle")
+    v = long.where("v is not null").join(long.groupBy(*keys).agg(F.avg("v").alias("middle")), keys)
+    out = dates = long.select(*keys, "match_date").distinct()
     for side, name in (("team_id", "k_own"), ("opp_id", "k_opp")):
-        rows = v.select("feature", "match_date", F.col(side).alias("side"), F.lit(1).cast("long").alias("n"), off.alias("s"), (off * off).alias("q"))
-        g = earlier(rows, dates, ["feature"], ["side"], ["n", "s", "q"]).where("n >= 2")
-        f = g.groupBy("feature", "match_date").agg(F.count("*").alias("groups"), _over(F.sum(F.expr("q - s * s / n")), F.sum(F.col("n") - 1)).alias("within"), F.var_samp(F.col("s") / F.col("n")).alias("between"), F.avg(1 / F.col("n")).alias("noise"))
+        rows = v.select(*keys, "match_date", F.col(side).alias("side"), F.lit(1).cast("long").alias("n"), off.alias("s"), (off * off).alias("q"))
+        g = earlier(rows, dates, keys, ["side"], ["n", "s", "q"]).where("n >= 2")
+        f = g.groupBy(*keys, "match_date").agg(F.count("*").alias("groups"), _over(F.sum(F.expr("q - s * s / n")), F.sum(F.col("n") - 1)).alias("within"), F.var_samp(F.col("s") / F.col("n")).alias("between"), F.avg(1 / F.col("n")).alias("noise"))
         tau = F.col("between") - F.col("within") * F.col("noise")
         k = F.when((F.col("groups") >= 3) & (tau > 0) & (F.col("within") > 0), F.least(F.greatest(F.col("within") / tau, F.lit(lo)), F.lit(hi))).otherwise(hi)
-        out = out.join(f.select("feature", "match_date", k.alias(name)), ["feature", "match_date"], "left")
+        out = out.join(f.select(*keys, "match_date", k.alias(name)), [*keys, "match_date"], "left")
     return out.fillna(hi, ["k_own", "k_opp"])
 
 
@@ -171,8 +174,8 @@ def pseudo_matches(long: DataFrame, lo: float = 1.0, hi: float = 30.0) -> DataFr
 
 def loo(long: DataFrame) -> DataFrame:
     """League, team, and team with opponent means of every feature without the match itself, shrunk by pseudo matches."""
-    of = lambda *by: Window.partitionBy("feature", *by)
-    v = F.col("v")
+    of = lambda *by: Window.partitionBy("season", "feature", *by)
+    long, v = long.withColumn("season", season_of()), F.col("v")
     rest = lambda c, w, own: F.coalesce(c.over(w), F.lit(0.0)) - own
     got = F.when(v.isNotNull(), 1).otherwise(0)
     d = long.withColumn("league", _over(rest(F.sum("v"), of(), 0) - F.coalesce(F.sum("v").over(of("match_id")), F.lit(0.0)), F.greatest(F.count("v").over(of()) - F.count("v").over(of("match_id")), F.lit(1))))

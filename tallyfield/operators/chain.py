@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pitch
+from ..functions.seasons import season_of
 
 KAPPAS = (1, 3, 10, 30, 100, 300, 1000)  # fixed values: the grid that shrinkage is chosen from
 
@@ -17,58 +18,49 @@ def _cells(spark) -> DataFrame:
 
 
 def league_chain(counts: DataFrame) -> DataFrame:
-    """z0, out, p: transition shares with one pseudo loss in each zone."""
-    n = counts.groupBy("z0", "out").agg(F.sum("n").alias("n"))
-    full = F.broadcast(_cells(counts.sparkSession)).join(n, ["z0", "out"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.expr(f"case when out = {pitch.LOSS} then 1 else 0 end"))
-    return full.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("z0"))).select("z0", "out", "p")
+    """season, z0, out, p: transition shares with one pseudo loss in each zone."""
+    n = counts.groupBy(season_of().alias("season"), "z0", "out").agg(F.sum("n").alias("n"))
+    every = n.select("season").distinct().crossJoin(F.broadcast(_cells(counts.sparkSession)))
+    full = every.join(n, ["season", "z0", "out"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.expr(f"case when out = {pitch.LOSS} then 1 else 0 end"))
+    return full.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("season", "z0"))).select("season", "z0", "out", "p")
+
+
+def with_kappa(df: DataFrame, kappa: float | DataFrame) -> DataFrame:
+    """Rows that have a season, with its kappa: a number, or a table (season, kappa)."""
+    return df.join(kappa.select("season", F.col("kappa").cast("double").alias("kappa")), "season") if isinstance(kappa, DataFrame) else df.withColumn("kappa", F.lit(float(kappa)))
 
 
 def team_chains(counts: DataFrame, kappa: float | DataFrame) -> DataFrame:
-    """team_id, z0, out, p: counts shrunk to the league by kappa pseudo actions (a number, or a row of kappa)."""
-    league = league_chain(counts)
+    """team_id, z0, out, p: counts shrunk to the league of their season by kappa pseudo actions."""
     n = counts.groupBy("team_id", "z0", "out").agg(F.sum("n").alias("n"))
-    cells = counts.select("team_id").distinct().withColumn("z0", F.explode(F.array(*(F.lit(z) for z in range(pitch.ZONES))))).withColumn("out", F.explode(F.array(*(F.lit(z) for z in range(pitch.ZONES + 2)))))
-    full = cells.join(F.broadcast(league), ["z0", "out"]).join(n, ["team_id", "z0", "out"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    if isinstance(kappa, DataFrame):
-        full, kappa = full.crossJoin(F.broadcast(kappa.select(F.col("kappa").cast("double").alias("kappa")))), F.col("kappa")
-    return full.withColumn("p", (F.col("n") + kappa * F.col("p")) / (F.sum("n").over(Window.partitionBy("team_id", "z0")) + kappa)).select("team_id", "z0", "out", "p")
+    cells = n.select("team_id", season_of().alias("season")).distinct().join(league_chain(counts), "season")
+    full = with_kappa(cells.join(n, ["team_id", "z0", "out"], "left").withColumn("n", F.coalesce("n", F.lit(0))), kappa)
+    return full.withColumn("p", (F.col("n") + F.col("kappa") * F.col("p")) / (F.sum("n").over(Window.partitionBy("team_id", "z0")) + F.col("kappa"))).select("team_id", "z0", "out", "p")
 
 
 def kappa_scores(counts: DataFrame) -> DataFrame:
-    """Leave-one-match-out log likelihood of each kappa, by subtraction: no fit is repeated."""
-    return _likelihoods(counts, league_chain(counts)).select("kappa", F.round("loglik", 6).alias("loglik"))
+    """Leave-one-match-out log likelihood of each kappa by season, by subtraction: no fit is repeated."""
+    return _likelihoods(counts, league_chain(counts)).select("season", "kappa", F.round("loglik", 6).alias("loglik"))
 
 
 def select_kappa(counts: DataFrame, least_matches: int = 3) -> DataFrame:
-    """One row: the kappa that best predicts held-out matches of the teams with at least `least_matches`; ties, and
-    data without such a team, go to the smaller."""
+    """season, kappa: the kappa that best predicts held-out matches of the teams with at least `least_matches`; ties, and
+    seasons without such a team, go to the smaller."""
     played = counts.groupBy("team_id").agg(F.countDistinct("match_id").alias("m")).where(F.col("m") >= least_matches)
     scores = _likelihoods(counts.join(played, "team_id", "left_semi"), league_chain(counts))
-    return scores.agg(F.coalesce(F.max_by("kappa", F.struct("loglik", -F.col("kappa"))), F.lit(min(KAPPAS))).cast("int").alias("kappa"))
+    best = scores.groupBy("season").agg(F.max_by("kappa", F.struct("loglik", -F.col("kappa"))).alias("kappa"))
+    return counts.select(season_of().alias("season")).distinct().join(best, "season", "left").select("season", F.coalesce("kappa", F.lit(min(KAPPAS))).cast("int").alias("kappa"))
 
 
 def _likelihoods(counts: DataFrame, league: DataFrame) -> DataFrame:
-    c = counts.groupBy("team_id", "match_id", "z0", "out").agg(F.sum("n").alias("n"))
+    c = counts.groupBy("team_id", "match_id", "z0", "out").agg(F.sum("n").alias("n")).withColumn("season", season_of())
     c = c.withColumn("rest", F.sum("n").over(Window.partitionBy("team_id", "z0", "out")) - F.col("n"))
     row = F.sum("n").over(Window.partitionBy("team_id", "z0")) - F.sum("n").over(Window.partitionBy("team_id", "match_id", "z0"))
-    c = c.withColumn("row", row).join(F.broadcast(league), ["z0", "out"]).withColumn("kappa", F.explode(F.array(*(F.lit(k) for k in KAPPAS))))
+    c = c.withColumn("row", row).join(league, ["season", "z0", "out"]).withColumn("kappa", F.explode(F.array(*(F.lit(k) for k in KAPPAS))))
     p = F.greatest((F.col("rest") + F.col("kappa") * F.col("p")) / (F.col("row") + F.col("kappa")), F.lit(1e-12))
-    return c.groupBy("kappa").agg((F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("loglik"))
-
-
-def values(chains: DataFrame, shots: DataFrame, rounds: int = 400) -> DataFrame:
-    """team_id, value of each zone (array): fixed point of V = s g + M V inside the JVM.
-    `shots`: z0, g (mean xg of a shot)."""
-    c = chains.join(F.broadcast(shots), "z0", "left")
-    rows = c.groupBy("team_id", "z0").agg(F.sort_array(F.collect_list(F.when(F.col("out") < pitch.ZONES, F.struct("out", "p")))).alias("m"), F.sum(F.when(F.col("out") == pitch.SHOT, F.col("p") * F.coalesce("g", F.lit(0.0)))).alias("b"))
-    m = rows.groupBy("team_id").agg(F.sort_array(F.collect_list(F.struct("z0", F.col("m.p").alias("row"), "b"))).alias("t"))  # 30 rows of 30
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-    start = F.transform("t", lambda r: r["b"])
-    return m.select("team_id", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda v, _: F.transform("t", lambda r: r["b"] + dot(r["row"], v))).alias("value"))
+    return c.groupBy("season", "kappa").agg((F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("loglik"))
 
 
 def shot_quality(counts: DataFrame) -> DataFrame:
-    return counts.where(F.col("out") == pitch.SHOT).groupBy("z0").agg((F.sum("xg") / F.sum("n")).alias("g"))
+    """season, z0, g: mean xg of a shot."""
+    return counts.where(F.col("out") == pitch.SHOT).groupBy(season_of().alias("season"), "z0").agg((F.sum("xg") / F.sum("n")).alias("g"))

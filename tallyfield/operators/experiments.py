@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pitch
+from ..functions.seasons import season_of
 from . import season
 from .matchup import CLIP
 from .scoring import replicate_weight
@@ -33,10 +34,11 @@ def matchup_rows(counts: DataFrame, starts: DataFrame, kappa: float, least_match
 
     # Totals of each side less the match: what is left is the model's data. Missing cells of the match are zero.
     def rest(of: DataFrame, by: str | None, value: str, at: list[str]) -> DataFrame:
-        total = of.groupBy(*([by] if by else []), *at).agg(F.sum(value).alias("t"))
-        here = of.groupBy("match_id", *([by] if by else []), *at).agg(F.sum(value).alias("h"))
-        grid = units.select(*key).crossJoin(F.broadcast(whole if "out" in at else whole.select("z0").distinct()))
-        j = grid.join(total, [*([by] if by else []), *at], "left").join(here, ["match_id", *([by] if by else []), *at], "left")
+        group, of = by or "season", of.withColumn("season", season_of())
+        total = of.groupBy(group, *at).agg(F.sum(value).alias("t"))
+        here = of.groupBy("match_id", group, *at).agg(F.sum(value).alias("h"))
+        grid = units.select(*key, season_of().alias("season")).crossJoin(F.broadcast(whole if "out" in at else whole.select("z0").distinct()))
+        j = grid.join(total, [group, *at], "left").join(here, ["match_id", group, *at], "left")
         return j.select(*key, *at, (F.coalesce("t", F.lit(0)) - F.coalesce("h", F.lit(0))).alias(f"{value}_{by or 'league'}"))
 
     c = None
@@ -141,9 +143,10 @@ def outcome_rows(counts: DataFrame, starts: DataFrame, least_possessions: int =
     key = ["match_id", "team_id", "opp_id"]
     xg = counts.groupBy(*key).agg(F.sum("xg").alias("xg")).join(starts.groupBy(*key).agg(F.sum("n").alias("p")), key).where(F.col("p") >= least_possessions)
     loo = lambda by: F.try_divide(F.sum("xg").over(Window.partitionBy(*by)) - F.col("xg"), (F.sum("p").over(Window.partitionBy(*by)) - F.col("p")).cast("double"))
-    every = F.broadcast(xg.agg(F.sum("xg").alias("all_xg"), F.sum("p").alias("all_p")))  # one row
+    xg = xg.withColumn("season", season_of())
+    every = xg.groupBy("season").agg(F.sum("xg").alias("all_xg"), F.sum("p").alias("all_p"))
     of = lambda c: F.sum(c).over(Window.partitionBy("match_id"))
-    xg = xg.crossJoin(every).withColumn("made", loo(["team_id"])).withColumn("allowed", loo(["opp_id"])).withColumn("league", F.try_divide(F.col("all_xg") - of("xg"), (F.col("all_p") - of("p")).cast("double")))
+    xg = xg.join(every, "season").withColumn("made", loo(["team_id"])).withColumn("allowed", loo(["opp_id"])).withColumn("league", F.try_divide(F.col("all_xg") - of("xg"), (F.col("all_p") - of("p")).cast("double")))
     return xg.withColumn("y", F.try_divide(F.col("xg") / F.col("p"), F.col("made") * F.try_divide("allowed", "league")) - 1).where("y is not null").select(*key, "y")
 
 

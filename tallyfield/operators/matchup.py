@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pitch
+from ..functions.seasons import season_of
 from .chain import league_chain, team_chains
 
 CLIP = (0.25, 4.0)  # fixed values: bounds of an opponent's ratio to the league
@@ -41,7 +42,7 @@ def matchup_chains(counts: DataFrame, kappa: float | DataFrame) -> DataFrame:
     own = team_chains(counts, kappa)
     against = team_chains(conceded_counts(counts), kappa).select(F.col("team_id").alias("opp_id"), "z0", "out", F.col("p").alias("pb"))
     league = league_chain(counts).withColumnRenamed("p", "pl")
-    j = pairs.join(own, "team_id").join(against, ["opp_id", "z0", "out"]).join(F.broadcast(league), ["z0", "out"])
+    j = pairs.join(own, "team_id").join(against, ["opp_id", "z0", "out"]).withColumn("season", season_of()).join(league, ["season", "z0", "out"])
     r = F.when(F.col("pl") > 0, F.least(F.greatest(F.col("pb") / F.col("pl"), F.lit(CLIP[0])), F.lit(CLIP[1]))).otherwise(1.0)
     j = j.withColumn("p", F.col("p") * r)
     return j.select("team_id", "opp_id", "z0", "out", (F.col("p") / F.sum("p").over(Window.partitionBy("team_id", "opp_id", "z0"))).alias("p"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.seasons import season_of
 from .scoring import replicate_weight
 
 ORDINALS = {1: "st", 2: "nd", 3: "rd"}
@@ -44,7 +45,7 @@ def claim_estimates(led: DataFrame, table, reps: int = 200) -> DataFrame:
     d = m.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", replicate_weight("match_id", "rep"))
     d = d.groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("num")), F.sum(F.col("w") * F.col("den"))).alias("r"))
     d = d.groupBy(*keys).agg(F.percentile("r", F.lit(0.05)).alias("lo"), F.percentile("r", F.lit(0.95)).alias("hi"))
-    w = Window.partitionBy("claim")
+    w = Window.partitionBy(season_of(), "claim")
     e = v.join(d, keys).where("value is not null").withColumn("league", F.percentile("value", F.lit(0.5)).over(w)).withColumn("of", F.count("*").over(w))
     e = e.withColumn("rank", F.rank().over(w.orderBy(F.desc(F.round("value", 9)))))
     r = {c: F.round(c, 6) for c in ("value", "lo", "hi", "league", "first", "second")}

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pitch
-from .chain import league_chain, team_chains
+from ..functions.seasons import LEAGUE as LEAGUE
+from ..functions.seasons import league_key, season_of
+from .chain import league_chain, team_chains, with_kappa
 from .matchup import CLIP, REGIONS, _middle, _region, conceded_counts, denied, middle_crossing, solve
 
 N = pitch.ZONES
 KAPPA_XG = 10.0  # fixed value: pseudo shots of a zone's shot quality
-LEAGUE = -1
 MATERIAL = 0.03  # fixed value: least mean drop of an unusual link
 
 
@@ -29,33 +30,37 @@ def once(df: DataFrame) -> DataFrame:
 
 
 def _zones(counts: DataFrame, starts: DataFrame, kappa: float | DataFrame, side: str) -> DataFrame:
-    """Shot quality and starts of every team and zone, shrunk to the league's."""
+    """Shot quality and starts of every team and zone, shrunk to those of the season's league."""
     spark = counts.sparkSession
     shots = counts.where(F.col("out") == pitch.SHOT)
-    total = starts.agg(F.sum("n").alias("all"))
-    league = spark.range(N).selectExpr("cast(id as int) as z0").join(shots.groupBy("z0").agg((F.sum("xg") / F.sum("n")).alias("gl")), "z0", "left")
-    league = league.join(starts.groupBy("z0").agg(F.sum("n").alias("ns")), "z0", "left").crossJoin(F.broadcast(total))
-    league = league.select("z0", F.coalesce("gl", F.lit(0.0)).alias("gl"), F.coalesce(F.try_divide(F.coalesce("ns", F.lit(0)), "all"), F.lit(1.0 / N)).alias("sl"))
+    s = season_of().alias("season")
+    total = starts.groupBy(s).agg(F.sum("n").alias("all"))
+    league = counts.select(s).distinct().crossJoin(F.broadcast(spark.range(N).selectExpr("cast(id as int) as z0")))
+    league = league.join(shots.groupBy(s, "z0").agg((F.sum("xg") / F.sum("n")).alias("gl")), ["season", "z0"], "left")
+    league = league.join(starts.groupBy(s, "z0").agg(F.sum("n").alias("ns")), ["season", "z0"], "left").join(total, "season", "left")
+    league = league.select("season", "z0", F.coalesce("gl", F.lit(0.0)).alias("gl"), F.coalesce(F.try_divide(F.coalesce("ns", F.lit(0)), "all"), F.lit(1.0 / N)).alias("sl"))
     if side == "league":
-        return league.select(F.lit(side).alias("side"), F.lit(LEAGUE).cast("long").alias("team_id"), "z0", F.col("gl").alias("g"), F.col("sl").alias("start"))
+        return league.select(F.lit(side).alias("side"), league_key().alias("team_id"), "z0", F.col("gl").alias("g"), F.col("sl").alias("start"))
     if side == "conceded":
         shots, starts = conceded_counts(shots), starts.withColumnRenamed("team_id", "made").withColumnRenamed("opp_id", "team_id")
-    teams = counts.select(F.col("team_id" if side == "attack" else "opp_id").alias("team_id")).distinct()
-    full = teams.crossJoin(F.broadcast(league))  # 30 rows a team
+    teams = counts.select(F.col("team_id" if side == "attack" else "opp_id").alias("team_id")).distinct().withColumn("season", season_of())
+    return _shrunk(teams, shots, starts, league, kappa).select(F.lit(side).alias("side"), "team_id", "z0", "g", "start")
+
+
+def _shrunk(teams: DataFrame, shots: DataFrame, starts: DataFrame, league: DataFrame, kappa: float | DataFrame) -> DataFrame:
+    """team_id, z0, g, start of teams (team_id, season): thirty rows each."""
+    full = teams.join(league, "season")
     full = full.join(shots.groupBy("team_id", "z0").agg(F.sum("xg").alias("xg"), F.sum("n").alias("shots")), ["team_id", "z0"], "left")
     full = full.join(starts.groupBy("team_id", "z0").agg(F.sum("n").alias("ns")), ["team_id", "z0"], "left").fillna(0, ["shots", "ns"]).fillna(0.0, ["xg"])
-    if isinstance(kappa, DataFrame):
-        full, kappa = full.crossJoin(F.broadcast(kappa.select(F.col("kappa").cast("double").alias("kappa")))), F.col("kappa")
-    w = F.col("ns") + kappa * F.col("sl")
-    start = w / F.sum(w).over(Window.partitionBy("team_id"))
-    return full.select(F.lit(side).alias("side"), "team_id", "z0", ((F.col("xg") + KAPPA_XG * F.col("gl")) / (F.col("shots") + KAPPA_XG)).alias("g"), start.alias("start"))
+    w = F.col("ns") + F.col("kappa") * F.col("sl")
+    return with_kappa(full, kappa).select("team_id", "z0", ((F.col("xg") + KAPPA_XG * F.col("gl")) / (F.col("shots") + KAPPA_XG)).alias("g"), (w / F.sum(w).over(Window.partitionBy("team_id"))).alias("start"))
 
 
 def season_chains(counts: DataFrame, starts: DataFrame, kappa: float | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells and zones of all three sides."""
     sided = lambda df, side: df.select(F.lit(side).alias("side"), F.col("team_id").cast("long").alias("team_id"), "z0", "out", "p")
     cells = sided(team_chains(counts, kappa), "attack").union(sided(team_chains(conceded_counts(counts), kappa), "conceded"))
-    cells = cells.union(sided(league_chain(counts).withColumn("team_id", F.lit(LEAGUE)), "league"))
+    cells = cells.union(sided(league_chain(counts).withColumn("team_id", league_key()), "league"))
     zones = [_zones(counts, starts, kappa, side) for side in ("attack", "conceded", "league")]
     return cells, zones[0].union(zones[1]).union(zones[2])
 
@@ -95,7 +100,8 @@ def distances(cells: DataFrame, zones: DataFrame, other: tuple[DataFrame, DataFr
     mine = full(cells, zones)
     theirs = full(*other) if other else mine
     a, b = mine.alias("a"), theirs.alias("b")
-    apart = F.lit(True) if other else F.col("a.team_id") < F.col("b.team_id")
+    apart = season_of("a.team_id") == season_of("b.team_id")
+    apart = apart if other else apart & (F.col("a.team_id") < F.col("b.team_id"))
     j = a.join(b, (F.col("a.z0") == F.col("b.z0")) & (F.col("a.out") == F.col("b.out")) & apart)
     m = (F.col("a.p") + F.col("b.p")) / 2
     part = lambda p: F.when(F.col(p) > 0, F.col(p) * F.log2(F.col(p) / m)).otherwise(0.0)
@@ -107,7 +113,7 @@ def reidentified(halves: DataFrame) -> DataFrame:
     """Place of the team's own other half among all, by distance between the first half (team_a) and the second (team_b)."""
     place = F.row_number().over(Window.partitionBy("team_a").orderBy("distance", "team_b"))
     r = halves.withColumn("place", place).where("team_a = team_b").select(F.col("team_a").alias("team_id"), "place", "distance")
-    w = Window.partitionBy(F.lit(1))
+    w = Window.partitionBy(season_of())
     return r.withColumn("top1", F.round(F.avg((F.col("place") == 1).cast("double")).over(w), 6)).withColumn("top3", F.round(F.avg((F.col("place") <= 3).cast("double")).over(w), 6))
 
 
@@ -115,40 +121,27 @@ def half_distances(counts: DataFrame, starts: DataFrame, kappa: float | DataFram
     """Distances between chains of a team's odd matches and of its even ones, each shrunk to the league of all."""
     order = counts.select("team_id", "match_id").distinct()
     order = order.withColumn("half", (F.row_number().over(Window.partitionBy("team_id").orderBy("match_id")) - 1) % 2)
-    league, zones = league_chain(counts), _zones(counts, starts, kappa, "league").select("z0", F.col("g").alias("gl"), F.col("start").alias("sl"))
+    league, zones = league_chain(counts), _zones(counts, starts, kappa, "league").select(season_of().alias("season"), "z0", F.col("g").alias("gl"), F.col("start").alias("sl"))
     out = []
     for k in (0, 1):
         part = order.where(F.col("half") == k)
         c, s = (df.join(part, ["team_id", "match_id"], "left_semi") for df in (counts, starts))
         cells = _shrunk_to(c, league, kappa)
-        z = _shrunk_zones(c, s, zones, kappa)
+        z = _shrunk(c.select("team_id", season_of().alias("season")).distinct(), c.where(F.col("out") == pitch.SHOT), s, zones, kappa)
         out.append((cells, solved(cells, z, "team_id")))
     return distances(*out[0], other=out[1])
 
 
-def _with_kappa(df: DataFrame, kappa: float | DataFrame) -> DataFrame:
-    row = kappa.select(F.col("kappa").cast("double").alias("kappa")) if isinstance(kappa, DataFrame) else df.sparkSession.createDataFrame([(float(kappa),)], "kappa double")
-    return df.crossJoin(F.broadcast(row))
-
-
 def _shrunk_to(counts: DataFrame, league: DataFrame, kappa: float | DataFrame) -> DataFrame:
     n = counts.groupBy("team_id", "z0", "out").agg(F.sum("n").alias("n"))
-    full = n.select("team_id").distinct().crossJoin(F.broadcast(league)).join(n, ["team_id", "z0", "out"], "left").fillna(0, ["n"])
+    full = n.select("team_id", season_of().alias("season")).distinct().join(league, "season").join(n, ["team_id", "z0", "out"], "left").fillna(0, ["n"])
     k = F.col("kappa")
-    return _with_kappa(full, kappa).select("team_id", "z0", "out", ((F.col("n") + k * F.col("p")) / (F.sum("n").over(Window.partitionBy("team_id", "z0")) + k)).alias("p"))
-
-
-def _shrunk_zones(counts: DataFrame, starts: DataFrame, league: DataFrame, kappa: float | DataFrame) -> DataFrame:
-    shots = counts.where(F.col("out") == pitch.SHOT).groupBy("team_id", "z0").agg(F.sum("xg").alias("xg"), F.sum("n").alias("shots"))
-    full = counts.select("team_id").distinct().crossJoin(F.broadcast(league)).join(shots, ["team_id", "z0"], "left")
-    full = full.join(starts.groupBy("team_id", "z0").agg(F.sum("n").alias("ns")), ["team_id", "z0"], "left").fillna(0, ["shots", "ns"]).fillna(0.0, ["xg"])
-    w = F.col("ns") + F.col("kappa") * F.col("sl")
-    return _with_kappa(full, kappa).select("team_id", "z0", ((F.col("xg") + KAPPA_XG * F.col("gl")) / (F.col("shots") + KAPPA_XG)).alias("g"), (w / F.sum(w).over(Window.partitionBy("team_id"))).alias("start"))
+    return with_kappa(full, kappa).select("team_id", "z0", "out", ((F.col("n") + k * F.col("p")) / (F.sum("n").over(Window.partitionBy("team_id", "z0")) + k)).alias("p"))
 
 
 def scaled(distances_: DataFrame) -> DataFrame:
     """Two coordinates for each team whose distances are close to the given ones (classical scaling; signs are free).
-    One group of teams squared rows: restrict it to a season."""
+    A season is one group, of its teams squared rows."""
     both = distances_.select("team_a", "team_b", "distance").union(distances_.select("team_b", "team_a", "distance"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +154,7 @@ def scaled(distances_: DataFrame) -> DataFrame:
         xy = np.column_stack([xy, np.zeros((n, 2 - xy.shape[1]))])
         return pd.DataFrame({"team_id": d.index, "x": xy[:, 0], "y": xy[:, 1]})
 
-    return both.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "team_id long, x double, y double")
+    return both.groupBy(season_of("team_a").alias("season")).applyInPandas(run, "team_id long, x double, y double")
 
 
 def region_flows(cells: DataFrame, zones: DataFrame, *keys: str) -> DataFrame:
@@ -171,10 +164,15 @@ def region_flows(cells: DataFrame, zones: DataFrame, *keys: str) -> DataFrame:
     return j.groupBy(*keys, F.expr(third("z0")).cast("int").alias("r0"), F.expr(third("out")).cast("int").alias("r1")).agg(F.sum(F.col("visits") * F.col("p")).alias("flow"))
 
 
+def _with_usual(some: DataFrame, flows: DataFrame) -> DataFrame:
+    """Flows with that of the season's league."""
+    league = flows.where("side = 'league'").select(season_of().alias("season"), "r0", "r1", F.col("flow").alias("usual"))
+    return some.withColumn("season", season_of()).join(league, ["season", "r0", "r1"], "left").drop("season")
+
+
 def strongest_links(flows: DataFrame, k: int = 10) -> DataFrame:
     """A side's k strongest links between different regions, and how each compares with the league's."""
-    league = flows.where("side = 'league'").select("r0", "r1", F.col("flow").alias("usual"))
-    f = flows.where("side <> 'league' and r0 <> r1").join(F.broadcast(league), ["r0", "r1"], "left")
+    f = _with_usual(flows.where("side <> 'league' and r0 <> r1"), flows)
     place = F.row_number().over(Window.partitionBy("side", "team_id").orderBy(F.desc(F.round("flow", 9)), "r0", "r1"))
     f = f.withColumn("place", place).where(F.col("place") <= k)
     return f.select("side", "team_id", "r0", "r1", "place", F.round("flow", 6).alias("flow"), F.round(F.try_divide("flow", "usual"), 6).alias("vs_league"))
@@ -182,8 +180,7 @@ def strongest_links(flows: DataFrame, k: int = 10) -> DataFrame:
 
 def leaks(flows: DataFrame, k: int = 5) -> DataFrame:
     """The k links that opponents use against a team most beyond the league."""
-    league = flows.where("side = 'league'").select("r0", "r1", F.col("flow").alias("usual"))
-    f = flows.where("side = 'conceded' and r0 <> r1").join(F.broadcast(league), ["r0", "r1"], "left").withColumn("excess", F.col("flow") - F.coalesce("usual", F.lit(0.0)))
+    f = _with_usual(flows.where("side = 'conceded' and r0 <> r1"), flows).withColumn("excess", F.col("flow") - F.coalesce("usual", F.lit(0.0)))
     place = F.row_number().over(Window.partitionBy("team_id").orderBy(F.desc(F.round("excess", 9)), "r0", "r1"))
     return f.withColumn("place", place).where(F.col("place") <= k).select("team_id", "r0", "r1", "place", F.round("flow", 6).alias("flow"), F.round("excess", 6).alias("excess"))
 
@@ -213,11 +210,12 @@ def matchup_parts(cells: DataFrame, zones: DataFrame, fixtures: DataFrame) -> tu
     pair = ["team_id", "opp_id"]
     against = of(cells, "conceded", F.col("team_id").alias("opp_id"), "z0", "out", F.col("p").alias("pb"))
     c = fixtures.join(of(cells, "attack", "team_id", "z0", "out", "p"), "team_id").join(against, ["opp_id", "z0", "out"])
-    c = c.join(F.broadcast(of(cells, "league", "z0", "out", F.col("p").alias("pl"))), ["z0", "out"]).withColumn("p", F.col("p") * _ratio("pb", "pl"))
+    s = season_of().alias("season")
+    c = c.withColumn("season", s).join(of(cells, "league", s, "z0", "out", F.col("p").alias("pl")), ["season", "z0", "out"]).withColumn("p", F.col("p") * _ratio("pb", "pl"))
     c = c.select(*pair, "z0", "out", (F.col("p") / F.sum("p").over(Window.partitionBy(*pair, "z0"))).alias("p"))
     theirs = of(zones, "conceded", F.col("team_id").alias("opp_id"), "z0", F.col("g").alias("gb"), F.col("start").alias("sb"))
     z = fixtures.join(of(zones, "attack", "team_id", "z0", "g", "start"), "team_id").join(theirs, ["opp_id", "z0"])
-    z = z.join(F.broadcast(of(zones, "league", "z0", F.col("g").alias("gl"), F.col("start").alias("sl"))), "z0")
+    z = z.withColumn("season", s).join(of(zones, "league", s, "z0", F.col("g").alias("gl"), F.col("start").alias("sl")), ["season", "z0"])
     w = F.col("start") * _ratio("sb", "sl")
     return c, z.select(*pair, "z0", (F.col("g") * _ratio("gb", "gl")).alias("g"), (w / F.sum(w).over(Window.partitionBy(*pair))).alias("start"))
 
@@ -242,7 +240,7 @@ def denial_plan(cells: DataFrame, zones: DataFrame, counts: DataFrame, least_usa
     moves = counts.where(F.col("out") < N)
     used = moves.select(F.lit("attack").alias("side"), "team_id", "z0", "out", "n").union(moves.select(F.lit("conceded"), "opp_id", "z0", "out", "n"))
     used = used.groupBy("side", "team_id", "z0", "out").agg(F.sum("n").alias("n"))
-    league = cells.where("side = 'league'").join(zones.where("side = 'league'").drop("side", "team_id"), "z0").select("z0", "out", F.col("p").alias("pl"), F.col("g").alias("gl"), F.col("start").alias("sl"))
+    league = cells.where("side = 'league'").join(zones.where("side = 'league'").drop("side"), ["team_id", "z0"]).select(season_of().alias("season"), "z0", "out", F.col("p").alias("pl"), F.col("g").alias("gl"), F.col("start").alias("sl"))
     own = cells.where("side <> 'league'").join(zones, ["side", "team_id", "z0"]).join(used, ["side", "team_id", "z0", "out"], "left").fillna(0, ["n"])
     region = _region(np.arange(N))
     a, b = np.broadcast_to(region[:, None], (N, N)), np.broadcast_to(region[None, :], (N, N))
@@ -263,7 +261,7 @@ def denial_plan(cells: DataFrame, zones: DataFrame, counts: DataFrame, least_usa
         return pd.DataFrame(rows, columns=["side", "team_id", "region_from", "region_to", *names])
 
     schema = "side string, team_id long, region_from int, region_to int, " + ", ".join(f"{c} double" for c in names)
-    p = own.join(F.broadcast(league), ["z0", "out"]).groupBy("side", "team_id").applyInPandas(run, schema).select("side", "team_id", "region_from", "region_to", *(F.round(c, 6).alias(c) for c in names))
+    p = own.withColumn("season", season_of()).join(league, ["season", "z0", "out"]).groupBy("side", "team_id").applyInPandas(run, schema).select("side", "team_id", "region_from", "region_to", *(F.round(c, 6).alias(c) for c in names))
     w = Window.partitionBy("side", "team_id", F.col("region_from") < 0)
     unusual = ((F.col("drop_adapting") + F.col("drop_losing")) / 2 >= MATERIAL) & (F.col("excess") > 0)
     p = p.withColumn("lever", F.row_number().over(w.orderBy(F.desc("drop_adapting"), F.desc("drop_losing"), "region_from", "region_to")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pitch
+from ..functions.seasons import season_of
 
 
 def ratio(n, d) -> Column:
@@ -93,7 +94,7 @@ def claims(led: DataFrame, table=CLAIMS) -> DataFrame:
     rows = ", ".join(f"'{k}', cast({n} as double), cast({d} as double)" for k, n, d in table)
     long = led.selectExpr("match_id", "team_id", f"stack({len(table)}, {rows}) as (claim, num, den)")
     v = long.groupBy("team_id", "claim").agg(ratio(F.sum("num"), F.sum("den")).alias("value")).where("value is not null")
-    w = Window.partitionBy("claim")
+    w = Window.partitionBy(season_of(), "claim")
     return v.select("team_id", "claim", "value", F.rank().over(w.orderBy(F.desc("value"))).cast("int").alias("rank"), F.count("*").over(w).alias("of"), F.round(F.percentile("value", F.lit(0.5)).over(w), 6).alias("median"))
 
 
@@ -142,9 +143,10 @@ def asof_calls(res: DataFrame, feature: str = "xg", pseudo: float = 5.0) -> Data
     day = F.datediff("match_date", F.lit("2024-01-01").cast("date"))
     r = res.withColumn("day", day).withColumn("v", F.col(feature))
     past = lambda *by: Window.partitionBy(*by).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    everyone = r.groupBy("day").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
-    league = everyone.withColumn("league", F.try_divide(F.sum("s").over(past(F.lit(1))), F.sum("n").over(past(F.lit(1))).cast("double"))).select("day", "league")
-    r = r.join(league, "day")
+    r = r.withColumn("season", season_of())
+    everyone = r.groupBy("season", "day").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    league = everyone.withColumn("league", F.try_divide(F.sum("s").over(past("season")), F.sum("n").over(past("season")).cast("double"))).select("season", "day", "league")
+    r = r.join(league, ["season", "day"])
     mean = lambda side: (F.coalesce(F.sum("v").over(past(side)), F.lit(0.0)) + pseudo * F.col("league")) / (F.count("v").over(past(side)) + pseudo)
     out = r.withColumn("own", mean("team_id")).withColumn("against", mean("opp_id")).withColumn("n_prior", F.count("*").over(past("team_id")))
     return out.where("league is not null").select("match_id", "team_id", F.round("v", 6).alias("actual"), F.round("league", 9).alias("league"), F.round("own", 9).alias("own"), F.round("against", 9).alias("against"), F.round(F.expr("own + against - league"), 9).alias("call"), "n_prior")
@@ -172,22 +174,22 @@ def result_calls(res: DataFrame, floor: float = 0.05, least_prior: int = 5) -> D
     side = lambda c, at: F.when(F.col("home") == at, F.col(c))
     h = res.where("home").select("match_id", "match_date", F.col("team_id").alias("home_id"), F.col("goals").alias("hg"))
     a = res.where("not home").select("match_id", F.col("team_id").alias("away_id"), F.col("goals").alias("ag"))
-    # League means before the day: sums by day first, so the running window has one row a day.
-    both = h.join(a, "match_id")
+    # League means before the day: sums by day first, so the running window has one row for each day of a season.
+    both = h.join(a, "match_id").withColumn("season", season_of("home_id"))
     ends = both.select("match_id", (F.col("hg") > F.col("ag")).cast("double").alias("w"), (F.col("hg") == F.col("ag")).cast("double").alias("d"))
-    day = res.join(ends, "match_id", "left").groupBy("match_date").agg(*(F.sum(v).alias(k) for k, v in (
+    day = res.withColumn("season", season_of()).join(ends, "match_id", "left").groupBy("season", "match_date").agg(*(F.sum(v).alias(k) for k, v in (
         ("sx", F.col("xg")), ("sg", F.col("goals")), ("sh", side("goals", True)), ("sa", side("goals", False)), ("sw", side("w", True)), ("sd", side("d", True)))),
         F.count("*").alias("n"), F.count(side("goals", True)).alias("nh"), F.count(side("goals", False)).alias("na"), F.count(side("w", True)).alias("nw"))
-    past = Window.partitionBy(F.lit(1)).orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy("season").orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
     mean = lambda s, n: F.try_divide(F.sum(s).over(past).cast("double"), F.sum(n).over(past).cast("double"))
-    day = day.select("match_date", mean("sx", "n").alias("lx"), mean("sg", "n").alias("lg"), mean("sh", "nh").alias("lh"), mean("sa", "na").alias("la"), mean("sw", "nw").alias("lw"), mean("sd", "nw").alias("ld"))
+    day = day.select("season", "match_date", mean("sx", "n").alias("lx"), mean("sg", "n").alias("lg"), mean("sh", "nh").alias("lh"), mean("sa", "na").alias("la"), mean("sw", "nw").alias("lw"), mean("sd", "nw").alias("ld"))
     place = Window.partitionBy("team_id")
     later = F.row_number().over(place.orderBy("match_date", "match_id")) - 1 >= F.floor(F.count("*").over(place) * 0.5)
     half = res.select("match_id", "team_id", later.alias("later"))
     call = asof_calls(res, "xg").select("match_id", "team_id", F.col("call").alias("x"), "n_prior").join(asof_calls(res, "goals").select("match_id", "team_id", F.col("call").alias("g")), ["match_id", "team_id"]).join(half, ["match_id", "team_id"])
     call = call.select("match_id", "team_id", "x", "g", (F.col("later") & (F.col("n_prior") >= least_prior)).alias("ok"))
     of = lambda s: call.select("match_id", F.col("team_id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in ("x", "g", "ok")))
-    m = both.join(day, "match_date").join(of("home"), ["match_id", "home_id"]).join(of("away"), ["match_id", "away_id"]).where("lx > 0 and lg > 0 and lh is not null and la is not null and lw is not null")
+    m = both.join(day, ["season", "match_date"]).join(of("home"), ["match_id", "home_id"]).join(of("away"), ["match_id", "away_id"]).where("lx > 0 and lg > 0 and lh is not null and la is not null and lw is not null")
     rate = lambda c, by: F.greatest(F.col(c), F.lit(floor)) * by
     factor, ratio_ = {"home": F.col("lh") / F.col("lg"), "away": F.col("la") / F.col("lg")}, F.col("lg") / F.col("lx")
     m = m.select("match_id", "home_ok", "away_ok", "lw", "ld", *(rate(f"{s}_x", ratio_ * factor[s]).alias(f"{s}_xg") for s in factor), *(rate(f"{s}_g", factor[s]).alias(f"{s}_goals") for s in factor))

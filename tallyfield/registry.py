@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pitch
+from .functions.seasons import season_of
 from .operators import audit, chain, delivery, enrich, experiments, fits, geometry, holdout, matchup, people, players, reliability, replay, routing, scoring, season, stats, value
 from .plans.oracle import ORACLE as _ORACLE
 from .plans.oracle_audit import ORACLE as _AUDIT
@@ -147,8 +148,11 @@ def season_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values(c: DataFrame, kappa: float | DataFrame) -> DataFrame:
-    v = chain.values(chain.team_chains(c, kappa), chain.shot_quality(c))
-    return v.select("team_id", F.posexplode("value").alias("zone", "value")).select("team_id", "zone", F.round("value", 6).alias("value"))
+    """Values of each team's zones with the league's shot quality; starts do not matter to them."""
+    chains = chain.team_chains(c, kappa)
+    zones = chains.select("team_id", "z0").distinct().withColumn("season", season_of()).join(chain.shot_quality(c), ["season", "z0"], "left")
+    zones = zones.select("team_id", "z0", F.coalesce("g", F.lit(0.0)).alias("g"), F.lit(1.0 / pitch.ZONES).alias("start"))
+    return season.solved(chains, zones, "team_id").select("team_id", F.col("z0").alias("zone"), F.round("value", 6).alias("value"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -169,7 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "setpieces": lambda s, d: stats.setpieces(_kinds(s, d)),
     "results": lambda s, d: stats.results(_kinds(s, d)),
     "asof_calls": lambda s, d: stats.asof_calls(stats.results(_kinds(s, d))),
-    "league_chain": lambda s, d: _rounded(chain.league_chain(_counts(s, d))),
+    "league_chain": lambda s, d: _rounded(chain.league_chain(_counts(s, d)).drop("season")),
     "team_chains": lambda s, d: _rounded(chain.team_chains(_counts(s, d), KAPPA)),
     "style_distances": style_distances,
     "team_zones": team_zones,
@@ -181,7 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "matchup_outlook": matchup_outlook,
     "reidentification": reidentification,
     "style_map": lambda s, d: season.scaled(style_distances(s, d)),
-    "kappa_scores": lambda s, d: chain.kappa_scores(_counts(s, d)),
+    "kappa_scores": lambda s, d: chain.kappa_scores(_counts(s, d)).drop("season"),
     "team_values": team_values,
     "result_chances": result_chances,
     "lockbox_matches": lockbox_matches,
@@ -219,7 +223,7 @@ QUERIES |= {
     "season_claims": lambda s, d: stats.claims(value.season_ledger(_ev(s, d)), value.SEASON_CLAIMS),
     "season_claim_intervals": lambda s, d: scoring.claim_intervals(value.season_ledger(_ev(s, d)), table=value.SEASON_CLAIMS),
     "level_rates": lambda s, d: people.level_rates(_ev(s, d)),
-    "selected_kappa": lambda s, d: chain.select_kappa(_counts(s, d)),
+    "selected_kappa": lambda s, d: chain.select_kappa(_counts(s, d)).drop("season"),
     "season_chains": lambda s, d: _rounded(_season_chains(s, d)),
     "season_distances": lambda s, d: style_distances(s, d, None),
     "season_similar_teams": lambda s, d: matchup.similar_teams(style_distances(s, d, None)),
@@ -266,7 +270,7 @@ QUERIES |= {
     "pseudo_matches": lambda s, d: _rounded_all(audit.pseudo_matches(_long(s, d))),
     "rule_rows": lambda s, d: _rounded_all(audit.rule_rows(_calls(s, d)).drop("feature", "call", "ref")),
     "rule_premises": lambda s, d: audit.premises(season.once(audit.rule_rows(_calls(s, d)))),
-    "pseudo_matches_asof": lambda s, d: _rounded_all(audit.pseudo_asof(_long(s, d))),
+    "pseudo_matches_asof": lambda s, d: _rounded_all(audit.pseudo_asof(_long(s, d)).drop("season")),
     "pooled_calls": lambda s, d: _rounded_all(_pooled(s, d)),
     "pooled_skills": lambda s, d: audit.skills(season.once(_pooled(s, d))),
     "setpiece_calls": lambda s, d: _rounded_all(audit.asof(_setpiece_long(s, d))),

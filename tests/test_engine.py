@@ -43,9 +43,9 @@ def test_values_solve_the_chain(spark):
     cells = [(7, z, z + 1 if z < 2 else pitch.SHOT, 0.5) for z in range(3)] + [(7, z, pitch.LOSS, 0.5) for z in range(3)]
     df = spark.createDataFrame(cells, "team_id long, z0 int, out int, p double")
     full = spark.range(pitch.ZONES * (pitch.ZONES + 2)).selectExpr("cast(7 as long) as team_id", f"cast(id div {pitch.ZONES + 2} as int) as z0", f"cast(id % {pitch.ZONES + 2} as int) as out").join(df, ["team_id", "z0", "out"], "left").fillna(0.0)
-    shots = spark.createDataFrame([(2, 0.2)], "z0 int, g double")
-    got = chain.values(full, shots).first()["value"]
-    assert np.allclose(got[:3], [0.025, 0.05, 0.1])
+    zones = spark.range(pitch.ZONES).selectExpr("cast(7 as long) as team_id", "cast(id as int) as z0", "case when id = 2 then 0.2d else 0d end as g", "1d / 30 as start")
+    got = {r["z0"]: r["value"] for r in season.solved(full, zones, "team_id").collect()}
+    assert np.allclose([got[z] for z in range(3)], [0.025, 0.05, 0.1])
 
 
 def test_edges_belong_to_the_upper_cell(spark):
