@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lake import SCHEMAS
+from .remote import remote_files
 
 _PART = "struct<end_location:array<double>,outcome:struct<name:string>,type:struct<name:string>,body_part:struct<name:string>,height:struct<name:string>,recipient:struct<id:bigint>,statsbomb_xg:double>"
 # Parts of an event that hold its details, in the order in which the first wins; keys that have columns.
@@ -115,8 +116,14 @@ def read_manifest(spark: SparkSession, lake: str) -> DataFrame | None:
 
 def ingest(spark: SparkSession, source: str, lake: str, only: list[tuple[int, int]] | None = None, force: bool = False, with_frames: bool = True) -> DataFrame:
     """Write the seasons that are new or changed, all of them with `force`, and return the manifest: number of matches and
-    events by season, and the matches that failed. A run that stops half-way is taken up by the next."""
-    matches = matches_of(_files(spark, f"{source}/matches/*/*.json"), _files(spark, f"{source}/competitions.json"))
+    events by season, and the matches that failed. `source` is a folder or the address of a site. A run that stops half-way is taken up by the next."""
+    far = source.startswith(("http://", "https://"))
+    source = source.rstrip("/")
+    competitions = remote_files(spark, source, ["competitions.json"]) if far else _files(spark, f"{source}/competitions.json")
+    if far:  # a site has no listing: its seasons are those of its competitions
+        seasons = competitions.select(F.explode(F.from_json("text", COMPETITION)).alias("c")).select("c.competition_id", "c.season_id").distinct().collect()
+        listed = remote_files(spark, source, [f"matches/{c}/{s}.json" for c, s in seasons if only is None or (c, s) in only])
+    matches = matches_of(listed if far else _files(spark, f"{source}/matches/*/*.json"), competitions)
     old = read_manifest(spark, lake)
     todo = changed_seasons(matches, None if force else old)
     if only is not None:
@@ -128,16 +135,24 @@ def ingest(spark: SparkSession, source: str, lake: str, only: list[tuple[int, in
         keyed = table if "season_id" in table.columns else table.join(key, "match_id")
         keyed.write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("competition_id", "season_id").mode("overwrite").parquet(f"{lake}/{name}")
 
-    wanted = lambda files: files.join(F.broadcast(new.select(F.col("match_id").cast("string").alias("name"))), "name", "left_semi")
-    raw = wanted(_files(spark, f"{source}/events/*.json"))
+    open_matches = sorted(r["match_id"] for r in new.select("match_id").collect()) if far else []
+
+    def wanted(kind: str) -> DataFrame | None:
+        """The open matches' files of a kind."""
+        if far:
+            return remote_files(spark, source, [f"{kind}/{m}.json" for m in open_matches])
+        files = _files(spark, f"{source}/{kind}/*.json")
+        return None if files is None else files.join(new.select(F.col("match_id").cast("string").alias("name")), "name", "left_semi")
+
+    raw = wanted("events")
     frames = None
-    if with_frames and (files := _files(spark, f"{source}/three-sixty/*.json")) is not None:
-        frames, areas = frames_of(wanted(files))
+    if with_frames and (files := wanted("three-sixty")) is not None:
+        frames, areas = frames_of(files)
         write(frames, "frames")
         write(areas, "areas")
     write(events_of(raw, frames), "events")
-    if (files := _files(spark, f"{source}/lineups/*.json")) is not None:
-        write(lineups_of(wanted(files)), "lineups")
+    if (files := wanted("lineups")) is not None:
+        write(lineups_of(files), "lineups")
     # What was written is read back: the manifest tells what is there, and which matches have no events.
     count = spark.read.parquet(f"{lake}/events").groupBy("match_id").agg(F.count("*").alias("events"))
     done = new.join(count, "match_id", "left")
