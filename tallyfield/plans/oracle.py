@@ -95,6 +95,7 @@ SEASON_ROWS = " UNION ALL ".join(f"SELECT team_id, '{k}' AS claim, CAST({n} AS D
 SHOT = "type = 'Shot' AND coalesce(sub_type, '') <> 'Penalty'"
 SP = f"{SHOT} AND play_pattern IN ('From Corner', 'From Free Kick')"
 
+KAPPA = BASE + f', c AS (SELECT team_id, match_id, z0, "out", CAST(sum(n) AS BIGINT) AS n FROM ot GROUP BY ALL), d AS (SELECT *, sum(n) OVER (PARTITION BY team_id, z0, "out") - n AS rest, sum(n) OVER (PARTITION BY team_id, z0) - sum(n) OVER (PARTITION BY team_id, match_id, z0) AS tot FROM c), k AS (SELECT unnest([{", ".join(map(str, KAPPAS))}]) AS kappa) SELECT CAST(kappa AS INT) AS kappa, round(sum(n * ln(greatest((rest + kappa * p) / (tot + kappa), 1e-12))) / sum(n), 6) AS loglik FROM d JOIN lg USING (z0, "out") CROSS JOIN k GROUP BY kappa'
 PIECES = f"SELECT match_id, team_id, count(*) FILTER (type = 'Pass' AND sub_type = 'Corner') AS corners, count(*) FILTER (sub_type = 'Free Kick' AND type IN ('Pass', 'Shot') AND x >= 80) AS att_free_kicks, count(*) FILTER ({SP}) AS sp_shots, round(coalesce(sum(xg) FILTER ({SP}), 0), 6) AS sp_xg, round(round(coalesce(sum(xg) FILTER ({SP}), 0), 6) / nullif(sum(xg) FILTER ({SHOT}), 0), 6) AS sp_xg_share, round(count(*) FILTER ({SHOT} AND play_pattern = 'From Corner') / nullif(count(*) FILTER (type = 'Pass' AND sub_type = 'Corner'), 0), 6) AS shots_per_corner FROM e WHERE period <= 4 GROUP BY match_id, team_id"
 ORACLE: dict[str, str] = {
     "match_events": BASE + f"SELECT {EVENTS} FROM ev",
@@ -119,7 +120,11 @@ ORACLE: dict[str, str] = {
     "asof_calls": BASE + "SELECT * FROM calls",
     "league_chain": BASE + 'SELECT z0, "out", round(p + 1e-10, 6) AS p FROM lg',
     "team_chains": BASE + 'SELECT team_id, z0, "out", round(p + 1e-10, 6) AS p FROM tc',
-    "kappa_scores": BASE + f', c AS (SELECT team_id, match_id, z0, "out", CAST(sum(n) AS BIGINT) AS n FROM ot GROUP BY ALL), d AS (SELECT *, sum(n) OVER (PARTITION BY team_id, z0, "out") - n AS rest, sum(n) OVER (PARTITION BY team_id, z0) - sum(n) OVER (PARTITION BY team_id, match_id, z0) AS tot FROM c), k AS (SELECT unnest([{", ".join(map(str, KAPPAS))}]) AS kappa) SELECT CAST(kappa AS INT) AS kappa, round(sum(n * ln(greatest((rest + kappa * p) / (tot + kappa), 1e-12))) / sum(n), 6) AS loglik FROM d JOIN lg USING (z0, "out") CROSS JOIN k GROUP BY kappa',
+    "kappa_scores": KAPPA,
+    "season_chains": BASE + f""", kp AS (SELECT kappa FROM ({KAPPA}) ORDER BY loglik DESC, kappa LIMIT 1),
+        sc AS (SELECT team_id, z0, "out", (coalesce(n, 0) + kappa * p) / (sum(coalesce(n, 0)) OVER (PARTITION BY team_id, z0) + kappa) AS p FROM (SELECT DISTINCT team_id FROM ot) CROSS JOIN lg CROSS JOIN kp LEFT JOIN (SELECT team_id, z0, "out", sum(n) AS n FROM ot GROUP BY ALL) USING (team_id, z0, "out"))
+        SELECT team_id, z0, "out", round(p + 1e-10, 6) AS p FROM sc""",
+    "selected_kappa": "SELECT kappa FROM (" + KAPPA + ") ORDER BY loglik DESC, kappa LIMIT 1",  # all teams of the test events have enough matches
     "result_chances": BASE + ", g AS (SELECT match_id, CAST(i.range AS INT) AS i, CAST(j.range AS INT) AS j, exp(-home_rate) * pow(home_rate, i.range) / factorial(CAST(i.range AS INT)) * exp(-away_rate) * pow(away_rate, j.range) / factorial(CAST(j.range AS INT)) AS p FROM sides, range(13) i, range(13) j) SELECT match_id, round(sum(p) FILTER (i > j) / sum(p), 6) AS home, round(sum(p) FILTER (i = j) / sum(p), 6) AS draw, round(sum(p) FILTER (i < j) / sum(p), 6) AS away FROM g GROUP BY match_id",
     "lockbox_matches": BASE + "SELECT match_id, md5(CAST(match_id AS VARCHAR)) AS digest, substr(md5(CAST(match_id AS VARCHAR)), 32, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS lockbox FROM (SELECT DISTINCT match_id FROM ev)",
     "eligible_teams": BASE + ", t AS (SELECT home_team_id AS team_id, match_id FROM ev UNION SELECT away_team_id, match_id FROM ev) SELECT team_id, count(*) AS matches FROM t GROUP BY team_id HAVING count(*) >= 5",

@@ -126,6 +126,10 @@ fi AS (SELECT rule, {interval("gap_fired")}, {interval("gap_not")}, {interval("e
 fc AS (SELECT rule, count(*) FILTER (fired) AS fired, avg(CAST(did AS DOUBLE)) FILTER (fired) AS did_when_fired, avg(CAST(did AS DOUBLE)) FILTER (NOT fired) AS did_when_not FROM fu GROUP BY rule)
 SELECT rule, fired, {_n("did_when_fired", "did_when_not", *_ends("gap_fired"), *_ends("gap_not"), *_ends("extra"))}, CASE WHEN extra_lo > 0 THEN 'supported' WHEN extra_hi < 0 THEN 'contradicted' ELSE 'no evidence either way' END AS verdict FROM fi JOIN fc USING (rule)"""
 
+SKILLS = errors("ao", ("call", "own"), "scored AND call IS NOT NULL") + f""", x AS (SELECT *, 1 - call / nullif(league, 0) AS skill, (own - call) / nullif(league, 0) AS opponent_adds FROM sr), y AS (SELECT feature, max(n) AS n, {interval("skill")}, {interval("opponent_adds")} FROM x GROUP BY feature),
+        z AS (SELECT feature, avg(CAST(abs(actual - call) < abs(actual - league) AS DOUBLE)) AS closer FROM ao WHERE scored AND actual IS NOT NULL AND call IS NOT NULL GROUP BY feature)
+        SELECT feature, n, {_n(*_ends("skill"), *_ends("opponent_adds"), "closer")}, skill_lo > 0 AS holds FROM y JOIN z USING (feature)"""
+
 ORACLE: dict[str, str] = {
     "rule_rows": CALLS + rules(audit.RULES, "league") + f" SELECT match_id, team_id, opp_id, rule, CAST(position AS INT) AS position, {_nudged('departure')}, fired, held FROM rr",
     "rule_premises": CALLS + rules(audit.RULES, "league") + PREMISES,
@@ -141,7 +145,10 @@ ORACLE: dict[str, str] = {
     "feature_calls": CALLS + CALL_ROWS,
     "feature_audit": LOO + errors("pt", ("team", "both"), "true") + f""", x AS (SELECT *, 1 - team / nullif(league, 0) AS r2_team, (team - "both") / nullif(league, 0) AS gain_opponent FROM sr), y AS (SELECT feature, max(n) AS n, {interval("r2_team")}, {interval("gain_opponent")} FROM x GROUP BY feature)
         SELECT feature, n, {_n(*_ends("r2_team"), *_ends("gain_opponent"))}, CASE WHEN r2_team >= {scoring.TIER_LEAD} AND r2_team_lo > 0 THEN 'lead' WHEN r2_team >= {scoring.TIER_USABLE} AND r2_team_lo > 0 THEN 'usable' ELSE 'drop' END AS tier, gain_opponent_lo > 0 AS opponent_matters FROM y""",
-    "feature_skills": CALLS + errors("ao", ("call", "own"), "scored AND call IS NOT NULL") + f""", x AS (SELECT *, 1 - call / nullif(league, 0) AS skill, (own - call) / nullif(league, 0) AS opponent_adds FROM sr), y AS (SELECT feature, max(n) AS n, {interval("skill")}, {interval("opponent_adds")} FROM x GROUP BY feature),
-        z AS (SELECT feature, avg(CAST(abs(actual - call) < abs(actual - league) AS DOUBLE)) AS closer FROM ao WHERE scored AND actual IS NOT NULL AND call IS NOT NULL GROUP BY feature)
-        SELECT feature, n, {_n(*_ends("skill"), *_ends("opponent_adds"), "closer")}, skill_lo > 0 AS holds FROM y JOIN z USING (feature)""",
+    "feature_skills": CALLS + SKILLS,
+    "pooled_skills": POOLED + calls("lk", "ao", "k_own", "k_opp") + SKILLS,
+    "team_call_shares": CALLS + """ SELECT team_id, count(DISTINCT match_id) AS games, round(avg(CAST(abs(actual - call) < abs(actual - league) AS DOUBLE)) FILTER (actual IS NOT NULL AND call IS NOT NULL), 6) AS closer FROM ao WHERE scored GROUP BY team_id HAVING count(DISTINCT match_id) >= 8""",
+    "pseudo_matches": TABLE + f""", pg AS (SELECT feature, team_id, count(v) AS n, avg(v) AS m, var_samp(v) AS s2 FROM lf WHERE v IS NOT NULL GROUP BY ALL HAVING count(v) >= 2),
+        pf AS (SELECT feature, count(*) AS c, sum(s2 * (n - 1)) / sum(n - 1) AS within, var_samp(m) - sum(s2 * (n - 1)) / sum(n - 1) * avg(1e0 / n) AS tau FROM pg GROUP BY feature)
+        SELECT feature, round(coalesce(CASE WHEN c >= 3 AND tau > 0 AND within > 0 THEN least(greatest(within / tau, 1e0), 30e0) END, 30e0) + {pitch.NUDGE}, 6) AS k FROM (SELECT DISTINCT feature FROM lf) LEFT JOIN pf USING (feature)""",
 }

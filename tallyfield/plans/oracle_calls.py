@@ -5,12 +5,12 @@ from __future__ import annotations
 from ..functions import pitch
 from ..operators import matchup, people, scoring
 from ..operators.stats import CLAIMS
-from .oracle import BASE, VALUED
+from ..operators.value import SEASON_CLAIMS
+from .oracle import BASE, THREAT, VALUED
 from .oracle import ORACLE as FIRST
 
 U = "CAST('0x' || substr(md5(CAST(match_id AS VARCHAR) || ':' || CAST(rep AS VARCHAR)), 1, 8) AS BIGINT)"
 W = " + ".join(f"CAST({U} >= {t} AS INT)" for t in scoring.POISSON)
-DRAWN = " UNION ALL ".join(f"SELECT team_id, rep, '{k}' AS claim, w * CAST({n} AS DOUBLE) AS num, w * CAST({d} AS DOUBLE) AS den FROM dr" for k, n, d in CLAIMS)
 P = scoring.PSEUDO
 LOO = f"""lt AS (SELECT sum(xg) AS s, count(*) AS n FROM res),
 lo AS (SELECT r.*, (s - sum(xg) OVER (PARTITION BY match_id)) / nullif(n - count(*) OVER (PARTITION BY match_id), 0) AS league FROM res r, lt),
@@ -22,9 +22,16 @@ SCORED = f"""WITH sc AS (SELECT match_id, CASE WHEN hg > ag THEN 'home' WHEN hg
 """
 ROLE_LIST = ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in people.ROLES)
 
+def intervals(source: str, table) -> str:
+    """Intervals of claims over the ledger `source`."""
+    drawn = " UNION ALL ".join(f"SELECT team_id, rep, '{k}' AS claim, w * CAST({n} AS DOUBLE) AS num, w * CAST({d} AS DOUBLE) AS den FROM dr" for k, n, d in table)
+    return f""", dw AS (SELECT {source}.*, rep FROM {source}, (SELECT range AS rep FROM range(1, 201))), dr AS (SELECT *, {W} AS w FROM dw), v AS (SELECT team_id, rep, claim, sum(num) / nullif(sum(den), 0) AS v FROM ({drawn}) GROUP BY ALL)
+        SELECT team_id, claim, round(quantile_cont(v, 0.05), 6) AS lo, round(quantile_cont(v, 0.95), 6) AS hi FROM v GROUP BY ALL"""
+
+
 ORACLE: dict[str, str] = {
-    "claim_intervals": BASE + f""", dw AS (SELECT led.*, rep FROM led, (SELECT range AS rep FROM range(1, 201))), dr AS (SELECT *, {W} AS w FROM dw), v AS (SELECT team_id, rep, claim, sum(num) / nullif(sum(den), 0) AS v FROM ({DRAWN}) GROUP BY ALL)
-        SELECT team_id, claim, round(quantile_cont(v, 0.05), 6) AS lo, round(quantile_cont(v, 0.95), 6) AS hi FROM v GROUP BY ALL""",
+    "claim_intervals": BASE + intervals("led", CLAIMS),
+    "season_claim_intervals": BASE + THREAT + intervals("sl", SEASON_CLAIMS),
     "loo_predictions": BASE + f", {LOO} SELECT * FROM pd",
     "audit_scores": BASE + f""", {LOO}, s AS (SELECT count(*) AS n, sum(pow(actual - league, 2)) AS l, sum(pow(actual - team, 2)) AS t, sum(pow(actual - "both", 2)) AS b FROM pd),
         q AS (SELECT n, round(1 - t / nullif(l, 0), 6) AS r2_team, round((t - b) / nullif(l, 0), 6) AS gain_opponent FROM s)

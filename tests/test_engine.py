@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyfield import registry
 from tallyfield.functions import pitch
-from tallyfield.operators import chain, enrich, matchup, people, scoring, stats, value
+from tallyfield.operators import chain, enrich, matchup, people, scoring, season, stats, value
 from tallyfield.sources.adapters import load
 
 DIR = "/root/testdata/sf0.001"
