@@ -152,10 +152,14 @@ def asof_calls(res: DataFrame, feature: str = "xg", pseudo: float = 5.0) -> Data
     return out.where("league is not null").select("match_id", "team_id", F.round("v", 6).alias("actual"), F.round("league", 9).alias("league"), F.round("own", 9).alias("own"), F.round("against", 9).alias("against"), F.round(F.expr("own + against - league"), 9).alias("call"), "n_prior")
 
 
+HIGHEST_RATE = 300.0  # fixed value: the product of both sides' exp(-rate) is a normal double up to here
+
+
 def chances(calls: DataFrame, *keys: str) -> DataFrame:
-    """Home, draw and away chances of independent Poisson goals 0..12, from both sides' calls; by match_id and `keys`."""
+    """Home, draw and away chances of independent Poisson goals 0..12, from both sides' calls; by match_id and `keys`.
+    exp(-rate) is common to all goals of a side and cancels out; it is held above 0, so that no rate leaves a total of 0."""
     def pmf(rate: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.exp(-F.col(rate)) * F.pow(F.col(rate), k) / F.factorial(k.cast("int")).cast("double"))
+        return F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.exp(-F.least(F.col(rate), F.lit(HIGHEST_RATE))) * F.pow(F.col(rate), k) / F.factorial(k.cast("int")).cast("double"))
 
     c = calls.withColumn("a", pmf("home_rate")).withColumn("b", pmf("away_rate"))
     below = lambda v, k: F.aggregate(F.slice(v, 1, k), F.lit(0.0), lambda s, x: s + x)
