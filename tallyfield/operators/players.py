@@ -15,6 +15,7 @@ from .stats import ratio
 OTHERS, SHOT, LOSS = -1, -2, -3
 KAPPA_ROW, KAPPA_XG = 20.0, 5.0  # fixed values: pseudo actions of a player's row, pseudo shots of his shot quality
 ELEVEN, POWER = 11.0, 4
+PARTS = 8  # fixed value: groups that a team's players are dealt to
 REGULAR_SHARE, REGULAR_LEAST = 0.6, 5  # fixed values: a regular started this share of at least so many earlier matches
 NEAR_SECONDS = 1.5  # fixed value: farthest in time that a player under pressure is taken for the one pressed
 
@@ -81,14 +82,101 @@ class PlayerChain:
         return self.threat(p, start / start.sum())
 
 
+class TeamCells:
+    """Counts of a team's players as a table: a row for each source, a column for each player that actions go to, others, shots,
+    losses, unknown receivers, starts and xg in millionths. Whole numbers, so that matches are taken out of the sums exactly.
+    Nobody else has passes, so the equations of a chain are solved over the columns alone; all other players follow from these."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, first: np.ndarray, n: np.ndarray, xg: np.ndarray, match: np.ndarray, least: int):
+        self.least = least
+        self.ids, row = np.unique(src, return_inverse=True)
+        acts = np.bincount(row, np.where(first, 0, n), len(self.ids))
+        self.reached = np.intersect1d(dst[~np.isnan(dst)], self.ids[acts >= least]).astype(self.ids.dtype)
+        self.at, a = np.searchsorted(self.ids, self.reached), len(self.reached)
+        place = np.minimum(np.searchsorted(self.reached, dst), max(a - 1, 0))
+        known = (self.reached[place] == dst) if a else np.zeros(len(dst), bool)
+        col = np.where(first, a + 4, np.where(np.isnan(dst), a + 3, np.where(dst == SHOT, a + 1, np.where(dst == LOSS, a + 2, np.where(known, place, a)))))
+        self.width, shot = a + 6, xg != 0
+        flat = np.concatenate([row * self.width + col, row[shot] * self.width + a + 5])
+        value, match = np.concatenate([n, np.rint(xg[shot] * 1e6)]).astype(float), np.concatenate([match, match[shot]])
+        self.total = self._table(flat, value)
+        order = np.argsort(match, kind="stable")
+        names, begin = np.unique(match[order], return_index=True)
+        self.matches = {m: (flat[o], value[o]) for m, o in zip(names.tolist(), np.split(order, begin[1:]), strict=True)}
+
+    def _table(self, flat: np.ndarray, value: np.ndarray) -> np.ndarray:
+        return np.bincount(flat, value, len(self.ids) * self.width).reshape(len(self.ids), self.width)
+
+    def chain(self, matches: set | None = None) -> ReachedChain:
+        """The chain of some matches, or of all: sums of these, or all less the others, whichever are fewer."""
+        t = self.total
+        if matches is not None:
+            some = [m for m in self.matches if m in matches]
+            rest = [m for m in self.matches if m not in matches]
+            few = [self.matches[m] for m in (some if len(some) < len(rest) else rest)]
+            part = self._table(*(np.concatenate(v) for v in zip(*few, strict=True))) if few else np.zeros_like(t)
+            t = part if len(some) < len(rest) else t - part
+        a = len(self.reached)
+        in_ = t[:, : a + 4].sum(1) >= self.least
+        rows = np.vstack([t[in_], t[~in_].sum(0)])
+        here = in_[self.at]
+        rows[:, a] += rows[:, :a][:, ~here].sum(1)
+        node = np.cumsum(in_) - 1
+        return ReachedChain(self.ids[in_], np.append(node[self.at[here]], len(rows) - 1), rows[:, np.append(np.flatnonzero(here), [a, a + 1, a + 2])], rows[:, a + 5] / 1e6, rows[:, a + 4])
+
+
+class ReachedChain:
+    """`PlayerChain` over the nodes that can be reached: c has a row for each player and for all others (last), a column for
+    each node of `at` (rows; others last), shots and losses."""
+
+    def __init__(self, players: np.ndarray, at: np.ndarray, c: np.ndarray, made: np.ndarray, start: np.ndarray):
+        self.players, self.at, self.a = players, at, len(at)
+        self.p = (c + KAPPA_ROW * (c.sum(0) / max(c.sum(), 1.0))) / (c.sum(1, keepdims=True) + KAPPA_ROW)
+        shots = c[:, self.a]
+        self.g = (made + KAPPA_XG * made.sum() / max(shots.sum(), 1.0)) / (shots + KAPPA_XG)
+        self.start = start / max(start.sum(), 1.0)
+        self.value = self._values(self.p[:, : self.a])
+        self.base, self.starters = float(self.start @ self.value), int((self.start > 0).sum())
+
+    def _values(self, move: np.ndarray) -> np.ndarray:
+        """Chance of a goal from each node."""
+        gain = self.p[:, self.a] * self.g
+        return gain + move @ np.linalg.solve(np.eye(self.a) - move[self.at], gain[self.at])
+
+    def without(self, i: int, adapt: bool) -> float:
+        """Threat without the player of row i, as `PlayerChain.without`."""
+        value, k = self.value, len(self.start)
+        j = np.flatnonzero(self.at == i)
+        if len(j):
+            move = self.p[:, : self.a].copy()
+            lost = move[:, j[0]].copy()
+            move[:, j[0]] = 0
+            left = move.sum(1)
+            if adapt:
+                move *= np.where(left > 0, 1 + lost / np.maximum(left, 1e-300), 1.0)[:, None]
+            value = self._values(move)
+        if self.starters > (self.start[i] > 0):
+            return float((self.start @ value - self.start[i] * value[i]) / (self.start.sum() - self.start[i]))
+        return float((value.sum() - value[i]) / (k - 1))
+
+    def drops(self, i: int) -> list[float]:
+        """Drop of threat without the player of row i if the team adapts, and if not."""
+        kept = 1 - self.without(i, True) / self.base
+        return [kept, 1 - self.without(i, False) / self.base if (self.at == i).any() else kept]
+
+
+def _team_cells(g: pd.DataFrame, least: int, match: np.ndarray | None = None) -> TeamCells:
+    get = lambda c, kind: g[c].to_numpy(kind)
+    return TeamCells(get("src", np.int64), get("dst", float), get("first", bool), get("n", float), get("xg", float), np.zeros(len(g), int) if match is None else match, least)
+
+
 def removal_effects(cells: DataFrame, least: int = 150) -> DataFrame:
     """team_id, player_id, threat, drops of it without the player if the team adapts and if not, and the place among them."""
     total = cells.groupBy("team_id", "src", "dst", "first").agg(F.sum("n").alias("n"), F.sum("xg").alias("xg"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        c = PlayerChain(g, least)
-        base = c.threat()
-        rows = [(g["team_id"].iloc[0], p, base, *(1 - c.without(p, a) / base for a in (True, False))) for p in c.players] if base > 0 else []
+        c = _team_cells(g, least).chain()
+        rows = [(g["team_id"].iloc[0], p, c.base, *c.drops(i)) for i, p in enumerate(c.players)] if c.base > 0 else []
         return pd.DataFrame(rows, columns=["team_id", "player_id", "threat", "drop_adapting", "drop_losing"])
 
     e = total.groupBy("team_id").applyInPandas(run, "team_id long, player_id long, threat double, drop_adapting double, drop_losing double")
@@ -119,16 +207,22 @@ def missed_matches(cells: DataFrame, rates: DataFrame, lineups: DataFrame, least
     mean = lambda c: F.avg(F.when(c, F.col("adjusted")))
     seen = there.groupBy("team_id", "player_id").agg(F.sum((~F.col("there")).cast("int")).alias("missed"), F.sum(F.col("there").cast("int")).alias("played"), mean(~F.col("there")).alias("without"), mean(F.col("there")).alias("with"))
     seen = seen.where((F.col("missed") >= least_missed) & (F.col("played") >= least_missed))
-    mine = there.where("there").join(seen.select("team_id", "player_id"), ["team_id", "player_id"], "left_semi").select("team_id", "match_id", "player_id")
-    part = cells.join(mine, ["team_id", "match_id"]).groupBy("team_id", "player_id", "src", "dst", "first").agg(F.sum("n").alias("n"), F.sum("xg").alias("xg"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        c, p = PlayerChain(g, least), g["player_id"].iloc[0]
-        base = c.threat()
-        rows = [(g["team_id"].iloc[0], p, *(1 - c.without(p, a) / base for a in (True, False)))] if p in c.players and base > 0 else []
+    # A player's matches go to one of a few groups of their team's players; each group has the team's cells once.
+    part = F.pmod(F.hash("player_id"), F.lit(PARTS)).alias("part")
+    mine = there.where("there").join(seen.select("team_id", "player_id"), ["team_id", "player_id"], "left_semi").groupBy("team_id", part, "player_id").agg(F.collect_list("match_id").alias("matches"))
+    parts = seen.select("team_id", part).distinct()
+
+    def run(g: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        t, rows = _team_cells(g, least, g["match_id"].to_numpy()) if len(g) else None, []
+        for r in of.itertuples() if t else ():
+            c = t.chain(set(r.matches.tolist()))
+            i = int(np.searchsorted(c.players, r.player_id))
+            if i < len(c.players) and c.players[i] == r.player_id and c.base > 0:
+                rows.append((r.team_id, r.player_id, *c.drops(i)))
         return pd.DataFrame(rows, columns=["team_id", "player_id", "drop_adapting", "drop_losing"])
 
-    e = part.groupBy("team_id", "player_id").applyInPandas(run, "team_id long, player_id long, drop_adapting double, drop_losing double")
+    theirs = cells.join(F.broadcast(parts), "team_id").select(F.col("team_id").alias("team"), F.col("part").alias("group"), "match_id", "src", "dst", "first", "n", "xg")
+    e = theirs.groupBy("team", "group").cogroup(mine.groupBy("team_id", "part")).applyInPandas(run, "team_id long, player_id long, drop_adapting double, drop_losing double")
     drop = 1 - F.try_divide("without", F.greatest("with", F.lit(1e-9)))
     return e.join(seen, ["team_id", "player_id"]).select("team_id", "player_id", "missed", "played", F.round(drop, 6).alias("observed"), *(F.round(c, 6).alias(c) for c in ("drop_adapting", "drop_losing")))
 
