@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import pitch
 from .scoring import replicate_weight
@@ -231,11 +232,15 @@ def absence_summary(missed: DataFrame, reps: int = 200) -> DataFrame:
     """Correlation of observed with predicted drops, and the share of shuffled pairings that reach it. A shuffle deals the
     observed drops out in the order of a hash of player and replicate."""
     m = missed.where("observed is not null").select(F.concat_ws("-", "team_id", "player_id").alias("key"), "observed", ((F.col("drop_adapting") + F.col("drop_losing")) / 2).alias("mid"))
-    rep = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    order = lambda by: F.row_number().over(Window.partitionBy("rep").orderBy(*by))
-    left = m.select("mid", "key", rep).withColumn("k", order(["key"]))
-    right = m.select("observed", "key", rep).withColumn("k", order([F.md5(F.concat_ws(":", "key", "rep")), "key"]))
-    null = left.select("rep", "k", "mid").join(right.select("rep", "k", "observed"), ["rep", "k"]).groupBy("rep").agg(F.try_divide(F.covar_pop("observed", "mid"), F.stddev_pop("observed") * F.stddev_pop("mid")).alias("r0"))
+    # The order of keys is that of every replicate: taken once, over ranges of keys. A replicate's rows hold numbers and a short hash.
+    parts = m.repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
+    parts = parts.checkpoint() if m.sparkSession.sparkContext.getCheckpointDir() else parts.persist(StorageLevel.DISK_ONLY)
+    ahead = parts.groupBy("part").agg(F.count("*").alias("c")).select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("ahead"))  # a row for each range
+    m = parts.join(F.broadcast(ahead), "part").select("key", "observed", "mid", (F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy("key"))).cast("int").alias("k"))
+    hashed = F.unhex(F.md5(F.concat_ws(":", "key", "rep")))
+    right = m.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select("rep", "observed", F.col("k").alias("own"), hashed.alias("hash"))
+    right = right.select("rep", "observed", F.row_number().over(Window.partitionBy("rep").orderBy("hash", "own")).alias("k"))
+    null = right.join(m.select("k", "mid"), "k").groupBy("rep").agg(F.try_divide(F.covar_pop("observed", "mid"), F.stddev_pop("observed") * F.stddev_pop("mid")).alias("r0"))
     real = m.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("observed", "mid"), F.stddev_pop("observed") * F.stddev_pop("mid")).alias("r"))
     return null.crossJoin(F.broadcast(real)).groupBy("n", "r").agg(F.avg((F.col("r0") >= F.col("r")).cast("double")).alias("p")).select("n", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
 

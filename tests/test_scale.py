@@ -1,5 +1,6 @@
 """Odd and large inputs: many events in a match, many players in a team."""
 
+import hashlib
 import math
 import time
 from fractions import Fraction
@@ -57,3 +58,15 @@ def test_many_players_of_a_team(spark):
     start = time.monotonic()
     got = players.removal_effects(cells, 20).agg(F.count("*").alias("n"), F.max("place").alias("place")).first()
     assert tuple(got) == (n, n) and time.monotonic() - start < 60
+
+
+def test_absence_summary_against_loops(spark):
+    """Shuffles deal the observed drops out by hash to the keys in order; keys are ordered as texts over all ranges."""
+    rng = np.random.default_rng(3)
+    rows = [(int(t), int(p), None if p % 9 == 4 else float(o), float(a), float(b)) for t, p, o, a, b in zip(rng.integers(1, 4, 40), range(5, 45), rng.random(40), rng.random(40), rng.random(40), strict=True)]
+    got = players.absence_summary(spark.createDataFrame(rows, "team_id long, player_id long, observed double, drop_adapting double, drop_losing double").repartition(3), 50).first()
+    kept = sorted((f"{t}-{p}", o, (a + b) / 2) for t, p, o, a, b in rows if o is not None)
+    mid = np.array([m for _, _, m in kept])
+    dealt = [[o for _, o in sorted((hashlib.md5(f"{k}:{rep}".encode()).hexdigest(), o) for k, o, _ in kept)] for rep in range(1, 51)]
+    r = np.corrcoef([o for _, o, _ in kept], mid)[0, 1]
+    assert got["n"] == len(kept) and got["r"] == pytest.approx(r, abs=1e-6) and got["p"] == pytest.approx(np.mean([np.corrcoef(d, mid)[0, 1] >= r for d in dealt]), abs=1e-6)
