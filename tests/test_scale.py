@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.operators import players, stats
+from tallyfield.operators import players, routing, stats
 
 
 def test_chances_of_high_rates(spark):
@@ -70,3 +70,15 @@ def test_absence_summary_against_loops(spark):
     dealt = [[o for _, o in sorted((hashlib.md5(f"{k}:{rep}".encode()).hexdigest(), o) for k, o, _ in kept)] for rep in range(1, 51)]
     r = np.corrcoef([o for _, o, _ in kept], mid)[0, 1]
     assert got["n"] == len(kept) and got["r"] == pytest.approx(r, abs=1e-6) and got["p"] == pytest.approx(np.mean([np.corrcoef(d, mid)[0, 1] >= r for d in dealt]), abs=1e-6)
+
+
+def test_far_lanes_are_not_costed_again(monkeypatch):
+    """Without a far defender only lanes whose pressure changes are costed; before, all lanes were."""
+    field = np.array([[-1, -1], [121, -1], [121, 81], [-1, 81]], float)
+    d = np.array([[5.0, 5.0], [100.0, 40.0], [70.0, 20.0]])
+    f, costed = routing.Frame(d, field, (60.0, 40.0)), []
+    costs = routing.Frame.costs
+    monkeypatch.setattr(routing.Frame, "costs", lambda self, edges, *more: costed.append(len(self.src[edges])) or costs(self, edges, *more))
+    got = f.without(0)
+    assert costed[0] < len(f.src) / 2
+    assert np.array_equal(np.isfinite(got), np.isfinite(f.moves)) and np.allclose(got[f.src, f.dst], routing.Frame(d[1:], field, (60.0, 40.0)).moves[f.src, f.dst], atol=1e-12)
