@@ -7,6 +7,8 @@ one chain of 30 zones each.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +31,17 @@ def once(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As `once`, for rows as many as the events: columns in files of the shared folder, of which each reader takes the few it needs."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df.cache()
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _zones(counts: DataFrame, starts: DataFrame, kappa: float | DataFrame, side: str) -> DataFrame:
     """Shot quality and starts of every team and zone, shrunk to those of the season's league."""
     spark = counts.sparkSession

@@ -31,6 +31,15 @@ def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.with_kind(load(spark, sf_dir))
 
 
+LEDGER_COLUMNS = ["match_id", "match_date", "team_id", "opp_id", "home_team_id", "away_team_id", "period", "period_seconds", "idx", "possession", "possession_team_id", "type", "sub_type", "outcome", "kind", "action", "restart", "bucket",
+    "transition", "in_possession", "clock", "pos_seconds", "x", "y", "end_x", "end_y", "xg", "home_goals", "away_goals"]
+
+
+def _kept_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched events for queries that read them many times: parsed and put in order once."""
+    return season.kept(_ev(spark, sf_dir).select(*LEDGER_COLUMNS), "events")
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.outcome_table(_kinds(spark, sf_dir))
 
@@ -78,18 +87,18 @@ def eligible_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _season_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _counts(spark, sf_dir)
+    c = season.once(_counts(spark, sf_dir))
     return chain.team_chains(c, chain.select_kappa(c))
 
 
 def season_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _counts(spark, sf_dir)
+    c = season.once(_counts(spark, sf_dir))
     return _rounded(matchup.matchup_chains(c, chain.select_kappa(c)))
 
 
-def _season(spark: SparkSession, sf_dir: str, kappa: float | None = KAPPA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _season(spark: SparkSession, sf_dir: str, kappa: float | None = KAPPA, ev: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Counts and starts, built once, and the cells and zones of all chains. Without kappa, the best of the grid."""
-    ev = _kinds(spark, sf_dir)
+    ev = _kinds(spark, sf_dir) if ev is None else ev
     counts, starts = season.once(stats.outcome_table(ev)), season.once(stats.start_table(ev))
     cells, zones = season.season_chains(counts, starts, chain.select_kappa(counts) if kappa is None else kappa)
     return counts, starts, cells, zones
@@ -139,11 +148,11 @@ def denial_plan(spark: SparkSession, sf_dir: str, kappa: float | None = KAPPA) -
 
 
 def team_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(_counts(spark, sf_dir), KAPPA)
+    return _values(season.once(_counts(spark, sf_dir)), KAPPA)
 
 
 def season_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _counts(spark, sf_dir)
+    c = season.once(_counts(spark, sf_dir))
     return _values(c, chain.select_kappa(c))
 
 
@@ -173,8 +182,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "setpieces": lambda s, d: stats.setpieces(_kinds(s, d)),
     "results": lambda s, d: stats.results(_kinds(s, d)),
     "asof_calls": lambda s, d: stats.asof_calls(stats.results(_kinds(s, d))),
-    "league_chain": lambda s, d: _rounded(chain.league_chain(_counts(s, d)).drop("season")),
-    "team_chains": lambda s, d: _rounded(chain.team_chains(_counts(s, d), KAPPA)),
+    "league_chain": lambda s, d: _rounded(chain.league_chain(season.once(_counts(s, d))).drop("season")),
+    "team_chains": lambda s, d: _rounded(chain.team_chains(season.once(_counts(s, d)), KAPPA)),
     "style_distances": style_distances,
     "team_zones": team_zones,
     "team_threats": team_threats,
@@ -185,7 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "matchup_outlook": matchup_outlook,
     "reidentification": reidentification,
     "style_map": lambda s, d: season.scaled(style_distances(s, d)),
-    "kappa_scores": lambda s, d: chain.kappa_scores(_counts(s, d)).drop("season"),
+    "kappa_scores": lambda s, d: chain.kappa_scores(season.once(_counts(s, d))).drop("season"),
     "team_values": team_values,
     "result_chances": result_chances,
     "lockbox_matches": lockbox_matches,
@@ -208,7 +217,7 @@ QUERIES |= {
     "role_leaders": lambda s, d: people.role_leaders(_ev(s, d)),
     "level_table": lambda s, d: people.level_table(_ev(s, d)),
     "zone_means": lambda s, d: people.zone_means(_ev(s, d)),
-    "matchup_chains": lambda s, d: _rounded(matchup.matchup_chains(_counts(s, d), KAPPA)),
+    "matchup_chains": lambda s, d: _rounded(matchup.matchup_chains(season.once(_counts(s, d)), KAPPA)),
     "observed_lanes": lambda s, d: matchup.observed_lanes(_counts(s, d)),
     "entropy_rates": lambda s, d: matchup.entropy_rates(stats.zone_graph(_kinds(s, d))),
     "reciprocity": lambda s, d: matchup.reciprocity(stats.zone_graph(_kinds(s, d))),
@@ -219,11 +228,11 @@ QUERIES |= {
 
 QUERIES |= {
     "action_values": lambda s, d: value.action_values(_ev(s, d)).where("action is not null").select("event_id", "action", *(F.round(c, 9).alias(c) for c in ("v_start", "v_end", "value"))),
-    "season_ledger": lambda s, d: value.season_ledger(_ev(s, d)),
-    "season_claims": lambda s, d: stats.claims(value.season_ledger(_ev(s, d)), value.SEASON_CLAIMS),
-    "season_claim_intervals": lambda s, d: scoring.claim_intervals(value.season_ledger(_ev(s, d)), table=value.SEASON_CLAIMS),
+    "season_ledger": lambda s, d: _season_ledger(s, d),
+    "season_claims": lambda s, d: stats.claims(_season_ledger(s, d), value.SEASON_CLAIMS),
+    "season_claim_intervals": lambda s, d: scoring.claim_intervals(_season_ledger(s, d), table=value.SEASON_CLAIMS),
     "level_rates": lambda s, d: people.level_rates(_ev(s, d)),
-    "selected_kappa": lambda s, d: chain.select_kappa(_counts(s, d)).drop("season"),
+    "selected_kappa": lambda s, d: chain.select_kappa(season.once(_counts(s, d))).drop("season"),
     "season_chains": lambda s, d: _rounded(_season_chains(s, d)),
     "season_distances": lambda s, d: style_distances(s, d, None),
     "season_similar_teams": lambda s, d: matchup.similar_teams(style_distances(s, d, None)),
@@ -241,8 +250,8 @@ QUERIES |= {
 LEAST_POSSESSIONS = 5  # the test events have some fifteen possessions for each team-match; the reference's twenty is the operator's default
 
 
-def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _kinds(spark, sf_dir)
+def _table(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+    ev = _kinds(spark, sf_dir) if ev is None else ev
     return audit.season_table(season.once(stats.outcome_table(ev)), season.once(stats.start_table(ev)), least_possessions=LEAST_POSSESSIONS)
 
 
@@ -340,8 +349,12 @@ QUERIES |= {
     "head_to_head": lambda s, d: players.head_to_head(load(s, d).withColumn("opp_id", F.expr("case when team_id = home_team_id then away_team_id else home_team_id end"))),
 }
 
+def _season_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value.season_ledger(_kept_ev(spark, sf_dir))
+
+
 def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reliability.claim_estimates(season.once(value.season_ledger(_ev(spark, sf_dir))), value.SEASON_CLAIMS)
+    return reliability.claim_estimates(season.once(_season_ledger(spark, sf_dir)), value.SEASON_CLAIMS)
 
 
 def _matchup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,11 +368,7 @@ def _link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def team_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, _, cells, zones = _season(spark, sf_dir, None)
-    solved = season.once(season.solved(cells, zones, "side", "team_id"))
-    flows = season.region_flows(cells, solved, "side", "team_id")
-    c, z = (df.where("side = 'attack'").drop("side") for df in (cells, solved))
-    return delivery.team_pages(_estimates(spark, sf_dir), season.strongest_links(flows), season.denial_plan(cells, zones, counts), season.leaks(flows), matchup.similar_teams(season.distances(c, z)))
+    return delivery.season_pages(_kept_ev(spark, sf_dir)).select("team_id", "page")
 
 
 QUERIES |= {
@@ -408,10 +417,13 @@ def _plan_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level play of the season table's team-matches."""
-    levels = season.once(people.level_rates(_ev(spark, sf_dir)).join(_table(spark, sf_dir).select("match_id", "team_id"), ["match_id", "team_id"], "left_semi"))
-    long = audit.long_form(levels, load(spark, sf_dir), audit.LEVEL_FEATURES)
+    ev = _kept_ev(spark, sf_dir)
+    table, dates = season.once(_table(spark, sf_dir, ev)), season.once(ev.select("match_id", "match_date").distinct())
+    levels = season.once(people.level_rates(ev).join(table.select("match_id", "team_id"), ["match_id", "team_id"], "left_semi"))
+    long = audit.long_form(levels, dates, audit.LEVEL_FEATURES)
     weights = levels.groupBy("match_id").agg(F.max("level_minutes").alias("weight"))
-    return audit.followed(_calls(spark, sf_dir), season.once(audit.asof(long)), weights)
+    calls = season.once(audit.asof(season.once(audit.long_form(table, dates, audit.SQL_FEATURES))))
+    return audit.followed(calls, season.once(audit.asof(long)), weights)
 
 
 def _link_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:

@@ -12,10 +12,11 @@ SECONDS = "(cast((hour(ts) % 12) * 3600 + minute(ts) * 60 + floor(second(ts)) as
 TYPE = """(case event_type when 'view' then 'Pass' when 'signup' then 'Pass' when 'click' then 'Carry' when 'purchase' then case when event_id % 101 = 0 then 'Own Goal For' else 'Shot' end else
   case when k % 2 = 1 then case event_id % 3 when 0 then 'Ball Recovery' when 1 then 'Dispossessed' else 'Miscontrol' end
     when k % 4 = 0 then 'Pressure' when k % 8 = 2 then 'Interception' when event_id % 2 = 0 then 'Duel' else 'Foul Committed' end end)"""
-OUTCOME = f"""case when event_type in ('view', 'signup') and event_id % 5 = 0 then 'Incomplete' when {TYPE} = 'Shot' then case when event_id % 7 = 0 then 'Goal' else 'Saved' end
-  when {TYPE} = 'Interception' then case when event_id % 5 = 0 then 'Lost Out' else 'Won' end end"""
-SUB_TYPE = f"""case when event_type in ('view', 'signup') then case when event_id % 17 = 0 then 'Corner' when event_id % 19 = 0 then 'Free Kick' end when {TYPE} = 'Shot' and event_id % 23 = 0 then 'Penalty'
-  when {TYPE} = 'Duel' then case when event_id % 6 = 0 then 'Aerial Lost' else 'Tackle' end end"""
+_OUTCOME = """case when event_type in ('view', 'signup') and event_id % 5 = 0 then 'Incomplete' when {type} = 'Shot' then case when event_id % 7 = 0 then 'Goal' else 'Saved' end
+  when {type} = 'Interception' then case when event_id % 5 = 0 then 'Lost Out' else 'Won' end end"""
+_SUB_TYPE = """case when event_type in ('view', 'signup') then case when event_id % 17 = 0 then 'Corner' when event_id % 19 = 0 then 'Free Kick' end when {type} = 'Shot' and event_id % 23 = 0 then 'Penalty'
+  when {type} = 'Duel' then case when event_id % 6 = 0 then 'Aerial Lost' else 'Tackle' end end"""
+OUTCOME, SUB_TYPE = _OUTCOME.format(type=TYPE), _SUB_TYPE.format(type=TYPE)
 PATTERN = "case event_id % 13 when 0 then 'From Corner' when 1 then 'From Free Kick' when 2 then 'From Counter' else 'Regular Play' end"
 RECIPIENT = "case when event_type in ('view', 'signup') and event_id % 11 <> 0 then (user_id + 10 * (1 + event_id % 7)) % 150 end"  # of the same team
 POSITION = "case user_id % 4 when 0 then 'Back' when 1 then 'Wing' when 2 then 'Midfield' else 'Forward' end"
@@ -31,16 +32,21 @@ def match_events(events: DataFrame) -> DataFrame:
     order = Window.partitionBy("match_id").orderBy("ts", "event_id")
     e = e.withColumn("idx", F.row_number().over(order).cast("long")).withColumn("change", F.coalesce((F.col("t0") != F.lag("t0").over(order)).cast("int"), F.lit(1)))
     e = e.withColumn("possession", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.selectExpr(
-        "match_id", "event_id", "idx", "case when (day + lo) % 2 = 0 then lo else hi end as home_team_id", "case when (day + lo) % 2 = 0 then hi else lo end as away_team_id",
-        "cast(date_add(date'2024-01-01', cast(day as int)) as date) as match_date", "case when hour(ts) < 12 then 1 else 2 end as period",
-        f"{SECONDS} as period_seconds", f"cast(floor({SECONDS} / 60) as bigint) + case when hour(ts) < 12 then 0 else 45 end as minute", f"{TYPE} as type",
-        "possession", "t0 as possession_team_id", "case when event_type = 'error' and k % 2 = 0 then o0 else t0 end as team_id", "user_id as player_id",
+    # The derived columns come out of a generator: filters on them then stay above it. Pushed below, a filter on `kind` holds the text of
+    # `type` dozens of times, each with its own parse of props, and grows too long to be compiled.
+    made = [
+        "type", "case when event_type = 'error' and k % 2 = 0 then o0 else t0 end as team_id",
         "cast(k as double) * 12 / 10 as x", "cast(c % 8000 as double) / 100 as y",
         "case when event_type in ('view', 'signup', 'click') then cast((event_id * 37 + k) % 100 as double) * 12 / 10 end as end_x",
         "case when event_type in ('view', 'signup', 'click') then cast((c * 7 + event_id * 13) % 8000 as double) / 100 end as end_y",
-        f"case when {TYPE} = 'Shot' then cast(c % 100 as double) / 200 end as xg",
-        f"{OUTCOME} as outcome", f"{SUB_TYPE} as sub_type", f"{PATTERN} as play_pattern", f"{RECIPIENT} as recipient_id", f"{POSITION} as position", "event_id % 3 = 0 as under_pressure",
+        "case when type = 'Shot' then cast(c % 100 as double) / 200 end as xg", f"{_OUTCOME.format(type='type')} as outcome", f"{_SUB_TYPE.format(type='type')} as sub_type",
+    ]
+    e = e.withColumn("type", F.expr(TYPE)).select("match_id", "event_id", "idx", "lo", "hi", "day", "ts", "event_type", "possession", "t0", "user_id", F.inline(F.array(F.struct(*(F.expr(c) for c in made)))))
+    return e.selectExpr(
+        "match_id", "event_id", "idx", "case when (day + lo) % 2 = 0 then lo else hi end as home_team_id", "case when (day + lo) % 2 = 0 then hi else lo end as away_team_id",
+        "cast(date_add(date'2024-01-01', cast(day as int)) as date) as match_date", "case when hour(ts) < 12 then 1 else 2 end as period",
+        f"{SECONDS} as period_seconds", f"cast(floor({SECONDS} / 60) as bigint) + case when hour(ts) < 12 then 0 else 45 end as minute", "type", "possession", "t0 as possession_team_id", "team_id", "user_id as player_id", "x", "y", "end_x", "end_y", "xg",
+        "outcome", "sub_type", f"{PATTERN} as play_pattern", f"{RECIPIENT} as recipient_id", f"{POSITION} as position", "event_id % 3 = 0 as under_pressure",
     )
 
 
