@@ -458,8 +458,11 @@ QUERIES |= {
 }
 
 
+FRAME_COLUMNS = ["match_id", "event_id", "idx", "type", "possession", "team_id", "possession_team_id", "x", "y"]
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir)
+    ev = season.kept(load(spark, sf_dir).select(*FRAME_COLUMNS), "events")
     return geometry.snapshots(ev, *freeze_frames(ev))
 
 

@@ -29,3 +29,11 @@ def test_events_are_put_in_order_once(spark, monkeypatch, name):
     monkeypatch.setattr(season, "kept", lambda df, of: kept.append(of) or df.localCheckpoint(), raising=False)
     assert _parses(registry.QUERIES[name](spark, FOLDER)) == 0
     assert kept == ["events"]
+
+
+@pytest.mark.parametrize("name", ["pass_options", "shape_features"])
+def test_frames_read_kept_events(spark, monkeypatch, name):
+    kept = []
+    monkeypatch.setattr(season, "kept", lambda df, of: kept.append(of) or df.localCheckpoint(), raising=False)
+    assert _parses(registry.QUERIES[name](spark, FOLDER)) == 0
+    assert kept == ["events"]
